@@ -56,13 +56,23 @@ class Tables:
             return self.spark.read.parquet(f"{self.root}/{name}.parquet")
         raise AttributeError(name)
 
-    def sql(self, text: str) -> DataFrame:
+    def spread(self, name: str) -> DataFrame:
+        """A table for CPU-heavy row work: an input of a few splits is dealt out to the cores.
+
+        An input with many splits, the normal case on a cluster, is left as it is.
+        """
+        df = getattr(self, name)
+        want = min(self.spark.sparkContext.defaultParallelism, 32)
+        return df if 2 * df.rdd.getNumPartitions() > want else df.repartition(want)
+
+    def sql(self, text: str, spread: bool = False) -> DataFrame:
         text = _expand(text)
-        used = {n: getattr(self, n) for n in TABLES if "{" + n + "}" in text}
+        read = self.spread if spread else lambda n: getattr(self, n)
+        used = {n: read(n) for n in TABLES if "{" + n + "}" in text}
         return self.spark.sql(text, **used)
 
-    def view(self, name: str) -> DataFrame:
-        return self.sql(VIEWS[name])
+    def view(self, name: str, spread: bool = False) -> DataFrame:
+        return self.sql(VIEWS[name], spread)
 
 
 def query(name: str, sql: str | None = None):

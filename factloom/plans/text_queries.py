@@ -24,7 +24,7 @@ query(
       FROM (SELECT doc_id, source, replace(text, 'token = "', 'token = ') || chr(10) || 'cfg?sig=' || CAST(doc_id AS STRING) || '&a=1' AS text FROM documents))
     SELECT doc_id, md5(red) AS red_md5, CAST((length(red) - length(replace(red, '***REDACTED***', ''))) / 14 AS BIGINT) AS hits FROM r""",
 )(
-    lambda t: t.documents.select(
+    lambda t: t.spread("documents").select(
         "doc_id",
         # the quote after "token =" is dropped and one signed link added, so that patterns have hits
         tx.redact(
@@ -80,7 +80,7 @@ _GENERIC = ", ".join(f"'{p}'" for p in vocab.GENERIC_PATH_PARTS)
 def component_names(t):
     hint = F.when(F.col("doc_id") % 10 == 0, " Billing Service ").when(F.col("doc_id") % 10 == 1, "--").otherwise("")
     return (
-        t.view("doc_paths")
+        t.view("doc_paths", spread=True)
         .select(tx.derive_component(F.col("path"), F.lit("corpus"), hint=hint).alias("component"))
         .groupBy("component")
         .agg(F.count(F.lit(1)).alias("files"))
@@ -126,7 +126,7 @@ def name_slugs(t):
     WHERE size_bytes <= 5000""",
 )
 def file_inventory(t):
-    return corpus.inventory(t.view("doc_paths"), max_bytes=5000)
+    return corpus.inventory(t.view("doc_paths", spread=True), max_bytes=5000)
 
 
 @query(
@@ -138,7 +138,7 @@ def file_inventory(t):
 )
 def extractor_routing(t):
     rules = [("code", "(?i)[.](py|ts|cs)$"), ("config", "[.]json$"), ("config", "(^|/)config/"), ("docs", "[.]md$"), ("all", ".")]
-    routed = corpus.route_files(t.view("doc_paths"), rules)
+    routed = corpus.route_files(t.view("doc_paths", spread=True), rules)
     return (
         routed.groupBy("extractor", F.split_part("path", F.lit("/"), F.lit(1)).alias("module"))
         .agg(F.count(F.lit(1)).alias("files"))
@@ -152,7 +152,7 @@ def extractor_routing(t):
     FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN text || chr(0) ELSE text END AS text FROM documents)""",
 )
 def content_sniff(t):
-    d = t.documents.withColumn("text", F.when(F.col("doc_id") % 17 == 0, F.concat("text", F.lit("\x00"))).otherwise(F.col("text")))
+    d = t.spread("documents").withColumn("text", F.when(F.col("doc_id") % 17 == 0, F.concat("text", F.lit("\x00"))).otherwise(F.col("text")))
     return d.select(
         "doc_id",
         F.contains("text", F.lit("the ")).alias("marked"),
@@ -172,7 +172,7 @@ def content_sniff(t):
 def module_manifest(t):
     up_two = F.regexp_replace("path", "/[^/]+/[^/]+$", "")
     up_one = F.regexp_replace("path", "/[^/]+$", "")
-    found = t.view("doc_paths").filter(F.col("path").endswith(".json") | F.col("path").endswith(".tf"))
+    found = t.view("doc_paths", spread=True).filter(F.col("path").endswith(".json") | F.col("path").endswith(".tf"))
     return corpus.module_roots(found.select(F.when(F.col("path").endswith(".json"), up_two).otherwise(up_one).alias("root")))
 
 
@@ -186,7 +186,7 @@ def module_manifest(t):
 def doc_identifier_tokens(t):
     suffixes = vocab.IDENTIFIER_SUFFIXES + ("tion",)
     return (
-        t.documents.select(F.explode(tx.identifier_tokens(F.col("text"), suffixes)).alias("tok"))
+        t.spread("documents").select(F.explode(tx.identifier_tokens(F.col("text"), suffixes)).alias("tok"))
         .groupBy("tok")
         .agg(F.count(F.lit(1)).alias("docs"))
     )
@@ -299,7 +299,7 @@ def evidence_anchors(t):
         .when(F.col("doc_id") % 3 == 1, F.concat(F.lit(":"), (F.col("doc_id") % 40).cast("string")))
         .otherwise(F.concat(F.lit(":"), (F.col("doc_id") % 40).cast("string"), F.lit("-"), (F.col("doc_id") % 40 + F.col("doc_id") % 190).cast("string"))),
     )
-    d = t.documents.select("doc_id", F.size(F.split("text", "\n")).alias("total"), tx.parse_evidence(entry).alias("a"))
+    d = t.spread("documents").select("doc_id", F.size(F.split("text", "\n")).alias("total"), tx.parse_evidence(entry).alias("a"))
     c = tx.clamp_lines(F.col("a.start_line"), F.col("a.end_line"), F.col("total"))
     return d.select("doc_id", "a.path", "a.start_line", "a.end_line", c["start_line"].alias("clamp_start"), c["end_line"].alias("clamp_end"))
 
@@ -312,7 +312,7 @@ def evidence_anchors(t):
 )
 def doc_line_facts(t):
     return corpus.line_hits(
-        t.documents.select(F.col("doc_id"), "text"), "doc_id", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|[a-zA-Z0-9.]+@[a-z0-9.]+[a-z]"
+        t.spread("documents").select(F.col("doc_id"), "text"), "doc_id", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|[a-zA-Z0-9.]+@[a-z0-9.]+[a-z]"
     )
 
 
@@ -326,7 +326,7 @@ def doc_line_facts(t):
     SELECT doc_id, source AS component, start_line, end_line, CAST(length(body) AS BIGINT) AS body_chars, md5(substr(body, 1, 4000)) AS text_md5 FROM c WHERE body <> ''""",
 )
 def doc_chunks(t):
-    files = t.documents.select("doc_id", F.col("source").alias("component"), "text")
+    files = t.spread("documents").select("doc_id", F.col("source").alias("component"), "text")
     chunks = chunk_lines(files, chunk_size=10, overlap=2)
     return chunks.select(
         "doc_id", "component", "start_line", "end_line", F.length("body").cast("bigint").alias("body_chars"), F.md5("text").alias("text_md5")
@@ -343,7 +343,7 @@ def doc_chunks(t):
       sum(CASE WHEN line LIKE '## %' THEN 0 ELSE len(regexp_extract_all(line, '[\p{L}\p{N}_]+')) END) < 50 AS below_min FROM s GROUP BY 1, 2""",
 )
 def doc_section_words(t):
-    md = t.documents.select(
+    md = t.spread("documents").select(
         "doc_id", F.concat(F.lit("## Intro\n"), F.replace("text", F.lit("\nT"), F.lit("\n## T"))).alias("text")
     )
     return corpus.section_words(md, "doc_id", min_words=50)
@@ -351,7 +351,7 @@ def doc_section_words(t):
 
 @query("doc_content_dedupe", "SELECT sha256(text) AS sha, min(doc_id) AS doc_id, count(*) AS copies, min_by(source, doc_id) AS source FROM documents GROUP BY 1")
 def doc_content_dedupe(t):
-    d = t.documents.select("doc_id", "source", F.sha2("text", 256).alias("sha"))
+    d = t.spread("documents").select("doc_id", "source", F.sha2("text", 256).alias("sha"))
     return d.groupBy("sha").agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min_by("source", "doc_id").alias("source")
     )
@@ -490,7 +490,7 @@ def artifact_summaries(t):
 @query("chunk_store_roundtrip", "SELECT source AS component, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
 def chunk_store_roundtrip(t):
     store = corpus.ChunkStore(t.spark)
-    store.append(t.documents.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("component"), "text"))
+    store.append(t.spread("documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("component"), "text"))
     return store.load().groupBy("component").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text").cast("bigint")).alias("chars"))
 
 
@@ -500,7 +500,7 @@ def chunk_store_roundtrip(t):
     SELECT doc_id, sha256(text) AS sha FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)""",
 )
 def new_content(t):
-    files = t.documents.select("doc_id", F.lit("x1").alias("extractor"), F.lit("1").alias("version"), F.sha2("text", 256).alias("sha"))
+    files = t.spread("documents").select("doc_id", F.lit("x1").alias("extractor"), F.lit("1").alias("version"), F.sha2("text", 256).alias("sha"))
     done = files.filter("doc_id % 3 = 0").select("extractor", "version", "sha")
     return corpus.unseen(files, done).select("doc_id", "sha")
 

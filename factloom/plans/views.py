@@ -221,7 +221,7 @@ view(
     "package_files",
     "SELECT 'pkg/s' || CAST(s_suppkey AS STRING) || '/package.json' AS path, "
     + template(
-        """{"name":"pkg<<s_suppkey>>","dependencies":{"react":"18.<<s_suppkey % 3>>","express":"4.1"},"devDependencies":{"react":"17.0","jest":"29.<<s_suppkey % 5>>"},"scripts":{"build":"tsc","start":"node <<s_suppkey % 4>>"},"compilerOptions":{"strict":true,"target":"es<<2015 + s_suppkey % 6>>"}}"""
+        """{"name":"pkg<<s_suppkey>>","dependencies":{"react":"18.<<s_suppkey % 3>>","express":"4.1"},"devDependencies":{"react":"17.0","jest":"29.<<s_suppkey % 5>>"<<CASE WHEN s_suppkey % 4 <> 0 THEN ',' || chr(34) || 'typescript' || chr(34) || ':' || chr(34) || '5.1' || chr(34) ELSE '' END>>},"scripts":{"build":"tsc -p .","start":"node <<s_suppkey % 4>>"},"compilerOptions":{"strict":true,"target":"es<<2015 + s_suppkey % 6>>"}}"""
     )
     + " AS text FROM {supplier}",
 )
@@ -254,10 +254,39 @@ view(
 
 view(
     "manifest_files",
-    "SELECT 'deploy/' || CASE c_custkey % 4 WHEN 0 THEN 'prod' WHEN 1 THEN 'staging' WHEN 2 THEN 'qa' ELSE 'develop' END || '/c' || CAST(c_custkey AS STRING) || '.json' AS path, "
+    "SELECT 'deploy/' || CASE c_custkey % 4 WHEN 0 THEN 'prod' WHEN 1 THEN 'staging' WHEN 2 THEN 'qa' ELSE 'develop' END || '/c' || CAST(c_custkey AS STRING) || '.json' AS path, c_custkey, "
     + template(
-        """{"kind":"Deployment","metadata":{"name":"cust<<c_custkey>>"},"spec":{"containers":[{"name":"web","image":"reg.internal/web:<<c_nationkey>>","envFrom":[{"configMapRef":{"name":"cfg<<c_custkey % 5>>"}},{"secretRef":{"name":"sec<<c_custkey % 3>>"}}]},{"name":"side","image":"reg.internal/side:1"}],"volumes":[{"persistentVolumeClaim":{"claimName":"vol<<c_custkey % 7>>"}}]},
-"on":{"push":1,"schedule":[{"cron":"0 <<c_nationkey>> * * *"}]},"jobs":{"build":{"steps":[{"name":"compile","run":"make"},{"uses":"upload-artifact","with":{"name":"app<<c_custkey % 4>>"}}]},"deploy":{"needs":["build"],"environment":"production","steps":[{"name":"ship"}]}}}"""
+        """{"kind":"<<CASE c_custkey % 3 WHEN 0 THEN 'Service' WHEN 1 THEN 'Secret' ELSE 'Deployment' END>>","metadata":{"name":"cust<<c_custkey>>"},"spec":{"template":{"spec":{"containers":[
+{"name":"web","image":"reg.internal/web:<<c_nationkey>>","env":[{"name":"A","valueFrom":{"secretKeyRef":{"name":"sec<<c_custkey % 4>>"}}},{"name":"B","valueFrom":{"configMapKeyRef":{"name":"cfg<<c_custkey % 5>>"}}},{"name":"C","value":"x"}]},{"name":"side","image":"reg.internal/side:1"}],
+"volumes":[{"persistentVolumeClaim":{"claimName":"vol<<c_custkey % 7>>"}},{"secret":{"secretName":"sec9"}}]}}},
+"on":{"push":{"branches":["main"]},"schedule":[{"cron":"0 <<c_nationkey>> * * *"}]},"jobs":{"build":{"steps":[{"name":"compile","run":"make all"},{"uses":"actions/upload-artifact","with":{"name":"app<<c_custkey % 4>>"}}]},
+"deploy":{"needs":["build"],"environment":"<<CASE WHEN c_custkey % 2 = 0 THEN 'Production' ELSE 'stage' END>>","steps":[{"shell":"bash"}]}}}"""
+    )
+    + " AS text FROM {customer}",
+)
+
+view(
+    "mule_files",
+    "SELECT 'mule/' || CAST(s_nationkey AS STRING) || '/flow' || CAST(s_suppkey AS STRING) || '.xml' AS path, "
+    + template(
+        """<mule><flow name="stock<<s_suppkey>>">
+<http:listener path="/stock/<<s_suppkey % 5>>" allowedMethods="post,get"/>
+<scheduler cron-expression="0 <<s_suppkey % 9>> * * *"/>
+<http:request url="https://svc<<s_suppkey % 6>>.internal/items"/>
+<db:insert table="stock<<s_suppkey % 3>>"/>
+<db:select><db:sql>SELECT * FROM dbo.parts<<s_suppkey % 4>></db:sql></db:select>
+<flow-ref name="audit<<s_suppkey % 2>>"/>
+</flow></mule>"""
+    )
+    + " AS text FROM {supplier}",
+)
+
+view(
+    "serverless_files",
+    "SELECT 'fn/s' || CAST(c_custkey AS STRING) || '.json' AS path, c_custkey, "
+    + template(
+        """{"functions":{"order<<c_custkey % 50>>":{"handler":"h.run","events":[{"http":{"path":"/o/{orderId}","method":"post"}},{"sqs":{"arn":"arn:q:orders<<c_custkey % 6>>"}}]},
+"tick":{"handler":"h.tick","events":[{"schedule":{"rate":"rate(<<c_nationkey + 1>> hours)"}},{"stream":{"arn":"arn:d:table<<c_custkey % 4>>"}}]}}}"""
     )
     + " AS text FROM {customer}",
 )
