@@ -89,7 +89,7 @@ def distance_features(t):
 
 # shortest path counts by level, then n^3 pair dependencies
 _BETWEEN = """
-    RECURSIVE lv(s, node, l) AS (SELECT id, id, 0 FROM $geo_nodes UNION ALL SELECT DISTINCT lv.s, p.v, lv.l + 1 FROM lv JOIN $geo_pairs p ON p.u = lv.node WHERE lv.l < 12),
+    RECURSIVE lv(s, node, l) AS (SELECT id, id, 0 FROM $geo_nodes UNION ALL SELECT DISTINCT lv.s, p.v, lv.l + 1 FROM lv JOIN $geo_pairs p ON p.u = lv.node WHERE lv.l < 40),
     d AS (SELECT s, node, min(l) AS l FROM lv GROUP BY 1, 2),
     f(s, node, l, paths) AS (SELECT id, id, 0, CAST(1 AS DOUBLE) FROM $geo_nodes UNION ALL
       SELECT f.s, p.v, f.l + 1, sum(f.paths) FROM f JOIN $geo_pairs p ON p.u = f.node JOIN d ON d.s = f.s AND d.node = p.v AND d.l = f.l + 1 GROUP BY 1, 2, 3),
