@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# executors get these functions with the task, whether or not the package is installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -33,3 +38,8 @@ def embedding_udf(embed: Callable[[list[str]], list[list[float]]], batch: int =
             yield pd.Series(out)
 
     return run
+
+
+def length_embedding(texts: list[str]) -> list[list[float]]:
+    """A tiny embedding for tests and examples: text length and count of the letter e."""
+    return [[float(len(x)), float(x.count("e"))] for x in texts]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from factloom.functions.vocab import DEFAULT_EDGE_WEIGHT, EDGE_WEIGHTS
 from factloom.operators.ordered import first_per_key
 from factloom.session import Rounds
 
+# executors get the grouped functions with the task, whether or not the package is installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 # ---------------------------------------------------------------- building blocks
 def undirected(edges: DataFrame) -> DataFrame:

@@ -194,18 +194,30 @@ def cross_family_values(processes: DataFrame, members: DataFrame, asked: DataFra
 SCAFFOLD_FIELDS = ("identifiers", "datastores", "processes", "calls", "logging", "errors")
 
 
-def scaffold_presence(signals: DataFrame, deps: DataFrame, ids: DataFrame, logs: DataFrame, errs: DataFrame) -> DataFrame:
-    """Per signal, how many entries each scaffold field has (0 when none)."""
-    d = deps.groupBy("signal_id").agg(
-        F.count_if(F.col("bucket") == "datastores").alias("datastores"), F.count_if(F.col("bucket") == "processes").alias("processes"),
-        F.count_if(F.col("bucket") == "services").alias("services"),
-    )
-    count = lambda df, name: df.groupBy("signal_id").agg(F.count(F.lit(1)).alias(name))
-    out = signals.join(d, "signal_id", "left")
-    for df, name in ((ids, "identifiers"), (logs, "logging"), (errs, "errors")):
-        out = out.join(count(df, name), "signal_id", "left")
-    out = out.fillna(0, ["datastores", "processes", "services", "identifiers", "logging", "errors"])
-    return out.withColumn("calls", F.col("services") + F.col("processes"))
+def field_counts(signals: DataFrame, parts: dict[str, DataFrame], buckets: DataFrame | None = None) -> DataFrame:
+    """Signals with the number of rows each part holds for them (0 when none).
+
+    All parts become (signal_id, field) rows under one aggregation, so the number of shuffles
+    does not grow with the number of parts.  ``buckets`` adds rows already named by ``bucket``.
+    """
+    rows = None
+    names = list(parts)
+    if buckets is not None:
+        rows = buckets.select("signal_id", F.col("bucket").alias("field"))
+        names = ["datastores", "processes", "services"] + names
+    for name, df in parts.items():
+        part = df.select("signal_id", F.lit(name).alias("field"))
+        rows = part if rows is None else rows.unionByName(part)
+    counts = rows.groupBy("signal_id").agg(*[F.count_if(F.col("field") == n).alias(n) for n in names])
+    return signals.join(counts, "signal_id", "left").fillna(0, names)
+
+
+def scaffold_presence(
+    signals: DataFrame, deps: DataFrame, ids: DataFrame, logs: DataFrame, errs: DataFrame, more: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """Per signal, how many entries each scaffold field has, and each of ``more``."""
+    parts = {"identifiers": ids, "logging": logs, "errors": errs} | (more or {})
+    return field_counts(signals, parts, deps).withColumn("calls", F.col("services") + F.col("processes"))
 
 
 def missing_fields(presence: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import facts
+from factloom.plans import views  # noqa: F401  (registers the shared views)
 from factloom.plans.registry import query, view
 
 

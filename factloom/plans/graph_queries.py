@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import graph, marts
+from factloom.plans import views  # noqa: F401  (registers the shared views)
 from factloom.plans.registry import query, view
 
 view("geo_pairs", "SELECT DISTINCT u, v FROM (SELECT src AS u, dst AS v FROM $geo_edges UNION ALL SELECT dst, src FROM $geo_edges) WHERE u <> v")

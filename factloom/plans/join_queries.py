@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
 from factloom.operators import joins, marts
+from factloom.plans import views  # noqa: F401  (registers the shared views)
 from factloom.plans.registry import query, view
 
 # customers are processes: nation = component, segment = family, balance class = module

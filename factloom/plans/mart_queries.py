@@ -1 +1,320 @@
-"""Placeholder."""
+"""Rollup, coverage, quality, budget and worklist queries."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from factloom.functions import text as tx
+from factloom.operators import marts, ordered
+from factloom.operators import steps as st
+from factloom.plans import views  # noqa: F401  (registers the shared views)
+from factloom.plans.registry import query, view
+from factloom.plans.step_queries import _control, _data, _deps, _identifiers
+from factloom.session import scratch_dir
+from factloom.sources import corpus
+
+
+# ---------------------------------------------------------------- counts
+@query("scan_stats", """
+    SELECT CASE WHEN GROUPING(component) = 0 THEN 'component' WHEN GROUPING(kind) = 0 THEN 'kind' ELSE 'total' END AS facet, coalesce(component, kind, '') AS value, count(*) AS n
+    FROM $signals GROUP BY GROUPING SETS ((component), (kind), ())""")
+def scan_stats(t):
+    s = t.view("signals").select("component", "kind")
+    # both counts and the total in one pass over the signals
+    g = s.groupingSets([["component"], ["kind"], []], "component", "kind").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    facet = F.when(F.col("g") == 1, "component").when(F.col("g") == 2, "kind").otherwise("total")
+    return g.select(facet.alias("facet"), F.coalesce("component", "kind", F.lit("")).alias("value"), "n")
+
+
+@query("top_connectors", "SELECT lower(connector) AS connector, count(*) AS n FROM $steps GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def top_connectors(t):
+    return t.view("steps").groupBy(F.lower("connector").alias("connector")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "connector").limit(5)
+
+
+@query("relationship_matrix", """
+    SELECT target_kind, count(*) FILTER (operation = 'reads') AS reads, count(*) FILTER (operation = 'writes') AS writes, count(*) FILTER (operation = 'deletes') AS deletes, count(*) FILTER (operation = 'calls') AS calls FROM $relations GROUP BY 1""")
+def relationship_matrix(t):
+    p = t.view("relations").groupBy("target_kind").pivot("operation", ["reads", "writes", "deletes", "calls"]).agg(F.count(F.lit(1)))
+    return p.fillna(0)
+
+
+@query("relationship_highlights", """
+    WITH r AS (SELECT *, source_name || ' ' || operation || ' ' || target_ref || ' [' || target_kind || ']' AS s, row_number() OVER (PARTITION BY signal_id ORDER BY pos, k1, k2) AS rn FROM $relations)
+    SELECT signal_id, count(*) FILTER (target_kind = 'http') AS http_calls, count(*) FILTER (target_kind IN ('sql_table', 'cosmosdb')) AS data_touchpoints, count(*) FILTER (target_kind = 'process') AS child_flows,
+      string_agg(s, '; ' ORDER BY rn) FILTER (rn <= 3) AS samples FROM r GROUP BY 1""")
+def relationship_highlights(t):
+    r = t.view("relations")
+    kinds = r.groupBy("signal_id").agg(
+        F.count_if(F.col("target_kind") == "http").alias("http_calls"), F.count_if(F.col("target_kind").isin("sql_table", "cosmosdb")).alias("data_touchpoints"),
+        F.count_if(F.col("target_kind") == "process").alias("child_flows"),
+    )
+    s = F.concat("source_name", F.lit(" "), "operation", F.lit(" "), "target_ref", F.lit(" ["), "target_kind", F.lit("]"))
+    top = ordered.top_per_key(r.select("signal_id", "pos", "k1", "k2", s.alias("s")), ["signal_id"], [F.col("pos"), F.col("k1"), F.col("k2")], 3, rank="rn")
+    text = top.groupBy("signal_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "s"))), lambda x: x["s"]), "; ").alias("samples"))
+    return kinds.join(text, "signal_id")
+
+
+@query("component_insights", """
+    SELECT component, count(DISTINCT s.signal_id) AS flows, count(p.name) AS steps, count(DISTINCT p.connector) AS connectors, string_agg(DISTINCT p.connector, ',' ORDER BY p.connector) AS connector_list
+    FROM $signals s LEFT JOIN $steps p ON p.signal_id = s.signal_id WHERE kind = 'workflow' GROUP BY 1""")
+def component_insights(t):
+    s = t.view("signals").filter("kind = 'workflow'").select("signal_id", "component")
+    # steps shrink to (signal, connector) counts before they meet the signals
+    p = t.view("steps").groupBy("signal_id", "connector").agg(F.count(F.lit(1)).alias("n"))
+    j = s.join(p, "signal_id", "left")
+    by = j.groupBy("component", "connector").agg(F.sum("n").alias("n"))
+    flows = s.groupBy("component").agg(F.count(F.lit(1)).alias("flows"))
+    # connectors are a vocabulary, so the list per component is bounded by it
+    lst = by.groupBy("component").agg(F.sum("n").alias("steps"), F.count("connector").alias("connectors"), F.array_join(F.array_sort(F.collect_set("connector")), ",").alias("connector_list"))
+    return flows.join(lst, "component")
+
+
+@query("component_hints", "SELECT component, bucket, count(DISTINCT value) AS n_values, count(*) AS uses FROM $dependency_rows d JOIN $signals s ON s.signal_id = d.signal_id GROUP BY 1, 2")
+def component_hints(t):
+    d = _deps(t).join(t.view("signals").select("signal_id", "component"), "signal_id")
+    per = d.groupBy("component", "bucket", "value").agg(F.count(F.lit(1)).alias("k"))
+    return per.groupBy("component", "bucket").agg(F.count(F.lit(1)).alias("n_values"), F.sum("k").alias("uses"))
+
+
+@query("touchpoints", """
+    SELECT component, class, count(*) AS n FROM (
+      SELECT signal_id, CASE WHEN connector = 'http' THEN 'HTTP' WHEN connector = 'jms' THEN 'JMS' WHEN connector IN ('jdbc', 'sql:query') THEN 'JDBC' ELSE 'Other' END AS class FROM $steps
+      UNION ALL SELECT signal_id, 'Trigger' FROM $triggers) x JOIN $signals s ON s.signal_id = x.signal_id GROUP BY 1, 2""")
+def touchpoints(t):
+    c = F.lower("connector")
+    cls = F.when(c.rlike("http|rest|soap"), "HTTP").when(c.rlike("jms|queue|topic"), "JMS").when(c.rlike("jdbc|sql"), "JDBC").when(c.rlike("^file"), "File").otherwise("Other")
+    rows = t.view("steps").select("signal_id", cls.alias("class")).unionByName(t.view("triggers").select("signal_id", F.lit("Trigger").alias("class")))
+    per = rows.groupBy("signal_id", "class").agg(F.count(F.lit(1)).alias("k"))
+    return per.join(t.view("signals").select("signal_id", "component"), "signal_id").groupBy("component", "class").agg(F.sum("k").alias("n"))
+
+
+@query("extractor_coverage", """
+    WITH f AS (SELECT path, split_part(path, '/', 1) AS root FROM $doc_paths), x AS (SELECT root, CASE WHEN path LIKE '%.py' OR path LIKE '%.cs' OR path LIKE '%.TS' THEN 'code' WHEN path LIKE '%.json' THEN 'config' WHEN path LIKE '%.md' THEN 'docs' END AS extractor FROM f)
+    SELECT extractor, root, count(*) AS files FROM x WHERE extractor IS NOT NULL GROUP BY ROLLUP (extractor, root)""")
+def extractor_coverage(t):
+    routed = corpus.route_files(t.view("doc_paths"), [("code", "(?i)[.](py|ts|cs)$"), ("config", "[.]json$"), ("docs", "[.]md$")])
+    return routed.rollup("extractor", F.split_part("path", F.lit("/"), F.lit(1)).alias("root")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("source_inventory", "SELECT source, lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT sha256(text)) AS texts FROM documents GROUP BY ROLLUP (source, lang)")
+def source_inventory(t):
+    d = t.spread("documents").select("source", "lang", "n_chars", F.sha2("text", 256).alias("sha"))
+    return d.rollup("source", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"), F.countDistinct("sha").alias("texts"))
+
+
+@query("document_hierarchy", """
+    SELECT family, component, count(*) AS processes, count(*) FILTER (kind IN ('workflow', 'route')) AS docworthy, min(created) AS first_created FROM $signals GROUP BY ROLLUP (family, component)""")
+def document_hierarchy(t):
+    return t.view("signals").rollup("family", "component").agg(
+        F.count(F.lit(1)).alias("processes"), F.count_if(F.lower("kind").isin("workflow", "route")).alias("docworthy"), F.min("created").alias("first_created")
+    )
+
+
+@query("playbooks", "SELECT module, count(*) FILTER (kind = 'workflow') AS deploy, count(*) FILTER (kind = 'route') AS rollback, count(*) FILTER (kind = 'db') AS recovery FROM $signals GROUP BY 1")
+def playbooks(t):
+    book = tx.lookup(F.col("kind"), {"workflow": "deploy", "route": "rollback", "db": "recovery"})
+    return t.view("signals").withColumn("book", book).groupBy("module").pivot("book", ["deploy", "rollback", "recovery"]).agg(F.count(F.lit(1)))
+
+
+@query("persona_lists", """
+    SELECT component, string_agg(name, ',' ORDER BY rn) AS personas, min(total) AS total FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY first_seen, name) AS rn, count(*) OVER (PARTITION BY component) AS total FROM (
+      SELECT component, module || '-user' AS name, min(signal_id) AS first_seen FROM $signals GROUP BY 1, 2)) WHERE rn <= 4 GROUP BY 1""")
+def persona_lists(t):
+    p = t.view("signals").groupBy("component", F.concat("module", F.lit("-user")).alias("name")).agg(F.min("signal_id").alias("first_seen"))
+    total = p.groupBy("component").agg(F.count(F.lit(1)).alias("total"))
+    top = ordered.top_per_key(p, ["component"], [F.col("first_seen"), F.col("name")], 4, rank="rn")
+    text = top.groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "name"))), lambda x: x["name"]), ",").alias("personas"))
+    return text.join(total, "component")
+
+
+# How many rows of each section go into a group's context.
+CONTEXT_LIMITS = {"workflow": 6, "route": 4, "db": 3}
+
+
+@query("group_context", """
+    SELECT component, kind, signal_id FROM (SELECT *, row_number() OVER (PARTITION BY component, kind ORDER BY signal_id) AS rn FROM $signals) WHERE rn <= CASE kind WHEN 'workflow' THEN 6 WHEN 'route' THEN 4 ELSE 3 END""")
+def group_context(t):
+    top = ordered.top_per_key(t.view("signals").select("component", "kind", "signal_id"), ["component", "kind"], [F.col("signal_id")], max(CONTEXT_LIMITS.values()), rank="rn")
+    return top.filter(F.col("rn") <= tx.lookup(F.col("kind"), CONTEXT_LIMITS)).select("component", "kind", "signal_id")
+
+
+@query("component_profile", """
+    SELECT component, count(*) AS signals, count(DISTINCT kind) AS kinds, count(DISTINCT family) AS families, count(method) AS with_method, min(file) AS first_file, max(created) AS last_created FROM $signals GROUP BY 1""")
+def component_profile(t):
+    s = t.view("signals").groupBy("component", "kind", "family").agg(F.count(F.lit(1)).alias("n"), F.count("method").alias("m"), F.min("file").alias("f"), F.max("created").alias("c"))
+    return s.groupBy("component").agg(
+        F.sum("n").alias("signals"), F.countDistinct("kind").alias("kinds"), F.countDistinct("family").alias("families"), F.sum("m").alias("with_method"),
+        F.min("f").alias("first_file"), F.max("c").alias("last_created"),
+    )
+
+
+@query("narratives_with_fallback", """
+    WITH a AS (SELECT component, count(*) AS n, min(name) AS first_line FROM $signals WHERE kind = 'route' AND method = 'POST' AND signal_id % 50 = 0 GROUP BY 1), r AS (SELECT component, count(*) AS n, min(name) AS first_line FROM $signals WHERE kind = 'db' GROUP BY 1)
+    SELECT coalesce(a.component, r.component) AS component, coalesce(a.n, r.n) AS n, coalesce(a.first_line, r.first_line) AS first_line, a.component IS NOT NULL AS from_artifacts FROM a FULL JOIN r ON a.component = r.component""")
+def narratives_with_fallback(t):
+    s = t.view("signals")
+    agg = lambda df, p: df.groupBy("component").agg(F.count(F.lit(1)).alias(p + "n"), F.min("name").alias(p + "first"))
+    j = agg(s.filter("kind = 'route' AND method = 'POST' AND signal_id % 50 = 0"), "a_").join(agg(s.filter("kind = 'db'"), "r_"), "component", "full_outer")
+    return j.select("component", F.coalesce("a_n", "r_n").alias("n"), F.coalesce("a_first", "r_first").alias("first_line"), F.col("a_n").isNotNull().alias("from_artifacts"))
+
+
+# ---------------------------------------------------------------- coverage and quality
+view("presence", """
+    SELECT s.signal_id, s.kind, s.component, s.name, coalesce(d.ds, 0) AS datastores, coalesce(d.pr, 0) AS processes, coalesce(d.sv, 0) AS services, coalesce(i.n, 0) AS identifiers, coalesce(l.n, 0) AS logging, coalesce(e.n, 0) AS errors
+    FROM $signals s LEFT JOIN (SELECT signal_id, count(*) FILTER (bucket = 'datastores') AS ds, count(*) FILTER (bucket = 'processes') AS pr, count(*) FILTER (bucket = 'services') AS sv FROM $dependency_rows GROUP BY 1) d ON d.signal_id = s.signal_id
+    LEFT JOIN (SELECT signal_id, count(*) AS n FROM $identifier_rows GROUP BY 1) i ON i.signal_id = s.signal_id LEFT JOIN (SELECT signal_id, count(*) AS n FROM $logging_rows GROUP BY 1) l ON l.signal_id = s.signal_id
+    LEFT JOIN (SELECT signal_id, count(*) AS n FROM $error_rows GROUP BY 1) e ON e.signal_id = s.signal_id""")
+
+
+def _presence(t, more=None):
+    steps = t.view("steps")
+    signals = t.view("signals").select("signal_id", "kind", "component", "name")
+    return marts.scaffold_presence(signals, _deps(t), _identifiers(t), st.logging(steps), st.errors(steps, _control(t)), more)
+
+
+_GAP = "(identifiers = 0 OR datastores = 0 OR processes = 0 OR services + processes = 0 OR logging = 0 OR errors = 0)"
+
+
+@query("scaffold_coverage", f"""
+    WITH g AS (SELECT kind, signal_id, row_number() OVER (PARTITION BY kind ORDER BY signal_id) AS rn FROM $presence WHERE {_GAP})
+    SELECT p.*, g.samples FROM (SELECT kind, count(*) AS tracked, count(*) FILTER (identifiers > 0) AS with_identifiers, count(*) FILTER (datastores > 0) AS with_datastores, count(*) FILTER (processes > 0) AS with_processes,
+      count(*) FILTER (services + processes > 0) AS with_calls, count(*) FILTER (logging > 0) AS with_logging, count(*) FILTER (errors > 0) AS with_errors FROM $presence GROUP BY 1) p
+    LEFT JOIN (SELECT kind, string_agg(CAST(signal_id AS STRING), ',' ORDER BY signal_id) FILTER (rn <= 5) AS samples FROM g GROUP BY 1) g ON g.kind = p.kind""")
+def scaffold_coverage(t):
+    return marts.scaffold_coverage(_presence(t), "kind")
+
+
+@query("coverage_gate", f"""
+    SELECT count(*) AS gaps, count(*) FILTER (identifiers = 0 AND datastores = 0 AND processes = 0 AND services = 0 AND logging = 0 AND errors = 0) AS missing_scaffold,
+      count(*) FILTER (identifiers > 0 AND datastores > 0 AND processes > 0) AS with_io, count(*) FILTER (services + processes > 0) AS with_calls, count(*) FILTER (logging > 0) AS with_logging, count(*) FILTER (errors > 0) AS with_errors,
+      CASE WHEN count(*) FILTER (identifiers = 0 AND datastores = 0 AND processes = 0 AND services = 0 AND logging = 0 AND errors = 0) > 5 THEN 'missing_scaffold>5' ELSE '' END AS failures FROM $presence WHERE {_GAP}""")
+def coverage_gate(t):
+    return marts.coverage_gate(_presence(t))
+
+
+@query("gap_counts", f"SELECT component, count(*) AS gaps FROM $presence WHERE {_GAP} GROUP BY 1")
+def gap_counts(t):
+    return marts.missing_fields(_presence(t)).filter("size(missing) > 0").groupBy("component").agg(F.count(F.lit(1)).alias("gaps")).orderBy(F.desc("gaps"))
+
+
+view("quality", """
+    SELECT *, CASE WHEN score >= 15 THEN 1 WHEN score >= 8 THEN 2 ELSE 4 END AS priority, CASE WHEN score >= 15 THEN 'high' WHEN score >= 8 THEN 'medium' ELSE 'low' END AS band FROM (
+      SELECT p.*, steps, relationships, interfaces, invocations, identifiers * 3 + datastores * 2 + processes * 2 + steps + least(interfaces, 3) + least(relationships, 3) + CASE WHEN triggers > 0 THEN 2 ELSE 0 END + least(invocations, 3) + least(services, 3)
+        + CASE WHEN errors > 0 THEN 1 ELSE 0 END + CASE WHEN logging > 0 THEN 1 ELSE 0 END AS score FROM (
+        SELECT p.*, coalesce(a.n, 0) AS steps, coalesce(b.n, 0) AS relationships, coalesce(c.n, 0) AS interfaces, coalesce(d.n, 0) AS invocations, coalesce(e.n, 0) AS triggers FROM $presence p
+        LEFT JOIN (SELECT signal_id, count(*) AS n FROM $steps GROUP BY 1) a ON a.signal_id = p.signal_id LEFT JOIN (SELECT signal_id, count(*) AS n FROM $relations GROUP BY 1) b ON b.signal_id = p.signal_id
+        LEFT JOIN (SELECT signal_id, count(*) AS n FROM $interface_rows GROUP BY 1) c ON c.signal_id = p.signal_id LEFT JOIN (SELECT signal_id, count(*) AS n FROM $invocation_rows GROUP BY 1) d ON d.signal_id = p.signal_id
+        LEFT JOIN (SELECT signal_id, count(*) AS n FROM $triggers GROUP BY 1) e ON e.signal_id = p.signal_id) p)""")
+
+
+def _quality(t):
+    steps, trig = t.view("steps"), t.view("triggers")
+    parts = {"steps": steps, "relationships": t.view("relations"), "interfaces": st.interfaces(steps, trig), "invocations": st.invocations(steps), "triggers": trig}
+    return marts.process_quality(_presence(t, parts))
+
+
+@query("process_quality", "SELECT signal_id, CAST(score AS BIGINT) AS score, score >= 5 OR steps > 0 OR relationships > 0 AS has_details, CAST(priority AS INT) AS priority, band FROM $quality")
+def process_quality(t):
+    return _quality(t).select("signal_id", "score", "has_details", "priority", "band")
+
+
+@query("worklist", """
+    SELECT * FROM (
+      SELECT name || ' - Process Brief' AS title, 'process' AS category, CAST(priority AS INT) AS priority, CAST(score AS BIGINT) AS score FROM $quality
+        WHERE identifiers > 0 AND (invocations > 0 OR datastores + processes + services > 0) AND (errors > 0 OR logging > 0)
+      UNION ALL SELECT component || ' - Component Brief', 'component', 3, NULL FROM $quality GROUP BY component HAVING bool_or(score >= 5 OR steps > 0 OR relationships > 0)
+      UNION ALL SELECT 'Anti-Pattern Register', 'quality', 3, NULL UNION ALL SELECT 'Repository Comprehensive Narrative', 'repo_final', 5, NULL)
+    ORDER BY priority, score DESC NULLS LAST, title LIMIT 200""")
+def worklist(t):
+    q = _quality(t)
+    ok = (F.col("identifiers") > 0) & ((F.col("invocations") > 0) | (F.col("datastores") + F.col("processes") + F.col("services") > 0)) & ((F.col("errors") > 0) | (F.col("logging") > 0))
+    brief = lambda c, s: F.concat(c, F.lit(f" - {s} Brief"))
+    proc = q.filter(ok).select(brief(F.col("name"), "Process").alias("title"), F.lit("process").alias("category"), "priority", "score")
+    none = F.lit(None).cast("bigint")
+    comp = q.groupBy("component").agg(F.bool_or("has_details").alias("d")).filter("d").select(brief(F.col("component"), "Component").alias("title"), F.lit("component").alias("category"), F.lit(3).alias("priority"), none.alias("score"))
+    # the two standing entries exist once there is any record at all
+    some = q.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+    standing = F.array(
+        F.struct(F.lit("Anti-Pattern Register").alias("title"), F.lit("quality").alias("category"), F.lit(3).alias("priority")),
+        F.struct(F.lit("Repository Comprehensive Narrative").alias("title"), F.lit("repo_final").alias("category"), F.lit(5).alias("priority")),
+    )
+    rest = some.select(F.explode(standing).alias("s")).select("s.*", none.alias("score"))
+    return proc.unionByName(comp).unionByName(rest).orderBy("priority", F.col("score").desc_nulls_last(), "title").limit(200)
+
+
+@query("step_coverage", """
+    SELECT signal_id, round(avg(CASE WHEN connector = 'shared_sharepoint' THEN 0.0 ELSE 1.0 END), 3) AS role_ratio,
+      round(avg(CASE WHEN coalesce(sql_text, destination, url, called_process) IS NULL THEN 0.0 ELSE 1.0 END), 3) AS evidence_ratio FROM $steps GROUP BY 1""")
+def step_coverage(t):
+    return marts.step_coverage(t.view("steps"))
+
+
+@query("label_coverage", """
+    SELECT source, count(*) AS docs, count(l.doc_id) AS labelled, round(count(l.doc_id) / count(*), 3) AS ratio, count(l.doc_id) / count(*) >= 0.4 AS passes, count(*) FILTER (quality = 1) AS good FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1""")
+def label_coverage(t):
+    j = t.documents.select("doc_id", "source").join(t.labels.select("doc_id", "quality").withColumn("hit", F.lit(1)), "doc_id", "left")
+    g = j.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.count("hit").alias("labelled"), F.count_if(F.col("quality") == 1).alias("good"))
+    ratio = F.col("labelled") / F.col("docs")
+    return g.select("source", "docs", "labelled", F.round(ratio, 3).alias("ratio"), (ratio >= 0.4).alias("passes"), "good")
+
+
+@query("claim_scores", """
+    SELECT conv_id, count(*) AS claims, round(avg(CASE WHEN length(text) > 150 THEN 1.0 ELSE 0.0 END), 3) AS score, round(avg(CASE WHEN length(text) > 150 THEN 1.0 ELSE 0.0 END), 3) >= 0.75 AS approved FROM conversations GROUP BY 1""")
+def claim_scores(t):
+    # a claim counts as backed when it cites evidence; here a long turn does
+    c = t.conversations.select("conv_id", F.when(F.length("text") > 150, F.array(F.lit("e"))).otherwise(F.array()).alias("evidence_ids"))
+    score = F.round(F.avg(F.when(F.size("evidence_ids") > 0, 1.0).otherwise(0.0)), 3)
+    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("claims"), score.alias("score")).withColumn("approved", F.col("score") >= 0.75)
+
+
+# Prices in USD per million tokens.
+PRICE_IN, PRICE_OUT = "0.25", "2.00"
+
+
+@query("usage_cost", """
+    SELECT event_type, CAST(sum(tin) AS BIGINT) AS tokens_in, CAST(sum(tout) AS BIGINT) AS tokens_out, CAST(round(CAST(sum(tin) AS DOUBLE) / 1e6 * 0.25 + CAST(sum(tout) AS DOUBLE) / 1e6 * 2.0, 6) AS DOUBLE) AS cost FROM (
+      SELECT event_type, CAST(floor(value * 100) AS BIGINT) AS tin, CAST(floor(value * 10) AS BIGINT) AS tout FROM events) GROUP BY 1""")
+def usage_cost(t):
+    e = t.events.select("event_type", F.floor(F.col("value") * 100).cast("bigint").alias("tin"), F.floor(F.col("value") * 10).cast("bigint").alias("tout"))
+    million = F.lit(1_000_000).cast("decimal(12,0)")
+    price = lambda c, p: F.col(c).cast("decimal(20,0)") * F.lit(p).cast("decimal(6,2)") / million
+    g = e.groupBy("event_type").agg(F.sum("tin").alias("tokens_in"), F.sum("tout").alias("tokens_out"))
+    return g.select("event_type", "tokens_in", "tokens_out", F.round(price("tokens_in", PRICE_IN) + price("tokens_out", PRICE_OUT), 6).cast("double").alias("cost"))
+
+
+# ---------------------------------------------------------------- budgets and lists
+@query("budget_pack", """
+    WITH c AS (SELECT doc_id, source, length(text) AS len, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS cum FROM documents)
+    SELECT doc_id, source, CAST(cum AS BIGINT) AS cum, CAST(CASE WHEN cum <= 20000 THEN len WHEN cum - len < 20000 THEN 20000 - (cum - len) ELSE 0 END AS BIGINT) AS taken, cum > 20000 AND cum - len < 20000 AS truncated FROM c""")
+def budget_pack(t):
+    d = t.documents.select("doc_id", "source", F.length("text").alias("len"))
+    return marts.apply_budget(d, "source", "doc_id", F.col("len"), 20000, F.expr("doc_id div 100000")).select("doc_id", "source", "cum", "taken", "truncated")
+
+
+@query("item_batches", "SELECT batch, count(*) AS n, min(p_partkey) AS first_part FROM (SELECT p_partkey, p_brand || '-' || CAST((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 16 AS STRING) AS batch FROM part) GROUP BY 1")
+def item_batches(t):
+    n = ordered.row_index(t.part.select("p_partkey", "p_brand"), ["p_brand"], ["p_partkey"], "n", [F.expr("p_partkey div 100000")])
+    b = n.withColumn("batch", F.concat("p_brand", F.lit("-"), F.expr("(n - 1) div 16").cast("string")))
+    return b.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_part"))
+
+
+@query("limited_lists", """
+    SELECT nation, string_agg(s_name, ',' ORDER BY s_name) FILTER (rn <= 2) AS shown, CASE WHEN min(total) > 2 THEN '... (+' || CAST(min(total) - 2 AS STRING) || ' more)' END AS more FROM (
+      SELECT s_nationkey AS nation, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS rn, count(*) OVER (PARTITION BY s_nationkey) AS total FROM supplier) GROUP BY 1""")
+def limited_lists(t):
+    return marts.limit_items(t.supplier.select(F.col("s_nationkey").alias("nation"), "s_name"), "nation", "s_name", k=2)
+
+
+@query("coverage_csv", "SELECT kind, count(*) AS n, count(DISTINCT component) AS components FROM $signals WHERE method IS NULL GROUP BY 1")
+def coverage_csv(t):
+    """Gap report written as CSV, partitioned records as Parquet, and both read back."""
+    base = f"{scratch_dir(t.spark)}/coverage-{uuid.uuid4().hex}"
+    gaps = t.view("signals").filter("method IS NULL").select("signal_id", "kind", "component", "name")
+    corpus.write_records(gaps, base + "/csv", "csv", by=None)
+    corpus.write_records(gaps, base + "/records", "parquet", by="component")
+    csv = t.spark.read.option("header", "true").schema("signal_id bigint, kind string, component string, name string").csv(base + "/csv")
+    recs = t.spark.read.schema("signal_id bigint, kind string, name string, component string").parquet(base + "/records")
+    same = csv.join(recs.select("signal_id"), "signal_id", "left_semi")
+    return same.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("component").alias("components"))

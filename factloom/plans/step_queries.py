@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as tx
 from factloom.functions import vocab
 from factloom.operators import steps as st
+from factloom.plans import views  # noqa: F401  (registers the shared views)
 from factloom.plans.registry import query, view
 
 _PREFIX = ", ".join(f"('{k}', '{r}')" for k, v in vocab.PREFIX_ROLES.items() for r in v)

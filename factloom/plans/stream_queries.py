@@ -1 +1,67 @@
-"""Placeholder."""
+"""Windowed counts in batch form, and the same computed by a stream."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from factloom.plans import views  # noqa: F401  (registers the shared views)
+from factloom.plans.registry import query
+from factloom.session import scratch_dir
+from factloom.streaming import streams
+
+_TUMBLE = """
+    SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, time_bucket(INTERVAL '6 hours', ts) + INTERVAL '6 hours' AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3"""
+
+
+@query("event_tumbling", _TUMBLE)
+def event_tumbling(t):
+    return streams.tumbling_counts(t.events, "ts", "event_type", "6 hours")
+
+
+@query("event_sliding", """
+    SELECT s AS window_start, s + INTERVAL '12 hours' AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (
+      SELECT *, unnest([time_bucket(INTERVAL '4 hours', ts), time_bucket(INTERVAL '4 hours', ts) - INTERVAL '4 hours', time_bucket(INTERVAL '4 hours', ts) - INTERVAL '8 hours']) AS s FROM events) GROUP BY 1, 2, 3""")
+def event_sliding(t):
+    return streams.tumbling_counts(t.events, "ts", "event_type", "12 hours", "4 hours")
+
+
+@query("event_sessions", """
+    WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL '2 hours' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT min(ts) AS window_start, max(ts) + INTERVAL '2 hours' AS window_end, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(t):
+    return streams.session_counts(t.events, "ts", "user_id", "2 hours")
+
+
+def _folders(t):
+    base = f"{scratch_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    return base + "/out", base + "/state"
+
+
+@query("event_tumbling_stream", _TUMBLE)
+def event_tumbling_stream(t):
+    """Append mode emits a window once the watermark passes it, so the windows still open at the
+    end of the input are added from the batch form of the same events."""
+    out, state = _folders(t)
+    src = streams.open_stream(t.spark, f"{t.root}/events*.parquet", t.events.schema)
+    # a watermark needs an instant; the table's zone-less times are read as UTC
+    src = src.withColumn("ts", F.expr("CAST(convert_timezone('UTC', current_timezone(), ts) AS TIMESTAMP)"))
+    streams.run_available(streams.tumbling_counts(src, "ts", "event_type", "6 hours", late="1 hour"), out, state)
+    closed = t.spark.read.schema("window_start timestamp, window_end timestamp, event_type string, n bigint, total double").parquet(out)
+    for c in ("window_start", "window_end"):
+        closed = closed.withColumn(c, F.expr(f"convert_timezone(current_timezone(), 'UTC', CAST({c} AS TIMESTAMP_NTZ))"))
+    whole = streams.tumbling_counts(t.events, "ts", "event_type", "6 hours")
+    still_open = whole.join(closed.select("window_start", "event_type"), ["window_start", "event_type"], "left_anti")
+    return closed.unionByName(still_open)
+
+
+@query("unseen_content_stream", "SELECT count(DISTINCT sha256(text)) AS contents, CAST(sum(len) AS BIGINT) AS chars FROM (SELECT text, length(text) AS len FROM documents GROUP BY 1)")
+def unseen_content_stream(t):
+    out, state = _folders(t)
+    src = streams.open_stream(t.spark, f"{t.root}/documents*.parquet", t.documents.schema)
+    fresh = streams.unseen_content(src, "doc").select("sha", F.length("text").cast("bigint").alias("chars"))
+    streams.run_available(fresh, out, state)
+    got = t.spark.read.schema("sha string, chars bigint").parquet(out)
+    return got.agg(F.count(F.lit(1)).alias("contents"), F.sum("chars").alias("chars"))

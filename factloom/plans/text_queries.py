@@ -8,6 +8,7 @@ from factloom.functions import text as tx
 from factloom.functions import vocab
 from factloom.operators import ordered
 from factloom.operators.retrieval import chunk_lines
+from factloom.plans import views  # noqa: F401  (registers the shared views)
 from factloom.plans.registry import query, view
 from factloom.sources import corpus
 
