@@ -415,6 +415,15 @@ def substring_roles(connector: Column) -> Column:
     return F.array_distinct(F.flatten(F.filter(F.array(*hits), lambda a: a.isNotNull())))
 
 
+def has_role(role: str, connector: Column) -> Column:
+    """Whether ``prefix_roles`` of a connector holds a role, as plain membership tests."""
+    low = F.lower(connector)
+    whole = [k for k, v in vocab.CONNECTOR_ROLES.items() if role in v]
+    head = [k for k, v in vocab.PREFIX_ROLES.items() if role in v]
+    hit = F.split_part(low, F.lit(":"), F.lit(1)).isin(*head)
+    return F.coalesce(hit | low.isin(*whole) if whole else hit, F.lit(False))
+
+
 def prefix_roles(connector: Column, step_type: Column | None = None) -> Column:
     """Roles of a step: whole connector name, then the part before a colon."""
     none = F.array().cast("array<string>")

@@ -147,8 +147,8 @@ def trigger_identifiers(triggers: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- scaffold
-def with_roles(steps: DataFrame) -> DataFrame:
-    return steps.withColumn("roles", tx.prefix_roles(F.col("connector")))
+def _role(role: str) -> Column:
+    return tx.has_role(role, F.col("connector"))
 
 
 def interfaces(steps: DataFrame, triggers: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def interfaces(steps: DataFrame, triggers: DataFrame) -> DataFrame:
         "signal_id", F.lit(0).alias("src"), F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("k1"), F.lit(0).cast("bigint").alias("k2"),
         F.coalesce("type", F.lit("trigger")).alias("kind"), F.col("path").alias("endpoint"), "method", F.col("name").alias("evidence"),
     )
-    st = with_roles(steps).filter(F.arrays_overlap("roles", F.array(F.lit("interface.receive"), F.lit("interface.reply"))))
+    st = steps.filter(_role("interface.receive") | _role("interface.reply"))
     st = st.select(
         "signal_id", F.lit(1).alias("src"), "pos", "k1", "k2", F.col("connector").alias("kind"), F.col("url").alias("endpoint"), "method", F.col("name").alias("evidence")
     )
@@ -167,17 +167,15 @@ def interfaces(steps: DataFrame, triggers: DataFrame) -> DataFrame:
 
 def invocations(steps: DataFrame, data: DataFrame | None = None) -> DataFrame:
     """Process, database and messaging calls of steps; first per (kind, target, operation), at most 20."""
-    s = with_roles(steps)
-    has = lambda r: F.array_contains("roles", r)
     row = lambda kind, target, op: F.struct(F.lit(kind).alias("kind"), target.alias("target"), op.alias("operation"))
     calls = F.array_compact(
         F.array(
-            F.when(has("invoke.process"), row("Process", F.coalesce("called_process", "name"), F.lit(None).cast("string"))),
-            F.when(has("data.jdbc"), row("JDBC", F.col("datasource"), F.col("sql_text"))),
-            F.when(has("messaging.jms"), row("JMS", F.col("destination"), F.lit(None).cast("string"))),
+            F.when(_role("invoke.process"), row("Process", F.coalesce("called_process", "name"), F.lit(None).cast("string"))),
+            F.when(_role("data.jdbc"), row("JDBC", F.col("datasource"), F.col("sql_text"))),
+            F.when(_role("messaging.jms"), row("JMS", F.col("destination"), F.lit(None).cast("string"))),
         )
     )
-    rows = s.select("signal_id", *ORDER, "connector", F.col("name").alias("evidence"), F.posexplode(calls).alias("sub", "c"))
+    rows = steps.select("signal_id", *ORDER, "connector", F.col("name").alias("evidence"), F.posexplode(calls).alias("sub", "c"))
     rows = rows.select("signal_id", *ORDER, "sub", "connector", "evidence", "c.*")
     return ordered.first_then_cap(rows, ["signal_id"], ["kind", "target", "operation"], ORDER + ["sub"], INVOCATION_CAP)
 
@@ -200,9 +198,8 @@ def identifiers(*sources: DataFrame) -> DataFrame:
 
 def errors(steps: DataFrame, transitions: DataFrame) -> DataFrame:
     """Error steps and transition conditions; signals with neither get connector defaults (first 3)."""
-    s = with_roles(steps)
     none = F.lit(None).cast("string")
-    own = s.filter(F.array_contains("roles", "error.throw") | F.lower("name").contains("error")).select(
+    own = steps.filter(_role("error.throw") | F.lower("name").contains("error")).select(
         "signal_id", F.lit(0).alias("src"), *ORDER, F.col("name").alias("activity"), none.alias("condition")
     )
     trans = transitions.select(
@@ -215,14 +212,14 @@ def errors(steps: DataFrame, transitions: DataFrame) -> DataFrame:
         F.when(low.isin("http", "rest", "soap"), "http_error_handling").when(low.isin("jdbc", "sql", "db"), "db_error_handling")
         .when(low.isin("jms", "queue", "topic"), "messaging_error_handling")
     )
-    bare = s.select("signal_id", F.lit(2).alias("src"), *ORDER, F.col("name").alias("activity"), default.alias("condition")).filter("condition IS NOT NULL")
+    bare = steps.select("signal_id", F.lit(2).alias("src"), *ORDER, F.col("name").alias("activity"), default.alias("condition")).filter("condition IS NOT NULL")
     bare = bare.join(explicit.select("signal_id").distinct(), "signal_id", "left_anti")
     bare = ordered.top_per_key(bare, ["signal_id"], [F.col(c) for c in ORDER], 3)
     return ordered.first_then_cap(explicit.unionByName(bare), ["signal_id"], ["activity", "condition"], ["src"] + ORDER, ERROR_CAP)
 
 
 def logging(steps: DataFrame) -> DataFrame:
-    rows = with_roles(steps).filter(F.array_contains("roles", "ops.log") | F.lower("name").contains("log"))
+    rows = steps.filter(_role("ops.log") | F.lower("name").contains("log"))
     rows = rows.select("signal_id", *ORDER, F.col("name").alias("activity"))
     return ordered.first_then_cap(rows, ["signal_id"], ["activity"], ORDER, ERROR_CAP)
 

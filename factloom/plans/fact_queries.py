@@ -451,3 +451,61 @@ def manifest_headers(t):
         F.concat(F.lit("Manifest-Version: 1.0\nBundle-SymbolicName: bundle"), (F.col("s_suppkey") % 8).cast("string"), F.lit("\nBundle-Activator:  com.x.Act \n")).alias("text"),
     )
     return _count(facts.rule_facts(files, facts.MANIFEST_RULES), "prop", "value")
+
+
+# ---------------------------------------------------------------- user extractors and plain files
+def mail_lines(path: str, text: str):
+    """Example of a user's extractor: mail addresses with their line."""
+    import re
+
+    for no, line in enumerate(text.split("\n"), 1):
+        for hit in re.findall(r"[a-zA-Z0-9.]+@[a-z0-9.]+[a-z]", line):
+            yield no, "contact", "mail", hit
+
+
+@query("plugin_facts", r"""
+    SELECT 'mail' AS extractor, doc_id AS doc, CAST(line_no AS BIGINT) AS line, unnest(regexp_extract_all(line, '[a-zA-Z0-9.]+@[a-z0-9.]+[a-z]')) AS value
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
+    UNION ALL SELECT 'ip', doc_id, CAST(line_no AS BIGINT), unnest(regexp_extract_all(line, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}'))
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)""")
+def plugin_facts(t):
+    from pyspark import cloudpickle
+    import sys
+
+    from factloom.operators import plugins
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    known = [
+        plugins.Extractor("mail", "[.]txt$", fn=mail_lines),
+        plugins.Extractor("ip", "[.]txt$", rules=(facts.Rule("ip", "contact", "ip", r"([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})", 1, (".txt",)),)),
+        plugins.Extractor("unused", ".", fn=mail_lines),
+    ]
+    files = t.spread("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+    rows = plugins.run_extractors(files, plugins.select_extractors(known, exclude=["unused"]))
+    return rows.select("extractor", F.split_part("path", F.lit("."), F.lit(1)).cast("bigint").alias("doc"), "line", "value")
+
+
+@query("tree_scan", "SELECT 'source=' || source AS folder, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size_bytes FROM documents GROUP BY 1")
+def tree_scan(t):
+    """Texts written out as files by source, then scanned as a tree of files."""
+    import uuid
+
+    from factloom.session import scratch_dir
+    from factloom.sources import corpus
+
+    root = f"{scratch_dir(t.spark)}/tree-{uuid.uuid4().hex}"
+    t.documents.select("source", "text").write.partitionBy("source").text(root)
+    tree = corpus.read_tree(t.spark, root, "*.txt")
+    return tree.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")).agg(F.sum("size_bytes").alias("size_bytes"))
+
+
+@query("document_titles", """
+    SELECT kind, count(*) AS n, min(title) AS first_title FROM (SELECT CASE doc_id % 5 WHEN 0 THEN 'readme' WHEN 1 THEN 'decision' ELSE 'document' END AS kind,
+      CASE doc_id % 5 WHEN 0 THEN 'README' WHEN 1 THEN 'ADR ' || CAST(doc_id AS STRING) ELSE 'note' || CAST(doc_id AS STRING) END AS title FROM documents) GROUP BY 1""")
+def document_titles(t):
+    from factloom.sources import corpus
+
+    k = F.col("doc_id") % 5
+    path = F.concat(F.lit("docs/"), F.when(k == 0, F.lit("README.md")).when(k == 1, F.concat(F.lit("adr/"), F.col("doc_id").cast("string"), F.lit(".md"))).otherwise(F.concat(F.lit("note"), F.col("doc_id").cast("string"), F.lit(".md"))))
+    d = corpus.document_titles(t.documents.select(path.alias("path")))
+    return d.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("title").alias("first_title"))

@@ -50,10 +50,17 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        # plans, not data: the same lazy frame serves every use within one query
+        self._plans: dict[tuple, DataFrame] = {}
+
+    def _plan(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        if key not in self._plans:
+            self._plans[key] = make()
+        return self._plans[key]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+            return self._plan(("table", name), lambda: self.spark.read.parquet(f"{self.root}/{name}.parquet"))
         raise AttributeError(name)
 
     def spread(self, name: str) -> DataFrame:
@@ -61,9 +68,13 @@ class Tables:
 
         An input with many splits, the normal case on a cluster, is left as it is.
         """
-        df = getattr(self, name)
         want = min(self.spark.sparkContext.defaultParallelism, 32)
-        return df if 2 * df.rdd.getNumPartitions() > want else df.repartition(want)
+
+        def deal() -> DataFrame:
+            df = getattr(self, name)
+            return df if 2 * df.rdd.getNumPartitions() > want else df.repartition(want)
+
+        return self._plan(("spread", name), deal)
 
     def sql(self, text: str, spread: bool = False) -> DataFrame:
         text = _expand(text)
@@ -72,7 +83,7 @@ class Tables:
         return self.spark.sql(text, **used)
 
     def view(self, name: str, spread: bool = False) -> DataFrame:
-        return self.sql(VIEWS[name], spread)
+        return self._plan(("view", name, spread), lambda: self.sql(VIEWS[name], spread))
 
 
 def query(name: str, sql: str | None = None):

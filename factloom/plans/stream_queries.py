@@ -65,3 +65,22 @@ def unseen_content_stream(t):
     streams.run_available(fresh, out, state)
     got = t.spark.read.schema("sha string, chars bigint").parquet(out)
     return got.agg(F.count(F.lit(1)).alias("contents"), F.sum("chars").alias("chars"))
+
+
+@query("change_feed_stream", """
+    WITH b AS (SELECT o_custkey AS key, count(*) AS orders FROM orders WHERE o_orderdate < TIMESTAMP '1997-06-01' GROUP BY 1), a AS (SELECT o_custkey AS key, count(*) AS orders FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1)
+    SELECT CAST(0 AS INT) AS batch, 'added' AS change, count(*) AS n FROM b UNION ALL
+    SELECT 1, CASE WHEN b.key IS NULL THEN 'added' ELSE 'modified' END, count(*) FROM a LEFT JOIN b ON a.key = b.key WHERE a.orders IS DISTINCT FROM b.orders GROUP BY 2""")
+def change_feed_stream(t):
+    """Two versions of a snapshot arrive one after the other; the feed holds what each changed."""
+    base = f"{scratch_dir(t.spark)}/feed-{uuid.uuid4().hex}"
+    schema = "key bigint, orders bigint, version int"
+    step = streams.change_feed("key", base + "/versions", base + "/feed")
+    for version, until in enumerate(("1997-06-01", "1999-01-01")):
+        state = t.orders.filter(F.col("o_orderdate") < F.lit(until).cast("timestamp_ntz")).groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).alias("orders"))
+        state.withColumn("version", F.lit(version)).write.mode("append").parquet(base + "/in")
+        src = streams.open_stream(t.spark, base + "/in", schema)
+        q = src.writeStream.foreachBatch(step).option("checkpointLocation", base + "/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    feed = t.spark.read.parquet(base + "/feed")
+    return feed.groupBy("batch", "change").agg(F.count(F.lit(1)).alias("n"))

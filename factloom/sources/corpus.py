@@ -18,10 +18,8 @@ def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFr
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    base = F.regexp_replace(F.lit(root), "/+$", "")
     raw = reader.load(root)
-    plain = F.regexp_replace("path", "^file:/*", "/")
-    rel = F.regexp_replace(F.substring_index(plain, base, -1), "^/+", "")
+    rel = F.regexp_replace(F.split_part("path", F.lit(root.rstrip("/")), F.lit(-1)), "^/+", "")
     # a plain cast keeps every byte; the replacement of bad sequences happens when text is read
     return raw.select(rel.alias("path"), F.col("content").cast("string").alias("text"), F.col("length").alias("size_bytes"))
 
@@ -157,3 +155,13 @@ def scanner_findings(lines: DataFrame, prefix: str = "scan:") -> DataFrame:
         F.col("r.path").alias("file"),
         F.concat_ws(":", "r.path", line).alias("anchor"),
     )
+
+
+def document_titles(files: DataFrame) -> DataFrame:
+    """Kind and title of a document from its path: readme, decision record, or the file's stem."""
+    name = F.substring_index("path", "/", -1)
+    stem = F.regexp_replace(name, r"\.[^.]+$", "")
+    adr = F.lower("path").rlike("(^|/)adr[s]?/")
+    kind = F.when(F.lower(stem) == "readme", "readme").when(adr, "decision").otherwise("document")
+    title = F.when(kind == "readme", F.lit("README")).when(adr, F.concat(F.lit("ADR "), stem)).otherwise(stem)
+    return files.select("path", kind.alias("kind"), title.alias("title"))

@@ -47,7 +47,7 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "
     query.awaitTermination()
 
 
-def change_feed(stream: DataFrame, key: str, versions: str, feed: str) -> Callable:
+def change_feed(key: str, versions: str, feed: str) -> Callable:
     """Start a feed of snapshot changes: each batch is compared with the version before it.
 
     A version and its changes are written under the batch's number, so a batch that is run
