@@ -1,18 +1,23 @@
-"""Order-dependent operators that never put a whole group into one task.
+"""Order-dependent operators that never put a huge group into one task.
 
-``bucket`` columns are a coarse, monotone function of the order columns (for example
-``id div 100000``).  Totals per (group, bucket) are small; they are prefix-summed and
-joined back, and the fine-grained window runs per (group, bucket) only.
+Groups are counted first.  The usual ones run as one window per group.  Groups above
+``HOT_ROWS`` are cut into runs by ``bucket`` columns, a coarse monotone function of the order
+columns (for example ``id div 100000``): totals per (group, run) are small, they are
+prefix-summed and joined back, and the fine-grained window runs per (group, run) only.
+Both ways give the same rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+HOT_ROWS = 1_000_000
+
 
 def _bucketed(df: DataFrame, bucket: list[Column]) -> tuple[DataFrame, list[str]]:
     names = [f"__b{i}" for i in range(len(bucket))]
@@ -25,63 +30,74 @@ def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b["__r_" + n]) for n in names], F.lit(True))
 
 
+def _renamed(df: DataFrame, names: list[str], *more: Column) -> DataFrame:
+    return df.select(*[F.col(c).alias("__r_" + c) for c in names], *more)
+
+
+def by_heat(
+    df: DataFrame, keys: list[str], usual: Callable[[DataFrame], DataFrame], hot: Callable[[DataFrame], DataFrame], hot_rows: int | None = None
+) -> DataFrame:
+    """Run ``usual`` on groups of at most ``hot_rows`` rows and ``hot`` on the larger ones.
+
+    The hot keys are at most rows / hot_rows, so their broadcast is bounded; when there are
+    none the hot branch is dropped at run time.
+    """
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    heavy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
+    heavy = F.broadcast(_renamed(heavy, keys))
+    calm = usual(df.join(heavy, _same(df, heavy, keys), "left_anti"))
+    busy = hot(df.join(heavy, _same(df, heavy, keys), "left_semi"))
+    return calm.unionByName(busy)
+
+
 def running_total(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    value: Column,
-    out: str,
-    bucket: list[Column],
+    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, bucket: list[Column], hot_rows: int | None = None
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per key in ``order``."""
-    df, bs = _bucketed(df.withColumn("__v", value), bucket)
-    per = df.groupBy(*keys, *bs).agg(F.sum("__v").alias("__s"))
-    before = F.sum("__s").over(
-        Window.partitionBy(*keys).orderBy(*bs).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offs = per.select(
-        *[F.col(c).alias("__r_" + c) for c in keys + bs], F.coalesce(before, F.lit(0)).alias("__off")
-    )
-    joined = df.join(offs, _same(df, offs, keys + bs))
-    inner = Window.partitionBy(*keys, *bs).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        joined.withColumn(out, F.col("__off") + F.sum("__v").over(inner))
-        .drop("__v", "__off", *bs, *["__r_" + c for c in keys + bs])
-    )
+    df = df.withColumn("__v", value)
+    upto = (Window.unboundedPreceding, 0)
+
+    def usual(d: DataFrame) -> DataFrame:
+        return d.withColumn(out, F.sum("__v").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto))).drop("__v")
+
+    def hot(d: DataFrame) -> DataFrame:
+        d, bs = _bucketed(d, bucket)
+        per = d.groupBy(*keys, *bs).agg(F.sum("__v").alias("__s"))
+        before = F.sum("__s").over(Window.partitionBy(*keys).orderBy(*bs).rowsBetween(Window.unboundedPreceding, -1))
+        offs = _renamed(per, keys + bs, F.coalesce(before, F.lit(0)).alias("__off"))
+        inner = Window.partitionBy(*keys, *bs).orderBy(*order).rowsBetween(*upto)
+        j = d.join(offs, _same(d, offs, keys + bs))
+        return j.withColumn(out, F.col("__off") + F.sum("__v").over(inner)).drop("__v", "__off", *bs, *["__r_" + c for c in keys + bs])
+
+    return by_heat(df, keys, usual, hot, hot_rows)
 
 
 def row_index(
-    df: DataFrame, keys: list[str], order: list[str], out: str, bucket: list[Column]
+    df: DataFrame, keys: list[str], order: list[str], out: str, bucket: list[Column], hot_rows: int | None = None
 ) -> DataFrame:
     """1-based position per key in ``order``."""
-    return running_total(df, keys, order, F.lit(1).cast("bigint"), out, bucket)
+    return running_total(df, keys, order, F.lit(1).cast("bigint"), out, bucket, hot_rows)
 
 
 def previous_value(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    column: str,
-    out: str,
-    bucket: list[Column],
-    offset_next: bool = False,
+    df: DataFrame, keys: list[str], order: list[str], column: str, out: str, bucket: list[Column], following: bool = False, hot_rows: int | None = None
 ) -> DataFrame:
-    """Neighbouring value per key: the one before, or after when ``offset_next``."""
-    df, bs = _bucketed(df, bucket)
-    pick = F.min_by if offset_next else F.max_by
-    edge = df.groupBy(*keys, *bs).agg(pick(F.struct(F.col(column).alias("v")), F.struct(*order)).alias("__e"))
-    shift = F.lead if offset_next else F.lag
-    near = edge.select(
-        *[F.col(c).alias("__r_" + c) for c in keys + bs],
-        shift("__e").over(Window.partitionBy(*keys).orderBy(*bs)).alias("__near"),
-    )
-    inner = Window.partitionBy(*keys, *bs).orderBy(*order)
-    here = shift(F.struct(F.col(column).alias("v"))).over(inner)
-    return (
-        df.join(near, _same(df, near, keys + bs))
-        .withColumn(out, F.coalesce(here, F.col("__near")).getField("v"))
-        .drop("__near", *bs, *["__r_" + c for c in keys + bs])
-    )
+    """Neighbouring value per key: the one before, or after when ``following``."""
+    shift = F.lead if following else F.lag
+
+    def usual(d: DataFrame) -> DataFrame:
+        return d.withColumn(out, shift(column).over(Window.partitionBy(*keys).orderBy(*order)))
+
+    def hot(d: DataFrame) -> DataFrame:
+        d, bs = _bucketed(d, bucket)
+        pick = F.min_by if following else F.max_by
+        edge = d.groupBy(*keys, *bs).agg(pick(F.struct(F.col(column).alias("v")), F.struct(*order)).alias("__e"))
+        near = _renamed(edge, keys + bs, shift("__e").over(Window.partitionBy(*keys).orderBy(*bs)).alias("__near"))
+        here = shift(F.struct(F.col(column).alias("v"))).over(Window.partitionBy(*keys, *bs).orderBy(*order))
+        j = d.join(near, _same(d, near, keys + bs))
+        return j.withColumn(out, F.coalesce(here, F.col("__near")).getField("v")).drop("__near", *bs, *["__r_" + c for c in keys + bs])
+
+    return by_heat(df, keys, usual, hot, hot_rows)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -266,15 +266,13 @@ def activities(steps: DataFrame) -> DataFrame:
 
 def transitions(steps: DataFrame, start: DataFrame) -> DataFrame:
     """Transitions between activities: the steps a step runs after, else the step before it, else
-    the start activity; both ends must be known names, first label per pair and branch."""
-    s = ordered.row_index(steps, ["signal_id"], ORDER, "idx", step_bucket())
-    s = ordered.previous_value(s, ["signal_id"], ORDER, "name", "prev", step_bucket())
+    the start activity; both ends must be known names, each (pair, branch) once."""
+    s = ordered.previous_value(steps, ["signal_id"], ORDER, "name", "prev", step_bucket())
     s = s.join(start.select("signal_id", F.col("node").alias("start")), "signal_id", "left")
     before = F.coalesce(F.split("run_after", "[|]"), F.array(F.coalesce("prev", "start")))
-    rows = s.select("signal_id", "idx", F.explode(before).alias("src"), F.col("name").alias("dst"), F.col("branch").alias("label"))
+    rows = s.select("signal_id", F.explode(before).alias("src"), F.col("name").alias("dst"), F.col("branch").alias("label"))
     known = steps.select("signal_id", F.col("name").alias("src")).unionByName(start.select("signal_id", F.col("node").alias("src"))).distinct()
-    rows = rows.filter("src IS NOT NULL").join(known, ["signal_id", "src"], "left_semi")
-    return rows.groupBy("signal_id", "src", "dst", "label").agg(F.min("idx").alias("first_idx"))
+    return rows.filter("src IS NOT NULL").join(known, ["signal_id", "src"], "left_semi").distinct()
 
 
 def external_nodes(relations: DataFrame) -> DataFrame:

@@ -30,13 +30,13 @@ def scan_stats(t):
 
 @query("top_connectors", "SELECT lower(connector) AS connector, count(*) AS n FROM $steps GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 def top_connectors(t):
-    return t.view("steps").groupBy(F.lower("connector").alias("connector")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "connector").limit(5)
+    return t.view("steps", spread=True).groupBy(F.lower("connector").alias("connector")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "connector").limit(5)
 
 
 @query("relationship_matrix", """
     SELECT target_kind, count(*) FILTER (operation = 'reads') AS reads, count(*) FILTER (operation = 'writes') AS writes, count(*) FILTER (operation = 'deletes') AS deletes, count(*) FILTER (operation = 'calls') AS calls FROM $relations GROUP BY 1""")
 def relationship_matrix(t):
-    p = t.view("relations").groupBy("target_kind").pivot("operation", ["reads", "writes", "deletes", "calls"]).agg(F.count(F.lit(1)))
+    p = t.view("relations", spread=True).groupBy("target_kind").pivot("operation", ["reads", "writes", "deletes", "calls"]).agg(F.count(F.lit(1)))
     return p.fillna(0)
 
 
@@ -45,7 +45,7 @@ def relationship_matrix(t):
     SELECT signal_id, count(*) FILTER (target_kind = 'http') AS http_calls, count(*) FILTER (target_kind IN ('sql_table', 'cosmosdb')) AS data_touchpoints, count(*) FILTER (target_kind = 'process') AS child_flows,
       string_agg(s, '; ' ORDER BY rn) FILTER (rn <= 3) AS samples FROM r GROUP BY 1""")
 def relationship_highlights(t):
-    r = t.view("relations")
+    r = t.view("relations", spread=True)
     kinds = r.groupBy("signal_id").agg(
         F.count_if(F.col("target_kind") == "http").alias("http_calls"), F.count_if(F.col("target_kind").isin("sql_table", "cosmosdb")).alias("data_touchpoints"),
         F.count_if(F.col("target_kind") == "process").alias("child_flows"),
@@ -62,7 +62,7 @@ def relationship_highlights(t):
 def component_insights(t):
     s = t.view("signals").filter("kind = 'workflow'").select("signal_id", "component")
     # steps shrink to (signal, connector) counts before they meet the signals
-    p = t.view("steps").groupBy("signal_id", "connector").agg(F.count(F.lit(1)).alias("n"))
+    p = t.view("steps", spread=True).groupBy("signal_id", "connector").agg(F.count(F.lit(1)).alias("n"))
     j = s.join(p, "signal_id", "left")
     by = j.groupBy("component", "connector").agg(F.sum("n").alias("n"))
     flows = s.groupBy("component").agg(F.count(F.lit(1)).alias("flows"))
@@ -85,7 +85,7 @@ def component_hints(t):
 def touchpoints(t):
     c = F.lower("connector")
     cls = F.when(c.rlike("http|rest|soap"), "HTTP").when(c.rlike("jms|queue|topic"), "JMS").when(c.rlike("jdbc|sql"), "JDBC").when(c.rlike("^file"), "File").otherwise("Other")
-    rows = t.view("steps").select("signal_id", cls.alias("class")).unionByName(t.view("triggers").select("signal_id", F.lit("Trigger").alias("class")))
+    rows = t.view("steps", spread=True).select("signal_id", cls.alias("class")).unionByName(t.view("triggers").select("signal_id", F.lit("Trigger").alias("class")))
     per = rows.groupBy("signal_id", "class").agg(F.count(F.lit(1)).alias("k"))
     return per.join(t.view("signals").select("signal_id", "component"), "signal_id").groupBy("component", "class").agg(F.sum("k").alias("n"))
 
@@ -169,7 +169,7 @@ view("presence", """
 
 
 def _presence(t, more=None):
-    steps = t.view("steps")
+    steps = t.view("steps", spread=True)
     signals = t.view("signals").select("signal_id", "kind", "component", "name")
     return marts.scaffold_presence(signals, _deps(t), _identifiers(t), st.logging(steps), st.errors(steps, _control(t)), more)
 
@@ -210,8 +210,8 @@ view("quality", """
 
 
 def _quality(t):
-    steps, trig = t.view("steps"), t.view("triggers")
-    parts = {"steps": steps, "relationships": t.view("relations"), "interfaces": st.interfaces(steps, trig), "invocations": st.invocations(steps), "triggers": trig}
+    steps, trig = t.view("steps", spread=True), t.view("triggers")
+    parts = {"steps": steps, "relationships": t.view("relations", spread=True), "interfaces": st.interfaces(steps, trig), "invocations": st.invocations(steps), "triggers": trig}
     return marts.process_quality(_presence(t, parts))
 
 
@@ -248,7 +248,7 @@ def worklist(t):
     SELECT signal_id, round(avg(CASE WHEN connector = 'shared_sharepoint' THEN 0.0 ELSE 1.0 END), 3) AS role_ratio,
       round(avg(CASE WHEN coalesce(sql_text, destination, url, called_process) IS NULL THEN 0.0 ELSE 1.0 END), 3) AS evidence_ratio FROM $steps GROUP BY 1""")
 def step_coverage(t):
-    return marts.step_coverage(t.view("steps"))
+    return marts.step_coverage(t.view("steps", spread=True))
 
 
 @query("label_coverage", """

@@ -24,7 +24,7 @@ _FINDINGS = """
 def _findings(t):
     from factloom.operators import steps as st
 
-    steps = t.view("steps")
+    steps = t.view("steps", spread=True)
     n = steps.groupBy("signal_id").agg(F.count(F.lit(1)).alias("steps"))
     logs = st.logging(steps).groupBy("signal_id").agg(F.count(F.lit(1)).alias("logging"))
     sig = t.view("signals").select("signal_id", "name", "file", "component")

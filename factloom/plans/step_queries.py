@@ -36,7 +36,7 @@ view(
 
 
 def _data(t):
-    return st.data_access(t.view("steps"), t.view("relations"))
+    return st.data_access(t.view("steps", spread=True), t.view("relations", spread=True))
 
 
 def _control(t):
@@ -58,12 +58,12 @@ def data_access(t):
       UNION ALL SELECT target_kind, target_ref FROM $relations WHERE target_kind = 'servicebus') GROUP BY 1, 2""",
 )
 def messaging_destinations(t):
-    return st.messaging(t.view("steps"), t.view("relations")).groupBy("connector", "destination").agg(F.count(F.lit(1)).alias("n"))
+    return st.messaging(t.view("steps", spread=True), t.view("relations", spread=True)).groupBy("connector", "destination").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("timer_steps", "SELECT cron, count(*) AS n, count(DISTINCT signal_id) AS signals FROM $steps WHERE cron IS NOT NULL GROUP BY 1")
 def timer_steps(t):
-    x = st.timers(t.view("steps")).select("signal_id", F.try_element_at("fields", F.lit("cron")).alias("cron"))
+    x = st.timers(t.view("steps", spread=True)).select("signal_id", F.try_element_at("fields", F.lit("cron")).alias("cron"))
     return x.groupBy("cron").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("signal_id").alias("signals"))
 
 
@@ -77,7 +77,7 @@ def transition_conditions(t):
     "SELECT activity, identifiers, count(*) AS n FROM (SELECT name AS activity, 'OrderId,Part' || CAST(k2 % 5 AS STRING) || 'Key' AS identifiers FROM $steps WHERE connector = 'mapper') GROUP BY 1, 2",
 )
 def mapper_hints(t):
-    return st.mapper_hints(t.view("steps")).groupBy("activity", F.array_join("identifiers", ",").alias("identifiers")).agg(F.count(F.lit(1)).alias("n"))
+    return st.mapper_hints(t.view("steps", spread=True)).groupBy("activity", F.array_join("identifiers", ",").alias("identifiers")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -88,7 +88,7 @@ def mapper_hints(t):
       UNION SELECT signal_id, target_ref FROM $relations WHERE rel_type IN ('calls', 'invokes')) GROUP BY 1""",
 )
 def process_calls(t):
-    return st.process_call_hints(t.view("steps"), t.view("relations")).groupBy("process").agg(F.count(F.lit(1)).alias("signals"))
+    return st.process_call_hints(t.view("steps", spread=True), t.view("relations", spread=True)).groupBy("process").agg(F.count(F.lit(1)).alias("signals"))
 
 
 @query(
@@ -112,7 +112,7 @@ def fixture_identifiers(t):
     SELECT signal_id, idx, 'Step_' || CAST(idx AS STRING) || '_' || target_ref AS name, target_kind AS connector, target_ref AS target, operation FROM bare""",
 )
 def backfilled_steps(t):
-    return st.backfill_steps(t.view("signals"), t.view("steps").filter("signal_id % 3 <> 0"), t.view("relations"))
+    return st.backfill_steps(t.view("signals"), t.view("steps", spread=True).filter("signal_id % 3 <> 0"), t.view("relations", spread=True))
 
 
 @query(
@@ -123,7 +123,7 @@ def backfilled_steps(t):
     UNION ALL SELECT r.signal_id, target_kind, operation, target_ref FROM $relations r JOIN n ON r.signal_id = n.signal_id WHERE source_type = 'trigger'""",
 )
 def backfilled_triggers(t):
-    return st.backfill_triggers(t.view("signals"), t.view("relations"), t.view("triggers"))
+    return st.backfill_triggers(t.view("signals"), t.view("relations", spread=True), t.view("triggers"))
 
 
 @query(
@@ -135,7 +135,7 @@ def backfilled_triggers(t):
       UNION ALL SELECT DISTINCT signal_id, 'processes', target_ref FROM $relations WHERE rel_type IN ('calls', 'invokes')) GROUP BY 1, 2""",
 )
 def backfilled_dependencies(t):
-    return st.backfill_dependencies(t.view("relations")).groupBy("bucket", "value").agg(F.count(F.lit(1)).alias("signals"))
+    return st.backfill_dependencies(t.view("relations", spread=True)).groupBy("bucket", "value").agg(F.count(F.lit(1)).alias("signals"))
 
 
 @query(
@@ -159,7 +159,7 @@ view(
 
 @query("scaffold_interfaces", "SELECT signal_id, kind, endpoint, method FROM $interface_rows")
 def scaffold_interfaces(t):
-    return st.interfaces(t.view("steps"), t.view("triggers")).select("signal_id", "kind", "endpoint", "method")
+    return st.interfaces(t.view("steps", spread=True), t.view("triggers")).select("signal_id", "kind", "endpoint", "method")
 
 
 view(
@@ -175,7 +175,7 @@ view(
 
 @query("scaffold_invocations", "SELECT signal_id, kind, target, operation FROM $invocation_rows")
 def scaffold_invocations(t):
-    return st.invocations(t.view("steps")).select("signal_id", "kind", "target", "operation")
+    return st.invocations(t.view("steps", spread=True)).select("signal_id", "kind", "target", "operation")
 
 
 view(
@@ -191,7 +191,7 @@ view(
 
 
 def _deps(t):
-    return st.dependencies(st.invocations(t.view("steps")), _data(t), st.backfill_dependencies(t.view("relations")))
+    return st.dependencies(st.invocations(t.view("steps", spread=True)), _data(t), st.backfill_dependencies(t.view("relations", spread=True)))
 
 
 @query("scaffold_dependencies", "SELECT * FROM $dependency_rows")
@@ -211,7 +211,7 @@ view(
 
 
 def _identifiers(t):
-    mapped = st.mapper_hints(t.view("steps")).select("signal_id", F.explode("identifiers").alias("identifier"))
+    mapped = st.mapper_hints(t.view("steps", spread=True)).select("signal_id", F.explode("identifiers").alias("identifier"))
     return st.identifiers(st.trigger_identifiers(t.view("triggers"), t.view("signals")), mapped)
 
 
@@ -235,7 +235,7 @@ view(
 
 @query("scaffold_errors", "SELECT signal_id, activity, condition FROM $error_rows")
 def scaffold_errors(t):
-    return st.errors(t.view("steps"), _control(t)).select("signal_id", "activity", "condition")
+    return st.errors(t.view("steps", spread=True), _control(t)).select("signal_id", "activity", "condition")
 
 
 view(
@@ -248,7 +248,7 @@ view(
 
 @query("scaffold_logging", "SELECT * FROM $logging_rows")
 def scaffold_logging(t):
-    return st.logging(t.view("steps")).select("signal_id", "activity")
+    return st.logging(t.view("steps", spread=True)).select("signal_id", "activity")
 
 
 view(
@@ -263,7 +263,7 @@ view(
 
 @query("start_nodes", "SELECT * FROM $start_rows")
 def start_nodes(t):
-    return st.start_nodes(t.view("steps"), t.view("triggers"), _control(t))
+    return st.start_nodes(t.view("steps", spread=True), t.view("triggers"), _control(t))
 
 
 @query(
@@ -277,7 +277,7 @@ def start_nodes(t):
     SELECT signal_id, string_agg(t, ' > ' ORDER BY part, rn) AS trace FROM p GROUP BY 1""",
 )
 def traceability(t):
-    return st.traceability(st.interfaces(t.view("steps"), t.view("triggers")), t.view("steps"), _deps(t))
+    return st.traceability(st.interfaces(t.view("steps", spread=True), t.view("triggers")), t.view("steps", spread=True), _deps(t))
 
 
 # ---------------------------------------------------------------- transitions and graphs
@@ -288,7 +288,7 @@ def traceability(t):
     FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY pos, k1, k2) AS idx FROM $steps)""",
 )
 def unique_activities(t):
-    return st.activities(t.view("steps")).select("signal_id", "idx", "unique_name")
+    return st.activities(t.view("steps", spread=True)).select("signal_id", "idx", "unique_name")
 
 
 view(
@@ -297,17 +297,17 @@ view(
     WITH s AS (SELECT *, row_number() OVER w AS idx, lag(name) OVER w AS prev FROM $steps WINDOW w AS (PARTITION BY signal_id ORDER BY pos, k1, k2)),
     b AS (SELECT s.signal_id, s.idx, s.name AS dst, s.branch AS label, unnest(CASE WHEN run_after IS NOT NULL THEN string_split(run_after, '|') ELSE [coalesce(prev, st.node)] END) AS src
       FROM s LEFT JOIN (SELECT signal_id, min(node) AS node FROM $start_rows GROUP BY 1) st ON s.signal_id = st.signal_id)
-    SELECT signal_id, src, dst, label, min(idx) AS first_idx FROM b WHERE src IS NOT NULL AND (EXISTS (SELECT 1 FROM $steps q WHERE q.signal_id = b.signal_id AND q.name = b.src)
-      OR EXISTS (SELECT 1 FROM $start_rows q WHERE q.signal_id = b.signal_id AND q.node = b.src)) GROUP BY 1, 2, 3, 4""",
+    SELECT DISTINCT signal_id, src, dst, label FROM b WHERE src IS NOT NULL AND (EXISTS (SELECT 1 FROM $steps q WHERE q.signal_id = b.signal_id AND q.name = b.src)
+      OR EXISTS (SELECT 1 FROM $start_rows q WHERE q.signal_id = b.signal_id AND q.node = b.src))""",
 )
 
 
 def _transitions(t):
-    start = st.start_nodes(t.view("steps"), t.view("triggers"), _control(t)).groupBy("signal_id").agg(F.min("node").alias("node"))
-    return st.transitions(t.view("steps"), start)
+    start = st.start_nodes(t.view("steps", spread=True), t.view("triggers"), _control(t)).groupBy("signal_id").agg(F.min("node").alias("node"))
+    return st.transitions(t.view("steps", spread=True), start)
 
 
-@query("activity_transitions", "SELECT signal_id, src, dst, label, CAST(first_idx AS BIGINT) AS first_idx FROM $transition_rows")
+@query("activity_transitions", "SELECT * FROM $transition_rows")
 def activity_transitions(t):
     return _transitions(t)
 
@@ -325,7 +325,7 @@ def activity_transitions(t):
       UNION SELECT signal_id, 'External:' || target_ref, 'external' FROM $relations) GROUP BY 1""",
 )
 def flow_graph(t):
-    nodes, edges = st.flow_graph(t.view("steps"), t.view("triggers"), _transitions(t), t.view("relations"))
+    nodes, edges = st.flow_graph(t.view("steps", spread=True), t.view("triggers"), _transitions(t), t.view("relations", spread=True))
     e = edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("signal_id").alias("signals"))
     n = nodes.groupBy(F.concat(F.lit("node:"), "type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("signal_id").alias("signals"))
     return e.unionByName(n)
@@ -362,7 +362,7 @@ def artifacts(t):
       SELECT signal_id, name AS screen, url AS target, min((pos, k1, k2)) AS o FROM $steps WHERE url IS NOT NULL GROUP BY 1, 2, 3)) WHERE rn <= 20""",
 )
 def experience_packs(t):
-    return st.experience_pack(t.view("steps")).select("signal_id", "screen", "target")
+    return st.experience_pack(t.view("steps", spread=True)).select("signal_id", "screen", "target")
 
 
 @query(
@@ -372,7 +372,7 @@ def experience_packs(t):
     FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY pos, k1, k2) AS rn FROM $steps) WHERE rn <= 5 GROUP BY 1""",
 )
 def compact_records(t):
-    return st.compact_records(t.view("steps"), {"name": 5, "connector": 3})
+    return st.compact_records(t.view("steps", spread=True), {"name": 5, "connector": 3})
 
 
 @query(
@@ -384,7 +384,7 @@ def conversation_transitions(t):
     from factloom.operators import ordered
 
     turns = ordered.previous_value(
-        t.conversations.select("conv_id", "turn", "role"), ["conv_id"], ["turn"], "role", "next_role", [F.expr("turn div 1000")], offset_next=True
+        t.conversations.select("conv_id", "turn", "role"), ["conv_id"], ["turn"], "role", "next_role", [F.expr("turn div 1000")], following=True
     )
     return turns.filter("next_role IS NOT NULL").groupBy("role", "next_role").agg(F.count(F.lit(1)).alias("n"))
 
