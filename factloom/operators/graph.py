@@ -301,7 +301,8 @@ def _cut_nodes(pdf: pd.DataFrame) -> pd.DataFrame:
                 low[x] = min(low[x], seen[nxt])
         if kids > 1:
             found.add(root)
-    return pd.DataFrame({"id": sorted(found)})
+    ids = pdf["u"].drop_duplicates()
+    return ids[ids.isin(found)].to_frame("id")
 
 
 def _cut_nodes_frames(pairs: DataFrame, rounds: Rounds) -> DataFrame:
