@@ -334,13 +334,13 @@ def flatten_actions(defs: DataFrame) -> DataFrame:
             .withColumn("child_flow", child)
             .withColumn("inner", F.when(F.col("type").isin(*CONTROL_TYPES), F.col("node")))
         )
-        level = rounds.keep(read.select(*keep, F.col("inner").alias("node")), "level")
+        level = rounds.keep(read.select(*keep, F.col("inner").alias("node")), "level", watch={"holders": F.count("node")})
         done = level.select(*keep)
         out = done if out is None else out.unionByName(done)
         depth += 1
-        inner = level.filter("node IS NOT NULL")
-        if inner.isEmpty():
+        if not rounds.seen["holders"]:
             return out
+        inner = level.filter("node IS NOT NULL")
         inner = inner.withColumn("b", F.explode(F.expr(_BRANCHES))).filter("b.actions IS NOT NULL")
         level = inner.select(
             "path", F.col("name").alias("parent"), F.col("b.label").alias("branch"), F.lit(depth).alias("depth"), F.explode("b.actions").alias("name", "node")

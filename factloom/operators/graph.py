@@ -18,6 +18,10 @@ from factloom.session import Rounds
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def _rows() -> dict[str, Column]:
+    return {"n": F.count(F.lit(1))}
+
+
 # ---------------------------------------------------------------- building blocks
 def undirected(edges: DataFrame) -> DataFrame:
     """Distinct ``(u, v)`` pairs in both directions, loops dropped."""
@@ -91,11 +95,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
-        cur = rounds.keep(small)
-        now = cur.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == mark:
+        cur = rounds.keep(small, watch={"n": F.count(F.lit(1)), "x": F.expr("bit_xor(xxhash64(u, v))")})
+        if rounds.seen == mark:
             break
-        mark = now
+        mark = rounds.seen
     label = cur.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
     return known.distinct().join(label, "id", "left").select(
         "id", F.coalesce("component", "id").alias("component")
@@ -132,9 +135,10 @@ def marker_distances(edges: DataFrame, markers: DataFrame) -> DataFrame:
             best.unionByName(reached)
             .groupBy("marker", "node")
             .agg(F.min(F.struct("dist", "round")).alias("b"))
-            .select("marker", "node", "b.dist", "b.round")
+            .select("marker", "node", "b.dist", "b.round"),
+            watch={"moved": F.count_if(F.col("round") == step)},
         )
-        if best.filter(F.col("round") == step).isEmpty():
+        if not rounds.seen["moved"]:
             return best.select("marker", "node", "dist")
 
 
@@ -228,8 +232,8 @@ def _pair_dependency_frames(pairs: DataFrame, rounds: Rounds) -> DataFrame:
         )
         for old in levels[-2:]:
             step = step.join(old.select("s", "node"), ["s", "node"], "left_anti")
-        nxt = rounds.keep(step, "lv")
-        if nxt.isEmpty():
+        nxt = rounds.keep(step, "lv", watch=_rows())
+        if not rounds.seen["n"]:
             break
         levels.append(nxt)
     dep = None
@@ -320,8 +324,8 @@ def _cut_nodes_frames(pairs: DataFrame, rounds: Rounds) -> DataFrame:
         nxt = lv.join(pairs, lv["id"] == pairs["u"]).groupBy(F.col("v").alias("id")).agg(F.min("u").alias("up"))
         for old in tree[-2:]:
             nxt = nxt.join(old.select("id"), "id", "left_anti")
-        lv = rounds.keep(nxt.withColumn("level", F.lit(len(tree))), "tree")
-        if lv.isEmpty():
+        lv = rounds.keep(nxt.withColumn("level", F.lit(len(tree))), "tree", watch=_rows())
+        if not rounds.seen["n"]:
             break
         tree.append(lv)
     whole = tree[0]
@@ -344,8 +348,9 @@ def _cut_nodes_frames(pairs: DataFrame, rounds: Rounds) -> DataFrame:
                 "a", "b", "up_a", "up_b", deeper_a.alias("only_a"), deeper_b.alias("only_b")
             ).withColumn("meet", ~F.col("only_a") & ~F.col("only_b") & F.col("up_a").eqNullSafe(F.col("up_b"))),
             "climb",
+            watch=_rows(),
         )
-        if climb.isEmpty():
+        if not rounds.seen["n"]:
             break
         go = climb.filter("NOT meet")
         tie = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -55,17 +55,26 @@ class Rounds:
         self.root = f"{scratch_dir(spark)}/rounds-{uuid.uuid4().hex}"
         self.depth = depth
         self._paths: dict[str, list[str]] = {}
+        self.seen: dict = {}
         self._n = 0
 
-    def keep(self, df: DataFrame, slot: str = "r") -> DataFrame:
+    def keep(self, df: DataFrame, slot: str = "r", watch: dict[str, Column] | None = None) -> DataFrame:
+        """Write a round.  Aggregates in ``watch`` are taken while it is written and left in
+        ``seen``, so a convergence test costs no job of its own."""
         path = f"{self.root}/{slot}-{self._n}"
         self._n += 1
+        schema = df.schema
+        if watch:
+            seen = Observation()
+            df = df.observe(seen, *[c.alias(n) for n, c in watch.items()])
         df.write.mode("overwrite").parquet(path)
+        if watch:
+            self.seen = seen.get
         paths = self._paths.setdefault(slot, [])
         paths.append(path)
         while len(paths) > self.depth:
             self._delete(paths.pop(0))
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
