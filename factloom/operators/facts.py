@@ -218,11 +218,15 @@ def sql_statements(files: DataFrame) -> DataFrame:
 def business_entities(files: DataFrame) -> DataFrame:
     """Lanes, roles of authorize attributes and role names hidden in component names."""
     raw = rule_facts(files, ENTITY_RULES)
-    lanes = raw.filter("rule_id = 'lane'").select("path", F.col("prop").alias("source"), F.trim("value").alias("name"))
-    roles = raw.filter("rule_id = 'authorize'").select("path", F.col("prop").alias("source"), F.explode(F.split("value", "[,|;]")).alias("r"))
-    roles = roles.select("path", "source", F.trim(F.replace(F.trim("r"), F.lit("_"), F.lit(" "))).alias("name"))
-    parts = raw.filter("prop = 'component_name'").select("path", F.col("prop").alias("source"), tx.humanize_component(F.col("value")).alias("name"))
-    return lanes.unionByName(roles).unionByName(parts.filter("name IS NOT NULL").distinct()).filter("name <> ''")
+    roles = F.transform(F.split("value", "[,|;]"), lambda r: F.trim(F.replace(F.trim(r), F.lit("_"), F.lit(" "))))
+    part = F.col("prop") == "component_name"
+    names = (
+        F.when(F.col("rule_id") == "lane", F.array(F.trim("value"))).when(F.col("rule_id") == "authorize", roles)
+        .otherwise(F.array_compact(F.array(tx.humanize_component(F.col("value")))))
+    )
+    rows = raw.select("path", F.col("prop").alias("source"), F.when(~part, F.col("line")).alias("line"), F.posexplode(names).alias("pos", "name"))
+    # component names count once per file, the other facts once per place
+    return rows.filter("name <> ''").distinct().select("path", "source", "name")
 
 
 # ---------------------------------------------------------------- JSON documents
@@ -425,48 +429,64 @@ def serverless_events(files: DataFrame) -> DataFrame:
 def pipeline_facts(files: DataFrame) -> DataFrame:
     """CI facts in long form ``(path, fact, subject, value)``: triggers, schedules, steps,
     environments, needs and published artifacts."""
-    d = parsed(files)
-    on = d.select("path", F.explode(_vmap("v", "$.on")).alias("event", "cfg"))
-    trig = on.select("path", F.lit("trigger").alias("fact"), F.col("event").alias("subject"), F.lit(None).cast("string").alias("value"))
-    cron = on.filter("event = 'schedule'").select("path", F.explode(_vlist("cfg")).alias("c"))
-    sched = cron.select("path", F.lit("schedule").alias("fact"), F.lit("schedule").alias("subject"), _vstr("c", "$.cron").alias("value"))
-    jobs = d.select("path", F.explode(_vmap("v", "$.jobs")).alias("job", "j"))
-    env = jobs.select(
-        "path", F.lit("deploys_to").alias("fact"), F.col("job").alias("subject"),
-        tx.environment(F.coalesce(_vstr("j", "$.environment.name"), _vstr("j", "$.environment"))).alias("value"),
-    ).filter("value IS NOT NULL")
-    needs = jobs.select("path", F.lit("depends_on").alias("fact"), F.col("job").alias("subject"), F.explode(F.transform(_vlist("j", "$.needs"), lambda x: x.cast("string"))).alias("value"))
-    steps = jobs.select("path", "job", F.posexplode(_vlist("j", "$.steps")).alias("pos", "s"))
-    name = F.coalesce(_vstr("s", "$.name"), _vstr("s", "$.uses"), F.concat("job", F.lit(":"), (F.col("pos") + 1).cast("string")))
-    conn = F.coalesce(_vstr("s", "$.uses"), F.when(_vstr("s", "$.run").isNotNull(), F.lit("run")), _vstr("s", "$.shell"), F.lit("step"))
-    step = steps.select("path", F.lit("step").alias("fact"), name.alias("subject"), conn.alias("value"))
-    pub = steps.filter(F.lower(_vstr("s", "$.uses")).contains("upload-artifact")).select(
-        "path", F.lit("publishes").alias("fact"), F.col("job").alias("subject"), _vstr("s", "$.with.name").alias("value")
+    jobs = F.map_entries(F.coalesce(_vmap("v", "$.jobs"), F.create_map().cast("map<string,variant>")))
+    none = F.lit(None).cast("string")
+    on = F.transform(F.map_keys(F.coalesce(_vmap("v", "$.on"), F.create_map().cast("map<string,variant>"))), lambda e: _fact("trigger", e, none))
+    crons = F.transform(_list_or_empty(F.col("v"), "$.on.schedule"), lambda c: _fact("schedule", F.lit("schedule"), _get(c, "$.cron")))
+    every = F.concat(on, crons, F.flatten(F.transform(jobs, lambda j: _job_facts(j["key"], j["value"]))))
+    return parsed(files).select("path", F.explode(every).alias("f")).select("path", "f.*").filter("fact <> 'deploys_to' OR value IS NOT NULL")
+
+
+def _get(v: Column, path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(v, path, kind)
+
+
+def _list_or_empty(v: Column, path: str) -> Column:
+    return F.coalesce(_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _fact(name: str, subject: Column, value: Column) -> Column:
+    return F.struct(F.lit(name).alias("fact"), subject.alias("subject"), value.alias("value"))
+
+
+def _job_facts(job: Column, body: Column) -> Column:
+    """All facts of one CI job as an array, so that a file is parsed once."""
+    env = tx.environment(F.coalesce(_get(body, "$.environment.name"), _get(body, "$.environment")))
+    steps = _list_or_empty(body, "$.steps")
+    connector = lambda s: F.coalesce(_get(s, "$.uses"), F.when(_get(s, "$.run").isNotNull(), F.lit("run")), _get(s, "$.shell"), F.lit("step"))
+    named = lambda s, i: F.coalesce(_get(s, "$.name"), _get(s, "$.uses"), F.concat(job, F.lit(":"), (i + 1).cast("string")))
+    uploads = F.filter(steps, lambda s: F.lower(_get(s, "$.uses")).contains("upload-artifact"))
+    return F.concat(
+        F.array(_fact("deploys_to", job, env)),
+        F.transform(_list_or_empty(body, "$.needs"), lambda x: _fact("depends_on", job, x.cast("string"))),
+        F.transform(steps, lambda s, i: _fact("step", named(s, i), connector(s))),
+        F.transform(uploads, lambda s: _fact("publishes", job, _get(s, "$.with.name"))),
     )
-    out = trig
-    for part in (sched, env, needs, step, pub):
-        out = out.unionByName(part)
-    return out
 
 
 def cluster_resources(files: DataFrame) -> DataFrame:
     """Images, config, secret and volume references of cluster manifests: ``(path, kind, role, ref)``."""
-    d = parsed(files).withColumn("kind", _vstr("v", "$.kind")).withColumn("name", _vstr("v", "$.metadata.name"))
-    low = F.lower("kind")
-    own = d.filter(low.isin("configmap", "secret", "persistentvolumeclaim", "persistentvolume")).select("path", "kind", F.lit("datastore").alias("role"), F.col("name").alias("ref"))
-    svc = d.filter(low == "service").select("path", "kind", F.lit("service").alias("role"), F.col("name").alias("ref"))
-    work = d.filter(low.isin("deployment", "statefulset", "daemonset", "job"))
-    con = work.select("path", "kind", F.explode(_vlist("v", "$.spec.template.spec.containers")).alias("c"))
-    img = con.select("path", "kind", F.lit("service").alias("role"), _vstr("c", "$.image").alias("ref"))
-    env = con.select("path", "kind", F.explode(_vlist("c", "$.env")).alias("e")).select(
-        "path", "kind", F.lit("datastore").alias("role"),
-        F.explode(F.array(_vstr("e", "$.valueFrom.secretKeyRef.name"), _vstr("e", "$.valueFrom.configMapKeyRef.name"))).alias("ref"),
+    d = parsed(files).withColumn("kind", _vstr("v", "$.kind"))
+    low, name = F.lower("kind"), _vstr("v", "$.metadata.name")
+    ref = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("ref"))
+    env = lambda e: F.array(
+        ref("datastore", _get(e, "$.valueFrom.secretKeyRef.name")), ref("datastore", _get(e, "$.valueFrom.configMapKeyRef.name"))
+    )
+    container = lambda c: F.concat(F.array(ref("service", _get(c, "$.image"))), F.flatten(F.transform(_list_or_empty(c, "$.env"), env)))
+    volume = lambda x: F.array(
+        *[ref("datastore", _get(x, p)) for p in ("$.configMap.name", "$.secret.secretName", "$.persistentVolumeClaim.claimName")]
+    )
+    v = F.col("v")
+    workload = F.concat(
+        F.flatten(F.transform(_list_or_empty(v, "$.spec.template.spec.containers"), container)),
+        F.flatten(F.transform(_list_or_empty(v, "$.spec.template.spec.volumes"), volume)),
     )
-    vol = work.select("path", "kind", F.explode(_vlist("v", "$.spec.template.spec.volumes")).alias("x")).select(
-        "path", "kind", F.lit("datastore").alias("role"),
-        F.explode(F.array(_vstr("x", "$.configMap.name"), _vstr("x", "$.secret.secretName"), _vstr("x", "$.persistentVolumeClaim.claimName"))).alias("ref"),
+    refs = (
+        F.when(low.isin("configmap", "secret", "persistentvolumeclaim", "persistentvolume"), F.array(ref("datastore", name)))
+        .when(low == "service", F.array(ref("service", name)))
+        .when(low.isin("deployment", "statefulset", "daemonset", "job"), workload)
     )
-    return own.unionByName(svc).unionByName(img).unionByName(env).unionByName(vol).filter("ref IS NOT NULL").distinct()
+    return d.select("path", "kind", F.explode(F.array_distinct(refs)).alias("r")).select("path", "kind", "r.*").filter("ref IS NOT NULL")
 
 
 # Framework -> package that proves it.

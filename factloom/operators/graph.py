@@ -166,8 +166,9 @@ def distance_features(nodes: DataFrame, distances: DataFrame, radius: int = 4) -
 
 
 # ---------------------------------------------------------------- centrality
-SMALL_COMPONENT_EDGES = 200_000
-SMALL_COMPONENT_NODES = 5_000
+# A cut-node pass is linear in the component; a betweenness pass is nodes x edges.
+SMALL_COMPONENT = {"nodes": 5_000, "edges": 200_000}
+SMALL_BETWEENNESS = {"nodes": 1_000, "edges": 20_000}
 
 
 def _split_by_size(nodes: DataFrame, edges: DataFrame, max_nodes: int, max_edges: int):
@@ -258,7 +259,7 @@ def _pair_dependency_frames(pairs: DataFrame, rounds: Rounds) -> DataFrame:
 
 
 def betweenness(
-    nodes: DataFrame, edges: DataFrame, max_nodes: int = SMALL_COMPONENT_NODES, max_edges: int = SMALL_COMPONENT_EDGES
+    nodes: DataFrame, edges: DataFrame, max_nodes: int = SMALL_BETWEENNESS["nodes"], max_edges: int = SMALL_BETWEENNESS["edges"]
 ) -> DataFrame:
     """Exact normalised betweenness on the undirected graph: ``(id, betweenness)``.
 
@@ -377,7 +378,7 @@ def _cut_nodes_frames(pairs: DataFrame, rounds: Rounds) -> DataFrame:
 
 
 def articulation_points(
-    nodes: DataFrame, edges: DataFrame, max_nodes: int = SMALL_COMPONENT_NODES, max_edges: int = SMALL_COMPONENT_EDGES
+    nodes: DataFrame, edges: DataFrame, max_nodes: int = SMALL_COMPONENT["nodes"], max_edges: int = SMALL_COMPONENT["edges"]
 ) -> DataFrame:
     """``(id)`` of every node whose removal splits its component."""
     small, large, rounds = _split_by_size(nodes, edges, max_nodes, max_edges)

@@ -171,7 +171,8 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     shapes = b.select(F.length("b").alias("lb"), reach(F.col("b")).alias("d")).distinct()
     # placed substrings of a for every length b can have
     lengths = shapes.select(F.collect_set(F.struct("lb", "d")).alias("ls")).withColumn("one", F.lit(1))
-    spots = a.withColumn("one", F.lit(1)).join(lengths, "one").select("a", F.explode("ls").alias("l")).select("a", F.length("a").alias("la"), "l.lb", "l.d")
+    # one row holding the distinct lengths, at most as many as the longest name has characters
+    spots = a.withColumn("one", F.lit(1)).join(F.broadcast(lengths), "one").select("a", F.explode("ls").alias("l")).select("a", F.length("a").alias("la"), "l.lb", "l.d")
     spots = spots.filter((F.greatest("la", "lb") * slack + 1e-9 >= F.abs(F.col("la") - F.col("lb"))))
     k = F.least(F.col("d") + 1, F.col("lb"))
     at = lambda i: F.floor(i * F.col("lb") / k).cast("int")
@@ -208,9 +209,11 @@ def match_markers(nodes: DataFrame, markers: DataFrame, policy: str = "slug", th
     squeeze = lambda c: F.regexp_replace(c, "[-_]", "")
     want = m.select("marker", squeeze(safe(bare)).alias("part")).filter("part <> ''")
     small = n.withColumn("compact", squeeze(F.col("slug"))).filter("compact <> ''")
+    # only substrings as long as some marker are looked up; the lengths fit in one small row
+    lens = want.agg(F.collect_set(F.length("part")).alias("lens")).withColumn("one", F.lit(1))
+    sized = small.withColumn("one", F.lit(1)).join(F.broadcast(lens), "one")
     size = F.length("compact")
-    subs = F.flatten(
-        F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda k: F.substring(F.col("compact"), i, k)))
-    )
-    inside = small.select("node_slug", F.explode(F.array_distinct(subs)).alias("part")).join(want, "part").select("node_slug", "marker")
+    spots = lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda k: F.substring(F.col("compact"), k, n))
+    subs = F.flatten(F.transform(F.filter("lens", lambda n: n <= size), spots))
+    inside = sized.select("node_slug", F.explode(F.array_distinct(subs)).alias("part")).join(want, "part").select("node_slug", "marker")
     return equal.unionByName(inside).distinct()

@@ -10,6 +10,7 @@ from factloom.operators import ordered
 
 MAX_CHUNK_CHARS = 4000
 MAX_HITS = 6
+PROBE = 64
 
 
 def default_overlap(chunk_size: int) -> int:
@@ -49,8 +50,9 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int = 1000
     """Best ``k`` chunks per query by cosine: ``(query_id, chunk_id, score, rank)``.
 
     ``queries(query_id, vector)``; ``chunks(chunk_id, vector, ...)``.  Queries ride along as
-    one array literal-sized row (their number is checked), chunks are scanned once, and the
-    per-query rank is pruned to ``k`` in every task before anything is shuffled.
+    one row (their number is checked), so chunks are scanned without a shuffle.  A slice of the
+    chunks gives each query a score its k-th hit can not fall below; weaker rows are dropped
+    where they are scored, and only the rest is ranked.  The slice never decides a result.
     """
     k = max(1, min(k, MAX_HITS))
     asked = queries.select("query_id", "vector").limit(max_queries + 1).collect()
@@ -74,7 +76,13 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int = 1000
             vectors.cosine(F.col("q.qv"), F.col("vector"), F.col("q.qn"), F.col("cn")).alias("score"),
         )
     )
-    return ordered.top_per_key(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k, rank="rank")
+    best = [F.desc("score"), F.col("chunk_id")]
+    probe = ordered.top_per_key(scored.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(PROBE)) == 0), ["query_id"], best, k)
+    floor = probe.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+    # one row per query, and the number of queries is checked above
+    kept = scored.join(F.broadcast(floor.select("query_id", "floor")), "query_id", "left")
+    kept = kept.filter(F.col("floor").isNull() | (F.col("score") >= F.col("floor"))).drop("floor")
+    return ordered.top_per_key(kept, ["query_id"], best, k, rank="rank")
 
 
 def citation(path: Column, start: Column, end: Column) -> Column:

@@ -51,9 +51,12 @@ query(
     WHERE raw <> ''""",
 )
 def page_title_facts(t):
-    pick = lambda kind, rx: t.pages.select("page_id", F.lit(kind).alias("kind"), F.regexp_extract("html", rx, 1).alias("raw"))
-    both = pick("title", "(?s)<title>(.*?)</title>").unionByName(pick("heading", "(?s)<h1[^>]*>(.*?)</h1>"))
-    return both.filter("raw <> ''").select("page_id", "kind", tx.strip_markup(F.col("raw")).alias("title"))
+    found = F.array(
+        F.struct(F.lit("title").alias("kind"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("raw")),
+        F.struct(F.lit("heading").alias("kind"), F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1).alias("raw")),
+    )
+    rows = t.spread("pages").select("page_id", F.explode(found).alias("f")).filter("f.raw <> ''")
+    return rows.select("page_id", "f.kind", tx.strip_markup(F.col("f.raw")).alias("title"))
 
 
 # ---------------------------------------------------------------- names and paths

@@ -33,6 +33,8 @@ def tumbling_counts(events: DataFrame, ts: str, key: str, width: str, slide: str
 
 
 def session_counts(events: DataFrame, ts: str, key: str, gap: str, late: str | None = None) -> DataFrame:
+    # sessions of one key are merged in every task before the shuffle, so a hot key stays small
+    events.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     e = events.withWatermark(ts, late) if late else events
     g = e.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "n")
