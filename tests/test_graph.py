@@ -125,7 +125,7 @@ def test_distances_are_shortest(spark, seed):
     assert got == want
 
 
-def test_single_hub_constellation(spark):
+def test_one_hub_is_one_cluster(spark):
     nodes = spark.createDataFrame(
         [("Component:orders", "Component", "orders", "orders", None), ("API:getOrders", "API", "getOrders", "orders", "svc/orders.py")],
         "id string, type string, name string, component string, file string",
