@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +49,31 @@ def slices(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
             run, size = [], 0
     if run:
         yield run
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column, most: int) -> DataFrame:
+    """``(doc_id, text, label, place)``: texts with a label 0 or 1 to learn from, at most ``most`` of them.
+
+    ``learn`` says which rows may be learned from.  Where more are there, those whose hashed id is least
+    make the sample; ``place`` is that hash.  A repeated id gives one text (the least), contradicting
+    labels of an id both count.
+    """
+    place = F.xxhash64("doc_id").alias("place")
+    rows = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & learn)
+    rows = rows.select("doc_id", F.col(column).cast("int").alias("label"), place).distinct()
+    rows = rows.orderBy("place", "doc_id", "label").limit(most)
+    texts = docs.select("doc_id", whole(F.col("text")).alias("text"))
+    # at most ``most`` short rows
+    return texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "label", "place").agg(F.min("text").alias("text"))
+
+
+def filtered(docs: DataFrame, make: Callable[[], Callable[[str], bool]]) -> DataFrame:
+    """The rows of ``docs`` whose text passes ``make()(text)``, with all their columns; map-only."""
+    schema, at = docs.schema, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = make()
+        for b in batches:
+            yield b.filter(pa.array([passes(t or "") for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
