@@ -40,8 +40,8 @@ TEXT_RULES = (
 )
 PB_EXT = (".srw", ".sru", ".srm", ".srf", ".srd")
 SCRIPT_RULES = (
-    Rule("event", "step", "event", r"(?i)^\s*event\s+([a-zA-Z0-9_]+)", 1, PB_EXT),
-    Rule("function", "step", "function", r"(?i)^\s*(?:public|protected)?\s*(?:function|subroutine)\s+[a-zA-Z0-9_]+\s+([a-zA-Z0-9_.]+)\s*\(", 1, PB_EXT),
+    Rule("event", "step", "event", r"(?i)^[ \t]*event\s+([a-zA-Z0-9_]+)", 1, PB_EXT),
+    Rule("function", "step", "function", r"(?i)^[ \t]*(?:public|protected)?\s*(?:function|subroutine)\s+[a-zA-Z0-9_]+\s+([a-zA-Z0-9_.]+)\s*\(", 1, PB_EXT),
     Rule("datawindow_op", "step", "datawindow", r"(?i)\b(dw_[a-zA-Z0-9_]+\.(?:retrieve|update|insertrow|deleterow|settransobject|settrans))", 1, PB_EXT),
     Rule("call", "call", "process", r"(?i)([a-zA-Z_][a-zA-Z0-9_.]+\s*\.\s*[a-zA-Z_][a-zA-Z0-9_]*)\s*\(", 1, PB_EXT),
     Rule("http", "step", "http", r"(?i)(createobject\(\s*\"(?:httpclient|restclient)\"\s*\)|sendrequest\s*\(|setrequestheader)", 1, PB_EXT),
@@ -49,6 +49,7 @@ SCRIPT_RULES = (
     Rule("external", "step", "external", r"(?i)(\bfunction\b.*\bexternal\b)", 1, PB_EXT),
 )
 FIRST_HIT_RULES = ("http", "soap", "external")
+# Rules of components, entities, code and manifests.
 UI_RULES = (
     Rule("page_route", "ui_component", "route", r"@page\s+\"([^\"]+)\"", 1, (".razor", ".cshtml")),
     Rule("route_path", "ui_component", "route", r"<Route[^>]*path=\"([^\"]+)\"", 1, (".tsx", ".jsx")),
@@ -70,37 +71,44 @@ CODE_RULES = (
     Rule("interface", "code_entity", "interface", r"\binterface\s+([A-Za-z_][A-Za-z0-9_]*)", 1, (".cs",)),
     Rule("method", "code_entity", "method", r"\b(?:public|private|protected|internal)\s+(?:static\s+)?(?:async\s+)?[A-Za-z_][\w<>\[\],]*\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(", 1, (".cs",)),
     Rule("function", "code_entity", "function", r"\bfunction\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(", 1, (".js", ".ts", ".tsx")),
-    Rule("def", "code_entity", "function", r"^\s*(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(", 1, (".py",)),
+    Rule("def", "code_entity", "function", r"^[ \t]*(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(", 1, (".py",)),
 )
 MANIFEST_RULES = tuple(
-    Rule(f.lower(), "adapter", f, rf"(?i)^\s*{f}:\s*(.+?)\s*$", 1, (".mf",))
+    Rule(f.lower(), "adapter", f, rf"(?i)^[ \t]*{f}:[ \t]*(.+?)\s*$", 1, (".mf",))
     for f in ("Bundle-SymbolicName", "Bundle-Activator", "Bundle-ClassPath")
 )
 
 
+_MARK = "\x01"
+
+
+def hit_lines(text: Column, pattern: str) -> Column:
+    """Line of the start of every hit of ``pattern`` in a whole text: a mark is set before each hit, then
+    the marks of each line are counted.  Linear in the text, however many hits there are."""
+    marked = F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit(" ")), F.lit(pattern), F.lit(_MARK + "$0"))
+    marks = lambda row: F.length(row) - F.length(F.replace(row, F.lit(_MARK), F.lit("")))
+    return F.flatten(F.transform(F.split(marked, "\n"), lambda row, i: F.array_repeat((i + 1).cast("bigint"), marks(row))))
+
+
 def _rule_hits(r: Rule) -> Column:
     fixed = [F.lit(r.rule_id).alias("rule_id"), F.lit(r.kind).alias("kind"), F.lit(r.prop).alias("prop")]
-    return F.transform(
-        F.regexp_extract_all("line_text", F.lit(r.pattern), F.lit(r.group)),
-        lambda v: F.struct(*fixed, v.alias("value"), F.lit(r.confidence).alias("confidence")),
-    )
+    pattern = "(?m)" + r.pattern
+    found = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(r.group)).alias("value"), hit_lines(F.col("text"), pattern).alias("line"))
+    return F.transform(found, lambda h: F.struct(h["line"].alias("line"), *fixed, h["value"].alias("value"), F.lit(r.confidence).alias("confidence")))
 
 
 def rule_facts(files: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """``(path, line, rule_id, kind, prop, value, confidence)`` for every hit of every rule.
 
-    Files whose extension no rule wants are dropped first; then the lines are scanned once.
+    Files whose extension no rule wants are dropped first.  Rules read whole texts, so a call may be
+    broken over lines; ``^`` is the start of a line, and a hit's line is the one where it starts.
     """
     wanted = sorted({e for r in rules for e in r.ext})
     src = files.withColumn("ext", tx.extension(F.col("path")))
     if wanted and all(r.ext for r in rules):
         src = src.filter(F.col("ext").isin(*wanted))
-    lines = src.select("path", "ext", F.posexplode(F.split("text", "\n")).alias("pos", "line_text"))
     hits = [F.when(F.col("ext").isin(*r.ext), _rule_hits(r)) if r.ext else _rule_hits(r) for r in rules]
-    return (
-        lines.select("path", (F.col("pos") + 1).cast("bigint").alias("line"), F.explode(F.flatten(F.array_compact(F.array(*hits)))).alias("h"))
-        .select("path", "line", "h.*")
-    )
+    return src.select("path", F.explode(F.flatten(F.array_compact(F.array(*hits)))).alias("h")).select("path", "h.*")
 
 
 def first_hits(facts: DataFrame, rule_ids: tuple[str, ...]) -> DataFrame:
@@ -117,15 +125,15 @@ ROUTE_RE = r"(?i)\b(?:app|router)\.(get|post|put|delete|patch|options|head)\s*\(
 
 
 def source_routes(files: DataFrame) -> DataFrame:
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "l")).filter(F.col("l").rlike(ROUTE_RE))
     hit = F.explode(
         F.arrays_zip(
-            F.regexp_extract_all("l", F.lit(ROUTE_RE), F.lit(1)).alias("method"),
-            F.regexp_extract_all("l", F.lit(ROUTE_RE), F.lit(3)).alias("route"),
+            F.regexp_extract_all("text", F.lit(ROUTE_RE), F.lit(1)).alias("method"),
+            F.regexp_extract_all("text", F.lit(ROUTE_RE), F.lit(3)).alias("route"),
+            hit_lines(F.col("text"), ROUTE_RE).alias("line"),
         )
     )
-    return lines.select("path", (F.col("pos") + 1).cast("bigint").alias("line"), hit.alias("h")).select(
-        "path", "line", F.upper("h.method").alias("method"), F.col("h.route").alias("route"),
+    return files.filter(F.col("text").rlike(ROUTE_RE)).select("path", hit.alias("h")).select(
+        "path", "h.line", F.upper("h.method").alias("method"), F.col("h.route").alias("route"),
         tx.route_params(F.col("h.route")).alias("params"),
     )
 
@@ -150,6 +158,7 @@ def import_integrations(files: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- SQL
+# Table and key declarations.
 CREATE_RE = r"(?is)\bcreate\s+table\s+([a-zA-Z0-9_.\[\]\"]+)"
 FK_RE = r"(?is)foreign\s+key\s*\(([^\)]*)\)\s+references\s+([a-zA-Z0-9_.\[\]\"]+)(?:\s*\(([^\)]*)\))?"
 _UNQUOTE = r"^[\[\]\"]+|[\[\]\"]+$"
@@ -201,13 +210,15 @@ def ddl_foreign_keys(blocks: DataFrame) -> DataFrame:
     ).filter("references <> ''")
 
 
-STATEMENT_RE = r"(?is)\b((?:select|insert|update|delete)\b.+?;)"
+# Fixed value: a statement in a script; its verb is the word it opens with.
+STATEMENT_RE = r"(?is)\b((select|insert|update|delete)\b.+?;)"
 
 
 def sql_statements(files: DataFrame) -> DataFrame:
-    rows = files.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(STATEMENT_RE), F.lit(1))).alias("pos", "sql_text"))
-    c = F.col("sql_text")
-    verb = tx.sql_verb(c)
+    get = lambda g: F.regexp_extract_all("text", F.lit(STATEMENT_RE), F.lit(g))
+    rows = files.select("path", F.posexplode(F.arrays_zip(get(1).alias("sql_text"), get(2).alias("verb"))).alias("pos", "s"))
+    rows = rows.select("path", "pos", "s.sql_text", F.upper("s.verb").alias("verb"))
+    c, verb = F.col("sql_text"), F.col("verb")
     return rows.select(
         "path", "pos", "sql_text", verb.alias("verb"), tx.sql_table_by_order(c).alias("table"), tx.sql_crud(verb).alias("crud"),
         tx.identifier_tokens(c).alias("identifiers"),

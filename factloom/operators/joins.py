@@ -38,13 +38,13 @@ def owning_module(files: DataFrame, roots: DataFrame, key: str) -> DataFrame:
 
 
 def assign_groups(records: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Group of each record: its own component, else that of the artifact whose path (first 100
-    characters) prefixes its file, else ``ungrouped``."""
+    """Group of each record: its own component, else that of the artifact whose path prefixes its
+    file (the least such), else ``ungrouped``."""
     named = records.filter("component IS NOT NULL AND component <> ''").select("record_id", F.col("component").alias("group"))
     rest = records.filter("component IS NULL OR component = ''").select("record_id", "file")
-    starts = artifacts.filter("repo_path <> ''").select(F.substring("repo_path", 1, 100).alias("prefix"), F.col("component").alias("group"))
+    starts = artifacts.filter("repo_path <> ''").select(F.col("repo_path").alias("prefix"), F.col("component").alias("group"))
     starts = starts.groupBy("prefix").agg(F.min("group").alias("group"))
-    cuts = F.transform(F.sequence(F.lit(1), F.least(F.length("file"), F.lit(100))), lambda n: F.substring(F.col("file"), F.lit(1), n))
+    cuts = F.transform(F.sequence(F.lit(1), F.length("file")), lambda n: F.substring(F.col("file"), F.lit(1), n))
     hits = rest.filter("length(file) > 0").select("record_id", F.explode(cuts).alias("prefix")).join(starts, "prefix")
     hits = hits.groupBy("record_id").agg(F.min("group").alias("group"))
     left = rest.select("record_id").join(hits, "record_id", "left").select("record_id", F.coalesce("group", F.lit("ungrouped")).alias("group"))

@@ -31,7 +31,8 @@ def page_links_topk(t):
     """
     SELECT path, CAST(line AS BIGINT) AS line, method, route, params FROM (
       SELECT path, 5 AS line, 'GET' AS method, '/parts/:partId/' || CAST(p_size AS STRING) AS route, 'partId' AS params FROM $js_files JOIN part USING (p_partkey)
-      UNION ALL SELECT path, 8, 'POST', '/brands/:brandKey', 'brandKey' FROM $js_files)""",
+      UNION ALL SELECT path, 6, 'PUT', '/stock/:sku/' || CAST(p_size % 4 AS STRING), 'sku' FROM $js_files JOIN part USING (p_partkey)
+      UNION ALL SELECT path, 11, 'POST', '/brands/:brandKey', 'brandKey' FROM $js_files)""",
 )
 def source_routes(t):
     r = facts.source_routes(t.view("js_files", spread=True))
@@ -45,6 +46,7 @@ def source_routes(t):
       SELECT 'collection' AS rule_id, 'datastore' AS prop, 'parts_' || CAST(p_size % 7 AS STRING) AS value FROM part
       UNION ALL SELECT 'model', 'datastore', 'Brand' || CAST(p_partkey % 25 AS STRING) FROM part
       UNION ALL SELECT 'client_call', 'service', 'https://billing' || CAST(p_partkey % 5 AS STRING) || '.internal/api' FROM part
+      UNION ALL SELECT 'client_call', 'service', 'https://prices' || CAST(p_size % 2 AS STRING) || '.internal/list' FROM part
       UNION ALL SELECT 'fetch_call', 'service', 'https://stock.internal/v' || CAST(p_size % 3 AS STRING) || '/items' FROM part) GROUP BY 1, 2, 3""",
 )
 def source_dependencies(t):
@@ -185,13 +187,12 @@ def ddl_foreign_keys(t):
     "embedded_sql",
     """
     SELECT verb, tbl, crud, ids, count(*) AS n FROM (
-      SELECT 'SELECT' AS verb, 'customers' AS tbl, 'read' AS crud, 'customerid' AS ids FROM customer
+      SELECT 'UPDATE' AS verb, 'customers' AS tbl, 'write' AS crud, 'al_id,customerid' AS ids FROM customer
       UNION ALL SELECT 'INSERT', 'audit_' || CAST(c_nationkey AS STRING), 'write', 'customerkey' FROM customer) GROUP BY 1, 2, 3, 4""",
 )
 def embedded_sql(t):
-    # the declaration lines of a script end without ';', so statements are read from the SQL lines on
-    body = t.view("script_files", spread=True).select("path", F.regexp_extract("text", r"(?s)(\n\s*SELECT .*)", 1).alias("text"))
-    s = facts.sql_statements(body)
+    # the call of update() above the SQL lines opens a statement that ends with the first ';'
+    s = facts.sql_statements(t.view("script_files", spread=True).select("path", "text"))
     return _count(s.select("verb", F.col("table").alias("tbl"), "crud", F.array_join("identifiers", ",").alias("ids")), "verb", "tbl", "crud", "ids")
 
 

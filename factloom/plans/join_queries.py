@@ -15,9 +15,10 @@ view("processes", """
     FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""")
 view("uses", """
     SELECT DISTINCT c_name AS process, CASE WHEN l_linenumber % 2 = 0 THEN 'datastore' ELSE 'identifier' END AS kind, 'v' || CAST(l_suppkey AS STRING) AS value
-    FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey WHERE l_quantity > 45""")
+    FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey""")
 view("calls", """
-    SELECT DISTINCT a.c_name AS src, b.c_name AS dst FROM {orders} JOIN {customer} a ON o_custkey = a.c_custkey JOIN {customer} b ON b.c_custkey = o_orderkey % 97 WHERE o_orderstatus = 'F'""")
+    SELECT DISTINCT a.c_name AS src, b.c_name AS dst
+    FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} a ON o_custkey = a.c_custkey JOIN {customer} b ON b.c_custkey = l_partkey""")
 
 
 @query("http_call_join", r"""
@@ -110,10 +111,9 @@ _HELD = "SELECT family, kind, value, count(*) AS users FROM $uses u JOIN $proces
 
 
 @query("cross_family_values", f"""
-    WITH h AS ({_HELD}) SELECT DISTINCT least(a.family, b.family) AS fam_a, greatest(a.family, b.family) AS fam_b, a.kind, a.value FROM h a JOIN h b ON a.kind = b.kind AND a.value = b.value AND a.family <> b.family
-    WHERE a.family IN ('automobile', 'building')""")
+    WITH h AS ({_HELD}) SELECT DISTINCT least(a.family, b.family) AS fam_a, greatest(a.family, b.family) AS fam_b, a.kind, a.value FROM h a JOIN h b ON a.kind = b.kind AND a.value = b.value AND a.family <> b.family""")
 def cross_family_values(t):
-    asked = t.view("processes").filter(F.col("family").isin("automobile", "building")).select("family").distinct()
+    asked = t.view("processes").select("family").distinct()
     return marts.cross_family_values(t.view("processes"), t.view("uses"), asked)
 
 
@@ -154,7 +154,7 @@ def prefix_modules(t):
 
 @query("group_assignment", """
     WITH rec AS (SELECT doc_id AS record_id, CASE WHEN doc_id % 3 = 0 THEN source END AS component, path AS file FROM $doc_paths),
-    art AS (SELECT substr(repo_path, 1, 100) AS prefix, min(component) AS component FROM (SELECT 'src/' || source AS repo_path, source AS component FROM documents UNION SELECT 'services/' || source, 'svc-' || source FROM documents) GROUP BY 1)
+    art AS (SELECT repo_path AS prefix, min(component) AS component FROM (SELECT 'src/' || source AS repo_path, source AS component FROM documents UNION SELECT 'services/' || source, 'svc-' || source FROM documents) GROUP BY 1)
     SELECT record_id, component AS "group" FROM rec WHERE component IS NOT NULL
     UNION ALL SELECT r.record_id, coalesce(min(a.component), 'ungrouped') FROM rec r LEFT JOIN art a ON starts_with(r.file, a.prefix) WHERE r.component IS NULL GROUP BY 1""")
 def group_assignment(t):

@@ -28,9 +28,9 @@ def scan_stats(t):
     return g.select(facet.alias("facet"), F.coalesce("component", "kind", F.lit("")).alias("value"), "n")
 
 
-@query("top_connectors", "SELECT lower(connector) AS connector, count(*) AS n FROM $steps GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+@query("top_connectors", "SELECT lower(connector) AS connector, count(*) AS n FROM $steps GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def top_connectors(t):
-    return t.view("steps", spread=True).groupBy(F.lower("connector").alias("connector")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "connector").limit(5)
+    return t.view("steps", spread=True).groupBy(F.lower("connector").alias("connector")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "connector").limit(10)
 
 
 @query("relationship_matrix", """
@@ -151,12 +151,12 @@ def component_profile(t):
 
 
 @query("narratives_with_fallback", """
-    WITH a AS (SELECT component, count(*) AS n, min(name) AS first_line FROM $signals WHERE kind = 'route' AND method = 'POST' AND signal_id % 50 = 0 GROUP BY 1), r AS (SELECT component, count(*) AS n, min(name) AS first_line FROM $signals WHERE kind = 'db' GROUP BY 1)
+    WITH a AS (SELECT component, count(*) AS n, min(name) AS first_line FROM $signals WHERE kind = 'route' GROUP BY 1), r AS (SELECT component, count(*) AS n, min(name) AS first_line FROM $signals WHERE kind = 'db' GROUP BY 1)
     SELECT coalesce(a.component, r.component) AS component, coalesce(a.n, r.n) AS n, coalesce(a.first_line, r.first_line) AS first_line, a.component IS NOT NULL AS from_artifacts FROM a FULL JOIN r ON a.component = r.component""")
 def narratives_with_fallback(t):
     s = t.view("signals")
     agg = lambda df, p: df.groupBy("component").agg(F.count(F.lit(1)).alias(p + "n"), F.min("name").alias(p + "first"))
-    j = agg(s.filter("kind = 'route' AND method = 'POST' AND signal_id % 50 = 0"), "a_").join(agg(s.filter("kind = 'db'"), "r_"), "component", "full_outer")
+    j = agg(s.filter("kind = 'route'"), "a_").join(agg(s.filter("kind = 'db'"), "r_"), "component", "full_outer")
     return j.select("component", F.coalesce("a_n", "r_n").alias("n"), F.coalesce("a_first", "r_first").alias("first_line"), F.col("a_n").isNotNull().alias("from_artifacts"))
 
 
@@ -225,8 +225,7 @@ def process_quality(t):
       SELECT name || ' - Process Brief' AS title, 'process' AS category, CAST(priority AS INT) AS priority, CAST(score AS BIGINT) AS score FROM $quality
         WHERE identifiers > 0 AND (invocations > 0 OR datastores + processes + services > 0) AND (errors > 0 OR logging > 0)
       UNION ALL SELECT component || ' - Component Brief', 'component', 3, NULL FROM $quality GROUP BY component HAVING bool_or(score >= 5 OR steps > 0 OR relationships > 0)
-      UNION ALL SELECT 'Anti-Pattern Register', 'quality', 3, NULL UNION ALL SELECT 'Repository Comprehensive Narrative', 'repo_final', 5, NULL)
-    ORDER BY priority, score DESC NULLS LAST, title LIMIT 200""")
+      UNION ALL SELECT 'Anti-Pattern Register', 'quality', 3, NULL UNION ALL SELECT 'Repository Comprehensive Narrative', 'repo_final', 5, NULL)""")
 def worklist(t):
     q = _quality(t)
     ok = (F.col("identifiers") > 0) & ((F.col("invocations") > 0) | (F.col("datastores") + F.col("processes") + F.col("services") > 0)) & ((F.col("errors") > 0) | (F.col("logging") > 0))
@@ -241,7 +240,7 @@ def worklist(t):
         F.struct(F.lit("Repository Comprehensive Narrative").alias("title"), F.lit("repo_final").alias("category"), F.lit(5).alias("priority")),
     )
     rest = some.select(F.explode(standing).alias("s")).select("s.*", none.alias("score"))
-    return proc.unionByName(comp).unionByName(rest).orderBy("priority", F.col("score").desc_nulls_last(), "title").limit(200)
+    return proc.unionByName(comp).unionByName(rest).orderBy("priority", F.col("score").desc_nulls_last(), "title")
 
 
 @query("step_coverage", """

@@ -127,10 +127,10 @@ def name_slugs(t):
           WHEN path LIKE '%.py' OR path LIKE '%.cs' THEN 'code' WHEN path LIKE '%.json' THEN 'infra' ELSE 'artifact' END AS kind,
         CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.TS' THEN 'typescript' WHEN path LIKE '%.json' THEN 'json' WHEN path LIKE '%.cs' THEN 'csharp' WHEN path LIKE '%.tf' THEN 'terraform' END AS language
       FROM $doc_paths WHERE path NOT LIKE '%/.git%' AND path NOT LIKE '%Thumbs.db' AND path NOT LIKE 'node_modules/%')
-    WHERE size_bytes <= 5000""",
+    WHERE size_bytes <= 2000000""",
 )
 def file_inventory(t):
-    return corpus.inventory(t.view("doc_paths", spread=True), max_bytes=5000)
+    return corpus.inventory(t.view("doc_paths", spread=True), max_bytes=2_000_000)
 
 
 @query(

@@ -71,7 +71,7 @@ view(
       CASE l_partkey % 5 WHEN 0 THEN 'sql_table' WHEN 1 THEN 'servicebus' WHEN 2 THEN 'http' WHEN 3 THEN 'process' ELSE 'cosmosdb' END AS target_kind,
       'T' || CAST(l_suppkey % 40 AS STRING) AS target_ref,
       CASE l_partkey % 4 WHEN 0 THEN 'reads' WHEN 1 THEN 'writes' WHEN 2 THEN 'deletes' ELSE 'calls' END AS operation
-    FROM {lineitem} WHERE l_returnflag = 'R'""",
+    FROM {lineitem}""",
 )
 
 # ---- source files, one per part / customer / supplier / page ------------------------
@@ -84,10 +84,15 @@ import { Pool } from 'pg<<p_size % 2>>';
 const express = require('express');
 
 app.get('/parts/:partId/<<p_size>>', handler);
+router.put(
+  '/stock/:sku/<<p_size % 4>>',
+  handler);
 db.collection('parts_<<p_size % 7>>').find();
 mongoose.model('Brand<<p_partkey % 25>>');
 router.post("/brands/:brandKey", (req) => axios.post('https://billing<<p_partkey % 5>>.internal/api'));
 fetch("https://stock.internal/v<<p_size % 3>>/items");
+axios.get(
+  'https://prices<<p_size % 2>>.internal/list');
 """
     )
     + " AS text, p_partkey FROM {part}",
@@ -309,10 +314,9 @@ view(
     """
     SELECT 'Component:' || r_name AS src, 'API:' || n_name AS dst, 'owns' AS type FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
     UNION ALL SELECT 'API:' || n_name, 'Component:' || r_name, 'member_of' FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
-    UNION ALL SELECT 'API:' || n_name, 'Workflow:' || s_name, 'calls' FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE n_regionkey < 3
+    UNION ALL SELECT 'API:' || n_name, 'Workflow:' || s_name, 'calls' FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
     UNION ALL SELECT DISTINCT 'API:' || n_name, 'Operation:' || n_name || ' ' || c_mktsegment, 'exposes'
-      FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE n_regionkey <> 4
+      FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
     UNION ALL SELECT 'Workflow:' || s_name, 'Datastore:' || p_brand, CASE WHEN min(l_linenumber) = 1 THEN 'depends_on' ELSE 'publishes_to' END
-      FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {part} ON l_partkey = p_partkey
-      WHERE l_quantity >= 49 AND l_returnflag = 'R' AND l_suppkey % 4 <> 3 GROUP BY s_name, p_brand HAVING count(*) >= 2""",
+      FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {part} ON l_partkey = p_partkey GROUP BY s_name, p_brand""",
 )

@@ -13,13 +13,20 @@ from factloom.session import scratch_dir
 
 
 # ---------------------------------------------------------------- reading
-def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """``(path, text, size_bytes)`` of every file under ``root``; undecodable bytes are replaced."""
+def read_tree(spark: SparkSession, root: str, glob: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """``(path, text, size_bytes)`` of every file under ``root``; undecodable bytes are replaced.
+
+    Files above ``max_bytes`` are left out by their listed length, before their content is read.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.load(root)
-    rel = F.regexp_replace(F.split_part("path", F.lit(root.rstrip("/")), F.lit(-1)), "^/+", "")
+    if max_bytes is not None:
+        raw = raw.filter(F.col("length") <= max_bytes)
+    # listed paths are absolute: the root's first occurrence is its prefix, later ones are folders below it
+    top = F.lit(root.rstrip("/"))
+    rel = F.regexp_replace(F.substring(F.col("path"), F.instr("path", top) + F.length(top), F.length("path")), "^/+", "")
     # a plain cast keeps every byte; the replacement of bad sequences happens when text is read
     return raw.select(rel.alias("path"), F.col("content").cast("string").alias("text"), F.col("length").alias("size_bytes"))
 
