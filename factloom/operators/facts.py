@@ -259,8 +259,10 @@ def parsed(files: DataFrame) -> DataFrame:
 
 
 def parse_failures(files: DataFrame) -> DataFrame:
-    """A file that cannot be read stays in the result as a low-score ``doc`` row."""
-    return parsed(files).filter("v IS NULL").select("path", F.lit("doc").alias("kind"), F.lit(0.1).alias("parsed"))
+    """A file that cannot be read, XML by its extension or else JSON, stays in the result as a low-score ``doc`` row."""
+    xml = tx.extension(F.col("path")).isin(*XML_EXT)
+    bad = F.when(xml, readable_xml(F.col("text")).isNull()).otherwise(F.try_parse_json("text").isNull())
+    return files.filter(bad).select("path", F.lit("doc").alias("kind"), F.lit(0.1).alias("parsed"))
 
 
 def spec_operations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -566,24 +568,82 @@ def config_endpoints(files: DataFrame) -> DataFrame:
     return files.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ENDPOINT_RE), F.lit(0)))).alias("endpoint"), "path")
 
 
+XML_EXT = (".xml", ".bwp", ".bpmn", ".drawio", ".wsdl", ".xsd", ".odx", ".process")
+
+
+def readable_xml(text: Column) -> Column:
+    """The document below one more root element, NULL where it is malformed; prolog and DOCTYPE are left out.
+
+    The extra root lets several top elements pass; paths that start with ``//`` find the same nodes.
+    """
+    body = F.regexp_replace(text, r"^\ufeff?\s*(?:<\?xml[^>]*\?>)?(?:\s*<!--(?s:.*?)-->)*\s*(?:<!DOCTYPE[^>\[]*(?:\[[^\]]*\])?[^>]*>)?", "")
+    wrapped = F.concat(F.lit("<r>"), body, F.lit("</r>"))
+    bad = F.from_xml(wrapped, "_corrupt_record string", {"mode": "PERMISSIVE"})["_corrupt_record"]
+    return F.when(bad.isNull(), wrapped)
+
+
 def xml_attributes(files: DataFrame, specs: dict[str, str]) -> DataFrame:
-    """``(path, fact, pos, value)`` for each named XPath over the file's text."""
+    """``(path, fact, pos, value)`` for each named XPath over the file's text; malformed files give none."""
+    files = files.select("path", readable_xml(F.col("text")).alias("text")).filter("text IS NOT NULL")
     each = F.array(*[F.struct(F.lit(name).alias("fact"), F.xpath("text", F.lit(xp)).alias("vals")) for name, xp in specs.items()])
     rows = files.select("path", F.explode(each).alias("s")).select("path", "s.fact", F.posexplode("s.vals").alias("pos", "value"))
     return rows.filter("value IS NOT NULL")
 
 
+# The connector that a word in an activity's type stands for, first match wins.
+PALETTE_HINTS = (
+    ("httpreceiver", "http"), ("httpresponse", "http"), ("sendhttp", "http"), ("rest", "rest"), ("soap", "soap"), ("callprocess", "process"), ("invoke", "process"),
+    ("mapper", "mapper"), ("jdbc", "jdbc"), ("sql", "jdbc"), ("jms", "jms"), ("timer", "timer"), ("log", "log"), ("error", "error"),
+)
+_ATTRS = r"((?:\s+[\w:.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)"
+_ELEMENT = rf"<([A-Za-z_][\w:.-]*){_ATTRS}\s*/?>"
+_TRANSITION = rf"(?s)<((?:[\w.-]+:)?(?:transition|[\w.-]*Transition[\w.-]*)){_ATTRS}\s*(?:/>|>(.*?)</\1\s*>)"
+
+
+def _attribute(attrs: Column, *names: str) -> Column:
+    """The first of the attributes that is there, unescaped."""
+    raw = [F.regexp_extract(attrs, rf"\s{n}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", g) for n in names for g in (1, 2)]
+    found = F.coalesce(*[F.when(r != "", r) for r in raw])
+    for code, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        found = F.replace(found, F.lit(code), F.lit(mark))
+    return found
+
+
 def process_activities(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Activities (document order, typed by palette hint) and transitions of process XML."""
-    acts = files.select(
-        "path", F.posexplode(F.arrays_zip(
-            F.xpath("text", F.lit("//activity/@name")).alias("name"), F.xpath("text", F.lit("//activity/@type")).alias("type"))).alias("pos", "a")
-    ).select("path", "pos", "a.name", F.split_part("a.type", F.lit("."), F.lit(1)).alias("connector"))
-    moves = files.select(
-        "path", F.explode(F.arrays_zip(
-            F.xpath("text", F.lit("//transition/@from")).alias("src"), F.xpath("text", F.lit("//transition/@to")).alias("dst"))).alias("t")
-    ).select("path", "t.src", "t.dst")
-    return acts, moves
+    """Activities and transitions of process XML, in document order.
+
+    Every named element is an activity, a name once; its type is an attribute or the tag, and a palette hint
+    in the type gives the connector.  Ends of a transition are attributes or child elements, by name
+    or by the id of a named element.  Malformed files give none.
+    """
+    plain = F.regexp_replace(readable_xml(F.col("text")), r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", "")
+    src = files.select("path", plain.alias("x")).filter("x IS NOT NULL")
+    every = lambda pattern, *groups: F.arrays_zip(*[F.regexp_extract_all("x", F.lit(pattern), F.lit(g)).alias(n) for n, g in groups])
+    named = F.filter(
+        F.transform(every(_ELEMENT, ("tag", 1), ("attrs", 2)), lambda e: F.struct(
+            F.trim(_attribute(e["attrs"], "name", "displayName")).alias("name"), _attribute(e["attrs"], "xmi:id", "id").alias("ident"),
+            F.coalesce(_attribute(e["attrs"], "type", "Type", "xmi:type"), e["tag"]).alias("type"))),
+        lambda e: e["name"] != "",
+    )
+    src = src.select("path", named.alias("named"), every(_TRANSITION, ("attrs", 2), ("inner", 3)).alias("moves"))
+    first = F.filter("named", lambda e, i: ~F.exists(F.slice("named", 1, i), lambda o: o["name"] == e["name"]))
+    acts = src.select("path", F.posexplode(first).alias("pos", "a"))
+    low = F.lower("a.type")
+    hint = F.coalesce(*[F.when(low.contains(word), connector) for word, connector in PALETTE_HINTS], F.when(F.col("a.type").contains("."), F.split_part("a.type", F.lit("."), F.lit(1))))
+    acts = acts.select("path", "pos", "a.name", "a.type", hint.alias("connector"))
+
+    def end(m: Column, names: tuple[str, ...], child: str) -> Column:
+        inner = rf"<(?:[\w.-]+:)?{child}(?:\s[^>]*?\svalue|\s+value)?(?:\s*=\s*\"([^\"]*)\"[^>]*>|\s*>([^<]*)<)"
+        nested = F.coalesce(*[F.when(F.regexp_extract(m["inner"], inner, g) != "", F.trim(F.regexp_extract(m["inner"], inner, g))) for g in (1, 2)])
+        given = F.coalesce(_attribute(m["attrs"], *names), nested)
+        return F.coalesce(F.try_element_at(F.filter("named", lambda e: e["ident"] == given), F.lit(1))["name"], given)
+
+    moves = src.select("path", "named", F.explode("moves").alias("m"))
+    moves = moves.select(
+        "path", end(F.col("m"), ("from", "From", "source", "Source", "fromRef", "sourceRef"), "from").alias("src"),
+        end(F.col("m"), ("to", "To", "target", "Target", "toRef", "targetRef"), "to").alias("dst"),
+    )
+    return acts, moves.filter("src IS NOT NULL AND dst IS NOT NULL")
 
 
 def start_activities(acts: DataFrame, moves: DataFrame) -> DataFrame:

@@ -419,7 +419,7 @@ def xml_documents(t):
 @query(
     "process_xml",
     """
-    SELECT 'bw/' || CAST(s_nationkey AS STRING) || '/proc' || CAST(s_suppkey AS STRING) || '.bwp' AS path, 'Receive' || CAST(s_suppkey % 5 AS STRING) AS start, CAST(3 AS BIGINT) AS activities, CAST(2 AS BIGINT) AS transitions,
+    SELECT 'bw/' || CAST(s_nationkey AS STRING) || '/proc' || CAST(s_suppkey AS STRING) || '.bwp' AS path, 'sales.Supplier' || CAST(s_suppkey AS STRING) AS start, CAST(15 AS BIGINT) AS activities, CAST(2 AS BIGINT) AS transitions,
       'http,jdbc' AS connectors FROM supplier""",
 )
 def process_xml(t):

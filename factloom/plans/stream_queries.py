@@ -42,19 +42,16 @@ def _folders(t):
 
 @query("event_tumbling_stream", _TUMBLE)
 def event_tumbling_stream(t):
-    """Append mode emits a window once the watermark passes it, so the windows still open at the
-    end of the input are added from the batch form of the same events."""
+    """The stream's own output: complete mode returns every window, those still open included."""
     out, state = _folders(t)
     src = streams.open_stream(t.spark, f"{t.root}/events*.parquet", t.events.schema)
     # a watermark needs an instant; the table's zone-less times are read as UTC
     src = src.withColumn("ts", F.expr("CAST(convert_timezone('UTC', current_timezone(), ts) AS TIMESTAMP)"))
-    streams.run_available(streams.tumbling_counts(src, "ts", "event_type", "6 hours", late="1 hour"), out, state)
-    closed = t.spark.read.schema("window_start timestamp, window_end timestamp, event_type string, n bigint, total double").parquet(out)
+    streams.run_complete(streams.tumbling_counts(src, "ts", "event_type", "6 hours", late="1 hour"), out, state)
+    got = t.spark.read.schema("window_start timestamp, window_end timestamp, event_type string, n bigint, total double").parquet(out)
     for c in ("window_start", "window_end"):
-        closed = closed.withColumn(c, F.expr(f"convert_timezone(current_timezone(), 'UTC', CAST({c} AS TIMESTAMP_NTZ))"))
-    whole = streams.tumbling_counts(t.events, "ts", "event_type", "6 hours")
-    still_open = whole.join(closed.select("window_start", "event_type"), ["window_start", "event_type"], "left_anti")
-    return closed.unionByName(still_open)
+        got = got.withColumn(c, F.expr(f"convert_timezone(current_timezone(), 'UTC', CAST({c} AS TIMESTAMP_NTZ))"))
+    return got
 
 
 @query("unseen_content_stream", "SELECT count(DISTINCT sha256(text)) AS contents, CAST(sum(len) AS BIGINT) AS chars FROM (SELECT text, length(text) AS len FROM documents GROUP BY 1)")
@@ -68,16 +65,17 @@ def unseen_content_stream(t):
 
 
 @query("change_feed_stream", """
-    WITH b AS (SELECT o_custkey AS key, count(*) AS orders FROM orders WHERE o_orderdate < TIMESTAMP '1997-06-01' GROUP BY 1), a AS (SELECT o_custkey AS key, count(*) AS orders FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1)
-    SELECT CAST(0 AS INT) AS batch, 'added' AS change, count(*) AS n FROM b UNION ALL
-    SELECT 1, CASE WHEN b.key IS NULL THEN 'added' ELSE 'modified' END, count(*) FROM a LEFT JOIN b ON a.key = b.key WHERE a.orders IS DISTINCT FROM b.orders GROUP BY 2""")
+    WITH v AS (SELECT o_custkey AS key, count(*) FILTER (o_orderdate < TIMESTAMP '1997-06-01') AS was, count(*) AS orders, bool_or(o_orderdate >= TIMESTAMP '1998-07-01') AS gone FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1)
+    SELECT CAST(0 AS INT) AS batch, 'added' AS change, count(*) AS n FROM v WHERE was > 0 UNION ALL
+    SELECT 1, CASE WHEN gone THEN 'removed' WHEN was = 0 THEN 'added' ELSE 'modified' END, count(*) FROM v WHERE (gone AND was > 0) OR (NOT gone AND was <> orders) GROUP BY 2""")
 def change_feed_stream(t):
-    """Two versions of a snapshot arrive one after the other; the feed holds what each changed."""
+    """Two versions of a snapshot arrive one after the other, the second with removed keys; the feed holds what each changed."""
     base = f"{scratch_dir(t.spark)}/feed-{uuid.uuid4().hex}"
-    schema = "key bigint, orders bigint, version int"
-    step = streams.change_feed("key", base + "/versions", base + "/feed")
+    schema = "key bigint, orders bigint, gone boolean, version int"
+    step = streams.change_feed("key", base + "/versions", base + "/feed", tombstone="gone")
     for version, until in enumerate(("1997-06-01", "1999-01-01")):
-        state = t.orders.filter(F.col("o_orderdate") < F.lit(until).cast("timestamp_ntz")).groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).alias("orders"))
+        state = t.orders.filter(F.col("o_orderdate") < F.lit(until).cast("timestamp_ntz")).groupBy(F.col("o_custkey").alias("key")).agg(
+            F.count(F.lit(1)).alias("orders"), F.bool_or(F.col("o_orderdate") >= F.lit("1998-07-01").cast("timestamp_ntz")).alias("gone"))
         state.withColumn("version", F.lit(version)).write.mode("append").parquet(base + "/in")
         src = streams.open_stream(t.spark, base + "/in", schema)
         q = src.writeStream.foreachBatch(step).option("checkpointLocation", base + "/state").trigger(availableNow=True).start()

@@ -33,8 +33,8 @@ def tumbling_counts(events: DataFrame, ts: str, key: str, width: str, slide: str
 
 
 def session_counts(events: DataFrame, ts: str, key: str, gap: str, late: str | None = None) -> DataFrame:
-    # sessions of one key are merged in every task before the shuffle, so a hot key stays small
-    events.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
+    """Sessions per key.  Set ``spark.sql.sessionWindow.merge.sessions.in.local.partition`` in the session, as
+    ``local_session`` does: sessions of a hot key are then merged in every task before the shuffle."""
     e = events.withWatermark(ts, late) if late else events
     g = e.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "n")
@@ -49,20 +49,32 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "
     query.awaitTermination()
 
 
-def change_feed(key: str, versions: str, feed: str) -> Callable:
+def run_complete(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """Run an aggregating stream over everything that has arrived; each batch replaces the whole result."""
+    query = (
+        stream.writeStream.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(target))
+        .option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
+def change_feed(key: str, versions: str, feed: str, tombstone: str | None = None) -> Callable:
     """Start a feed of snapshot changes: each batch is compared with the version before it.
 
-    A version and its changes are written under the batch's number, so a batch that is run
-    again after a failure replaces its own output.
+    A batch holds the latest rows of the keys that it touches; where the boolean column ``tombstone`` is
+    true the key is gone from then on.  A version and its changes are written under the batch's number, so a
+    batch that is run again after a failure replaces its own output.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         latest = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), "version").alias("s")).select(key, "s.*").drop("version")
+        touched = latest.select(key)
+        if tombstone:
+            latest = latest.filter(~F.coalesce(tombstone, F.lit(False))).drop(tombstone)
         if number:
             old = spark.read.parquet(f"{versions}/{number - 1}")
-            kept = old.join(latest.select(key), key, "left_anti")
-            now = kept.unionByName(latest)
+            now = old.join(touched, key, "left_anti").unionByName(latest)
         else:
             old, now = latest.limit(0), latest
         now.write.mode("overwrite").parquet(f"{versions}/{number}")
