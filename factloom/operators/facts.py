@@ -6,14 +6,16 @@ through VARIANT, XML through the XPath functions.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
 from factloom.functions import vocab
-from factloom.session import Rounds
 
 
 @dataclass(frozen=True)
@@ -305,30 +307,56 @@ def workflow_triggers(defs: DataFrame) -> DataFrame:
 
 # Action types that hold other actions.
 CONTROL_TYPES = ("If", "Switch", "Foreach", "Scope", "Until", "Parallel", "ParallelBranch")
-_BODY = "try_variant_get(node, '$.actions', 'map<string,variant>')"
-_BRANCHES = f"""
-  CASE WHEN type = 'If' THEN array(
-      named_struct('label', 'If.True', 'actions', {_BODY}),
-      named_struct('label', 'If.False', 'actions', try_variant_get(node, '$.else.actions', 'map<string,variant>')))
-    WHEN type = 'Switch' THEN concat(
-      transform(map_entries(coalesce(try_variant_get(node, '$.cases', 'map<string,variant>'), map())),
-        c -> named_struct('label', concat('Switch.', c.key), 'actions', try_variant_get(c.value, '$.actions', 'map<string,variant>'))),
-      array(named_struct('label', 'Switch.Default', 'actions', try_variant_get(node, '$.default.actions', 'map<string,variant>'))))
-    WHEN type = 'ParallelBranch' THEN transform(
-      coalesce(try_variant_get(node, '$.actions.branches', 'array<variant>'), array()),
-      (b, i) -> named_struct('label', concat('Parallel.Branch', i + 1), 'actions', try_variant_get(b, '$.actions', 'map<string,variant>')))
-    WHEN type IN ('Foreach', 'Scope', 'Until', 'Parallel') THEN array(named_struct('label', concat(type, '.Body'), 'actions', {_BODY}))
-  END"""
+_BODIES = ("actions", "else", "cases", "default")
+
+
+def _branches(node: dict) -> Iterator[tuple[str, dict]]:
+    """Labelled action maps inside a control action."""
+    kind = node.get("type")
+    inside = lambda n: n.get("actions") if isinstance(n, dict) else None
+    if kind == "If":
+        found = [("If.True", inside(node)), ("If.False", inside(node.get("else")))]
+    elif kind == "Switch":
+        cases = node.get("cases")
+        found = [(f"Switch.{k}", inside(c)) for k, c in (cases.items() if isinstance(cases, dict) else ())]
+        found.append(("Switch.Default", inside(node.get("default"))))
+    elif kind == "ParallelBranch":
+        branches = (inside(node) or {}).get("branches") if isinstance(inside(node), dict) else None
+        found = [(f"Parallel.Branch{i}", inside(b)) for i, b in enumerate(branches if isinstance(branches, list) else (), 1)]
+    else:
+        found = [(f"{kind}.Body", inside(node))] if kind in CONTROL_TYPES else []
+    return ((label, body) for label, body in found if isinstance(body, dict))
+
+
+def nested_actions(actions: dict) -> Iterator[tuple]:
+    """``(parent, branch, depth, name, node without bodies)`` of all actions, to any depth."""
+    todo = [(None, None, 0, actions)]
+    while todo:
+        parent, branch, depth, level = todo.pop()
+        for name, node in level.items():
+            inner = isinstance(node, dict)
+            yield parent, branch, depth, name, {k: v for k, v in node.items() if k not in _BODIES} if inner else node
+            if inner:
+                todo += [(name, label, depth + 1, body) for label, body in _branches(node)]
 
 
 def flatten_actions(defs: DataFrame) -> DataFrame:
     """Every action of a workflow, nested ones with their parent, branch and depth.
 
-    One pass per nesting depth; each level is written, so the job stops when a level is empty
-    and no depth is cut off.
+    Nesting is local to a file, so the walk is one map-only pass; facts are read off the flat rows.
     """
-    rounds = Rounds(defs.sparkSession, depth=1 << 30)
-    none = F.lit(None).cast("string")
+    columns = "parent string, branch string, depth int, name string, body string"
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
+        names = ["path", *(c.split()[0] for c in columns.split(", "))]
+        for b in batches:
+            rows = [
+                (path, *row[:4], json.dumps(row[4]))
+                for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for row in nested_actions(json.loads(text))
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(names), types)], names)
+
     http = F.col("type").isin("Http", "HttpWebhook")
     uri = F.when(http, _vstr("node", "$.inputs.uri")).otherwise(_vstr("node", "$.inputs.path"))
     connector = F.coalesce(
@@ -336,32 +364,17 @@ def flatten_actions(defs: DataFrame) -> DataFrame:
         F.substring_index(_vstr("node", "$.inputs.host.apiId"), "/", -1), "type",
     )
     child = F.when(F.col("uri").contains("/workflows/") & F.col("uri").contains("/triggers/") & F.col("uri").contains("/run"), F.col("uri"))
-    keep = ["path", "parent", "branch", "depth", "name", "type", "method", "uri", "connector", "run_after", "child_flow"]
-    level = defs.select("path", none.alias("parent"), none.alias("branch"), F.lit(0).alias("depth"), F.explode("actions").alias("name", "node"))
-    out = None
-    depth = 0
-    while True:
-        # facts are read off now; only control actions carry their body to the next level
-        read = (
-            level.withColumn("type", _vstr("node", "$.type"))
-            .withColumn("method", F.upper(_vstr("node", "$.inputs.method")))
-            .withColumn("uri", uri)
-            .withColumn("connector", connector)
-            .withColumn("run_after", F.array_sort(F.map_keys(_vmap("node", "$.runAfter"))))
-            .withColumn("child_flow", child)
-            .withColumn("inner", F.when(F.col("type").isin(*CONTROL_TYPES), F.col("node")))
-        )
-        level = rounds.keep(read.select(*keep, F.col("inner").alias("node")), "level", watch={"holders": F.count("node")})
-        done = level.select(*keep)
-        out = done if out is None else out.unionByName(done)
-        depth += 1
-        if not rounds.seen["holders"]:
-            return out
-        inner = level.filter("node IS NOT NULL")
-        inner = inner.withColumn("b", F.explode(F.expr(_BRANCHES))).filter("b.actions IS NOT NULL")
-        level = inner.select(
-            "path", F.col("name").alias("parent"), F.col("b.label").alias("branch"), F.lit(depth).alias("depth"), F.explode("b.actions").alias("name", "node")
-        )
+    rows = defs.select("path", F.to_json("actions").alias("actions")).mapInArrow(walk, "path string, " + columns)
+    return (
+        rows.withColumn("node", F.parse_json("body"))
+        .withColumn("type", _vstr("node", "$.type"))
+        .withColumn("method", F.upper(_vstr("node", "$.inputs.method")))
+        .withColumn("uri", uri)
+        .withColumn("connector", connector)
+        .withColumn("run_after", F.array_sort(F.map_keys(_vmap("node", "$.runAfter"))))
+        .withColumn("child_flow", child)
+        .select("path", "parent", "branch", "depth", "name", "type", "method", "uri", "connector", "run_after", "child_flow")
+    )
 
 
 def control_edges(actions: DataFrame) -> DataFrame:

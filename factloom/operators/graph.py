@@ -416,8 +416,10 @@ def select_markers(
     picked = parts[0]
     for p in parts[1:]:
         picked = picked.unionByName(p)
-    if picked.isEmpty():
-        picked = deg.orderBy(F.desc("degree"), "id").limit(max(1, k)).select("id", F.lit(3).alias("stage"), F.col("degree").cast("double").alias("score"))
+    picked = Rounds(nodes.sparkSession).keep(picked)  # a few rows, so that centrality runs once
+    none = picked.agg((F.count(F.lit(1)) == 0).alias("__none"))
+    rest = deg.orderBy(F.desc("degree"), "id").limit(max(1, k)).select("id", F.lit(3).alias("stage"), F.col("degree").cast("double").alias("score"))
+    picked = picked.unionByName(rest.join(F.broadcast(none), F.col("__none")).drop("__none"))
     return first_per_key(picked, ["id"], ["stage"])
 
 

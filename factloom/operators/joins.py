@@ -138,9 +138,10 @@ def name_matches(graphs: DataFrame, workflows: DataFrame, fallback: int) -> Data
     g = graphs.withColumn("key", norm(F.col("workflow")))
     names = workflows.select(norm(F.col("name")).alias("key")).filter("key <> ''").distinct()
     hit = g.filter("key <> ''").join(names, "key", "left_semi").select(*graphs.columns)
-    if hit.isEmpty():
-        return graphs.orderBy("workflow").limit(fallback)
-    return hit
+    # one row says whether anything matched
+    none = hit.agg((F.count(F.lit(1)) == 0).alias("__none"))
+    few = graphs.orderBy("workflow").limit(fallback).join(F.broadcast(none), F.col("__none")).drop("__none")
+    return hit.unionByName(few)
 
 
 # ---------------------------------------------------------------- fuzzy names

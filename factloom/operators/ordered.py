@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.session import Rounds
+
 HOT_ROWS = 1_000_000
 
 
@@ -100,6 +102,18 @@ def previous_value(
     return by_heat(df, keys, usual, hot, hot_rows)
 
 
+def global_index(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """1-based position in the order of all rows: rows are dealt by range and written, so that a row's position
+    in its partition is known; partitions get their offsets from a table with a row each."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    ranged = Rounds(df.sparkSession).keep(ranged).withColumn("__part", F.shiftright("__at", 33))
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__part", before.alias("__before"))
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranged.join(offsets, "__part").select(*df.columns, place.cast("bigint").alias(out))
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Keep the first row per key: an aggregate with map-side combine, not a window."""
     rest = [c for c in df.columns if c not in keys]

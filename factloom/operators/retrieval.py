@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,15 +52,19 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int, max_queries: int = 1000
     """Best ``k`` chunks per query by cosine: ``(query_id, chunk_id, score, rank)``.
 
     ``queries(query_id, vector)``; ``chunks(chunk_id, vector, ...)``.  Queries ride along as
-    one row (their number is checked), so chunks are scanned without a shuffle.  A slice of the
+    one row of at most ``max_queries``, so chunks are scanned without a shuffle; more queries go in
+    batches, a scan for each.  ``k`` is held to ``MAX_HITS``.  A slice of the
     chunks gives each query a score its k-th hit can not fall below; weaker rows are dropped
     where they are scored, and only the rest is ranked.  The slice never decides a result.
     """
     k = max(1, min(k, MAX_HITS))
+    spark = queries.sparkSession
     asked = queries.select("query_id", "vector").limit(max_queries + 1).collect()
     if len(asked) > max_queries:
-        raise ValueError(f"more than {max_queries} queries; pass them in batches")
-    spark = queries.sparkSession
+        parts = -(-queries.count() // max(1, max_queries // 2))
+        split = queries.withColumn("__part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+        found = [top_k(split.filter(F.col("__part") == i).drop("__part"), chunks, k, 4 * max_queries) for i in range(parts)]  # an uneven part may hold more
+        return reduce(DataFrame.unionByName, found)
     q_type = queries.schema["query_id"].dataType.simpleString()
     small = spark.createDataFrame(
         [([(r["query_id"], r["vector"]) for r in asked],)], f"qs array<struct<query_id:{q_type},qv:array<float>>>"

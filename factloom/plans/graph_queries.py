@@ -195,9 +195,7 @@ def cluster_types(t):
     from factloom.operators import ordered
 
     counts = marts.cluster_members(*_geo(t)).groupBy("cluster", "type").agg(F.count(F.lit(1)).alias("n"))
-    names = counts.select("cluster").distinct().withColumn("all", F.lit(1))
-    numbered = ordered.row_index(names, ["all"], ["cluster"], "cluster_no", [F.substring("cluster", 1, 9)])
-    return counts.join(numbered.select("cluster", "cluster_no"), "cluster")
+    return counts.join(ordered.global_index(counts.select("cluster").distinct(), ["cluster"], "cluster_no"), "cluster")
 
 
 @query("feature_rollup", f"""
