@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 # Edge label weights for distances.
 EDGE_WEIGHTS = {
     "calls": 1.0,
@@ -162,12 +160,3 @@ CRUD_BY_OPERATION = {
 PROTOCOL_BY_KIND = {
     "http": "https", "workflow": "https", "sql": "sql", "dataverse": "dataverse", "sharepoint": "sharepoint",
 }
-
-
-def pairs_frame(spark: SparkSession, mapping: dict, key: str, value: str) -> DataFrame:
-    """A vocabulary as a small table with its position; its size is fixed by this file."""
-    rows = []
-    for pos, (k, v) in enumerate(mapping.items()):
-        for item in v if isinstance(v, tuple) else (v,):
-            rows.append((pos, k, item))
-    return spark.createDataFrame(rows, f"pos int, {key} string, {value} string")

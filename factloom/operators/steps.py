@@ -15,7 +15,7 @@ from factloom.functions import vocab
 from factloom.operators import ordered
 
 ORDER = ["pos", "k1", "k2"]
-INTERFACE_CAP, INVOCATION_CAP, ERROR_CAP, IO_CAP, IDENTIFIER_CAP = 12, 20, 10, 10, 12
+INTERFACE_CAP, INVOCATION_CAP, ERROR_CAP, IDENTIFIER_CAP = 12, 20, 10, 12
 
 
 def step_bucket() -> list[Column]:

@@ -49,21 +49,32 @@ _SHARED = """
     SELECT signal_id, count(*) AS n FROM (SELECT d.signal_id FROM $dependency_rows d JOIN (SELECT value FROM $dependency_rows WHERE bucket = 'datastores' GROUP BY 1 HAVING count(*) > 1) v ON v.value = d.value WHERE bucket = 'datastores') GROUP BY 1"""
 
 
+_SHARED_IDS = """
+    SELECT i.signal_id, count(*) AS n FROM $identifier_rows i JOIN (SELECT identifier FROM $identifier_rows GROUP BY 1 HAVING count(DISTINCT signal_id) > 1) v ON v.identifier = i.identifier GROUP BY 1"""
+_SENTENCES = " ".join(f"WHEN '{rule}' THEN '{sentence}'" for rule, sentence, *_ in (*rules.HYPOTHESES, rules.FALLBACK))
+
+
 @query("hypotheses", f"""
-    WITH r AS (SELECT q.*, coalesce(s.n, 0) AS shared_data FROM $quality q LEFT JOIN ({_SHARED}) s ON s.signal_id = q.signal_id)
-    SELECT signal_id, rule, CAST(score AS DOUBLE) AS score FROM (
+    WITH p AS (SELECT component, count(*) FILTER (regexp_matches(lower(name), 'get|sort')) AS n FROM $signals GROUP BY 1),
+    r AS (SELECT q.*, coalesce(s.n, 0) AS shared_data, coalesce(i.n, 0) AS shared_ids, p.n AS search_peers FROM $quality q LEFT JOIN ({_SHARED}) s ON s.signal_id = q.signal_id
+      LEFT JOIN ({_SHARED_IDS}) i ON i.signal_id = q.signal_id LEFT JOIN p ON p.component = q.component)
+    SELECT signal_id, rule, CASE rule {_SENTENCES} END AS hypothesis, CAST(score AS DOUBLE) AS score FROM (
       SELECT signal_id, 'orchestrates' AS rule, 0.45 AS score FROM r WHERE processes >= 2 UNION ALL SELECT signal_id, 'common_data', 0.35 FROM r WHERE shared_data > 0
-      UNION ALL SELECT signal_id, 'shared_context', 0.3 FROM r WHERE identifiers > 1
+      UNION ALL SELECT signal_id, 'shared_context', 0.3 FROM r WHERE shared_ids > 0
+      UNION ALL SELECT signal_id, 'search_entry', 0.33 FROM r WHERE contains(lower(name), 'search') AND search_peers > 0
       UNION ALL SELECT signal_id, 'boundary', 0.32 FROM r WHERE interfaces > 0 AND services > 0
-      UNION ALL SELECT signal_id, 'records', 0.25 FROM r WHERE datastores > 0 AND NOT (processes >= 2 OR shared_data > 0 OR identifiers > 1 OR (interfaces > 0 AND services > 0)))""")
+      UNION ALL SELECT signal_id, 'records', 0.25 FROM r WHERE datastores > 0
+        AND NOT (processes >= 2 OR shared_data > 0 OR shared_ids > 0 OR (contains(lower(name), 'search') AND search_peers > 0) OR (interfaces > 0 AND services > 0)))""")
 def hypotheses(t):
-    from factloom.plans.step_queries import _deps
+    from factloom.plans.step_queries import _deps, _identifiers
 
     stores = _deps(t).filter("bucket = 'datastores'").select(F.col("signal_id").alias("process"), F.lit("datastore").alias("kind"), "value")
-    shared = marts.hub_edges(stores).groupBy(F.col("process").alias("signal_id")).agg(F.count(F.lit(1)).alias("shared_data"))
-    r = _quality(t).join(shared, "signal_id", "left").fillna(0, ["shared_data"])
-    r = r.withColumn("shared_ids", F.when(F.col("identifiers") > 1, 1).otherwise(0)).withColumn("search_peers", F.lit(0))
-    return rules.hypotheses(r.drop("score"), "signal_id").select("signal_id", "rule", "score")
+    ids = _identifiers(t).select(F.col("signal_id").alias("process"), F.lit("identifier").alias("kind"), F.col("identifier").alias("value"))
+    shared = marts.hub_edges(stores.unionByName(ids)).groupBy(F.col("process").alias("signal_id")).agg(
+        F.count_if(F.col("kind") == "datastore").alias("shared_data"), F.count_if(F.col("kind") == "identifier").alias("shared_ids"))
+    peers = t.view("signals").groupBy("component").agg(F.count_if(F.lower("name").rlike("get|sort")).alias("search_peers"))
+    r = _quality(t).join(shared, "signal_id", "left").join(peers, "component", "left").fillna(0, ["shared_data", "shared_ids", "search_peers"])
+    return rules.hypotheses(r.drop("score"), "signal_id").select("signal_id", "rule", "hypothesis", "score")
 
 
 @query("evidence_gate", "SELECT component, count(*) FILTER (identifiers > 0 AND (invocations > 0 OR datastores + processes + services > 0) AND (errors > 0 OR logging > 0)) AS eligible, count(*) AS records FROM $quality GROUP BY 1")
