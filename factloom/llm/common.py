@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,12 +38,19 @@ def whole(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
-def slices(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
-    """Runs of whole texts with about ``most`` characters each, so that one batch never holds much at once."""
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows: what a task holds as Python values stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def slices(texts: Iterable, most: int = 1 << 20) -> Iterator[list]:
+    """Runs of whole values (texts or lists) with about ``most`` elements each, so that a task never works on much at once."""
     run, size = [], 0
     for text in texts:
         run.append(text)
-        size += len(text)
+        size += len(text.values) if isinstance(text, pa.ListScalar) else len(text)
         if size >= most:
             yield run
             run, size = [], 0
@@ -73,7 +80,7 @@ def filtered(docs: DataFrame, make: Callable[[], Callable[[str], bool]]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = make()
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array([passes(t or "") for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, schema)

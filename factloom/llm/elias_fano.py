@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import kept, shared_path, whole
+from factloom.llm.common import kept, shared_path, small, whole
 from factloom.llm.tokens import library_ids
 
 END, EVERY, BLOCK, MAGIC = 0, 256, 1 << 20, b"EFID"
@@ -162,7 +162,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = library_ids(tokenizer)
-        each = (row for b in batches for row in zip(b.column(0).to_pylist(), made.of(b.column(1).to_pylist())))
+        each = (row for b in small(batches) for row in zip(b.column(0).to_pylist(), made.of(b.column(1).to_pylist())))
         wrote = _write_shard(folder, each, made.width, end)
         if wrote:
             values = [TaskContext.get().partitionId(), *wrote]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import whole
+from factloom.llm.common import small, whole
 
 MOST, EPOCHS, RATE, RIDGE = 400, 6, 0.3, 0.02
 
@@ -282,7 +282,7 @@ def fit(pages: DataFrame, most: int = MOST) -> dict[str, float]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = []
-        for b in batches:
+        for b in small(batches):
             for page in b.column(0).to_pylist():
                 found = blocks(page or "")
                 labels = taught(found)
@@ -305,7 +305,7 @@ def extract(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = Chain(weights)
-        for b in batches:
+        for b in small(batches):
             texts = [main_text(page, chain) for page in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import slices, whole
+from factloom.llm.common import slices, small, whole
 from factloom.llm.tokens import library_ids
 
 CAPACITY, END = 1024, 0
@@ -44,7 +44,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, task, numbers = library_ids(tokenizer), TaskContext.get().partitionId(), [0] * 64
-        for b in batches:
+        for b in small(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             at = 0
             for few in slices(texts):

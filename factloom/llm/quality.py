@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import filtered, labelled, slices, whole
+from factloom.llm.common import filtered, labelled, small, whole
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-BITS, ORDER, MOST, EPOCHS, REMEMBER = 18, 2, 12_000, 3, 300_000
+BITS, ORDER, MOST, EPOCHS, REMEMBER = 18, 2, 8_000, 3, 100_000
 ALPHA, BETA, L1, L2 = 0.5, 0.1, 1e-4, 1e-3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, most: int = MOST) -> np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, rows = Features(), []
-        for b in batches:
+        for b in small(batches):
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 index, value = features.of(text)
                 rows.append((index.astype(np.int32), value.astype(np.float32), label))
@@ -109,9 +109,9 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, w = Features(), model.value
-        for b in batches:
+        for b in small(batches):
             out = np.zeros(b.num_rows)
-            for i, text in enumerate(t for few in slices(b.column(1).to_pylist()) for t in few):
+            for i, text in enumerate(b.column(1).to_pylist()):
                 index, value = features.of(text)
                 out[i] = 1 / (1 + np.exp(-float(w[index] @ value)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["doc_id", "score"])

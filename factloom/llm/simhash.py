@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import kept, slices, whole
+from factloom.llm.common import kept, small, whole
 from factloom.operators.graph import connected_components
 
 SEED, RADIUS, SHINGLE, BLOCK, SMALL = 42, 3, 3, 2048, 24
@@ -60,8 +60,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), whole(F.col("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(t) for run in slices(b.column(2).to_pylist()) for t in run], np.uint64)
+        for b in small(batches):
+            fps = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "row_key", "fp"])
 
     return rows.mapInArrow(run, "doc_id long, row_key long, fp long")

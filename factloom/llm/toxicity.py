@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import filtered, kept, labelled, slices, whole
+from factloom.llm.common import filtered, kept, labelled, small, whole
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 MOST, DRIFT, PRIOR, MARGIN, TOKENS = 16_000, 0.25, 0.05, 2.5, 100_000
@@ -82,7 +82,7 @@ def token_counts(sample: DataFrame) -> DataFrame:
     """``(token, toxic, other)``: documents of each label with the token, combined in the task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             counts: dict[str, list[int]] = {}
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for w in set(TOKEN.findall(text.lower())):
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, most: int = MOST) -> Model:
     scores = {r.token: r.score for r in rows}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = [scan(t, scores) for t in b.column(0).to_pylist()]
             lists = [[s for *_, s in segs] for _, segs in found]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), b.column(1), pa.array(lists, pa.list_(pa.float64()))], ["n", "label", "found"])
@@ -178,9 +178,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     parts = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             out = []
-            for text in (t for few in slices(b.column(1).to_pylist()) for t in few):
+            for text in b.column(1).to_pylist():
                 n, found = scan(text, model.scores)
                 sure = [(i, j, s) for i, j, s in found if expected(model, n, s) < 0]
                 spans = []
