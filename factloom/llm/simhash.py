@@ -11,8 +11,7 @@ than ``BLOCK`` fingerprints is cut in blocks and every two blocks meet in a task
 meeting gives a spanning forest of its links, never all its pairs.  Nothing is capped.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero and links like any
-other; rows without an id take no part as representatives but get their component; a component whose
-rows all lack an id has a null component_id; repeated rows get equal results; an empty table gives an
+other; rows without an id represent a component only if none in it has one, whose component_id is then null; repeated rows get equal results; an empty table gives an
 empty result; other columns are not looked at.
 """
 
@@ -148,9 +147,8 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """``(doc_id, row_key, fp, component_id, first_key)`` for every row of ``docs(doc_id, text)``."""
     rows = kept(fingerprints(docs), "simhash-fps")
-    first = F.min(F.struct("doc_id", "row_key")).alias("first")
-    with_id = rows.filter("doc_id IS NOT NULL").groupBy("fp").agg(first)
-    fps = kept(rows.select("fp").distinct().join(with_id, "fp", "left"), "simhash-distinct")
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row_key")).alias("first")
+    fps = kept(rows.groupBy("fp").agg(first), "simhash-distinct")
     links = kept(fingerprint_links(fps.select("fp")), "simhash-links")
     ends = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct()
     label = connected_components(ends, links).select(F.col("id").alias("fp"), "component")
@@ -161,9 +159,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each component stays: the one with the smallest id (then text hash), with all its columns."""
-    groups = near_groups(docs)
-    stay = groups.filter("component_id IS NULL OR (doc_id = component_id AND row_key = first_key)")
+    """One row of each component stays: the one with the smallest id (then text hash; without any id, the
+    smallest text hash), with all its columns."""
+    stay = near_groups(docs).filter("doc_id <=> component_id AND row_key = first_key")
     stay = stay.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
     again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")

@@ -46,7 +46,7 @@ def near_texts(n, seed=1):
     return out
 
 
-EDGE = [(1, None), (2, ""), (3, " \t"), (4, "One TWO"), (5, "one two"), (6, "É x y z"), (6, "É x y z"), (None, "one two"), (None, "alone here now ok"), (7, "w " * 200000)]
+EDGE = [(1, None), (2, ""), (3, " \t"), (4, "One TWO"), (5, "one two"), (6, "É x y z"), (6, "É x y z"), (None, "one two"), (None, "alone here now ok"), (None, "alone here now ok"), (7, "w " * 200000)]
 
 
 def test_groups_match_brute_force(docs_of):
@@ -64,6 +64,7 @@ def test_stage_keeps_one_of_each_group(docs_of):
     want = {c for d, _, c in brute(pairs) if c is not None}
     ids = [r.doc_id for r in kept.collect()]
     assert {i for i in ids if i is not None} == want and len(ids) == len(set(ids))
+    assert [r.text for r in kept.collect() if r.doc_id is None] == ["alone here now ok"]
 
 
 def test_empty_table(docs_of):
