@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with DuckDB's recursive queries, one database per task.
 
 Encoding: a text is cut by the vocabulary's pattern; what a task has not met yet becomes rows
-``(word, pos, id)``, a row per byte.  A recursive query joins every adjacent pair of rows with the merge
-table and contracts, in every word, the leftmost pair of least rank, until no word has a pair left.  The
+``(word, pos, id)``, a row per byte, linked to its right neighbour.  A recursive query joins every pair of
+neighbours with the merge table and contracts, in every word, the leftmost pair of least rank (rank and position
+are packed in one number, whose minimum it takes), until no word has a pair left.  The
 merge table holds each way to cut a vocabulary entry in two entries.  Pieces longer than ``LONG`` bytes,
 where a step per token would cost the square of the length, are contracted by the same rule with a heap.
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import duckdb
 import numpy as np
@@ -26,23 +27,26 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import slices, whole
+from factloom.llm.common import slices, small, whole
 from factloom.llm.tokens import WHITE, Remembered
 
-LONG, WORDS = 128, 8_000
+LONG, WORDS, PIECES, CHUNKS = 128, 20_000, 400_000, 150_000
 
 ENCODE = """
 WITH RECURSIVE tok AS (
-    SELECT word, pos, id, 0 AS step FROM start
+    SELECT word, pos, id, lead(pos) OVER w AS next_pos, lead(id) OVER w AS next_id, 0 AS step FROM start WINDOW w AS (PARTITION BY word ORDER BY pos)
     UNION ALL
-    SELECT word, pos, CASE WHEN pos = best & 4294967295 THEN best >> 32 ELSE id END, step + 1
-    FROM (
-        SELECT p.word, p.pos, p.id, p.step, p.prev, min(m.id << 32 | p.pos) OVER (PARTITION BY p.word) AS best
-        FROM (SELECT word, pos, id, step, id << 32 | lead(id) OVER w AS pair, lag(pos) OVER w AS prev
-              FROM tok WINDOW w AS (PARTITION BY word ORDER BY pos)) p
-        LEFT JOIN merges m USING (pair)
-    )
-    WHERE best IS NOT NULL AND prev IS DISTINCT FROM best & 4294967295
+    SELECT t.word, t.pos,
+      CASE WHEN t.pos = b.at THEN b.id ELSE t.id END,
+      CASE WHEN t.pos = b.at THEN b.next_pos ELSE t.next_pos END,
+      CASE WHEN t.pos = b.at THEN b.next_id WHEN t.next_pos = b.at THEN b.id ELSE t.next_id END,
+      t.step + 1
+    FROM tok t
+    JOIN (SELECT c.word, c.best & 4294967295 AS at, c.best >> 32 AS id, c.gone, n.next_pos, n.next_id
+          FROM (SELECT l.word, min(m.id << 32 | l.pos) AS best, arg_min(l.next_pos, m.id << 32 | l.pos) AS gone
+                FROM tok l JOIN merges m ON m.pair = (l.id << 32 | l.next_id) GROUP BY l.word) c
+          JOIN tok n ON n.word = c.word AND n.pos = c.gone) b ON b.word = t.word
+    WHERE t.pos <> b.gone
 )
 SELECT word, id FROM (SELECT word, pos, id, step, max(step) OVER (PARTITION BY word) AS last FROM tok)
 WHERE step = last ORDER BY word, pos
@@ -72,8 +76,8 @@ class DuckBpe:
         # a byte per character, so that ordered text aggregation joins bytes
         self._table("vocab", pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "piece": [w.decode("latin-1") for w in self.ranks]}))
         self.largest = max(self.ranks.values())
-        self.pieces = Remembered(self._encode_pieces)
-        self.chunks = Remembered(self._encode_chunks)
+        self.pieces = Remembered(self._encode_pieces, PIECES)
+        self.chunks = Remembered(self._encode_chunks, CHUNKS)
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -120,27 +124,17 @@ class DuckBpe:
         raw = [p.encode() for p in pieces]
         found: dict[int, np.ndarray] = {i: np.array([self.ranks[w]]) for i, w in enumerate(raw) if w in self.ranks}
         found |= {i: self._merge_long(w) for i, w in enumerate(raw) if len(w) > LONG and i not in found}
-        todo = [i for i in range(len(raw)) if i not in found]
+        todo = sorted((i for i in range(len(raw)) if i not in found), key=lambda i: len(raw[i]))  # alike in number of steps
         for at in range(0, len(todo), WORDS):
             few = todo[at : at + WORDS]
             found |= dict(zip(few, self._merge([raw[i] for i in few]), strict=True))
         return [found[i].astype("<i4").tobytes() for i in range(len(raw))]
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        parts = [self.pattern.findall(c) for c in chunks]
-        known = self.pieces.known
-        if len(known) > 400_000:
-            known.clear()
-        new = list({p for ps in parts for p in ps if p not in known})
-        known.update(zip(new, self._encode_pieces(new)))
-        out = [b"".join([known[p] for p in ps]) for ps in parts]
-        for p in new:
-            if len(p) > 100:
-                del known[p]
-        return out
+        return [b"".join(ids) for ids in self.pieces.of([self.pattern.findall(c) for c in chunks])]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for parts in self.chunks.of(texts):
+        for parts in self.chunks.texts(texts):
             yield np.frombuffer(b"".join(parts), "<i4")
 
     def decode(self, docs: list[np.ndarray]) -> list[bytes]:
@@ -166,36 +160,48 @@ def duck_bpe(path: str, pattern: str) -> DuckBpe:
     return _LOADED[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``(doc_id, ids)`` of ``docs(doc_id, text)``, map-only."""
-    rows = docs.select("doc_id", whole(F.col("text")).alias("text"))
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32)))
+
+
+def _mapped(rows: DataFrame, path: str, pattern: str, columns: dict[str, str], make: Callable) -> DataFrame:
+    """``make(coder, values)`` gives Arrow columns for runs of the second column of ``rows``; the first is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = duck_bpe(path, pattern)
-        for b in batches:
-            at = 0
-            for few in slices(b.column(1).to_pylist()):
-                ids = list(made.encode(few))
-                offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(few)), lists], ["doc_id", "ids"])
+        coder = duck_bpe(path, pattern)
+        for b in small(batches):
+            at, given = 0, b.column(1)
+            for few in slices(given.to_pylist() if pa.types.is_string(given.type) else given):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(few)), *make(coder, few)], ["doc_id", *columns])
                 at += len(few)
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{n} {t}" for n, t in columns.items())]))
+
+
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``(doc_id, ids)`` of ``docs(doc_id, text)``, map-only."""
+    rows = docs.select("doc_id", whole(F.col("text")).alias("text"))
+    return _mapped(rows, path, pattern, {"ids": "array<int>"}, lambda coder, few: [_lists(list(coder.encode(few)))])
 
 
 def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``(doc_id, ids, bytes)`` of ``rows(doc_id, ids)``, map-only; null ids count as none."""
+    """``(doc_id, bytes)`` of ``rows(doc_id, ids)``, map-only; null ids count as none."""
     rows = rows.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = duck_bpe(path, pattern)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                few = b.slice(at, 256)
-                ids = few.column(1)
-                docs = [ids[i].values.to_numpy(zero_copy_only=False) for i in range(len(ids))]
-                yield pa.RecordBatch.from_arrays([*few.columns, pa.array(made.decode(docs), pa.binary())], ["doc_id", "ids", "bytes"])
+    def make(coder: DuckBpe, few: list[pa.ListScalar]) -> list[pa.Array]:
+        return [pa.array(coder.decode([x.values.to_numpy(zero_copy_only=False) for x in few]), pa.binary())]
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, bytes binary")
+    return _mapped(rows, path, pattern, {"bytes": "binary"}, make)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``(doc_id, ids, bytes)``: texts encoded and their ids decoded again, in one pass."""
+    rows = docs.select("doc_id", whole(F.col("text")).alias("text"))
+
+    def make(coder: DuckBpe, few: list[str]) -> list[pa.Array]:
+        ids = list(coder.encode(few))
+        return [_lists(ids), pa.array(coder.decode(ids), pa.binary())]
+
+    return _mapped(rows, path, pattern, {"ids": "array<int>", "bytes": "binary"}, make)

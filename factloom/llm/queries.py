@@ -50,8 +50,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_bpe_duckdb")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
-    return bpe.decode(ids, path, pattern).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"),
     )

@@ -3,8 +3,8 @@
 A chunk is a run of white space with the run of other characters behind it.  Byte-level vocabularies
 split a text at the start of every such chunk anyway, so a chunk has the same ids wherever it stands:
 each task encodes the chunks it has not met yet and joins a text's ids from them.  What a task
-remembers is bounded by ``REMEMBER`` chunks of at most ``LONG`` characters; longer ones are encoded
-each time.
+remembers is bounded by ``REMEMBER`` chunks of at most ``LONG`` characters (twice, see ``Remembered``); longer ones are
+encoded each time.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 
 from factloom.llm.common import slices
 
-REMEMBER, LONG = 400_000, 100
+REMEMBER, LONG = 250_000, 100
 
 #: The white space of the vocabularies' split pattern.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -27,25 +27,36 @@ PLAIN = re.compile(f" ?[^{WHITE}]+")
 
 
 class Remembered:
-    """``encode(chunks)`` gives a value per chunk; values are kept for chunks met again."""
-
-    def __init__(self, encode: Callable[[list[str]], list]):
-        self.encode, self.known = encode, {}
-
-    def of(self, texts: Iterable[str]) -> Iterator[list]:
+    """Values of keys, computed once while remembered.
+
+    Two generations of at most about ``most`` keys: when the young one is full it becomes the old one,
+    and keys met again move back, so frequent keys stay.  Keys longer than ``LONG`` are not kept.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list], most: int):
+        self.make, self.most, self.young, self.old = make, most, {}, {}
+
+    def of(self, groups: list[list[str]]) -> list[list]:
+        """Per group the values of its keys."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for key in {k for g in groups for k in g if k not in young}:
+            if key in old:
+                young[key] = old[key]
+            else:
+                new.append(key)
+        young.update(zip(new, self.make(new)))
+        values = [list(map(young.__getitem__, g)) for g in groups]
+        for key in new:
+            if len(key) > LONG:
+                del young[key]
+        return values
+
+    def texts(self, texts: Iterable[str]) -> Iterator[list]:
         """Per text the values of its chunks."""
         for run in slices(list(texts)):
-            parts = [CHUNK.findall(t) for t in run]
-            if len(self.known) > REMEMBER:
-                self.known = {}
-            known = self.known
-            new = list({c for p in parts for c in p if c not in known})
-            long = [c for c in new if len(c) > LONG]
-            known.update(zip(new, self.encode(new)))
-            values = [list(map(known.__getitem__, p)) for p in parts]
-            for c in long:
-                del known[c]
-            yield from values
+            yield from self.of([CHUNK.findall(t) for t in run])
 
 
 class LibraryIds:
@@ -59,7 +70,7 @@ class LibraryIds:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.line = self._ids(["\n"])[0]
-        self.chunks = Remembered(self._encode)
+        self.chunks = Remembered(self._encode, REMEMBER)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,7 +92,7 @@ class LibraryIds:
         return [found[c] for c in chunks]
 
     def of(self, texts: Iterable[str]) -> Iterator[bytes]:
-        return map(b"".join, self.chunks.of(texts))
+        return map(b"".join, self.chunks.texts(texts))
 
 
 _LOADED: dict[str, LibraryIds] = {}

@@ -65,7 +65,8 @@ def test_memory_is_bounded(library, monkeypatch):
     made = tokens.LibraryIds(JSON)
     for t in TEXTS:
         assert np.frombuffer(next(made.of([t])), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
-    assert all(len(c) <= tokens.LONG for c in made.chunks.known)
+        assert len(made.chunks.young) <= 5 + len(t) and len(made.chunks.old) <= 5 + max(map(len, TEXTS))
+    assert all(len(c) <= tokens.LONG for c in {**made.chunks.young, **made.chunks.old})
 
 
 # ---------------------------------------------------------------- DuckDB byte-level BPE
@@ -90,10 +91,15 @@ def test_long_words_follow_the_same_rule(duck, ranks):
 
 
 def test_encode_and_decode_tables(docs_of, ranks):
-    ids = bpe.encode(docs_of(PAIRS, ["ids", "bytes", "word"]), RANKS, public_tokenizers.PATTERN)
-    got = sorted(((r.doc_id, tuple(r.ids), bytes(r.bytes)) for r in bpe.decode(ids, RANKS, public_tokenizers.PATTERN).collect()), key=repr)
+    docs = docs_of(PAIRS, ["ids", "bytes", "word"])
+    both = bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect()
+    got = sorted(((r.doc_id, tuple(r.ids), bytes(r.bytes)) for r in both), key=repr)
     assert got == sorted(((i, tuple(ranks.encode_ordinary(t or "")), (t or "").encode()) for i, t in PAIRS), key=repr)
-    assert bpe.encode(docs_of([]), RANKS, public_tokenizers.PATTERN).count() == 0
+    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    assert sorted(((r.doc_id, tuple(r.ids)) for r in ids.collect()), key=repr) == [g[:2] for g in got]
+    back = bpe.decode(ids, RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted(((r.doc_id, bytes(r.bytes)) for r in back), key=repr) == sorted(((g[0], g[2]) for g in got), key=repr)
+    assert bpe.round_trip(docs_of([]), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
 def test_unknown_id_is_refused(duck):
