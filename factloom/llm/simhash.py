@@ -18,7 +18,7 @@ empty result; other columns are not looked at.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +35,11 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text: str) -> list[str]:
+def shingles(text: str, size: int = SHINGLE) -> list[str]:
     words = _WORD.findall(text.translate(_UPPER) if not text.isascii() else text.lower())
-    if len(words) <= SHINGLE:
+    if len(words) <= size:
         return [" ".join(words)] if words else []
-    return list(map(" ".join, zip(*(words[i:] for i in range(SHINGLE)))))
+    return list(map(" ".join, zip(*(words[i:] for i in range(size)))))
 
 
 def fingerprint(text: str) -> int:
@@ -158,10 +158,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return rows.join(of_fp, "fp")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each component stays: the one with the smallest id (then text hash; without any id, the
+def drop_near_copies(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_groups) -> DataFrame:
+    """One row of each component of ``groups`` stays: the one with the smallest id (then text hash; without any id, the
     smallest text hash), with all its columns."""
-    stay = near_groups(docs).filter("doc_id <=> component_id AND row_key = first_key")
+    stay = groups(docs).filter("doc_id <=> component_id AND row_key = first_key")
     stay = stay.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
     again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
