@@ -31,6 +31,8 @@ from factloom.llm.common import slices, small, whole
 from factloom.llm.tokens import WHITE, Remembered
 
 LONG, WORDS, PIECES, CHUNKS = 128, 20_000, 400_000, 150_000
+#: Most squared bytes of the words of a recursive query, which holds the rows of every step: at most half as many.
+SQUARES = 4_000_000
 
 ENCODE = """
 WITH RECURSIVE tok AS (
@@ -125,8 +127,11 @@ class DuckBpe:
         found: dict[int, np.ndarray] = {i: np.array([self.ranks[w]]) for i, w in enumerate(raw) if w in self.ranks}
         found |= {i: self._merge_long(w) for i, w in enumerate(raw) if len(w) > LONG and i not in found}
         todo = sorted((i for i in range(len(raw)) if i not in found), key=lambda i: len(raw[i]))  # alike in number of steps
-        for at in range(0, len(todo), WORDS):
-            few = todo[at : at + WORDS]
+        squares, at = np.cumsum([len(raw[i]) ** 2 for i in todo]), 0
+        while at < len(todo):
+            most = SQUARES + (squares[at - 1] if at else 0)
+            end = min(at + WORDS, max(at + 1, int(np.searchsorted(squares, most, "right"))))
+            few, at = todo[at:end], end
             found |= dict(zip(few, self._merge([raw[i] for i in few]), strict=True))
         return [found[i].astype("<i4").tobytes() for i in range(len(raw))]
 

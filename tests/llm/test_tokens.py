@@ -165,3 +165,10 @@ def test_cuts():
     for n in (1, 2, 3, 1023, 1024, 1025, 5000):
         assert sum(packing.cuts(n)) == n and all(c & c - 1 == 0 for c in packing.cuts(n))
     assert packing.cuts(11, 4) == [4, 4, 2, 1]
+
+
+def test_many_long_pieces_fit_the_database(duck, ranks):
+    rng = random.Random(9)
+    letters = [chr(c) for c in range(0x4E00, 0x9FA5)]
+    text = " ".join("".join(rng.choices(letters, k=20)) for _ in range(30_000))
+    assert [x.tolist() for x in duck.encode([text])] == [ranks.encode_ordinary(text)]
