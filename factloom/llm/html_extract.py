@@ -82,6 +82,8 @@ class _Open:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks with text, in page order; text that no reader sees is left out."""
     out: list[Block] = []
+    paths: list[tuple[_Open, ...]] = []
+    firsts: dict[str, tuple[_Open, ...]] = {}
     stack: list[_Open] = []
     text: list[str] = []
     linked, link, at, size, last = 0, 0, 0, len(page), page.rfind(">")
@@ -93,7 +95,8 @@ def blocks(page: str) -> list[Block]:
             tags = tuple(o.tag for o in stack)
             if "header" in tags and CONTENT & set(tags[: tags.index("header")]):
                 tags = tuple("title" if t == "header" else t for t in tags)  # an article's own heading
-            out.append(Block(joined, tags, frozenset().union(*(o.words for o in stack)), linked))
+            out.append(Block(joined, tags, frozenset(), linked))
+            paths.append(tuple(stack))
         text.clear()
         linked = 0
 
@@ -165,10 +168,29 @@ def blocks(page: str) -> list[Block]:
                 break
         found = " ".join(g for m in _ATTR.finditer(attributes) for g in m.groups() if g) if attributes else ""
         stack.append(_Open(tag, frozenset(_WORDS.findall(found.lower()))))
+        if tag in CONTENT:
+            firsts.setdefault(tag, tuple(stack))
     flush()
+    around = _wrappers(out, paths, firsts)
+    for b, path in zip(out, paths):
+        b.words = frozenset().union(*(o.words - ASIDE_WORDS if o.tag in ("html", "body") or id(o) in around else o.words for o in path))
     return out
 
 
+def _wrappers(found: list[Block], paths: list[tuple[_Open, ...]], firsts: dict[str, tuple[_Open, ...]]) -> set[int]:
+    """Identities of the elements round the page's content, whose words say nothing of their blocks: the first ``main``
+    and what encloses it, and the first ``article`` and what encloses it as far as they hold over half of the text
+    in such elements (a list of related articles or of comments does not)."""
+    sizes: dict[int, int] = {}
+    total = 0
+    for b, path in zip(found, paths):
+        if CONTENT & set(b.tags):
+            total += len(b.text)
+            for o in path:
+                sizes[id(o)] = sizes.get(id(o), 0) + len(b.text)
+    return {id(o) for o in firsts.get("main", ())} | {id(o) for o in firsts.get("article", ()) if 2 * sizes.get(id(o), 0) > total}
+
+
 def _behind(page: str, tag: str, at: int) -> int:
     """Where the unseen element that opened before ``at`` ends; nested ones of its name are counted."""
     if tag in _RAW_END:
