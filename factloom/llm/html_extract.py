@@ -297,9 +297,16 @@ def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = EPOCHS)
 
 def fit(pages: DataFrame, most: int = MOST) -> dict[str, float]:
     place = F.xxhash64("page_id")
-    ids = pages.filter("page_id IS NOT NULL").select("page_id").distinct().orderBy(place, "page_id").limit(most)
+    able = pages.filter(F.col("page_id").isNotNull() & F.col("html").rlike("(?i)<(article|main)")).select("page_id", F.xxhash64("html").alias("key"), "html")
+
+    def teaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            yield b.select(["page_id", "key"]).filter(pa.array([taught(blocks(page)) is not None for page in b.column(2).to_pylist()], pa.bool_()))
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    ids = able.mapInArrow(teaching, f"page_id {kind}, key long").groupBy("page_id").agg(F.min("key").alias("key")).orderBy(place, "page_id").limit(most)
     # at most ``most`` ids; a repeated id gives one page
-    rows = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
+    rows = able.join(F.broadcast(ids), ["page_id", "key"]).groupBy("page_id").agg(F.min("html").alias("html"))
     rows = rows.repartition(1).sortWithinPartitions(place, "page_id").select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

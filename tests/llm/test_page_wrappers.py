@@ -18,3 +18,10 @@ def test_names_of_wrappers_do_not_hide_the_article(page):
     found = html_extract.blocks(page)
     assert [b.text for b, label in zip(found, html_extract.taught(found)) if label] == PARTS
     assert html_extract.main_text(page, html_extract.Chain()) == " ".join(PARTS)
+
+
+def test_only_pages_that_teach_count_for_the_sample(spark):
+    plain = "<div class='zzz'><p>No part is named here.</p></div>"
+    pages = spark.createDataFrame([(i, "u", WRAPPED[1] if i % 40 == 0 else plain if i % 3 else None) for i in range(400)], "page_id long, url string, html string")
+    few = html_extract.fit(pages.filter("page_id % 40 = 0"), most=10)
+    assert html_extract.fit(pages, most=10) == few and few != html_extract.EXPECT
