@@ -6,12 +6,13 @@ standard errors, counted by documents so that a repeating text counts once.  Tok
 score ``-DRIFT``.  A linear scan (Ruzzo and Tompa) finds all maximal-scoring segments of a text.
 
 A segment of score S in a text of n tokens is expected ``K n exp(-lambda S)`` times by chance (Karlin
-and Altschul): lambda solves ``sum p_i exp(lambda s_i) = 1`` over the tokens of clean documents, K is
+and Altschul): lambda solves ``sum p_i exp(lambda s_i) = 1`` over the scores of the clean documents' maximal
+segments, each counted as one token, and ``-DRIFT`` for the rest of their tokens, not over single tokens' scores; K is
 the maximum-likelihood value given their best segments.  Segments expected less than once are the
 passages; the sum of their negative log expectations is the evidence, and a logistic curve fitted on
 the learning rows turns it into a score.
 
-The classifier is fitted on at most ``MOST`` labelled rows (``common.labelled``); all texts are scored,
+The classifier is fitted on at most ``MOST`` labelled rows (``common.labelled``) and keeps the ``TOKENS`` strongest tokens; all texts are scored,
 whole.  Defined cases: null text counts as empty and has no evidence; without rows of both labels every
 score is ``prior`` (the share of label 1, or 0); ids may be null or repeated; an empty table gives an
 empty result; other columns are not looked at.
