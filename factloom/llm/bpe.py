@@ -7,7 +7,8 @@ are packed in one number, whose minimum it takes), until no word has a pair left
 merge table holds each way to cut a vocabulary entry in two entries.  Pieces longer than ``LONG`` bytes,
 where a step per token would cost the square of the length, are contracted by the same rule with a heap.
 
-Decoding: id rows join the vocabulary and an ordered aggregation puts each document's bytes together.
+Decoding: id rows join the vocabulary and an ordered aggregation puts each document's bytes together, in runs
+of at most ``RUN`` ids, so that a very long text takes more queries and not a larger one.
 
 Defined cases: null text counts as empty, which has no ids; documents are rows, so repeated and null
 ids are carried through; an unknown id in ``decode`` raises; an empty table gives an empty result; other
@@ -30,7 +31,11 @@ from pyspark.sql import functions as F
 from factloom.llm.common import slices, small, whole
 from factloom.llm.tokens import WHITE, Remembered
 
-LONG, WORDS, PIECES, CHUNKS = 128, 20_000, 400_000, 150_000
+LONG, WORDS = 128, 20_000
+#: Bytes a worker remembers of pieces and of chunks.
+PIECES, CHUNKS = 96 << 20, 96 << 20
+#: Most ids in one decoding query; longer documents are decoded in runs.
+RUN = 300_000
 #: Most squared bytes of the words of a recursive query, which holds the rows of every step: at most half as many.
 SQUARES = 4_000_000
 
@@ -142,18 +147,38 @@ class DuckBpe:
         for parts in self.chunks.texts(texts):
             yield np.frombuffer(b"".join(parts), "<i4")
 
-    def decode(self, docs: list[np.ndarray]) -> list[bytes]:
-        sizes = np.array([len(d) for d in docs], np.int64)
-        flat = np.concatenate([*docs, np.empty(0, np.int32)]).astype(np.int64)
+    def _decode_runs(self, runs: list[np.ndarray]) -> list[bytes]:
+        sizes = np.array([len(r) for r in runs], np.int64)
+        flat = np.concatenate([*runs, np.empty(0, np.int32)]).astype(np.int64)
         if len(flat) and (flat.min() < 0 or flat.max() > self.largest):
             raise ValueError("an id outside the vocabulary")
-        self.db.register("ids", pa.table({"doc": np.repeat(np.arange(len(docs)), sizes), "pos": np.arange(len(flat)), "id": flat}))
-        out = [b""] * len(docs)
-        for doc, text in self.db.execute(DECODE).fetchall():
-            out[doc] = text.encode("latin-1")
+        self.db.register("ids", pa.table({"doc": np.repeat(np.arange(len(runs)), sizes), "pos": np.arange(len(flat)), "id": flat}))
+        out = [b""] * len(runs)
+        for run, text in self.db.execute(DECODE).fetchall():
+            out[run] = text.encode("latin-1")
         self.db.unregister("ids")
         return out
 
+    def decode(self, docs: list[np.ndarray]) -> list[bytes]:
+        parts: list[list[bytes]] = [[] for _ in docs]
+        owners, runs, size = [], [], 0
+
+        def done():
+            for i, raw in zip(owners, self._decode_runs(runs)):
+                parts[i].append(raw)
+
+        for i, ids in enumerate(docs):
+            for at in range(0, len(ids), RUN):
+                run = ids[at : at + RUN]
+                if size + len(run) > RUN:
+                    done()
+                    owners, runs, size = [], [], 0
+                owners.append(i)
+                runs.append(run)
+                size += len(run)
+        done()
+        return [b"".join(p) for p in parts]
+
 
 _LOADED: dict[tuple[str, str], DuckBpe] = {}
 

@@ -2,9 +2,9 @@
 
 A chunk is a run of white space with the run of other characters behind it.  Byte-level vocabularies
 split a text at the start of every such chunk anyway, so a chunk has the same ids wherever it stands:
-each task encodes the chunks it has not met yet and joins a text's ids from them.  What a task
-remembers is bounded by ``REMEMBER`` chunks of at most ``LONG`` characters (twice, see ``Remembered``); longer ones are
-encoded each time.
+each task encodes the chunks it has not met yet and joins a text's ids from them.  What a worker
+remembers is bounded by ``REMEMBER`` bytes (see ``Remembered``).  Strings of special tokens get their own
+ids, as the library gives them by default.
 """
 
 from __future__ import annotations
@@ -12,12 +12,18 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
+from itertools import compress
+from operator import is_
 
 import numpy as np
 
 from factloom.llm.common import slices
 
-REMEMBER, LONG = 250_000, 100
+REMEMBER, LONG = 200 << 20, 100
+#: Bytes of an entry besides its key and value, and bits (a byte each) for keys met once.
+ENTRY, MET = 190, 4 << 20
+ABSENT = partial(is_, None)
 
 #: The white space of the vocabularies' split pattern.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -27,30 +33,43 @@ PLAIN = re.compile(f" ?[^{WHITE}]+")
 
 
 class Remembered:
-    """Values of keys, computed once while remembered.
+    """Values of keys, computed once while remembered; ``most`` bounds the bytes of all that is kept.
 
-    Two generations of at most about ``most`` keys: when the young one is full it becomes the old one,
-    and keys met again move back, so frequent keys stay.  Keys longer than ``LONG`` are not kept.
+    A key is kept when it is met a second time (a bit per hashed key says so; a clash only keeps one early),
+    as most keys of natural text never come back.  Two generations: when the young one holds half of the
+    bytes it becomes the old one, and keys met again move back, so frequent keys stay.  Keys longer than
+    ``LONG`` are not kept.
     """
 
     def __init__(self, make: Callable[[list[str]], list], most: int):
         self.make, self.most, self.young, self.old = make, most, {}, {}
+        self.bytes, self.met = 0, bytearray(MET)
+
+    def _keep(self, key: str, value: bytes) -> None:
+        self.young[key] = value
+        self.bytes += ENTRY + len(key) + len(value)
 
     def of(self, groups: list[list[str]]) -> list[list]:
         """Per group the values of its keys."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, []
-        for key in {k for g in groups for k in g if k not in young}:
-            if key in old:
-                young[key] = old[key]
-            else:
-                new.append(key)
-        young.update(zip(new, self.make(new)))
-        values = [list(map(young.__getitem__, g)) for g in groups]
-        for key in new:
-            if len(key) > LONG:
-                del young[key]
+        if self.bytes > self.most // 2:
+            self.young, self.old, self.bytes, self.met = {}, self.young, 0, bytearray(MET)
+        young = self.young.get
+        values = [list(map(young, g)) for g in groups]
+        short = [i for i, v in enumerate(values) if None in v]
+        missing = set().union(*(compress(groups[i], map(ABSENT, values[i])) for i in short))
+        found = {k: self.old[k] for k in missing if k in self.old}
+        for key, value in found.items():
+            self._keep(key, value)
+        new = [k for k in missing if k not in found]
+        for key, value in zip(new, self.make(new), strict=True):
+            found[key] = value
+            if len(key) <= LONG:
+                at = hash(key) % MET
+                if self.met[at]:
+                    self._keep(key, value)
+                self.met[at] = 1
+        for i in short:
+            values[i] = [found[k] if v is None else v for k, v in zip(groups[i], values[i])]
         return values
 
     def texts(self, texts: Iterable[str]) -> Iterator[list]:
@@ -67,7 +86,6 @@ class LibraryIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.line = self._ids(["\n"])[0]
         self.chunks = Remembered(self._encode, REMEMBER)

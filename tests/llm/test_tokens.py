@@ -15,7 +15,7 @@ JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 TEXTS = [
-    "", " ", "  ", "\n", "a", "a  b", "a \n b", "a\t\n b", "a\x0b\xa0 b", "word  x", "tail  ", "\n\nx\n", "it's we'll\x1cx", "a\x85b", "<|endoftext|> x",
+    "", " ", "  ", "\n", "a", "a  b", "a \n b", "a\t\n b", "a\x0b\xa0 b", "word  x", "tail  ", "\n\nx\n", "it's we'll\x1cx", "a\x85b", "<|endoftext|> x", "end<|endoftext|>start", "a  <|endoftext|>  b <|endoftext|>", "<|endoftext|><|endoftext|>\n y",
     "Straße déjà-vu \U0001f600\U0001f600 12345 $$$%%% !!", "x" * 3000, " " * 900 + "y", "ab" * 500, "日本語のテキスト です", "a​b ﻿ c", "\r\n\r\n q", "".join(map(chr, range(1, 400))),
 ]
 PAIRS = [(i * 3 % 29, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (40, None), (41, "twice"), (41, "twice"), (42, "many words here, " * 9000)]
@@ -23,9 +23,7 @@ PAIRS = [(i * 3 % 29, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (40,
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 @pytest.fixture(scope="module")
@@ -54,19 +52,29 @@ def test_chunked_ids_are_the_librarys(library):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.characters(exclude_categories=["Cs"]) | st.sampled_from(" \n\t\r\x0b\xa0 'sab1.$"), max_size=40))
+@given(st.text(st.characters(exclude_categories=["Cs"]) | st.sampled_from(" \n\t\r\x0b\xa0 'sab1.$"), max_size=40) | st.lists(st.sampled_from(["<|endoftext|>", " ", "\n", "a", "'s", "1", "  ", "?"]), max_size=12).map("".join))
 def test_chunked_ids_are_the_librarys_on_any_text(library, text):
     made = tokens.library_ids(JSON)
     assert np.frombuffer(next(made.of([text])), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_memory_is_bounded(library, monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBER", 5)
-    made = tokens.LibraryIds(JSON)
-    for t in TEXTS:
+    monkeypatch.setattr(tokens, "REMEMBER", 3000)
+    made, few = tokens.LibraryIds(JSON), [t for t in TEXTS if len(t) < 300]
+    for t in few * 3:
         assert np.frombuffer(next(made.of([t])), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
-        assert len(made.chunks.young) <= 5 + len(t) and len(made.chunks.old) <= 5 + max(map(len, TEXTS))
-    assert all(len(c) <= tokens.LONG for c in {**made.chunks.young, **made.chunks.old})
+        of_one_text = 300 * (tokens.ENTRY + 300)
+        assert made.chunks.bytes <= 1500 + of_one_text and len(made.chunks.old) * tokens.ENTRY <= 1500 + of_one_text
+    for t in TEXTS * 2:
+        next(made.of([t]))
+    kept = {**made.chunks.young, **made.chunks.old}
+    assert kept and all(len(c) <= tokens.LONG for c in kept)
+
+
+def test_keys_met_once_are_not_kept():
+    made = tokens.Remembered(lambda keys: [k.encode() for k in keys], 1 << 20)
+    assert made.of([["a", "b"]]) == [[b"a", b"b"]] and not made.young
+    assert made.of([["a", "c"], ["a"]]) == [[b"a", b"c"], [b"a"]] and made.young == {"a": b"a"}
 
 
 # ---------------------------------------------------------------- DuckDB byte-level BPE
@@ -172,3 +180,10 @@ def test_many_long_pieces_fit_the_database(duck, ranks):
     letters = [chr(c) for c in range(0x4E00, 0x9FA5)]
     text = " ".join("".join(rng.choices(letters, k=20)) for _ in range(30_000))
     assert [x.tolist() for x in duck.encode([text])] == [ranks.encode_ordinary(text)]
+
+
+def test_very_long_text_is_decoded_in_runs(duck, ranks):
+    text = "some words of a long text, and more. " * 850_000  # 31 MB, 8 million ids
+    ids = next(iter(duck.encode([text])))
+    assert len(ids) > 20 * bpe.RUN and duck.decode([np.empty(0, np.int32), ids, ids[:3]]) == [b"", text.encode(), ranks.decode_bytes(ids[:3].tolist())]
+    assert ids[:2000].tolist() == ranks.encode_ordinary(text[:20_000])[:2000]
