@@ -20,7 +20,7 @@ import numpy as np
 
 from factloom.llm.common import slices
 
-REMEMBER, LONG = 200 << 20, 100
+REMEMBER, LONG = 280 << 20, 100
 #: Bytes of an entry besides its key and value, and bits (a byte each) for keys met once.
 ENTRY, MET = 190, 4 << 20
 ABSENT = partial(is_, None)
