@@ -89,10 +89,10 @@ def packet_snippets(snippets: DataFrame, membership: DataFrame, cap: int = MAX_P
     return ordered.top_per_key(j, ["group"], [F.col("record_id"), F.col("pos")], cap)
 
 
-def evidence_index(evidence: DataFrame, bucket: list[Column]) -> DataFrame:
+def evidence_index(evidence: DataFrame) -> DataFrame:
     """Evidence ids under one running counter per record: plain entries first, then role and
     protocol sections.  ``evidence(record_id, section, label, pos, entry)``."""
-    n = ordered.row_index(evidence, ["record_id"], ["section", "pos"], "n", bucket)
+    n = ordered.row_index(evidence, ["record_id"], ["section", "pos"], "n")
     num = (F.col("n") - 1).cast("string")
     tag = F.when(F.col("section") == 0, F.lit("#e")).when(F.col("section") == 1, F.concat(F.lit("#role-"), F.col("label"), F.lit("-e"))).otherwise(
         F.concat(F.lit("#"), F.col("label"), F.lit("-e"))

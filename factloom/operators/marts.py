@@ -194,32 +194,6 @@ def cross_family_values(processes: DataFrame, members: DataFrame, asked: DataFra
 SCAFFOLD_FIELDS = ("identifiers", "datastores", "processes", "calls", "logging", "errors")
 
 
-def field_counts(signals: DataFrame, parts: dict[str, DataFrame], buckets: DataFrame | None = None) -> DataFrame:
-    """Signals with the number of rows each part holds for them (0 when none).
-
-    All parts become (signal_id, field) rows under one aggregation, so the number of shuffles
-    does not grow with the number of parts.  ``buckets`` adds rows already named by ``bucket``.
-    """
-    rows = None
-    names = list(parts)
-    if buckets is not None:
-        rows = buckets.select("signal_id", F.col("bucket").alias("field"))
-        names = ["datastores", "processes", "services"] + names
-    for name, df in parts.items():
-        part = df.select("signal_id", F.lit(name).alias("field"))
-        rows = part if rows is None else rows.unionByName(part)
-    counts = rows.groupBy("signal_id").agg(*[F.count_if(F.col("field") == n).alias(n) for n in names])
-    return signals.join(counts, "signal_id", "left").fillna(0, names)
-
-
-def scaffold_presence(
-    signals: DataFrame, deps: DataFrame, ids: DataFrame, logs: DataFrame, errs: DataFrame, more: dict[str, DataFrame] | None = None
-) -> DataFrame:
-    """Per signal, how many entries each scaffold field has, and each of ``more``."""
-    parts = {"identifiers": ids, "logging": logs, "errors": errs} | (more or {})
-    return field_counts(signals, parts, deps).withColumn("calls", F.col("services") + F.col("processes"))
-
-
 def missing_fields(presence: DataFrame) -> DataFrame:
     lost = F.array_compact(F.array(*[F.when(F.col(f) == 0, F.lit(f)) for f in SCAFFOLD_FIELDS]))
     return presence.withColumn("missing", lost)
@@ -282,14 +256,14 @@ def step_coverage(steps: DataFrame, relations_known: DataFrame | None = None) ->
 
 
 # ---------------------------------------------------------------- budgets
-def apply_budget(docs: DataFrame, group: str, order: str, length: Column, budget: int, bucket: Column) -> DataFrame:
+def apply_budget(docs: DataFrame, group: str, order: str, length: Column, budget: int) -> DataFrame:
     """Documents taken per group until the character budget is reached.
 
     ``taken`` is the characters kept: all of a document, a part of the one that straddles the
     budget, 0 for those after it.  The straddler ends the packing.
     """
     d = docs.withColumn("__len", length.cast("bigint"))
-    d = ordered.running_total(d, [group], [order], F.col("__len"), "cum", [bucket])
+    d = ordered.running_total(d, [group], [order], F.col("__len"), "cum")
     before = F.col("cum") - F.col("__len")
     taken = F.when(F.col("cum") <= budget, F.col("__len")).when(before < budget, budget - before).otherwise(0)
     return d.withColumn("taken", taken.cast("bigint")).withColumn("truncated", (F.col("cum") > budget) & (before < budget)).drop("__len")

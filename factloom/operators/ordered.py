@@ -1,15 +1,14 @@
 """Order-dependent operators that never put a huge group into one task.
 
-Groups are counted first.  The usual ones run as one window per group.  Groups above
-``HOT_ROWS`` are cut into runs by ``bucket`` columns, a coarse monotone function of the order
-columns (for example ``id div 100000``): totals per (group, run) are small, they are
-prefix-summed and joined back, and the fine-grained window runs per (group, run) only.
-Both ways give the same rows.
+Rows are dealt by range of (key, order) and written once, so a large group lies in as many
+partitions as it needs and the input is evaluated once.  Inside a partition a window runs per
+key; what came before is a carry.  Only the first key of a partition can go on from an earlier
+one, so there are at most as many carries as partitions, whatever the number of keys, and they
+are broadcast.  Groups of all sizes take the same way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,88 +17,49 @@ from pyspark.sql.window import Window
 
 from factloom.session import Rounds
 
-HOT_ROWS = 1_000_000
 
+def _dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` in order by range, written, with ``__at`` (rising over all rows) and its partition ``__part``."""
+    by = [F.col(c) for c in keys + order]
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    return Rounds(df.sparkSession).keep(ranged).withColumn("__part", F.shiftright("__at", 33))
 
-def _bucketed(df: DataFrame, bucket: list[Column]) -> tuple[DataFrame, list[str]]:
-    names = [f"__b{i}" for i in range(len(bucket))]
-    for n, c in zip(names, bucket):
-        df = df.withColumn(n, c)
-    return df, names
 
+def _carried(dealt: DataFrame, keys: list[str], per: Column, carry: Column) -> DataFrame:
+    """``dealt`` with ``__carry`` for the rows of each (partition, key) whose key has a part in another partition.
 
-def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b["__r_" + n]) for n in names], F.lit(True))
-
-
-def _renamed(df: DataFrame, names: list[str], *more: Column) -> DataFrame:
-    return df.select(*[F.col(c).alias("__r_" + c) for c in names], *more)
-
-
-def by_heat(
-    df: DataFrame, keys: list[str], usual: Callable[[DataFrame], DataFrame], hot: Callable[[DataFrame], DataFrame], hot_rows: int | None = None
-) -> DataFrame:
-    """Run ``usual`` on groups of at most ``hot_rows`` rows and ``hot`` on the larger ones.
-
-    The hot keys are at most rows / hot_rows, so their broadcast is bounded; when there are
-    none the hot branch is dropped at run time.
+    ``per`` aggregates a part to ``__per``; ``carry`` is a window expression over a key's parts, null where there is none.
     """
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    heavy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
-    heavy = F.broadcast(_renamed(heavy, keys))
-    calm = usual(df.join(heavy, _same(df, heavy, keys), "left_anti"))
-    busy = hot(df.join(heavy, _same(df, heavy, keys), "left_semi"))
-    return calm.unionByName(busy)
+    parts = dealt.groupBy("__part", *keys).agg(per.alias("__per"))
+    parts = parts.withColumn("__carry", carry).filter("__carry IS NOT NULL")
+    parts = F.broadcast(parts.select(*[F.col(c).alias("__r_" + c) for c in ["__part", *keys]], "__carry"))  # at most a row per partition
+    same = reduce(lambda x, y: x & y, [dealt[c].eqNullSafe(parts["__r_" + c]) for c in ["__part", *keys]])
+    return dealt.join(parts, same, "left").drop(*["__r_" + c for c in ["__part", *keys]])
 
 
-def running_total(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, bucket: list[Column], hot_rows: int | None = None
-) -> DataFrame:
-    """Inclusive running sum of ``value`` per key in ``order``."""
-    df = df.withColumn("__v", value)
-    upto = (Window.unboundedPreceding, 0)
-
-    def usual(d: DataFrame) -> DataFrame:
-        return d.withColumn(out, F.sum("__v").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto))).drop("__v")
+def running_total(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """Inclusive running sum of ``value`` per key in ``order`` (nulls first)."""
+    dealt = _dealt(df.withColumn("__v", value), keys, order)
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _carried(dealt, keys, F.sum("__v"), F.sum("__per").over(before))
+    inner = F.sum("__v").over(Window.partitionBy("__part", *keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.when(F.col("__carry").isNull(), inner).otherwise(F.col("__carry") + F.coalesce(inner, F.lit(0)))
+    return rows.withColumn(out, total).drop("__v", "__carry", "__at", "__part")
 
-    def hot(d: DataFrame) -> DataFrame:
-        d, bs = _bucketed(d, bucket)
-        per = d.groupBy(*keys, *bs).agg(F.sum("__v").alias("__s"))
-        before = F.sum("__s").over(Window.partitionBy(*keys).orderBy(*bs).rowsBetween(Window.unboundedPreceding, -1))
-        offs = _renamed(per, keys + bs, F.coalesce(before, F.lit(0)).alias("__off"))
-        inner = Window.partitionBy(*keys, *bs).orderBy(*order).rowsBetween(*upto)
-        j = d.join(offs, _same(d, offs, keys + bs))
-        return j.withColumn(out, F.col("__off") + F.sum("__v").over(inner)).drop("__v", "__off", *bs, *["__r_" + c for c in keys + bs])
 
-    return by_heat(df, keys, usual, hot, hot_rows)
-
-
-def row_index(
-    df: DataFrame, keys: list[str], order: list[str], out: str, bucket: list[Column], hot_rows: int | None = None
-) -> DataFrame:
+def row_index(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """1-based position per key in ``order``."""
-    return running_total(df, keys, order, F.lit(1).cast("bigint"), out, bucket, hot_rows)
+    return running_total(df, keys, order, F.lit(1).cast("bigint"), out)
 
 
-def previous_value(
-    df: DataFrame, keys: list[str], order: list[str], column: str, out: str, bucket: list[Column], following: bool = False, hot_rows: int | None = None
-) -> DataFrame:
+def previous_value(df: DataFrame, keys: list[str], order: list[str], column: str, out: str, following: bool = False) -> DataFrame:
     """Neighbouring value per key: the one before, or after when ``following``."""
-    shift = F.lead if following else F.lag
-
-    def usual(d: DataFrame) -> DataFrame:
-        return d.withColumn(out, shift(column).over(Window.partitionBy(*keys).orderBy(*order)))
-
-    def hot(d: DataFrame) -> DataFrame:
-        d, bs = _bucketed(d, bucket)
-        pick = F.min_by if following else F.max_by
-        edge = d.groupBy(*keys, *bs).agg(pick(F.struct(F.col(column).alias("v")), F.struct(*order)).alias("__e"))
-        near = _renamed(edge, keys + bs, shift("__e").over(Window.partitionBy(*keys).orderBy(*bs)).alias("__near"))
-        here = shift(F.struct(F.col(column).alias("v"))).over(Window.partitionBy(*keys, *bs).orderBy(*order))
-        j = d.join(near, _same(d, near, keys + bs))
-        return j.withColumn(out, F.coalesce(here, F.col("__near")).getField("v")).drop("__near", *bs, *["__r_" + c for c in keys + bs])
-
-    return by_heat(df, keys, usual, hot, hot_rows)
+    shift, edge = (F.lead, F.min_by) if following else (F.lag, F.max_by)
+    held = F.struct(F.col(column).alias("v"))
+    near = shift("__per").over(Window.partitionBy(*keys).orderBy("__part"))
+    rows = _carried(_dealt(df, keys, order), keys, edge(held, "__at"), near)
+    here = shift(held).over(Window.partitionBy("__part", *keys).orderBy("__at"))
+    return rows.withColumn(out, F.coalesce(here, F.col("__carry")).getField("v")).drop("__carry", "__at", "__part")
 
 
 def global_index(df: DataFrame, order: list[str], out: str) -> DataFrame:

@@ -18,11 +18,6 @@ ORDER = ["pos", "k1", "k2"]
 INTERFACE_CAP, INVOCATION_CAP, ERROR_CAP, IDENTIFIER_CAP = 12, 20, 10, 12
 
 
-def step_bucket() -> list[Column]:
-    """Coarse monotone order of a signal's steps: bounded runs even for one huge signal."""
-    return [F.col("pos"), F.expr("k1 div 100000")]
-
-
 def _contains_any(c: Column, words) -> Column:
     out = F.lit(False)
     for w in words:
@@ -104,7 +99,7 @@ def fixture_identifiers(files: DataFrame, items: int = 25) -> DataFrame:
 def backfill_steps(signals: DataFrame, steps: DataFrame, relations: DataFrame) -> DataFrame:
     """Steps named after relationships, for signals that have relationships and no steps."""
     bare = relations.join(steps.select("signal_id").distinct(), "signal_id", "left_anti")
-    numbered = ordered.row_index(bare, ["signal_id"], ORDER, "idx", step_bucket())
+    numbered = ordered.row_index(bare, ["signal_id"], ORDER, "idx")
     target = F.coalesce("target_ref", F.concat(F.lit("target_"), F.col("idx").cast("string")))
     return numbered.select(
         "signal_id", "idx", F.concat(F.lit("Step_"), F.col("idx").cast("string"), F.lit("_"), target).alias("name"),
@@ -256,7 +251,7 @@ def traceability(iface: DataFrame, steps: DataFrame, deps: DataFrame) -> DataFra
 # ---------------------------------------------------------------- activities and transitions
 def activities(steps: DataFrame) -> DataFrame:
     """Steps with a per-signal index and unique names (a repeated name gets ``-index``)."""
-    numbered = ordered.row_index(steps, ["signal_id"], ORDER, "idx", step_bucket())
+    numbered = ordered.row_index(steps, ["signal_id"], ORDER, "idx")
     firsts = numbered.groupBy("signal_id", "name").agg(F.min("idx").alias("__f"))
     hit = numbered.alias("a").join(firsts.alias("b"), ["signal_id", "name"])
     return hit.withColumn(
@@ -267,7 +262,7 @@ def activities(steps: DataFrame) -> DataFrame:
 def transitions(steps: DataFrame, start: DataFrame) -> DataFrame:
     """Transitions between activities: the steps a step runs after, else the step before it, else
     the start activity; both ends must be known names, each (pair, branch) once."""
-    s = ordered.previous_value(steps, ["signal_id"], ORDER, "name", "prev", step_bucket())
+    s = ordered.previous_value(steps, ["signal_id"], ORDER, "name", "prev")
     s = s.join(start.select("signal_id", F.col("node").alias("start")), "signal_id", "left")
     before = F.coalesce(F.split("run_after", "[|]"), F.array(F.coalesce("prev", "start")))
     rows = s.select("signal_id", F.explode(before).alias("src"), F.col("name").alias("dst"), F.col("branch").alias("label"))

@@ -45,11 +45,13 @@ def shared_value_hubs(t):
     return marts.hub_edges(t.view("uses")).select("process", "kind", "value", "members")
 
 
-_ASKED = "SELECT process FROM $uses GROUP BY 1 ORDER BY count(*) DESC, process LIMIT 5"
+# every process whose number is divisible by 100 is asked for
+_ASKED = "SELECT DISTINCT process FROM $uses WHERE CAST(regexp_extract(process, '([0-9]+)$', 1) AS BIGINT) % 100 = 0"
 
 
 def _asked(t):
-    return t.view("uses").groupBy("process").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "process").limit(5).select("process")
+    number = F.regexp_extract("process", "([0-9]+)$", 1).try_cast("bigint")
+    return t.view("uses").filter(number % 100 == 0).select("process").distinct()
 
 
 @query("shared_pairs", f"SELECT DISTINCT a.process, b.process AS peer, a.kind, a.value FROM $uses a JOIN ({_ASKED}) q ON q.process = a.process JOIN $uses b ON b.kind = a.kind AND b.value = a.value AND b.process <> a.process")
@@ -209,7 +211,7 @@ view("conv_evidence", """
 @query("evidence_index", """
     SELECT CAST(record_id AS STRING) || CASE section WHEN 0 THEN '#e' WHEN 1 THEN '#role-' || label || '-e' ELSE '#' || label || '-e' END || CAST(row_number() OVER (PARTITION BY record_id ORDER BY section, pos) - 1 AS STRING) AS evidence_id, record_id, entry FROM $conv_evidence""")
 def evidence_index(t):
-    return joins.evidence_index(t.view("conv_evidence"), [F.col("section"), F.expr("pos div 1000")])
+    return joins.evidence_index(t.view("conv_evidence"))
 
 
 @query("pruned_claims", """
@@ -218,7 +220,7 @@ def evidence_index(t):
     SELECT claim_id, evidence_id, count(*) AS n FROM c WHERE evidence_id IN (SELECT evidence_id FROM k) GROUP BY 1, 2""")
 def pruned_claims(t):
     claims = t.conversations.select(F.col("conv_id").alias("claim_id"), F.concat(F.col("conv_id").cast("string"), F.lit("#e"), (F.col("turn") % 3).cast("string")).alias("evidence_id"))
-    known = joins.evidence_index(t.view("conv_evidence"), [F.col("section"), F.expr("pos div 1000")])
+    known = joins.evidence_index(t.view("conv_evidence"))
     return joins.prune_evidence(claims, known).groupBy("claim_id", "evidence_id").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.operators import marts, ordered
+from factloom.operators import marts, ordered, signal_pass
 from factloom.operators import steps as st
 from factloom.plans import views  # noqa: F401  (registers the shared views)
 from factloom.plans.registry import query, view
-from factloom.plans.step_queries import _control, _data, _deps, _identifiers
+from factloom.plans.step_queries import _control, _deps
 from factloom.session import scratch_dir
 from factloom.sources import corpus
 
@@ -168,10 +168,13 @@ view("presence", """
     LEFT JOIN (SELECT signal_id, count(*) AS n FROM $error_rows GROUP BY 1) e ON e.signal_id = s.signal_id""")
 
 
-def _presence(t, more=None):
-    steps = t.view("steps", spread=True)
-    signals = t.view("signals").select("signal_id", "kind", "component", "name")
-    return marts.scaffold_presence(signals, _deps(t), _identifiers(t), st.logging(steps), st.errors(steps, _control(t)), more)
+def _facts(t):
+    return t.kept("facts", lambda: signal_pass.facts(
+        t.view("signals"), t.view("steps", spread=True), t.view("relations", spread=True), t.view("triggers"), _control(t)))
+
+
+def _presence(t):
+    return signal_pass.presence(_facts(t))
 
 
 _GAP = "(identifiers = 0 OR datastores = 0 OR processes = 0 OR services + processes = 0 OR logging = 0 OR errors = 0)"
@@ -210,9 +213,7 @@ view("quality", """
 
 
 def _quality(t):
-    steps, trig = t.view("steps", spread=True), t.view("triggers")
-    parts = {"steps": steps, "relationships": t.view("relations", spread=True), "interfaces": st.interfaces(steps, trig), "invocations": st.invocations(steps), "triggers": trig}
-    return marts.process_quality(_presence(t, parts))
+    return marts.process_quality(_presence(t))
 
 
 @query("process_quality", "SELECT signal_id, CAST(score AS BIGINT) AS score, score >= 5 OR steps > 0 OR relationships > 0 AS has_details, CAST(priority AS INT) AS priority, band FROM $quality")
@@ -289,12 +290,12 @@ def usage_cost(t):
     SELECT doc_id, source, CAST(cum AS BIGINT) AS cum, CAST(CASE WHEN cum <= 20000 THEN len WHEN cum - len < 20000 THEN 20000 - (cum - len) ELSE 0 END AS BIGINT) AS taken, cum > 20000 AND cum - len < 20000 AS truncated FROM c""")
 def budget_pack(t):
     d = t.documents.select("doc_id", "source", F.length("text").alias("len"))
-    return marts.apply_budget(d, "source", "doc_id", F.col("len"), 20000, F.expr("doc_id div 100000")).select("doc_id", "source", "cum", "taken", "truncated")
+    return marts.apply_budget(d, "source", "doc_id", F.col("len"), 20000).select("doc_id", "source", "cum", "taken", "truncated")
 
 
 @query("item_batches", "SELECT batch, count(*) AS n, min(p_partkey) AS first_part FROM (SELECT p_partkey, p_brand || '-' || CAST((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 16 AS STRING) AS batch FROM part) GROUP BY 1")
 def item_batches(t):
-    n = ordered.row_index(t.part.select("p_partkey", "p_brand"), ["p_brand"], ["p_partkey"], "n", [F.expr("p_partkey div 100000")])
+    n = ordered.row_index(t.part.select("p_partkey", "p_brand"), ["p_brand"], ["p_partkey"], "n")
     b = n.withColumn("batch", F.concat("p_brand", F.lit("-"), F.expr("(n - 1) div 16").cast("string")))
     return b.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_part"))
 

@@ -63,6 +63,10 @@ class Tables:
             return self._plan(("table", name), lambda: self.spark.read.parquet(f"{self.root}/{name}.parquet"))
         raise AttributeError(name)
 
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that one query writes and then reads several times."""
+        return self._plan(("kept", name), make)
+
     def spread(self, name: str) -> DataFrame:
         """A table for CPU-heavy row work: an input of a few splits is dealt out to the cores.
 

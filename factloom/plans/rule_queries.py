@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import vectors
-from factloom.operators import joins, marts, retrieval, rules
-from factloom.plans.mart_queries import _presence, _quality
+from factloom.operators import joins, marts, retrieval, rules, signal_pass
+from factloom.plans.mart_queries import _facts, _presence, _quality
 from factloom.plans import views  # noqa: F401  (registers the shared views)
 from factloom.plans.registry import query
 
@@ -66,10 +66,9 @@ _SENTENCES = " ".join(f"WHEN '{rule}' THEN '{sentence}'" for rule, sentence, *_
       UNION ALL SELECT signal_id, 'records', 0.25 FROM r WHERE datastores > 0
         AND NOT (processes >= 2 OR shared_data > 0 OR shared_ids > 0 OR (contains(lower(name), 'search') AND search_peers > 0) OR (interfaces > 0 AND services > 0)))""")
 def hypotheses(t):
-    from factloom.plans.step_queries import _deps, _identifiers
-
-    stores = _deps(t).filter("bucket = 'datastores'").select(F.col("signal_id").alias("process"), F.lit("datastore").alias("kind"), "value")
-    ids = _identifiers(t).select(F.col("signal_id").alias("process"), F.lit("identifier").alias("kind"), F.col("identifier").alias("value"))
+    found = _facts(t)
+    stores = signal_pass.dependencies(found).filter("bucket = 'datastores'").select(F.col("signal_id").alias("process"), F.lit("datastore").alias("kind"), "value")
+    ids = signal_pass.identifiers(found).select(F.col("signal_id").alias("process"), F.lit("identifier").alias("kind"), F.col("identifier").alias("value"))
     shared = marts.hub_edges(stores.unionByName(ids)).groupBy(F.col("process").alias("signal_id")).agg(
         F.count_if(F.col("kind") == "datastore").alias("shared_data"), F.count_if(F.col("kind") == "identifier").alias("shared_ids"))
     peers = t.view("signals").groupBy("component").agg(F.count_if(F.lower("name").rlike("get|sort")).alias("search_peers"))
@@ -92,10 +91,10 @@ def coverage_shares(t):
 # ---------------------------------------------------------------- retrieval
 @query("vector_topk", """
     SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rn AS INT) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score,
-      row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) AS rn FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 5) q, embeddings c) WHERE rn <= 6""")
+      row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) AS rn FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q, embeddings c) WHERE rn <= 6""")
 def vector_topk(t):
     e = t.embeddings
-    asked = e.orderBy("vec_id").limit(5).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     chunks = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     return retrieval.top_k(asked, chunks, 6).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -109,13 +108,13 @@ def embedded_chunks(t):
 
 
 @query("retrieved_context", """
-    WITH h AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) AS rn FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 5) q, embeddings c),
+    WITH h AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) AS rn FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q, embeddings c),
     x AS (SELECT query_id, rn, source || '#L1-L' || CAST(len(string_split(text, chr(10))) AS STRING) AS cite, least(length(text), 2000) AS n, sum(least(length(text), 2000)) OVER (PARTITION BY query_id ORDER BY rn) AS cum FROM h JOIN documents ON doc_id = chunk_id WHERE rn <= 6),
     y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rn) AS k FROM x)
     SELECT query_id, CAST(rn AS INT) AS rank, cite, CAST(n AS INT) AS chars FROM y WHERE k = 1 OR cum <= 3000""")
 def retrieved_context(t):
     e = t.embeddings
-    asked = e.orderBy("vec_id").limit(5).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     hits = retrieval.top_k(asked, e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), 6)
     docs = t.documents.select(F.col("doc_id").alias("chunk_id"), "source", "text")
     cite = retrieval.citation(F.col("source"), F.lit(1), F.size(F.split("text", "\n")))

@@ -384,7 +384,7 @@ def conversation_transitions(t):
     from factloom.operators import ordered
 
     turns = ordered.previous_value(
-        t.conversations.select("conv_id", "turn", "role"), ["conv_id"], ["turn"], "role", "next_role", [F.expr("turn div 1000")], following=True
+        t.conversations.select("conv_id", "turn", "role"), ["conv_id"], ["turn"], "role", "next_role", following=True
     )
     return turns.filter("next_role IS NOT NULL").groupBy("role", "next_role").agg(F.count(F.lit(1)).alias("n"))
 

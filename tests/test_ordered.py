@@ -1,46 +1,72 @@
-"""Huge groups and usual groups must give the same rows."""
+"""Order-dependent operators against plain loops, with one key of over 90 % of the rows."""
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import ordered
 
 
-def frame(spark):
+@pytest.fixture(scope="module")
+def rows():
     rnd = random.Random(7)
-    rows = [("hot", i, rnd.randint(0, 9)) for i in range(300)] + [("b", i, rnd.randint(0, 9)) for i in range(5)] + [("c", 3, 4)]
-    rnd.shuffle(rows)
-    return spark.createDataFrame(rows, "k string, i bigint, v bigint")
+    found = [("hot", i, rnd.randint(0, 9)) for i in range(900)] + [(f"k{i % 17}", i, rnd.choice([None, i])) for i in range(60)] + [(None, i, i) for i in range(9)]
+    rnd.shuffle(found)
+    return found
 
 
-def bucket():
-    return [F.expr("i div 16")]
+@pytest.fixture
+def frame(spark, rows):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")  # the hot key lies in many partitions
+    yield spark.createDataFrame(rows, "k string, i bigint, v bigint").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def same(a, b):
-    key = lambda df: sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
-    assert key(a) == key(b)
+def by_key(rows):
+    out = {}
+    for k, i, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        out.setdefault(k, []).append((i, v))
+    return out
 
 
-def test_running_total_paths_agree(spark):
-    df = frame(spark)
-    usual = ordered.running_total(df, ["k"], ["i"], F.col("v"), "s", bucket())
-    hot = ordered.running_total(df, ["k"], ["i"], F.col("v"), "s", bucket(), hot_rows=2)
-    same(usual, hot)
-    got = {(r.k, r.i): r.s for r in hot.collect()}
-    total = 0
-    for r in df.filter("k = 'hot'").orderBy("i").collect():
-        total += r.v
-        assert got[("hot", r.i)] == total
+def test_running_total(frame, rows):
+    got = {(r.k, r.i): r.s for r in ordered.running_total(frame, ["k"], ["i"], F.coalesce("v", F.lit(0)), "s").collect()}
+    assert len(got) == len(rows)
+    for k, seen in by_key(rows).items():
+        total = 0
+        for i, v in seen:
+            total += v or 0
+            assert got[k, i] == total
 
 
-def test_neighbours_paths_agree(spark):
-    df = frame(spark)
-    for following in (False, True):
-        a = ordered.previous_value(df, ["k"], ["i"], "v", "p", bucket(), following=following)
-        b = ordered.previous_value(df, ["k"], ["i"], "v", "p", bucket(), following=following, hot_rows=2)
-        same(a, b)
+def test_row_index(frame, rows):
+    got = {(r.k, r.i): r.n for r in ordered.row_index(frame, ["k"], ["i"], "n").collect()}
+    assert got == {(k, i): n for k, seen in by_key(rows).items() for n, (i, _) in enumerate(seen, 1)}
+
+
+@pytest.mark.parametrize("following", [False, True])
+def test_neighbours(frame, rows, following):
+    got = {(r.k, r.i): r.p for r in ordered.previous_value(frame, ["k"], ["i"], "v", "p", following=following).collect()}
+    step = 1 if following else -1
+    for k, seen in by_key(rows).items():
+        for n, (i, _) in enumerate(seen):
+            near = n + step
+            assert got[k, i] == (seen[near][1] if 0 <= near < len(seen) else None)
+
+
+def test_carries_are_few(spark, frame):
+    dealt = ordered._dealt(frame, ["k"], ["i"])
+    parts = dealt.select("__part").distinct().count()
+    assert parts > 8
+    parted = dealt.groupBy("k", "__part").count().groupBy("k").count().filter("count > 1").agg(F.sum(F.col("count") - 1)).first()[0]
+    assert 0 < parted < parts
+
+
+def test_empty(spark):
+    none = spark.createDataFrame([], "k string, i bigint, v bigint")
+    assert ordered.row_index(none, ["k"], ["i"], "n").count() == 0 and ordered.previous_value(none, ["k"], ["i"], "v", "p").columns == ["k", "i", "v", "p"]
 
 
 def test_first_and_top(spark):
