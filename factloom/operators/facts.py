@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
 from factloom.functions import vocab
+from factloom.operators import ordered
 
 
 @dataclass(frozen=True)
@@ -84,10 +85,15 @@ MANIFEST_RULES = tuple(
 _MARK = "\x01"
 
 
+def unmarked(files: DataFrame) -> DataFrame:
+    """Files whose texts hold no mark: values and lines are then read from the same text."""
+    return files.withColumn("text", F.replace("text", F.lit(_MARK), F.lit(" ")))
+
+
 def hit_lines(text: Column, pattern: str) -> Column:
-    """Line of the start of every hit of ``pattern`` in a whole text: a mark is set before each hit, then
+    """Line of the start of every hit of ``pattern`` in a whole ``unmarked`` text: a mark is set before each hit, then
     the marks of each line are counted.  Linear in the text, however many hits there are."""
-    marked = F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit(" ")), F.lit(pattern), F.lit(_MARK + "$0"))
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(_MARK + "$0"))
     marks = lambda row: F.length(row) - F.length(F.replace(row, F.lit(_MARK), F.lit("")))
     return F.flatten(F.transform(F.split(marked, "\n"), lambda row, i: F.array_repeat((i + 1).cast("bigint"), marks(row))))
 
@@ -106,7 +112,7 @@ def rule_facts(files: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     broken over lines; ``^`` is the start of a line, and a hit's line is the one where it starts.
     """
     wanted = sorted({e for r in rules for e in r.ext})
-    src = files.withColumn("ext", tx.extension(F.col("path")))
+    src = unmarked(files).withColumn("ext", tx.extension(F.col("path")))
     if wanted and all(r.ext for r in rules):
         src = src.filter(F.col("ext").isin(*wanted))
     hits = [F.when(F.col("ext").isin(*r.ext), _rule_hits(r)) if r.ext else _rule_hits(r) for r in rules]
@@ -134,7 +140,7 @@ def source_routes(files: DataFrame) -> DataFrame:
             hit_lines(F.col("text"), ROUTE_RE).alias("line"),
         )
     )
-    return files.filter(F.col("text").rlike(ROUTE_RE)).select("path", hit.alias("h")).select(
+    return unmarked(files).filter(F.col("text").rlike(ROUTE_RE)).select("path", hit.alias("h")).select(
         "path", "h.line", F.upper("h.method").alias("method"), F.col("h.route").alias("route"),
         tx.route_params(F.col("h.route")).alias("params"),
     )
@@ -639,8 +645,8 @@ def process_activities(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         lambda e: e["name"] != "",
     )
     src = src.select("path", named.alias("named"), every(_TRANSITION, ("attrs", 2), ("inner", 3)).alias("moves"))
-    first = F.filter("named", lambda e, i: ~F.exists(F.slice("named", 1, i), lambda o: o["name"] == e["name"]))
-    acts = src.select("path", F.posexplode(first).alias("pos", "a"))
+    every_one = src.select("path", F.posexplode("named").alias("pos", "e")).select("path", "pos", "e.*")
+    acts = ordered.first_per_key(every_one.drop("ident"), ["path", "name"], ["pos"]).select("path", "pos", F.struct("name", "type").alias("a"))
     low = F.lower("a.type")
     hint = F.coalesce(*[F.when(low.contains(word), connector) for word, connector in PALETTE_HINTS], F.when(F.col("a.type").contains("."), F.split_part("a.type", F.lit("."), F.lit(1))))
     acts = acts.select("path", "pos", "a.name", "a.type", hint.alias("connector"))
@@ -648,15 +654,18 @@ def process_activities(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     def end(m: Column, names: tuple[str, ...], child: str) -> Column:
         inner = rf"<(?:[\w.-]+:)?{child}(?:\s[^>]*?\svalue|\s+value)?(?:\s*=\s*\"([^\"]*)\"[^>]*>|\s*>([^<]*)<)"
         nested = F.coalesce(*[F.when(F.regexp_extract(m["inner"], inner, g) != "", F.trim(F.regexp_extract(m["inner"], inner, g))) for g in (1, 2)])
-        given = F.coalesce(_attribute(m["attrs"], *names), nested)
-        return F.coalesce(F.try_element_at(F.filter("named", lambda e: e["ident"] == given), F.lit(1))["name"], given)
+        return F.coalesce(_attribute(m["attrs"], *names), nested)
 
-    moves = src.select("path", "named", F.explode("moves").alias("m"))
+    moves = src.select("path", F.explode("moves").alias("m"))
     moves = moves.select(
         "path", end(F.col("m"), ("from", "From", "source", "Source", "fromRef", "sourceRef"), "from").alias("src"),
         end(F.col("m"), ("to", "To", "target", "Target", "toRef", "targetRef"), "to").alias("dst"),
-    )
-    return acts, moves.filter("src IS NOT NULL AND dst IS NOT NULL")
+    ).filter("src IS NOT NULL AND dst IS NOT NULL")
+    known = ordered.first_per_key(every_one.filter("ident IS NOT NULL").select("path", "ident", "pos", "name"), ["path", "ident"], ["pos"])
+    for side in ("src", "dst"):  # an id stands for the name of its element
+        moves = moves.join(known.select("path", F.col("ident").alias(side), F.col("name").alias("__name")), ["path", side], "left")
+        moves = moves.withColumn(side, F.coalesce("__name", side)).drop("__name")
+    return acts, moves.select("path", "src", "dst")
 
 
 def start_activities(acts: DataFrame, moves: DataFrame) -> DataFrame:

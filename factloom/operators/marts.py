@@ -255,6 +255,34 @@ def step_coverage(steps: DataFrame, relations_known: DataFrame | None = None) ->
     )
 
 
+#: Standing entries of a worklist.
+STANDING = (("Anti-Pattern Register", "quality", 3), ("Repository Comprehensive Narrative", "repo_final", 5))
+
+
+def worklist(quality: DataFrame, shared: DataFrame, clusters: DataFrame, eligible: Column, skip: tuple[str, ...] = ()) -> DataFrame:
+    """Documents to write, in order: ``(title, category, priority, score, band)``.
+
+    Processes come by richness: quality score, interfaces, invocations, calls and shared datastores together.
+    Components and families follow where one of their processes has details; ``skip`` names components left out
+    (lower case).  ``clusters(slug)`` give an entry each; the standing entries exist once there is any record.
+    """
+    none, no_band = F.lit(None).cast("bigint").alias("score"), F.lit(None).cast("string").alias("band")
+    entry = lambda name, label: F.concat(name, F.lit(f" – {label} Brief")).alias("title")
+    rich = F.col("score") + F.col("interfaces") + F.col("invocations") + F.col("processes") + F.coalesce("shared_data", F.lit(0))
+    rows = quality.join(shared, "signal_id", "left").filter(eligible).withColumn("score", rich.cast("bigint"))
+    out = rows.select(entry(F.col("name"), "Process"), F.lit("process").alias("category"), tx.priority(F.col("score")).alias("priority"), "score", tx.band(F.col("score")).alias("band"))
+    per = quality.groupBy("component", "family").agg(F.bool_or("has_details").alias("d")).filter("d")
+    groups = {"component": per.filter(~F.lower("component").isin(*skip)) if skip else per, "family": per}
+    for level, found in groups.items():
+        names = found.select(level).distinct().filter(F.col(level).isNotNull())
+        out = out.unionByName(names.select(entry(F.col(level), level.capitalize()), F.lit(level).alias("category"), F.lit(3 if level == "component" else 2).alias("priority"), none, no_band))
+    named = F.initcap(F.replace("slug", F.lit("-"), F.lit(" ")))
+    out = out.unionByName(clusters.select("slug").distinct().select(entry(named, "Constellation"), F.lit("constellation").alias("category"), F.lit(2).alias("priority"), none, no_band))
+    standing = F.array(*[F.struct(F.lit(t).alias("title"), F.lit(c).alias("category"), F.lit(p).alias("priority")) for t, c, p in STANDING])
+    some = quality.agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select(F.explode(standing).alias("s")).select("s.*", none, no_band)
+    return out.unionByName(some).orderBy("priority", F.col("score").desc_nulls_last(), "title")
+
+
 # ---------------------------------------------------------------- budgets
 def apply_budget(docs: DataFrame, group: str, order: str, length: Column, budget: int) -> DataFrame:
     """Documents taken per group until the character budget is reached.

@@ -22,7 +22,9 @@ CAPS = {"identifiers": st.IDENTIFIER_CAP, "interfaces": st.INTERFACE_CAP, "loggi
 #: Error defaults of signals without an explicit error.
 DEFAULT_ERRORS = 3
 _BUCKETS = ("datastores", "processes", "services")
-_NO_INFO = "struct<kind: string, component: string, name: string>"
+#: What is known of a signal itself.
+INFO = ("kind", "component", "name", "family", "module")
+_NO_INFO = "struct<" + ", ".join(f"{c}: string" for c in INFO) + ">"
 
 
 def _text(*parts: Column) -> Column:
@@ -103,11 +105,11 @@ def _of_triggers(triggers: DataFrame) -> DataFrame:
 def facts(signals: DataFrame, steps: DataFrame, relations: DataFrame, triggers: DataFrame, transitions: DataFrame) -> DataFrame:
     """``(signal_id, field, key, at, n, info)``, written: each distinct fact with its first place and number of rows.
 
-    ``signals(signal_id, kind, component, name, path)`` hold a signal once; ``transitions(signal_id, src, dst, condition)``.
+    ``signals`` (``INFO``, signal_id, path) hold a signal once; ``transitions(signal_id, src, dst, condition)``.
     """
     own = _exploded(signals, 0, [_fact("signal", F.lit(True), _text())], [_each("identifiers", tx.identifier_tokens(F.col("path")))])
     # what a signal is rides along as a row of its own, so that no join is needed to know it
-    about = signals.select("signal_id", F.lit("about").alias("field"), _text().alias("key"), F.struct("kind", "component", "name").alias("info"))
+    about = signals.select("signal_id", F.lit("about").alias("field"), _text().alias("key"), F.struct(*INFO).alias("info"))
     zero = F.struct(F.lit(0).alias("src"), F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("k1"), F.lit(0).cast("bigint").alias("k2"), F.lit(0).alias("sub"))
     edges = _exploded(transitions, 1, [_fact("errors", F.lit(True), _text(F.col("src"), F.col("condition")))], [])
     rows = own.unionByName(about.withColumn("at", zero))
@@ -134,6 +136,13 @@ def dependencies(found: DataFrame) -> DataFrame:
     return held.unionByName(called).distinct()
 
 
+def shared_stores(found: DataFrame) -> DataFrame:
+    """``(signal_id, shared_data)``: how many datastores of a signal another one has too."""
+    held = dependencies(found).filter("bucket = 'datastores'").select("signal_id", "value")
+    known = held.groupBy("value").agg(F.count(F.lit(1)).alias("users")).filter("users > 1")
+    return held.join(known, "value").groupBy("signal_id").agg(F.count(F.lit(1)).alias("shared_data"))
+
+
 def identifiers(found: DataFrame) -> DataFrame:
     """The first identifiers of a signal in name order, from ``facts``."""
     rows = found.filter("field = 'identifiers'").select("signal_id", F.col("key")[0].alias("identifier"))
@@ -141,7 +150,7 @@ def identifiers(found: DataFrame) -> DataFrame:
 
 
 def presence(found: DataFrame) -> DataFrame:
-    """A row per signal: kind, component, name, how many facts of each field it has, and ``calls``."""
+    """A row per signal: ``INFO``, how many facts of each field it has, and ``calls``."""
     firsts = _firsts(found)
     fields = [*COUNTED, *CAPS, "invocations", "default_errors", *_BUCKETS]
     plain = found.filter(~F.col("field").isin("invocations", "default_errors", "dependency"))

@@ -238,12 +238,14 @@ def graph_assembly(t):
 
 
 @query("record_features", """
-    WITH s AS (SELECT signal_id, CASE kind WHEN 'workflow' THEN 'Workflow:' || name ELSE upper(substr(kind, 1, 1)) || substr(kind, 2) || ':' || name END AS node_id FROM $signals)
-    SELECT signal_id, node_id, CASE WHEN node_id LIKE 'Workflow:%' THEN 2 END AS degree FROM s""")
+    WITH s AS (SELECT signal_id, kind, component, upper(substr(kind, 1, 1)) || substr(kind, 2) || ':' || name AS node_id FROM $signals),
+    e AS (SELECT 'Component:' || min(component) AS src, node_id AS dst FROM s WHERE kind IN ('workflow', 'route') GROUP BY node_id),
+    d AS (SELECT id, count(*) AS degree FROM (SELECT src, dst, unnest([src, dst]) AS id FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)) GROUP BY 1)
+    SELECT signal_id, node_id, CAST(degree AS INT) AS degree FROM s LEFT JOIN d ON d.id = s.node_id""")
 def record_features(t):
     sig = t.view("signals")
-    graph_in = sig.filter("kind = 'workflow'").select("kind", "name", "method", "path", F.lit(None).cast("string").alias("api"), "component", F.lit(None).cast("string").alias("calls_url"))
-    nodes, edges = graph.build_graph(graph_in)
+    graph_in = sig.select("kind", "name", "method", "path", F.lit(None).cast("string").alias("api"), "component", F.lit(None).cast("string").alias("calls_url"))
+    nodes, edges = graph.build_graph(graph_in, core_only=False)
     deg = graph.degrees(nodes, edges).select(F.col("id").alias("node_id"), F.col("degree").cast("int"))
     ids = sig.select("signal_id", graph.node_id(F.col("kind"), F.col("name"), F.col("method"), F.col("path")).alias("node_id"))
     return ids.join(deg, "node_id", "left")

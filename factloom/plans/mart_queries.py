@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.operators import marts, ordered, signal_pass
+from factloom.operators import marts, ordered, rules, signal_pass
 from factloom.operators import steps as st
 from factloom.plans import views  # noqa: F401  (registers the shared views)
 from factloom.plans.registry import query, view
@@ -221,27 +221,27 @@ def process_quality(t):
     return _quality(t).select("signal_id", "score", "has_details", "priority", "band")
 
 
-@query("worklist", """
-    SELECT * FROM (
-      SELECT name || ' - Process Brief' AS title, 'process' AS category, CAST(priority AS INT) AS priority, CAST(score AS BIGINT) AS score FROM $quality
+_SHARED = """
+    SELECT signal_id, count(*) AS n FROM (SELECT d.signal_id FROM $dependency_rows d JOIN (SELECT value FROM $dependency_rows WHERE bucket = 'datastores' GROUP BY 1 HAVING count(*) > 1) v ON v.value = d.value WHERE bucket = 'datastores') GROUP BY 1"""
+
+
+# a family's groups of one market segment stand for clusters
+@query("worklist", f"""
+    WITH q AS (SELECT q.*, s.family, s.module, q.score + interfaces + invocations + processes + coalesce(h.n, 0) AS r
+               FROM $quality q JOIN $signals s ON s.signal_id = q.signal_id LEFT JOIN ({_SHARED}) h ON h.signal_id = q.signal_id),
+    d AS (SELECT component, family FROM q GROUP BY ALL HAVING bool_or(score >= 5 OR steps > 0 OR relationships > 0))
+    SELECT title, category, CAST(priority AS INT) AS priority, CAST(score AS BIGINT) AS score, band FROM (
+      SELECT name || ' – Process Brief' AS title, 'process' AS category, CASE WHEN r >= 15 THEN 1 WHEN r >= 8 THEN 2 ELSE 4 END AS priority, r AS score,
+             CASE WHEN r >= 15 THEN 'high' WHEN r >= 8 THEN 'medium' ELSE 'low' END AS band FROM q
         WHERE identifiers > 0 AND (invocations > 0 OR datastores + processes + services > 0) AND (errors > 0 OR logging > 0)
-      UNION ALL SELECT component || ' - Component Brief', 'component', 3, NULL FROM $quality GROUP BY component HAVING bool_or(score >= 5 OR steps > 0 OR relationships > 0)
-      UNION ALL SELECT 'Anti-Pattern Register', 'quality', 3, NULL UNION ALL SELECT 'Repository Comprehensive Narrative', 'repo_final', 5, NULL)""")
+      UNION ALL SELECT DISTINCT component || ' – Component Brief', 'component', 3, NULL, NULL FROM d
+      UNION ALL SELECT DISTINCT family || ' – Family Brief', 'family', 2, NULL, NULL FROM d
+      UNION ALL SELECT DISTINCT array_to_string([upper(w[1]) || lower(w[2:]) FOR w IN string_split(lower(family) || ' ' || module, ' ')], ' ') || ' – Constellation Brief', 'constellation', 2, NULL, NULL FROM q
+      UNION ALL SELECT 'Anti-Pattern Register', 'quality', 3, NULL, NULL UNION ALL SELECT 'Repository Comprehensive Narrative', 'repo_final', 5, NULL, NULL)""")
 def worklist(t):
     q = _quality(t)
-    ok = (F.col("identifiers") > 0) & ((F.col("invocations") > 0) | (F.col("datastores") + F.col("processes") + F.col("services") > 0)) & ((F.col("errors") > 0) | (F.col("logging") > 0))
-    brief = lambda c, s: F.concat(c, F.lit(f" - {s} Brief"))
-    proc = q.filter(ok).select(brief(F.col("name"), "Process").alias("title"), F.lit("process").alias("category"), "priority", "score")
-    none = F.lit(None).cast("bigint")
-    comp = q.groupBy("component").agg(F.bool_or("has_details").alias("d")).filter("d").select(brief(F.col("component"), "Component").alias("title"), F.lit("component").alias("category"), F.lit(3).alias("priority"), none.alias("score"))
-    # the two standing entries exist once there is any record at all
-    some = q.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-    standing = F.array(
-        F.struct(F.lit("Anti-Pattern Register").alias("title"), F.lit("quality").alias("category"), F.lit(3).alias("priority")),
-        F.struct(F.lit("Repository Comprehensive Narrative").alias("title"), F.lit("repo_final").alias("category"), F.lit(5).alias("priority")),
-    )
-    rest = some.select(F.explode(standing).alias("s")).select("s.*", none.alias("score"))
-    return proc.unionByName(comp).unionByName(rest).orderBy("priority", F.col("score").desc_nulls_last(), "title")
+    clusters = q.select(F.concat_ws("-", F.replace(F.lower("family"), F.lit(" "), F.lit("-")), "module").alias("slug")).distinct()
+    return marts.worklist(q, signal_pass.shared_stores(_facts(t)), clusters, rules.enough_evidence())
 
 
 @query("step_coverage", """

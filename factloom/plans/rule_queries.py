@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import vectors
 from factloom.operators import joins, marts, retrieval, rules, signal_pass
-from factloom.plans.mart_queries import _facts, _presence, _quality
+from factloom.plans.mart_queries import _SHARED, _facts, _presence, _quality
 from factloom.plans import views  # noqa: F401  (registers the shared views)
 from factloom.plans.registry import query
 
@@ -45,10 +45,6 @@ def findings_by_group(t):
     return joins.findings_by_group(_findings(t), members).groupBy("group", "rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SHARED = """
-    SELECT signal_id, count(*) AS n FROM (SELECT d.signal_id FROM $dependency_rows d JOIN (SELECT value FROM $dependency_rows WHERE bucket = 'datastores' GROUP BY 1 HAVING count(*) > 1) v ON v.value = d.value WHERE bucket = 'datastores') GROUP BY 1"""
-
-
 _SHARED_IDS = """
     SELECT i.signal_id, count(*) AS n FROM $identifier_rows i JOIN (SELECT identifier FROM $identifier_rows GROUP BY 1 HAVING count(DISTINCT signal_id) > 1) v ON v.identifier = i.identifier GROUP BY 1"""
 _SENTENCES = " ".join(f"WHEN '{rule}' THEN '{sentence}'" for rule, sentence, *_ in (*rules.HYPOTHESES, rules.FALLBACK))

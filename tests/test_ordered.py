@@ -18,10 +18,14 @@ def rows():
 
 @pytest.fixture
 def frame(spark, rows):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")  # the hot key lies in many partitions
+    # the hot key lies in many partitions
+    own = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     yield spark.createDataFrame(rows, "k string, i bigint, v bigint").repartition(5)
-    spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 def by_key(rows):
@@ -70,7 +74,7 @@ def test_empty(spark):
 
 
 def test_first_and_top(spark):
-    df = frame(spark)
+    df = spark.createDataFrame([("hot", i, 0) for i in range(300)] + [("b", i, 1) for i in range(5)] + [("c", 3, 4)], "k string, i bigint, v bigint")
     first = {r.k: r.i for r in ordered.first_per_key(df, ["k"], ["i"]).collect()}
     assert first == {"hot": 0, "b": 0, "c": 3}
     top = ordered.top_per_key(df, ["k"], [F.desc("i")], 2, rank="rn").collect()

@@ -23,7 +23,7 @@ def con():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     status, n, _, note = compare(spark, ROOT, name, QUERIES[name], ORACLES.get(name), con)
-    assert status in ("ok", "rows-only", "EMPTY"), note
+    assert status == "ok" or name not in ORACLES and status in ("rows-only", "EMPTY"), note
 
 
 def test_entry(spark):

@@ -92,9 +92,32 @@ def test_numbering_all_rows(spark):
     assert [r.no for r in got] == list(range(1, 1001))
 
 
-def test_queries_in_batches_give_the_same_hits(spark):
+def test_queries_in_blocks_give_the_same_hits(spark, monkeypatch):
     vec = lambda i: [float((i * 7) % 11 - 5), float(i % 5), 1.0]
     chunks = spark.createDataFrame([(i, vec(i)) for i in range(60)], "chunk_id int, vector array<float>")
     queries = spark.createDataFrame([(i, vec(i + 3)) for i in range(25)], "query_id int, vector array<float>")
     rows = lambda df: sorted((r.query_id, r.chunk_id, r["rank"]) for r in df.collect())
-    assert rows(retrieval.top_k(queries, chunks, 4)) == rows(retrieval.top_k(queries, chunks, 4, max_queries=10))
+    whole = rows(retrieval.top_k(queries, chunks, 4))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 7)
+    assert rows(retrieval.top_k(queries, chunks, 4)) == whole
+
+
+def test_marks_in_a_text_make_no_phantom_hits(spark):
+    files = spark.createDataFrame([("a.js", "app.get<\x01>('/a')\napp.get(\n'/users/:id')\n\x01 router.put('/x', h)")], "path string, text string")
+    got = sorted((r.line, r.method, r.route) for r in facts.source_routes(files).collect())
+    assert got == [(2, "GET", "/users/:id"), (4, "PUT", "/x")]
+
+
+def test_many_named_elements(spark):
+    import time
+
+    body = "".join(f'<activity name="n{i % 40000}" id="i{i}" type="t.jdbc"/>' for i in range(50_000))
+    moves = "".join(f'<transition from="i{i}" to="n{i + 1}"/>' for i in range(0, 3000))
+    files = spark.createDataFrame([("p.bwp", f"<p>{body}{moves}</p>")], "path string, text string")
+    acts, trans = facts.process_activities(files)
+    began = time.time()
+    names = [r.name for r in acts.orderBy("pos").collect()]
+    assert names[:40_000] == [f"n{i}" for i in range(40_000)] and len(names) == 40_000
+    assert {(r.src, r.dst) for r in trans.collect()} == {(f"n{i}", f"n{i + 1}") for i in range(3000)}
+    assert time.time() - began < 60
