@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.vocab import DEFAULT_EDGE_WEIGHT, EDGE_WEIGHTS
+from factloom.operators.hot import hot_keys, split_join
 from factloom.operators.ordered import first_per_key
 from factloom.session import Rounds
 
@@ -68,43 +69,48 @@ def type_degrees(edges: DataFrame) -> DataFrame:
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, component)`` where component is the smallest member id.
 
-    Alternating large-star / small-star contraction: every step is a map-side combined
-    ``min`` plus an equi-join whose one side has a single row per node, so a hub holding a
-    large share of the edges is split by AQE instead of being gathered.
+    Alternating large-star / small-star contraction.  Every step is a map-side combined ``min`` per node,
+    met again by the node's pairs; a hub's pairs are dealt over slots for that (``hot.split_join``), so a
+    node that holds a large share of all pairs is no single task's work in any round.
     """
-    spark = nodes.sparkSession
-    rounds = Rounds(spark)
-    pairs = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).filter("u <> v")
-    known = nodes.select("id")
-    pairs = pairs.join(known.withColumnRenamed("id", "u"), "u", "left_semi").join(
-        known.withColumnRenamed("id", "v"), "v", "left_semi"
-    )
-    cur = rounds.keep(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    rounds = Rounds(nodes.sparkSession)
+    known = nodes.select("id").distinct()
+    pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("src <> dst").distinct()
+    watch = {"n": F.count(F.lit(1)), "x": F.expr("bit_xor(xxhash64(u, v))")}
+    cur = rounds.keep(pairs, watch=watch)
+    hubs = _hubs(_both_ways(cur), rounds.seen["n"])
+    for end, other in (("u", "v"), ("v", "u")):
+        cur = split_join(cur, known.withColumnRenamed("id", end), end, None if hubs is None else hubs.withColumnRenamed("u", end), [other])
+    cur = rounds.keep(cur.select("u", "v"), watch=watch)
     mark = None
-    while True:
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low2 = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            down.join(low2, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low2.select("u", F.col("m").alias("v")))
-            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-            .filter("u <> v")
-            .distinct()
-        )
-        cur = rounds.keep(small, watch={"n": F.count(F.lit(1)), "x": F.expr("bit_xor(xxhash64(u, v))")})
-        if rounds.seen == mark:
-            break
-        mark = rounds.seen
+    while rounds.seen != mark:
+        mark, both = rounds.seen, _both_ways(cur)
+        hubs = _hubs(both, mark["n"])
+        large = _with_least(both, hubs).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        # a node has no more smaller neighbours here than it had neighbours before, so the same hubs are split
+        down = large.filter("u <> v").distinct()
+        # the larger end meets its least neighbour, the others go on to meet that one
+        small = _with_least(down, hubs).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        cur = rounds.keep(small.distinct(), watch=watch)
     label = cur.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-    return known.distinct().join(label, "id", "left").select(
+    return known.join(label, "id", "left").select(
         "id", F.coalesce("component", "id").alias("component")
     )
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _hubs(both: DataFrame, pairs: int) -> DataFrame | None:
+    return hot_keys(both.groupBy("u").agg(F.count(F.lit(1)).alias("n")), "u", 2 * pairs)
+
+
+def _with_least(pairs: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """``(u, v, m)``: every pair with the least v of its u."""
+    return split_join(pairs, pairs.groupBy("u").agg(F.min("v").alias("m")), "u", hubs, ["v"])
+
+
 # ---------------------------------------------------------------- weighted distances
 def marker_distances(edges: DataFrame, markers: DataFrame) -> DataFrame:
     """``(marker, node, dist)`` shortest weighted distance along directed edges.

@@ -6,7 +6,9 @@ import random
 
 import pytest
 
-from factloom.operators import graph
+from pyspark.sql import functions as F
+
+from factloom.operators import graph, hot
 
 SEEDS = [1, 2, 3]
 
@@ -146,3 +148,34 @@ def test_marker_fallback_and_excludes(spark):
     assert got.count() == 2 and {r.stage for r in got.collect()} == {3}
     kept = graph.select_markers(nodes, es, None, k=2, include=("n01",), exclude=("n01",))
     assert "n01" not in {r.id for r in kept.collect()}
+
+
+@pytest.mark.parametrize("hub", [0, 20_000])
+def test_a_hub_of_most_pairs_is_dealt_over_slots(spark, hub):
+    """A star with the least or the largest id at its centre, beside short paths."""
+    nodes = spark.range(60_000)
+    star = nodes.filter(f"id <= 20000 AND id <> {hub}").select(F.lit(hub).cast("long").alias("src"), F.col("id").alias("dst"))
+    paths = nodes.filter("id > 20000 AND id % 4 <> 0 AND id < 59999").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = graph.connected_components(nodes, star.unionByName(paths))
+    want = F.when(F.col("id") <= 20_000, 0).when(F.col("id") == 59_999, 59_997).otherwise(F.greatest(F.lit(20_001), F.floor((F.col("id") - 1) / 4) * 4 + 1))
+    assert got.count() == 60_000 and got.filter(F.col("component") != want).count() == 0
+
+
+def test_split_join_deals_a_hot_key_evenly_and_keeps_rows(spark):
+    rows = spark.range(50_000).select(F.when(F.col("id") % 10 > 0, F.lit("hot")).when(F.col("id") > 40, F.col("id").cast("string")).alias("k"), "id")
+    table = rows.select("k").distinct().withColumn("value", F.length("k"))
+    marks = hot.hot_keys(rows.groupBy("k").count().withColumnRenamed("count", "n"), "k", 50_000)
+    assert [r.k for r in marks.collect()] == ["hot"]
+    got = hot.split_join(rows, table, "k", marks, ["id"])
+    assert got.count() == rows.filter("k IS NOT NULL").count() == got.select("id").distinct().count()
+    assert got.filter("value <> length(k)").count() == 0
+    whole = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = hot.split_join(rows, table, "k", marks, ["id"]).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", whole)
+    sizes = sorted(r["count"] for r in parts)
+    assert len(sizes) > 3 and sizes[-1] <= 1.5 * sizes[len(sizes) // 2]
