@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import kept, small, whole
 from factloom.operators.graph import connected_components
+from factloom.operators.hot import hot_keys, split_join
 
 SEED, RADIUS, SHINGLE, BLOCK, SMALL = 42, 3, 3, 2048, 24
 
@@ -148,14 +149,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """``(doc_id, row_key, fp, component_id, first_key)`` for every row of ``docs(doc_id, text)``."""
     rows = kept(fingerprints(docs), "simhash-fps")
     first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row_key")).alias("first")
-    fps = kept(rows.groupBy("fp").agg(first), "simhash-distinct")
+    n = F.count(F.lit(1)).alias("n")
+    fps = kept(rows.groupBy("fp").agg(first, n), "simhash-distinct")
     links = kept(fingerprint_links(fps.select("fp")), "simhash-links")
     ends = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct()
     label = connected_components(ends, links).select(F.col("id").alias("fp"), "component")
     member = fps.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = member.groupBy("component").agg(F.min("first").alias("first"))
-    of_fp = member.select("fp", "component").join(least, "component").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("first_key"))
-    return rows.join(of_fp, "fp")
+    member = kept(member.select("fp", "first", "component"), "simhash-member")
+    # a component may hold most fingerprints, and a fingerprint most rows
+    least = member.groupBy("component").agg(F.min("first").alias("first"), n)
+    hot = hot_keys(least, "component", member.count())
+    of_fp = split_join(member.select("fp", "component"), least.select("component", "first"), "component", hot, ["fp"])
+    of_fp = of_fp.select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("first_key"))
+    return split_join(rows, of_fp, "fp", hot_keys(fps, "fp", rows.count()), ["doc_id", "row_key"])
 
 
 def drop_near_copies(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_groups) -> DataFrame:
