@@ -6,14 +6,13 @@ standard errors, counted by documents so that a repeating text counts once.  Tok
 score ``-DRIFT``.  A linear scan (Ruzzo and Tompa) finds all maximal-scoring segments of a text.
 
 A segment of score S in a text of n tokens is expected ``K n exp(-lambda S)`` times by chance (Karlin
-and Altschul): lambda solves ``sum p_i exp(lambda s_i) = 1`` over the scores of the clean documents' maximal
-segments, each counted as one token, and ``-DRIFT`` for the rest of their tokens, not over single tokens' scores; K is
-the maximum-likelihood value given their best segments.  Segments expected less than once are the
+and Altschul): lambda solves ``sum p_i exp(lambda s_i) = 1`` over the scores of the tokens of the clean
+documents, from a histogram of them; K is the maximum-likelihood value given their best segments.  Segments expected less than once are the
 passages; the sum of their negative log expectations is the evidence, and a logistic curve fitted on
 the learning rows turns it into a score.
 
-The classifier is fitted on at most ``MOST`` labelled rows (``common.labelled``) and keeps the ``TOKENS`` strongest tokens; all texts are scored,
-whole.  Defined cases: null text counts as empty and has no evidence; without rows of both labels every
+The classifier is fitted on at most ``MOST`` labelled rows (``common.labelled``) and keeps all tokens above the drift: by the
+margin each is in several toxic documents.  All texts are scored, whole, however long.  Defined cases: null text counts as empty and has no evidence; without rows of both labels every
 score is ``prior`` (the share of label 1, or 0); ids may be null or repeated; an empty table gives an
 empty result; other columns are not looked at.
 """
@@ -22,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import filtered, kept, labelled, small, whole
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-MOST, DRIFT, PRIOR, MARGIN, TOKENS = 16_000, 0.25, 0.05, 2.5, 100_000
+MOST, DRIFT, PRIOR, MARGIN = 16_000, 0.25, 0.05, 2.5
 
 
 @dataclass
@@ -113,33 +113,53 @@ def fit(docs: DataFrame, labels: DataFrame, learn, most: int = MOST) -> Model:
         return Model({}, bias=math.inf if share else -math.inf)
     counts = kept(token_counts(sample), "toxic-tokens")
     total = counts.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).first()
-    # the sample bounds the tokens; the strongest are enough by far
-    rows = log_odds(counts, total.toxic or 0, total.other or 0).orderBy(F.desc("score"), "token").limit(TOKENS).collect()
-    scores = {r.token: r.score for r in rows}
+    scores = {r.token: r.score for r in log_odds(counts, total.toxic or 0, total.other or 0).collect()}  # bounded by the sample
+    hits = {r.token: r.n for r in hit_counts(sample.filter("label = 0"), scores).collect()}
+
+    best = best_segments(sample.filter("label = 0"), scores).collect()  # two numbers a row of the sample
+    model = Model(scores)
+    model.lam = _lambda([(scores[w], n) for w, n in hits.items()], sum(r.n for r in best))
+    model.k = len(best) / sum(max(r.n, 1) * math.exp(-model.lam * r.best) for r in best)
+    rows = score(sample.select(F.col("label").alias("doc_id"), "text"), model).select(F.col("doc_id").alias("label"), "evidence").collect()
+    model.bias, model.slope = _logistic(np.array([r.evidence for r in rows]), np.array([r.label for r in rows], float))
+    return model
+
+
+def hit_counts(texts: DataFrame, scores: dict[str, float]) -> DataFrame:
+    """``(token, n)``: how often each scored token occurs in ``texts(text)``, combined in the task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
         for b in small(batches):
-            found = [scan(t, scores) for t in b.column(0).to_pylist()]
-            lists = [[s for *_, s in segs] for _, segs in found]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), b.column(1), pa.array(lists, pa.list_(pa.float64()))], ["n", "label", "found"])
+            for text in b.column(0).to_pylist():
+                seen.update(m[0] for m in TOKEN.finditer(text.lower()) if m[0] in scores)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["token", "n"])
 
-    rows = sample.select("text", "label").mapInArrow(run, "n long, label int, found array<double>").collect()  # at most ``most`` rows
-    clean = [(max(r.n, 1), r.found) for r in rows if r.label == 0]
-    tokens = sum(n for n, _ in clean)
-    model = Model(scores)
-    model.lam = _lambda([s for _, found in clean for s in found], tokens, scores)
-    model.k = len(clean) / sum(n * math.exp(-model.lam * max(found, default=0.0)) for n, found in clean)
-    model.bias, model.slope = _logistic(np.array([evidence(model, r.n, r.found) for r in rows]), np.array([r.label for r in rows], float))
-    return model
+    return texts.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def best_segments(texts: DataFrame, scores: dict[str, float]) -> DataFrame:
+    """``(n, best)``: tokens and the score of the best segment (or 0) of each of ``texts(text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            found = [scan(text, scores) for text in b.column(0).to_pylist()]
+            best = [max((s for *_, s in segs), default=0.0) for _, segs in found]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array(best, pa.float64())], ["n", "best"])
+
+    return texts.select("text").mapInArrow(run, "n long, best double")
 
 
-def _lambda(seen: list[float], tokens: int, scores: dict[str, float]) -> float:
-    """Positive root of ``sum p exp(lambda s) = 1``; one positive token of middling score is added so that a root exists."""
-    ups = np.array([*seen, float(np.median(list(scores.values()))) if scores else 1.0])
+def _lambda(seen: list[tuple[float, int]], tokens: int) -> float:
+    """Positive root of ``sum p exp(lambda s) = 1`` over ``tokens`` tokens, of which ``seen`` tells (score, how often) of
+    those above the drift; the others score ``-DRIFT``.  Without any of them one of score 1 is added, so that a root exists."""
+    seen = seen or [(1.0, 1)]
+    ups, often = np.array([s for s, _ in seen]), np.array([n for _, n in seen], float)
+    rest = max(tokens - often.sum(), 1.0)
     low, high = 0.0, 50.0
 
     def excess(x: float) -> float:
-        return float(np.exp(np.minimum(x * ups, 700)).sum() + (max(tokens, 1) - len(seen)) * math.exp(-x * DRIFT) - max(tokens, 1) - 1)
+        return float(often @ np.exp(np.minimum(x * ups, 700)) + rest * math.exp(-x * DRIFT) - often.sum() - rest)
 
     if excess(1e-6) >= 0:
         return 1e-6

@@ -1,6 +1,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -80,6 +81,36 @@ def test_toxic_texts_are_told_apart(made):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in scored.items() if s < 0.5}
 
 
+def test_parts_of_the_model_follow_their_definitions(made):
+    """Log-odds, lambda, K and evidence, each from plain counts over the learned rows."""
+    docs, labels = made
+    model = toxicity.fit(docs, labels, F.lit(True))
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    texts = [(toxicity.TOKEN.findall(r.text.lower()), truth[r.doc_id]) for r in docs.select("doc_id", "text").collect() if r.doc_id in truth]
+    count = {y: Counter(w for ws, label in texts if label == y for w in set(ws)) for y in (0, 1)}
+    size, scores = {y: sum(count[y].values()) for y in (0, 1)}, {}
+    for w in count[0] | count[1]:
+        a = toxicity.PRIOR * (count[0][w] + count[1][w])
+        rate = {y: (count[y][w] + a) / (size[y] + toxicity.PRIOR * sum(size.values()) - count[y][w] - a) for y in (0, 1)}
+        s = math.log(rate[1]) - math.log(rate[0]) - toxicity.MARGIN * math.sqrt(1 / (count[1][w] + a) + 1 / (count[0][w] + a))
+        if s > toxicity.DRIFT:
+            scores[w] = s
+    assert model.scores == pytest.approx(scores)
+    clean = [ws for ws, y in texts if not y]
+    values = [scores.get(w, -toxicity.DRIFT) for ws in clean for w in ws]
+    if any(v > 0 for v in values):
+        assert sum(math.exp(model.lam * v) for v in values) / len(values) == pytest.approx(1, abs=1e-6)
+    tops = [(len(ws), max([0.0, *(s for *_, s in brute_segments([scores.get(w, -toxicity.DRIFT) for w in ws]))])) for ws in clean[:20]]
+    assert [tuple(r) for r in toxicity.best_segments(docs.sparkSession.createDataFrame([(" ".join(ws),) for ws in clean[:20]], "text string"), scores).collect()] == [pytest.approx(x) for x in tops]
+    assert model.k == pytest.approx(len(clean) / sum(len(ws) * math.exp(-model.lam * max([0.0, *(s for *_, s in toxicity.scan(" ".join(ws), scores)[1])])) for ws in clean))
+
+
+def test_lambda_solves_its_equation():
+    lam = toxicity._lambda([(2.0, 3), (0.7, 10)], 500)
+    assert 3 * math.exp(2 * lam) + 10 * math.exp(0.7 * lam) + 487 * math.exp(-toxicity.DRIFT * lam) == pytest.approx(500)
+    assert toxicity._lambda([], 100) > 0 and toxicity._lambda([(5.0, 50)], 60) == 1e-6
+
+
 def test_passages_are_spans_of_the_text(docs_of):
     model = toxicity.Model({"vile": 3.0, "slag": 3.0}, lam=1.0, k=0.01, slope=1.0, bias=-2.0)
     text = "İ fine text VILE and slag then " + "calm words " * 40 + "vile end"
