@@ -50,9 +50,10 @@ ASIDE_WORDS = frozenset(
     "ad ads adv advert advertisement banner breadcrumb breadcrumbs comment comments cookie consent footer header masthead menu modal nav navbar navigation newsletter "
     "notice popup promo promoted related recommended share sharing sidebar signup social sponsor sponsored subscribe toolbar widget disqus replies reply".split()
 )
+COMMENT_WORDS = frozenset("comment comments disqus replies reply".split())
 #: Where a weight is expected without evidence.
 EXPECT = (
-    {f"t:{t}": -10.0 for t in ASIDE} | {f"c:{w}": -10.0 for w in ASIDE_WORDS} | {f"t:{t}": 2.5 for t in CONTENT}
+    {f"t:{t}": -10.0 for t in ASIDE} | {f"c:{w}": -5.0 for w in ASIDE_WORDS} | {f"t:{t}": 2.5 for t in CONTENT}
     | {f"c:{w}": 2.0 for w in "article content post entry story body text main".split()}
     | {"b:p": 1.0, "b:li": -0.5, "b:td": -0.3, "len:0": -0.5, "len:3": 1.0, "len:4": 1.5, "link:3": -2.0, "copyright": -2.0, "stay": 0.6, "bias": -0.5}
 )
@@ -62,6 +63,7 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTR = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_RIGHTS = re.compile(r"©|copyright|\(c\)\s*\d{4}|all rights reserved", re.I)
 
 
 @dataclass
@@ -77,6 +79,7 @@ class Block:
 class _Open:
     tag: str
     words: frozenset[str]
+    called: bool = False  # has a class, id or role that is an aside word, no longer name round one
 
 
 def blocks(page: str) -> list[Block]:
@@ -167,7 +170,8 @@ def blocks(page: str) -> list[Block]:
             if open_tag in ("ul", "ol", "dl", "table", "select", "div", "article", "section", "main", "body", "td", "th", "blockquote"):
                 break
         found = " ".join(g for m in _ATTR.finditer(attributes) for g in m.groups() if g) if attributes else ""
-        stack.append(_Open(tag, frozenset(_WORDS.findall(found.lower()))))
+        found = found.lower()
+        stack.append(_Open(tag, frozenset(_WORDS.findall(found)), not ASIDE_WORDS.isdisjoint(found.split())))
         if tag in CONTENT:
             firsts.setdefault(tag, tuple(stack))
     flush()
@@ -178,17 +182,33 @@ def blocks(page: str) -> list[Block]:
 
 
 def _wrappers(found: list[Block], paths: list[tuple[_Open, ...]], firsts: dict[str, tuple[_Open, ...]]) -> set[int]:
-    """Identities of the elements round the page's content, whose words say nothing of their blocks: the first ``main``
-    and what encloses it, and the first ``article`` and what encloses it as far as they hold over half of the text
-    in such elements (a list of related articles or of comments does not)."""
+    """Identities of the elements round the page's content, whose words say nothing of their blocks.
+
+    The first ``main`` and what encloses it, and the first ``article`` and what encloses it as far as they hold over half
+    of the text in such elements (a list of related articles or of comments does not).  Where there is an article, also
+    what lies inside it, else any element (inside ``main``, where there is one), if it holds over half of that text and
+    longer names alone bring its aside words (``with-sidebar``, ``widget-body``).  Those of comments stay: there may be
+    more of them than of the article.
+    """
+    named = any(CONTENT & set(b.tags) for b in found)
     sizes: dict[int, int] = {}
     total = 0
+    article = firsts.get("article", ())
     for b, path in zip(found, paths):
-        if CONTENT & set(b.tags):
+        if not named or CONTENT & set(b.tags):
             total += len(b.text)
             for o in path:
                 sizes[id(o)] = sizes.get(id(o), 0) + len(b.text)
-    return {id(o) for o in firsts.get("main", ())} | {id(o) for o in firsts.get("article", ()) if 2 * sizes.get(id(o), 0) > total}
+    around = {id(o) for o in firsts.get("main", ())} | {id(o) for o in article if 2 * sizes.get(id(o), 0) > total}
+    of_article = bool(article) and id(article[-1]) in around
+    whole_text = sizes[id(article[-1])] if of_article else total
+    for path in paths:
+        within = not of_article
+        for o in path:
+            if within and not o.called and o.words.isdisjoint(COMMENT_WORDS) and 2 * sizes.get(id(o), 0) > whole_text:
+                around.add(id(o))
+            within = within or o is article[-1]
+    return around
 
 
 def _behind(page: str, tag: str, at: int) -> int:
@@ -220,7 +240,7 @@ def describe(found: list[Block], hide: bool = False) -> list[list[str]]:
             f.append("full")
         if words < 4:
             f.append("few")
-        if "©" in b.text or "copyright" in b.text.lower():
+        if _RIGHTS.search(b.text):
             f.append("copyright")
         if i and found[i - 1].tags == b.tags:
             f.append("as-before")
