@@ -246,15 +246,6 @@ def process_quality(presence: DataFrame) -> DataFrame:
     ).withColumn("band", tx.band(F.col("score")))
 
 
-def step_coverage(steps: DataFrame, relations_known: DataFrame | None = None) -> DataFrame:
-    """Share of steps with a known role, and with evidence, per signal."""
-    s = steps.withColumn("roles", tx.prefix_roles(F.col("connector")))
-    return s.groupBy("signal_id").agg(
-        F.round(F.avg(F.when(F.size("roles") > 0, 1.0).otherwise(0.0)), 3).alias("role_ratio"),
-        F.round(F.avg(F.when(F.coalesce("sql_text", "destination", "url", "called_process").isNotNull(), 1.0).otherwise(0.0)), 3).alias("evidence_ratio"),
-    )
-
-
 #: Standing entries of a worklist.
 STANDING = (("Anti-Pattern Register", "quality", 3), ("Repository Comprehensive Narrative", "repo_final", 5))
 

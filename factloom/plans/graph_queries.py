@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import graph, marts
+from factloom.operators import graph, marts, rollups
 from factloom.plans import views  # noqa: F401  (registers the shared views)
 from factloom.plans.registry import query, view
 
@@ -190,6 +190,15 @@ def cluster_summary(t):
     return marts.cluster_summary(marts.cluster_members(nodes, edges), edges)
 
 
+@query("cluster_evidence", f"""
+    WITH {_CLUSTERS}, e AS (SELECT src AS id, type || ' ' || dst AS item, dst AS place, row_number() OVER (PARTITION BY src ORDER BY dst, type || ' ' || dst) AS no FROM $geo_edges)
+    SELECT cluster, rn, id, item FROM (SELECT cluster, e.id, item, row_number() OVER (PARTITION BY cluster ORDER BY e.id, place, item) AS rn FROM e JOIN mem ON mem.id = e.id WHERE no <= 2) WHERE rn <= 6""")
+def cluster_evidence(t):
+    nodes, edges = _geo(t)
+    evidence = edges.select(F.col("src").alias("id"), F.col("dst").alias("at"), F.concat_ws(" ", "type", "dst").alias("item"))
+    return rollups.cluster_evidence(marts.cluster_members(nodes, edges), evidence)
+
+
 @query("cluster_types", f"WITH {_CLUSTERS} SELECT cluster, type, count(*) AS n, CAST(dense_rank() OVER (ORDER BY cluster) AS BIGINT) AS cluster_no FROM mem GROUP BY 1, 2")
 def cluster_types(t):
     from factloom.operators import ordered

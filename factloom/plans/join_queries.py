@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.operators import joins, marts
+from factloom.operators import joins, marts, rollups
+from factloom.operators import steps as st
+from factloom.plans import step_queries  # noqa: F401  (registers the views of scaffolds)
 from factloom.plans import views  # noqa: F401  (registers the shared views)
 from factloom.plans.registry import query, view
 
@@ -92,13 +94,32 @@ def process_graph(t):
     return calls.unionByName(deps).unionByName(hubs).unionByName(mem).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+# what a process offers: the interfaces of its orders
+view("offers", """
+    SELECT DISTINCT c_name AS process, kind, coalesce(method, '') AS method, coalesce(endpoint, '') AS endpoint FROM $interface_rows i JOIN {orders} ON o_orderkey = signal_id JOIN {customer} ON c_custkey = o_custkey""")
+
+
+def _offers(t):
+    made = st.interfaces(t.view("steps", spread=True), t.view("triggers"))
+    owner = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("signal_id"), F.col("c_name").alias("process"))
+    return rollups.family_interfaces(t.view("processes"), made.join(owner, "signal_id"))
+
+
+@query("family_interfaces", "SELECT family, o.process, kind, method, endpoint FROM $offers o JOIN $processes p ON p.process = o.process")
+def family_interfaces(t):
+    return _offers(t)
+
+
 @query("family_insights", """
-    SELECT p.family, p.members, coalesce(s.ds, 0) AS shared_datastores, coalesce(s.ids, 0) AS shared_identifiers, coalesce(c.intra, 0) AS intra_calls, coalesce(c.crosses, 0) AS cross_calls
+    SELECT p.family, p.members, coalesce(s.ds, 0) AS shared_datastores, coalesce(s.ids, 0) AS shared_identifiers, coalesce(c.intra, 0) AS intra_calls, coalesce(c.crosses, 0) AS cross_calls, coalesce(i.n, 0) AS interfaces
     FROM (SELECT family, count(*) AS members FROM $processes GROUP BY 1) p
     LEFT JOIN (SELECT family, count(*) FILTER (kind = 'datastore') AS ds, count(*) FILTER (kind = 'identifier') AS ids FROM (SELECT family, kind, value FROM $uses u JOIN $processes p ON p.process = u.process GROUP BY 1, 2, 3 HAVING count(*) > 1) GROUP BY 1) s ON s.family = p.family
-    LEFT JOIN (SELECT a.family, count(*) FILTER (a.family = b.family) AS intra, count(*) FILTER (a.family IS DISTINCT FROM b.family) AS crosses FROM $calls c JOIN $processes a ON a.process = c.src LEFT JOIN $processes b ON b.process = c.dst GROUP BY 1) c ON c.family = p.family""")
+    LEFT JOIN (SELECT a.family, count(*) FILTER (a.family = b.family) AS intra, count(*) FILTER (a.family IS DISTINCT FROM b.family) AS crosses FROM $calls c JOIN $processes a ON a.process = c.src LEFT JOIN $processes b ON b.process = c.dst GROUP BY 1) c ON c.family = p.family
+    LEFT JOIN (SELECT family, count(*) AS n FROM $offers o JOIN $processes p ON p.process = o.process GROUP BY 1) i ON i.family = p.family""")
 def family_insights(t):
-    return marts.family_insights(t.view("processes"), t.view("calls"), t.view("uses"))
+    own = marts.family_insights(t.view("processes"), t.view("calls"), t.view("uses"))
+    offers = _offers(t).groupBy("family").agg(F.count(F.lit(1)).alias("interfaces"))
+    return own.join(offers, "family", "left").fillna(0, ["interfaces"])
 
 
 @query("cross_family_calls", """
@@ -120,12 +141,14 @@ def cross_family_values(t):
 
 
 @query("repository_overview", f"""
-    WITH h AS ({_HELD}) SELECT fam_a, fam_b, count(*) AS shared FROM (SELECT DISTINCT least(a.family, b.family) AS fam_a, greatest(a.family, b.family) AS fam_b, a.kind, a.value FROM h a JOIN h b ON a.kind = b.kind AND a.value = b.value
-      AND (a.family <> b.family OR a.users > 1)) GROUP BY 1, 2""")
+    WITH h AS ({_HELD}) SELECT 'shared_' || kind AS section, fam_a, fam_b, count(*) AS n FROM (SELECT DISTINCT least(a.family, b.family) AS fam_a, greatest(a.family, b.family) AS fam_b, a.kind, a.value FROM h a JOIN h b ON a.kind = b.kind AND a.value = b.value
+      AND (a.family <> b.family OR a.users > 1)) GROUP BY 1, 2, 3
+    UNION ALL SELECT 'members', family, NULL, count(*) FROM $processes GROUP BY 2
+    UNION ALL SELECT 'calls', a.family, b.family, count(*) FROM $calls c JOIN $processes a ON a.process = c.src JOIN $processes b ON b.process = c.dst WHERE a.family <> b.family GROUP BY 2, 3""")
 def repository_overview(t):
     fams = t.view("processes").select("family").distinct()
     v = marts.cross_family_values(t.view("processes"), t.view("uses"), fams, same_family=True)
-    return v.groupBy("fam_a", "fam_b").agg(F.count(F.lit(1)).alias("shared"))
+    return rollups.repository_overview(t.view("processes"), t.view("calls"), v)
 
 
 @query("nation_cross_calls", """
@@ -269,15 +292,28 @@ def snapshot_diff(t):
     return d.groupBy(F.coalesce("now.component", "previous.component").alias("component"), "change").agg(F.count(F.lit(1)).alias("n"), F.sum(delta).alias("delta"))
 
 
-@query("component_changes", """
-    WITH b AS (SELECT o_orderkey AS key, o_orderpriority AS component, o_totalprice AS v FROM orders WHERE o_orderkey % 5 <> 0), a AS (SELECT o_orderkey AS key, o_orderpriority AS component, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 3 <> 0)
-    SELECT coalesce(a.component, b.component) AS component, count(*) FILTER (b.key IS NULL) AS added, count(*) FILTER (a.key IS NULL) AS removed, count(*) FILTER (a.key IS NOT NULL AND b.key IS NOT NULL) AS modified
-    FROM a FULL JOIN b ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL OR a.v <> b.v GROUP BY 1""")
-def component_changes(t):
-    o = t.orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("component"), F.col("o_totalprice").alias("v"))
+_CHANGES = """
+    WITH b AS (SELECT o_orderkey AS key, o_orderpriority AS component, o_orderstatus AS s, o_totalprice AS v FROM orders WHERE o_orderkey % 5 <> 0), a AS (SELECT o_orderkey AS key, o_orderpriority AS component, o_orderstatus AS s, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 3 <> 0)
+    SELECT coalesce(a.component, b.component) AS component, CASE WHEN b.key IS NULL THEN 'added' WHEN a.key IS NULL THEN 'removed' ELSE 'modified' END || CASE WHEN coalesce(a.s, b.s) = 'F' THEN '_workflows' ELSE '_integrations' END AS list,
+      coalesce(a.key, b.key) AS key FROM a FULL JOIN b ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL OR a.v <> b.v"""
+
+
+def _change_entries(t):
+    kind = F.when(F.col("o_orderstatus") == "F", "workflows").otherwise("routes").alias("kind")
+    o = t.orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("component"), kind, F.col("o_totalprice").alias("v"))
     now = o.filter("key % 3 <> 0").withColumn("v", F.when(F.col("key") % 7 == 0, 0.0).otherwise(F.col("v")))
-    d = joins.snapshot_diff(o.filter("key % 5 <> 0"), now, "key").withColumn("component", F.coalesce("now.component", "previous.component"))
-    return d.groupBy("component").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "modified")])
+    d = joins.snapshot_diff(o.filter("key % 5 <> 0"), now, "key")
+    return rollups.change_entries(d.select("key", "change", *[F.coalesce("now." + c, "previous." + c).alias(c) for c in ("component", "kind")]))
+
+
+@query("component_change_lists", _CHANGES)
+def component_change_lists(t):
+    return _change_entries(t)
+
+
+@query("component_changes", "SELECT component, " + ", ".join(f"count(*) FILTER (list = '{c}_{k}') AS {c}_{k}" for k in ("workflows", "integrations") for c in ("added", "removed", "modified")) + f" FROM ({_CHANGES}) GROUP BY 1")
+def component_changes(t):
+    return rollups.change_counts(_change_entries(t))
 
 
 @query("name_matches", "SELECT p_partkey, p_brand AS workflow FROM part WHERE regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') IN ('brand1', 'brand7', 'brand22')")

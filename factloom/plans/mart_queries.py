@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
-from factloom.operators import marts, ordered, rules, signal_pass
+from factloom.operators import facts, marts, ordered, rollups, rules, signal_pass
 from factloom.operators import steps as st
 from factloom.plans import views  # noqa: F401  (registers the shared views)
-from factloom.plans.registry import query, view
-from factloom.plans.step_queries import _control, _deps
+from factloom.plans import fact_queries  # noqa: F401  (its check SQL is part of others)
+from factloom.plans.registry import ORACLES, query, view
+from factloom.plans.step_queries import _control, _deps, _identifiers
 from factloom.session import scratch_dir
 from factloom.sources import corpus
 
@@ -57,18 +58,13 @@ def relationship_highlights(t):
 
 
 @query("component_insights", """
-    SELECT component, count(DISTINCT s.signal_id) AS flows, count(p.name) AS steps, count(DISTINCT p.connector) AS connectors, string_agg(DISTINCT p.connector, ',' ORDER BY p.connector) AS connector_list
-    FROM $signals s LEFT JOIN $steps p ON p.signal_id = s.signal_id WHERE kind = 'workflow' GROUP BY 1""")
+    WITH s AS (SELECT * FROM $signals WHERE kind = 'workflow'), p AS (SELECT component, count(*) AS steps, count(DISTINCT connector) AS connectors, string_agg(DISTINCT connector, ',' ORDER BY connector) AS connector_list
+        FROM s JOIN $steps p ON p.signal_id = s.signal_id GROUP BY 1),
+      g AS (SELECT component, string_agg(DISTINCT type, ',' ORDER BY type) AS trigger_types FROM s JOIN $triggers g ON g.signal_id = s.signal_id GROUP BY 1)
+    SELECT c.component, flows, coalesce(steps, 0) AS steps, coalesce(connectors, 0) AS connectors, coalesce(connector_list, '') AS connector_list, coalesce(trigger_types, '') AS trigger_types
+    FROM (SELECT component, count(*) AS flows FROM s GROUP BY 1) c LEFT JOIN p ON p.component = c.component LEFT JOIN g ON g.component = c.component""")
 def component_insights(t):
-    s = t.view("signals").filter("kind = 'workflow'").select("signal_id", "component")
-    # steps shrink to (signal, connector) counts before they meet the signals
-    p = t.view("steps", spread=True).groupBy("signal_id", "connector").agg(F.count(F.lit(1)).alias("n"))
-    j = s.join(p, "signal_id", "left")
-    by = j.groupBy("component", "connector").agg(F.sum("n").alias("n"))
-    flows = s.groupBy("component").agg(F.count(F.lit(1)).alias("flows"))
-    # connectors are a vocabulary, so the list per component is bounded by it
-    lst = by.groupBy("component").agg(F.sum("n").alias("steps"), F.count("connector").alias("connectors"), F.array_join(F.array_sort(F.collect_set("connector")), ",").alias("connector_list"))
-    return flows.join(lst, "component")
+    return rollups.component_insights(t.view("signals").filter("kind = 'workflow'"), t.view("steps", spread=True), t.view("triggers"))
 
 
 @query("component_hints", "SELECT component, bucket, count(DISTINCT value) AS n_values, count(*) AS uses FROM $dependency_rows d JOIN $signals s ON s.signal_id = d.signal_id GROUP BY 1, 2")
@@ -90,12 +86,22 @@ def touchpoints(t):
     return per.join(t.view("signals").select("signal_id", "component"), "signal_id").groupBy("component", "class").agg(F.sum("k").alias("n"))
 
 
-@query("extractor_coverage", """
-    WITH f AS (SELECT path, split_part(path, '/', 1) AS root FROM $doc_paths), x AS (SELECT root, CASE WHEN path LIKE '%.py' OR path LIKE '%.cs' OR path LIKE '%.TS' THEN 'code' WHEN path LIKE '%.json' THEN 'config' WHEN path LIKE '%.md' THEN 'docs' END AS extractor FROM f)
-    SELECT extractor, root, count(*) AS files FROM x WHERE extractor IS NOT NULL GROUP BY ROLLUP (extractor, root)""")
+view("source_paths", "SELECT path FROM $js_files UNION ALL SELECT path FROM $sql_files UNION ALL SELECT path FROM $spec_files")
+
+
+@query("extractor_coverage", f"""
+    WITH p AS (SELECT path, split_part(path, '/', 1) AS root, CASE WHEN path LIKE '%.sql' THEN 'ddl' WHEN path LIKE '%.json' THEN 'spec' ELSE 'routes' END AS extractor FROM $source_paths),
+    r AS (SELECT extractor, root, 'files' AS what FROM p
+      UNION ALL SELECT 'routes', split_part(path, '/', 1), 'signals' FROM ({ORACLES['source_routes']}) UNION ALL SELECT 'ddl', split_part(path, '/', 1), 'signals' FROM ({ORACLES['ddl_tables']})
+      UNION ALL SELECT 'spec', 'specs', 'signals' FROM part CROSS JOIN range(3) WHERE p_partkey % 50 <> 7 UNION ALL SELECT 'spec', split_part(path, '/', 1), 'errors' FROM ({ORACLES['parse_failures']}))
+    SELECT extractor, root, count(*) FILTER (what = 'files') AS files, count(*) FILTER (what = 'signals') AS signals, count(*) FILTER (what = 'errors') AS errors FROM r GROUP BY ROLLUP (extractor, root)""")
 def extractor_coverage(t):
-    routed = corpus.route_files(t.view("doc_paths"), [("code", "(?i)[.](py|ts|cs)$"), ("config", "[.]json$"), ("docs", "[.]md$")])
-    return routed.rollup("extractor", F.split_part("path", F.lit("/"), F.lit(1)).alias("root")).agg(F.count(F.lit(1)).alias("files"))
+    routed = corpus.route_files(t.view("source_paths"), [("routes", "(?i)[.](js|ts)$"), ("ddl", "(?i)[.]sql$"), ("spec", "(?i)[.]json$")])
+    of = lambda df, name: df.select("path", F.lit(name).alias("extractor"))
+    specs = t.view("spec_files", spread=True)
+    emitted = of(facts.source_routes(t.view("js_files", spread=True)), "routes").unionByName(of(facts.ddl_blocks(t.view("sql_files", spread=True)), "ddl"))
+    emitted = emitted.unionByName(of(facts.spec_operations(specs)[1], "spec"))
+    return rollups.extractor_coverage(routed, emitted, of(facts.parse_failures(specs), "spec"))
 
 
 @query("source_inventory", "SELECT source, lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT sha256(text)) AS texts FROM documents GROUP BY ROLLUP (source, lang)")
@@ -140,6 +146,75 @@ def group_context(t):
     return top.filter(F.col("rn") <= tx.lookup(F.col("kind"), CONTEXT_LIMITS)).select("component", "kind", "signal_id")
 
 
+def _sections(t):
+    """Entries of a record's sections, in the order of steps."""
+    at = F.struct(F.lit(0).alias("src"), *[F.col(c).cast("bigint").alias(c) for c in st.ORDER])
+    ranked = lambda df, name, item: df.select(F.col("signal_id").alias("id"), F.lit(name).alias("section"), at.alias("at"), item.alias("item"))
+    steps, rel = t.view("steps", spread=True), t.view("relations", spread=True)
+    iface = st.interfaces(steps, t.view("triggers"))
+    own = F.struct(F.col("src"), *[F.col(c).cast("bigint").alias(c) for c in st.ORDER])
+    iface = iface.select(F.col("signal_id").alias("id"), F.lit("interfaces").alias("section"), own.alias("at"), F.concat_ws(" ", "kind", "method", "endpoint").alias("item"))
+    out = ranked(steps, "steps", F.concat_ws(" ", "name", "connector")).unionByName(ranked(rel, "relationships", F.concat_ws(" ", "operation", "target_ref"))).unionByName(iface)
+    out = out.unionByName(ranked(st.invocations(steps), "invocations", F.concat_ws(" ", "kind", "target"))).unionByName(ranked(st.logging(steps), "logging", F.col("activity")))
+    return out.unionByName(ranked(steps.filter("sql_text IS NOT NULL"), "evidence", F.concat_ws(":", "datasource", "name")))
+
+
+# limits small enough to be reached by these tables
+_SMALL = {"steps": 4, "relationships": 3, "interfaces": 2, "invocations": 2, "logging": 1, "evidence": 2, "evidence_index": 9}
+
+view("section_rows", """
+    SELECT signal_id, 'steps' AS section, 0 AS src, pos, k1, k2, name || ' ' || connector AS item FROM $steps
+    UNION ALL SELECT signal_id, 'relationships', 0, pos, k1, k2, operation || ' ' || target_ref FROM $relations
+    UNION ALL SELECT signal_id, 'interfaces', src, pos, k1, k2, concat_ws(' ', kind, method, endpoint) FROM $interface_rows
+    UNION ALL SELECT signal_id, 'invocations', 0, pos, k1, k2, concat_ws(' ', kind, target) FROM $invocation_rows
+    UNION ALL SELECT signal_id, 'logging', 0, min(pos), min_by(k1, (pos, k1, k2)), min_by(k2, (pos, k1, k2)), name FROM $steps WHERE connector = 'log' OR lower(name) LIKE '%log%' GROUP BY signal_id, name
+    UNION ALL SELECT signal_id, 'evidence', 0, pos, k1, k2, datasource || ':' || name FROM $steps WHERE sql_text IS NOT NULL""")
+_CONTEXT = """
+    SELECT component AS "group", signal_id AS id, section, rn, item FROM (SELECT r.*, c.component, row_number() OVER (PARTITION BY r.signal_id, section ORDER BY src, pos, k1, k2, item) AS rn FROM $section_rows r
+      JOIN (SELECT component, signal_id, row_number() OVER (PARTITION BY component ORDER BY signal_id) AS no FROM $signals) c ON c.signal_id = r.signal_id WHERE no <= 6)
+    WHERE rn <= CASE section WHEN 'steps' THEN 4 WHEN 'relationships' THEN 3 WHEN 'logging' THEN 1 ELSE 2 END"""
+
+
+def _context(t):
+    records = t.view("signals").select(F.col("component").alias("group"), F.col("signal_id").alias("id"))
+    return rollups.compact_context(records, _sections(t), _SMALL)
+
+
+@query("rollup_context", _CONTEXT)
+def rollup_context(t):
+    return _context(t)
+
+
+@query("rollup_evidence", f"""
+    SELECT "group", item FROM (SELECT "group", item, row_number() OVER (PARTITION BY "group" ORDER BY min((id, rn)), item) AS no FROM ({_CONTEXT}) WHERE section = 'evidence' GROUP BY 1, 2) WHERE no <= 9""")
+def rollup_evidence(t):
+    return rollups.evidence_index(_context(t), _SMALL)
+
+
+@query("io_summary", """
+    WITH v AS (SELECT signal_id, 'inputs' AS part, pos, k1, k2, unnest(string_split(inputs_keys, ',')) AS value, generate_subscripts(string_split(inputs_keys, ','), 1) AS sub FROM $steps WHERE inputs_keys IS NOT NULL
+      UNION ALL SELECT signal_id, 'outputs', pos, k1, k2, coalesce(destination, called_process), 1 FROM $steps WHERE coalesce(destination, called_process) IS NOT NULL)
+    SELECT signal_id, part, rn, value FROM (SELECT *, row_number() OVER (PARTITION BY signal_id, part ORDER BY pos, k1, k2, sub, value) AS rn FROM v) WHERE rn <= 10
+    UNION ALL SELECT signal_id, 'identifiers', row_number() OVER (PARTITION BY signal_id ORDER BY identifier), identifier FROM $identifier_rows""")
+def io_summary(t):
+    s = t.view("steps", spread=True)
+    at = lambda sub: F.struct(*st.ORDER, sub.alias("sub")).alias("at")
+    ins = s.select("signal_id", *st.ORDER, F.posexplode(F.split("inputs_keys", ",")).alias("sub", "value")).select("signal_id", F.lit("inputs").alias("part"), at(F.col("sub")), "value")
+    outs = s.select("signal_id", F.lit("outputs").alias("part"), at(F.lit(0)), F.coalesce("destination", "called_process").alias("value"))
+    return rollups.io_summary(ins.unionByName(outs), _identifiers(t))
+
+
+_LISTS = {"personas": "module || '-user'", "entities": "family", "ui_components": "path", "code_entities": "method", "diagrams": "CASE WHEN kind = 'workflow' THEN file END"}
+
+
+@query("component_lists", "SELECT component, list, row_number() OVER (PARTITION BY component, list ORDER BY seen, name) AS rn, name FROM (SELECT component, list, name, min(seen) AS seen FROM ("
+       + " UNION ALL ".join(f"SELECT component, '{k}' AS list, {v} AS name, signal_id AS seen FROM $signals" for k, v in _LISTS.items()) + ") WHERE name IS NOT NULL GROUP BY 1, 2, 3)")
+def component_lists(t):
+    lists = F.array(*[F.struct(F.lit(k).alias("list"), F.expr(v).alias("name")) for k, v in _LISTS.items()])
+    rows = t.view("signals").select("component", F.col("signal_id").alias("at"), F.explode(lists).alias("l")).select("component", "l.list", "l.name", "at")
+    return rollups.first_names(rows)
+
+
 @query("component_profile", """
     SELECT component, count(*) AS signals, count(DISTINCT kind) AS kinds, count(DISTINCT family) AS families, count(method) AS with_method, min(file) AS first_file, max(created) AS last_created FROM $signals GROUP BY 1""")
 def component_profile(t):
@@ -244,11 +319,18 @@ def worklist(t):
     return marts.worklist(q, signal_pass.shared_stores(_facts(t)), clusters, rules.enough_evidence())
 
 
+# transitions of steps whose first key ends in 3 lead to a step that is none
+view("checked_transitions", "SELECT signal_id, src, CASE WHEN k1 % 10 = 3 THEN dst || '?' ELSE dst END AS dst FROM $branches")
+
+
 @query("step_coverage", """
-    SELECT signal_id, round(avg(CASE WHEN connector = 'shared_sharepoint' THEN 0.0 ELSE 1.0 END), 3) AS role_ratio,
-      round(avg(CASE WHEN coalesce(sql_text, destination, url, called_process) IS NULL THEN 0.0 ELSE 1.0 END), 3) AS evidence_ratio FROM $steps GROUP BY 1""")
+    SELECT s.signal_id, round(avg(CASE WHEN connector = 'shared_sharepoint' THEN 0.0 ELSE 1.0 END), 3) AS role_ratio,
+      round(avg(CASE WHEN coalesce(sql_text, destination, url, called_process) IS NULL THEN 0.0 ELSE 1.0 END), 3) AS evidence_ratio,
+      round(avg(CASE WHEN connector IN ('log', 'shared_sharepoint') THEN 0.0 ELSE 1.0 END), 3) AS known_ratio, CASE WHEN min(b.signal_id) IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS transition_integrity
+    FROM $steps s LEFT JOIN (SELECT DISTINCT signal_id FROM $checked_transitions b WHERE NOT EXISTS (SELECT 1 FROM $steps q WHERE q.signal_id = b.signal_id AND q.name = b.dst)
+      OR NOT EXISTS (SELECT 1 FROM $steps q WHERE q.signal_id = b.signal_id AND q.name = b.src)) b ON b.signal_id = s.signal_id GROUP BY 1""")
 def step_coverage(t):
-    return marts.step_coverage(t.view("steps", spread=True))
+    return rollups.step_coverage(t.view("steps", spread=True), t.view("checked_transitions"))
 
 
 @query("label_coverage", """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
 from factloom.functions import vocab
+from factloom.operators import rollups
 from factloom.operators import steps as st
 from factloom.plans import views  # noqa: F401  (registers the shared views)
 from factloom.plans.registry import query, view
@@ -126,6 +127,25 @@ def backfilled_triggers(t):
     return st.backfill_triggers(t.view("signals"), t.view("relations", spread=True), t.view("triggers"))
 
 
+# every second relationship of a signal is a transition to the step after it
+view(
+    "transition_relations",
+    """
+    SELECT signal_id, CASE WHEN pos % 2 = 0 THEN 'transition' ELSE rel_type END AS rel_type, source_name, CASE WHEN k1 % 11 <> 0 THEN 'S' || CAST(pos + 1 AS STRING) END AS target_name,
+      CASE WHEN k2 % 2 = 0 THEN operation END AS operation, target_kind AS branch FROM $relations""",
+)
+
+
+@query(
+    "backfilled_control_edges",
+    """
+    SELECT signal_id, source_name AS parent, coalesce(operation, branch) AS branch, target_name AS child FROM $transition_relations
+    WHERE rel_type = 'transition' AND target_name IS NOT NULL AND signal_id NOT IN (SELECT signal_id FROM $branches)""",
+)
+def backfilled_control_edges(t):
+    return rollups.backfill_control_edges(t.view("transition_relations", spread=True), t.view("branches"))
+
+
 @query(
     "backfilled_dependencies",
     """
