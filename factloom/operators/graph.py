@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections import deque
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -112,40 +113,44 @@ def _with_least(pairs: DataFrame, hubs: DataFrame | None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- weighted distances
+#: Tables of improved distances that a level holds before they are merged into one table of the next level.
+FAN = 16
+
+
 def marker_distances(edges: DataFrame, markers: DataFrame) -> DataFrame:
     """``(marker, node, dist)`` shortest weighted distance along directed edges.
 
-    Frontier relaxation: only nodes improved in the last round are expanded.
+    Frontier relaxation over a delta store: a round writes only the distances that it improved, and those are
+    the next frontier.  ``FAN`` such tables are merged into one of the next level, so a distance is written once
+    per level, twice up to 256 rounds.  Earlier distances are looked up for the pairs a round reached and no
+    others, by a semi-join whose reached side is small in most rounds.
     """
     spark = edges.sparkSession
-    rounds = Rounds(spark)
+    runs = Rounds(spark, depth=FAN + 1)  # what is merged is gone a level's length later
     fixed = Rounds(spark, depth=1)
     hops = fixed.keep(weighted_edges(edges))
-    best = rounds.keep(
-        markers.select(
-            F.col("id").alias("marker"), F.col("id").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).alias("round")
-        ).distinct()
-    )
-    step = 0
+    least = lambda df: df.groupBy("marker", "node").agg(F.min("dist").alias("dist"))
+    frontier = runs.keep(markers.select(F.col("id").alias("marker"), F.col("id").alias("node"), F.lit(0.0).alias("dist")).distinct(), "level0")
+    levels = [[frontier]]
     while True:
-        frontier = best.filter(F.col("round") == step)
-        step += 1
-        reached = (
-            frontier.join(hops, frontier["node"] == hops["src"])
-            .select("marker", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"))
-            .groupBy("marker", "node")
-            .agg(F.min("dist").alias("dist"))
-            .withColumn("round", F.lit(step))
-        )
-        best = rounds.keep(
-            best.unionByName(reached)
-            .groupBy("marker", "node")
-            .agg(F.min(F.struct("dist", "round")).alias("b"))
-            .select("marker", "node", "b.dist", "b.round"),
-            watch={"moved": F.count_if(F.col("round") == step)},
+        held = reduce(DataFrame.unionByName, [run for level in levels for run in level])
+        reached = least(
+            frontier.join(hops, frontier["node"] == hops["src"]).select("marker", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"))
         )
-        if not rounds.seen["moved"]:
-            return best.select("marker", "node", "dist")
+        known = held.join(reached.select("marker", "node"), ["marker", "node"], "left_semi")
+        both = reached.withColumn("old", F.lit(None).cast("double")).unionByName(known.select("marker", "node", F.lit(None).cast("double").alias("dist"), F.col("dist").alias("old")))
+        best = both.groupBy("marker", "node").agg(F.min("dist").alias("dist"), F.min("old").alias("old"))
+        frontier = runs.keep(best.filter("old IS NULL OR dist < old").select("marker", "node", "dist"), "level0", watch=_rows())
+        if not runs.seen["n"]:
+            return least(held)
+        levels[0].append(frontier)
+        for at, level in enumerate(levels):
+            if len(level) == FAN:
+                merged = runs.keep(least(reduce(DataFrame.unionByName, level)), f"level{at + 1}")
+                level.clear()
+                if at + 1 == len(levels):
+                    levels.append([])
+                levels[at + 1].append(merged)
 
 
 def distance_features(nodes: DataFrame, distances: DataFrame, radius: int = 4) -> DataFrame:

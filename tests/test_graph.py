@@ -127,6 +127,33 @@ def test_distances_are_shortest(spark, seed):
     assert got == want
 
 
+def test_distances_are_written_a_few_times_at_most(spark, monkeypatch):
+    n = 22  # a path with a mesh beside it: more rounds than a level holds, and distances that are improved later
+    names = [f"p{i:03}" for i in range(n)]
+    pairs = [(names[i], names[i + 1], "calls") for i in range(n - 1)] + [(names[i], names[min(i + 2, n - 1)], "publishes_to") for i in range(0, n - 1, 3)]
+    nodes = spark.createDataFrame([(x,) for x in names], "id string")
+    es = spark.createDataFrame(pairs, "src string, dst string, type string")
+    written = []
+    keep = graph.Rounds.keep
+
+    def counted(self, df, *args, **kw):
+        out = keep(self, df, *args, **kw)
+        if "dist" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph.Rounds, "keep", counted)
+    got = {r.node: r.dist for r in graph.marker_distances(es, nodes.filter("id = 'p000'")).collect()}
+    want = {names[0]: 0.0}
+    for i, x in enumerate(names):  # edges lead to later nodes only
+        for a, b, t in pairs:
+            if a == x:
+                want[b] = min(want.get(b, 1e9), want[x] + {"calls": 1.0, "publishes_to": 1.5}[t])
+    assert got == want
+    assert len(written) > graph.FAN + 1
+    assert sum(written) <= 3 * len(got)
+
+
 def test_one_hub_is_one_cluster(spark):
     nodes = spark.createDataFrame(
         [("Component:orders", "Component", "orders", "orders", None), ("API:getOrders", "API", "getOrders", "orders", "svc/orders.py")],
