@@ -128,7 +128,7 @@ def test_distances_are_shortest(spark, seed):
 
 
 def test_distances_are_written_a_few_times_at_most(spark, monkeypatch):
-    n = 22  # a path with a mesh beside it: more rounds than a level holds, and distances that are improved later
+    n = 30  # a path with a mesh beside it: more rounds than a level holds, and distances that are improved later
     names = [f"p{i:03}" for i in range(n)]
     pairs = [(names[i], names[i + 1], "calls") for i in range(n - 1)] + [(names[i], names[min(i + 2, n - 1)], "publishes_to") for i in range(0, n - 1, 3)]
     nodes = spark.createDataFrame([(x,) for x in names], "id string")
