@@ -346,61 +346,89 @@ def nested_actions(actions: dict) -> Iterator[tuple]:
                 todo += [(name, label, depth + 1, body) for label, body in _branches(node)]
 
 
-def flatten_actions(defs: DataFrame) -> DataFrame:
-    """Every action of a workflow, nested ones with their parent, branch and depth.
-
-    Nesting is local to a file, so the walk is one map-only pass; facts are read off the flat rows.
-    """
-    columns = "parent string, branch string, depth int, name string, body string"
+# Where an action keeps what is read off it.
+_LEAVES = {
+    "type": ("type",), "method": ("inputs", "method"), "uri": ("inputs", "uri"), "at": ("inputs", "path"),
+    "connection": ("inputs", "host", "connection", "name"), "api": ("inputs", "host", "apiId"),
+}
+
+
+def _action_row(row: tuple) -> tuple:
+    """An action's place, its leaves, its ``runAfter`` names and, as JSON, the leaves that are no text."""
+    *place, node = row
+    found, odd = [], {}
+    for leaf, keys in _LEAVES.items():
+        value = node
+        for k in keys:
+            value = value.get(k) if isinstance(value, dict) else None
+        if value is not None and not isinstance(value, str):
+            odd[leaf], value = value, None
+        found.append(value)
+    after = node.get("runAfter") if isinstance(node, dict) else None
+    return (*place, *found, sorted(after) if isinstance(after, dict) else None, json.dumps(odd) if odd else None)
+
+
+def _walked(defs: DataFrame) -> DataFrame:
+    """A row per action; ``started_by`` names the triggers of its workflow where it waits for nothing."""
+    fields = [("path", pa.string()), ("parent", pa.string()), ("branch", pa.string()), ("depth", pa.int32()), ("name", pa.string())]
+    fields += [(leaf, pa.string()) for leaf in _LEAVES]
+    schema = pa.schema([*fields, ("run_after", pa.list_(pa.string())), ("odd", pa.string()), ("started_by", pa.list_(pa.string()))])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
-        names = ["path", *(c.split()[0] for c in columns.split(", "))]
         for b in batches:
-            rows = [
-                (path, *row[:4], json.dumps(row[4]))
-                for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for row in nested_actions(json.loads(text))
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(names), types)], names)
-
+            rows = []
+            for path, triggers, text in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                for action in nested_actions(json.loads(text)):
+                    made = _action_row(action)
+                    rows.append((path, *made, None if made[-2] else triggers))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(schema), schema)], schema=schema)
+
+    ddl = "path string, parent string, branch string, depth int, name string, " + ", ".join(f"{leaf} string" for leaf in _LEAVES)
+    ddl += ", run_after array<string>, odd string, started_by array<string>"
+    rows = defs.select("path", F.map_keys("triggers").alias("triggers"), F.to_json("actions").alias("actions")).mapInArrow(walk, ddl)
+    other = F.when(F.col("odd").isNotNull(), F.parse_json("odd"))
+    texts = {leaf: F.coalesce(F.col(leaf), F.try_variant_get(other, f"$.{leaf}", "string")) for leaf in _LEAVES}
     http = F.col("type").isin("Http", "HttpWebhook")
-    uri = F.when(http, _vstr("node", "$.inputs.uri")).otherwise(_vstr("node", "$.inputs.path"))
-    connector = F.coalesce(
-        F.when(http, F.lit("http")), _vstr("node", "$.inputs.host.connection.name"),
-        F.substring_index(_vstr("node", "$.inputs.host.apiId"), "/", -1), "type",
-    )
+    connector = F.coalesce(F.when(http, F.lit("http")), "connection", F.substring_index("api", "/", -1), "type")
     child = F.when(F.col("uri").contains("/workflows/") & F.col("uri").contains("/triggers/") & F.col("uri").contains("/run"), F.col("uri"))
-    rows = defs.select("path", F.to_json("actions").alias("actions")).mapInArrow(walk, "path string, " + columns)
     return (
-        rows.withColumn("node", F.parse_json("body"))
-        .withColumn("type", _vstr("node", "$.type"))
-        .withColumn("method", F.upper(_vstr("node", "$.inputs.method")))
-        .withColumn("uri", uri)
-        .withColumn("connector", connector)
-        .withColumn("run_after", F.array_sort(F.map_keys(_vmap("node", "$.runAfter"))))
+        rows.withColumns(texts)
+        .withColumns({"method": F.upper("method"), "uri": F.when(http, F.col("uri")).otherwise(F.col("at")), "connector": connector})
         .withColumn("child_flow", child)
-        .select("path", "parent", "branch", "depth", "name", "type", "method", "uri", "connector", "run_after", "child_flow")
+        .select("path", "parent", "branch", "depth", "name", "type", "method", "uri", "connector", "run_after", "child_flow", "started_by")
     )
 
 
+def flatten_actions(defs: DataFrame) -> DataFrame:
+    """Every action of a workflow, nested ones with their parent, branch and depth.
+
+    Nesting is local to a file, so the walk is one map-only pass that also reads an action's leaves.
+    """
+    return _walked(defs).drop("started_by")
+
+
 def control_edges(actions: DataFrame) -> DataFrame:
     return actions.filter("parent IS NOT NULL").select("path", "parent", "branch", F.col("name").alias("child"))
 
 
-def workflow_relationships(triggers: DataFrame, actions: DataFrame) -> DataFrame:
-    """Action -> target relationships, plus each trigger -> every action that waits for nothing."""
-    a = actions.withColumn("kind", tx.target_kind(F.col("connector"), F.col("uri"))).filter("kind IS NOT NULL")
-    a = a.withColumn("kind", F.when(F.col("child_flow").isNotNull(), "workflow").otherwise(F.col("kind")))
+def workflow_relationships(defs: DataFrame) -> DataFrame:
+    """Action -> target relationships, plus each trigger of a workflow -> every action of it that waits for nothing.
+
+    Both are read off an action's row, so files are walked once and meet no join.
+    """
+    actions = _walked(defs)
+    kind = tx.target_kind(F.col("connector"), F.col("uri"))
+    a = actions.withColumn("kind", kind).withColumn("kind", F.when(F.col("kind").isNotNull() & F.col("child_flow").isNotNull(), "workflow").otherwise(F.col("kind")))
     op = tx.operation_for(F.col("kind"), F.col("name"), F.col("method"))
-    own = a.select(
-        "path", F.lit("action").alias("source_type"), F.col("name").alias("source"), "kind",
+    own = F.when(F.col("kind").isNotNull(), F.array(F.struct(
+        F.lit("action").alias("source_type"), F.col("name").alias("source"), "kind",
         tx.target_ref(F.col("connector"), F.col("uri"), F.lit(None).cast("string")).alias("ref"), op.alias("operation"),
-    )
-    starts = actions.filter("coalesce(size(run_after), 0) <= 0").select("path", F.col("name").alias("ref"))
-    begun = triggers.select("path", F.col("name").alias("source")).join(starts, "path").select(
-        "path", F.lit("trigger").alias("source_type"), "source", F.lit("action").alias("kind"), "ref", F.lit("calls").alias("operation")
-    )
-    rels = own.unionByName(begun)
+    )))
+    begun = F.transform("started_by", lambda t: F.struct(
+        F.lit("trigger").alias("source_type"), t.alias("source"), F.lit("action").alias("kind"), F.col("name").alias("ref"), F.lit("calls").alias("operation")
+    ))
+    none = F.array().cast("array<struct<source_type: string, source: string, kind: string, ref: string, operation: string>>")
+    rels = a.select("path", F.explode(F.concat(F.coalesce(own, none), F.coalesce(begun, none))).alias("r")).select("path", "r.*")
     return rels.withColumn("relation_id", tx.relation_id(F.col("source"), F.col("kind"), F.col("ref")))
 
 

@@ -253,8 +253,7 @@ def workflow_actions(t):
 )
 def workflow_relationships(t):
     defs = facts.workflow_definitions(t.view("flow_files", spread=True))
-    rel = facts.workflow_relationships(facts.workflow_triggers(defs), facts.flatten_actions(defs))
-    return _count(rel, "source_type", "source", "kind", "operation")
+    return _count(facts.workflow_relationships(defs), "source_type", "source", "kind", "operation")
 
 
 @query(
