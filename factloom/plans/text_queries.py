@@ -144,7 +144,8 @@ def extractor_routing(t):
     rules = [("code", "(?i)[.](py|ts|cs)$"), ("config", "[.]json$"), ("config", "(^|/)config/"), ("docs", "[.]md$"), ("all", ".")]
     routed = corpus.route_files(t.view("doc_paths", spread=True), rules)
     return (
-        routed.groupBy("extractor", F.split_part("path", F.lit("/"), F.lit(1)).alias("module"))
+        routed.distinct()  # documents of one path are one file
+        .groupBy("extractor", F.split_part("path", F.lit("/"), F.lit(1)).alias("module"))
         .agg(F.count(F.lit(1)).alias("files"))
     )
 

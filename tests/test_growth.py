@@ -2,9 +2,12 @@
 
 import json
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from factloom.operators import facts
+from tools.check import compare
 
 
 def test_relationships_walk_a_file_once(spark):
@@ -19,3 +22,25 @@ def test_relationships_walk_a_file_once(spark):
     assert rows["a"].method == "7" and rows["b"].type is None and rows["c"].run_after == ["a", "b"] and rows["a"].run_after is None
     plan = facts.workflow_relationships(defs)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+def against_sql(spark, name, folder, **tables):
+    """The query and its check SQL over tables of a few rows."""
+    con = duckdb.connect()
+    for table, df in tables.items():
+        df.coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    return compare(spark, str(folder), name, entry.queries()[name], entry.oracle_sql()[name], con)
+
+
+def test_files_of_one_path_count_once(spark, tmp_path):
+    docs = spark.range(1, 1303).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit(1).alias("n_chars"))
+    status, *_, note = against_sql(spark, "extractor_routing", tmp_path, documents=docs)
+    assert status == "ok", note
+
+
+def test_titles_with_every_entity(spark, tmp_path):
+    html = "<title> a &lt;b&gt; &quot;c&quot;\x0b\n&#39;d&#39;&nbsp;&amp;lt; &amp; e</title><h1 class='x'>&quot;f&quot;</h1>"
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", "<h1></h1>"), (3, "u", None)], "page_id long, url string, html string")
+    status, n, *_, note = against_sql(spark, "page_title_facts", tmp_path, pages=pages)
+    assert (status, n) == ("ok", 2), note
