@@ -45,7 +45,8 @@ query(
 @query(
     "page_title_facts",
     r"""
-    SELECT page_id, kind, trim(regexp_replace(regexp_replace(replace(raw, '&amp;', '&'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM (
+    SELECT page_id, kind, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'),
+      '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '<[^>]*>', ' ', 'g'), '[\s\x0B]+', ' ', 'g')) AS title FROM (
       SELECT page_id, 'title' AS kind, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS raw FROM pages
       UNION ALL SELECT page_id, 'heading', regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's') FROM pages)
     WHERE raw <> ''""",
