@@ -182,20 +182,47 @@ SMALL_COMPONENT = {"nodes": 5_000, "edges": 200_000}
 SMALL_BETWEENNESS = {"nodes": 1_000, "edges": 20_000}
 
 
+def _without_twins(pairs: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
+    """``(u, v, n, twin)``: the undirected pairs between nodes that are kept, two of each class of twins; and every ``(u, twin)``.
+
+    Twins have the same neighbours, so all of them have the same paths to the rest.  The least of a class stays for
+    itself and the greatest for its other ``n`` members; ``twin`` is the least.  Classes are found by digests and
+    then counted: members of a class that do not share each neighbour all stay for themselves.
+    """
+    pairs = rounds.keep(pairs.select("u", "v"), "all")
+    words = [F.conv(F.substring(F.sha2(F.col("v").cast("string"), 256), at, 15), 16, 10).cast("bigint") for at in (1, 16, 31, 46)]
+    marks = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("d"), *[F.bit_xor(w).alias(f"w{i}") for i, w in enumerate(words)])
+    alike = ["d", *[f"w{i}" for i in range(len(words))]]
+    classes = marks.groupBy(*alike).agg(F.min("u").alias("twin"), F.max("u").alias("last"), F.count(F.lit(1)).alias("size"))
+    member = rounds.keep(marks.join(classes, alike).select("u", "twin", "last", "size"), "twins")
+    shared = pairs.join(member.filter("size > 1"), "u").groupBy("twin", "v").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    unlike = shared.filter("n <> size").select("twin").distinct().withColumn("unlike", F.lit(True))
+    kept = member.join(unlike, "twin", "left").select(
+        "u", F.when(F.col("unlike"), F.col("u")).otherwise(F.col("twin")).alias("twin"),
+        F.when(F.col("unlike") | (F.col("u") == F.col("twin")), 1).when(F.col("u") == F.col("last"), F.col("size") - 1).cast("bigint").alias("n"),
+    )
+    kept = rounds.keep(kept, "kept")
+    stay = kept.filter("n IS NOT NULL")
+    return rounds.keep(pairs.join(stay, "u").join(stay.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v", "n", "twin"), "fewer"), kept.select("u", "twin")
+
+
 def _split_by_size(nodes: DataFrame, edges: DataFrame, max_nodes: int, max_edges: int):
-    """Label undirected edges with their component and part small from large components."""
+    """Undirected edges without twins, labelled with their component, small components apart from large ones."""
     rounds = Rounds(nodes.sparkSession, depth=1 << 30)
-    comp = rounds.keep(connected_components(nodes, edges), "comp")
-    known = nodes.select("id")
-    pairs = undirected(edges).join(known.withColumnRenamed("id", "v"), "v", "left_semi")
-    labelled = rounds.keep(pairs.join(comp.withColumnRenamed("id", "u"), "u"), "pairs")
-    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(
+    pairs = undirected(edges)
+    for end in ("u", "v"):
+        pairs = pairs.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
+    fewer, twins = _without_twins(pairs, rounds)
+    ends = fewer.select(F.col("u").alias("id")).distinct()
+    comp = rounds.keep(connected_components(ends, fewer.select(F.col("u").alias("src"), F.col("v").alias("dst"))), "comp")
+    labelled = rounds.keep(fewer.join(comp.withColumnRenamed("id", "u"), "u"), "pairs")
+    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).join(
         labelled.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "component"
     )
-    small_ids = sizes.filter((F.col("n") <= max_nodes) & (F.col("m") <= 2 * max_edges)).select("component")
+    small_ids = sizes.filter((F.col("nodes") <= max_nodes) & (F.col("m") <= 2 * max_edges)).select("component")
     small = labelled.join(small_ids, "component", "left_semi")
     large = labelled.join(small_ids, "component", "left_anti")
-    return small, large, rounds
+    return small, large, twins, rounds
 
 
 def _adjacency(pdf: pd.DataFrame) -> dict:
@@ -206,10 +233,14 @@ def _adjacency(pdf: pd.DataFrame) -> dict:
 
 
 def _pair_dependency(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sum of source dependencies per node of one bounded component."""
+    """Sum of source dependencies per class of twins of one bounded component."""
     adj = _adjacency(pdf)
-    score = dict.fromkeys(adj, 0.0)
-    for s in adj:
+    n, twin = dict(zip(pdf["u"], pdf["n"])), dict(zip(pdf["u"], pdf["twin"]))
+    size: dict = {}
+    for x in adj:
+        size[twin[x]] = size.get(twin[x], 0) + n[x]
+    score = dict.fromkeys(size, 0.0)
+    for s in size:
         dist, paths, order, queue = {s: 0}, {s: 1.0}, [], deque([s])
         while queue:
             x = queue.popleft()
@@ -220,27 +251,31 @@ def _pair_dependency(pdf: pd.DataFrame) -> pd.DataFrame:
                     paths[y] = 0.0
                     queue.append(y)
                 if dist[y] == dist[x] + 1:
-                    paths[y] += paths[x]
+                    paths[y] += n[x] * paths[x]
         dep = dict.fromkeys(order, 0.0)
         for y in reversed(order):
             for x in adj[y]:
                 if dist[x] == dist[y] - 1:
-                    dep[x] += paths[x] / paths[y] * (1.0 + dep[y])
-            if y != s:
-                score[y] += dep[y]
+                    dep[x] += n[y] * paths[x] / paths[y] * (1.0 + dep[y])
+            if twin[y] == s != y:  # the other members are sources to each of them but itself
+                score[s] += (size[s] - 1) * dep[y]
+            elif twin[y] == y != s:
+                score[y] += size[s] * dep[y]
     return pd.DataFrame({"id": list(score), "raw": list(score.values())})
 
 
 def _pair_dependency_frames(pairs: DataFrame, rounds: Rounds) -> DataFrame:
-    """The same sums for components of any size: level-synchronous search from every source
+    """The same sums for components of any size: level-synchronous search from a member of every class
     kept as ``(s, node, level, paths)`` rows, then dependencies pushed back level by level."""
-    ids = pairs.select(F.col("u").alias("s")).distinct()
+    kinds = rounds.keep(pairs.groupBy(F.col("u").alias("node")).agg(F.min("n").alias("n"), F.min("twin").alias("twin")), "kinds")
+    sizes = kinds.groupBy(F.col("twin").alias("s")).agg(F.sum("n").alias("size"))
+    ids = sizes.select("s")
     levels = [rounds.keep(ids.select("s", F.col("s").alias("node"), F.lit(1.0).alias("paths")), "lv")]
     while True:
         step = (
             levels[-1].join(pairs, F.col("node") == F.col("u"))
             .groupBy("s", F.col("v").alias("node"))
-            .agg(F.sum("paths").alias("paths"))
+            .agg(F.sum(F.col("n") * F.col("paths")).alias("paths"))
         )
         for old in levels[-2:]:
             step = step.join(old.select("s", "node"), ["s", "node"], "left_anti")
@@ -252,11 +287,13 @@ def _pair_dependency_frames(pairs: DataFrame, rounds: Rounds) -> DataFrame:
     total = None
     for here, above in zip(reversed(levels[1:]), reversed(levels[:-1])):
         cur = here.withColumn("dep", F.lit(0.0)) if dep is None else here.join(dep, ["s", "node"], "left").fillna(0.0, ["dep"])
-        part = cur.groupBy(F.col("node").alias("id")).agg(F.sum("dep").alias("raw"))
+        # the other members of a class are sources to each of them but itself
+        times = F.when(F.col("twin") == F.col("s"), F.col("size") - 1).when(F.col("twin") == F.col("node"), F.col("size"))
+        part = cur.join(kinds.select("node", "twin"), "node").join(sizes, "s").groupBy(F.col("twin").alias("id")).agg(F.sum(times * F.col("dep")).alias("raw"))
         total = part if total is None else total.unionByName(part)
         share = (
             cur.join(pairs, F.col("node") == F.col("u"))
-            .select("s", F.col("v").alias("node"), ((1.0 + F.col("dep")) / F.col("paths")).alias("share"))
+            .select("s", F.col("v").alias("node"), (F.col("n") * (1.0 + F.col("dep")) / F.col("paths")).alias("share"))
         )
         dep = rounds.keep(
             above.join(share, ["s", "node"])
@@ -274,14 +311,16 @@ def betweenness(
 ) -> DataFrame:
     """Exact normalised betweenness on the undirected graph: ``(id, betweenness)``.
 
+    Paths are counted between classes of twins (nodes with the same neighbours), each weighted by its members.
     Components up to the size bound run as one bounded pandas group each; larger ones run as
     joins, so no component size is dropped or sampled.
     """
-    small, large, rounds = _split_by_size(nodes, edges, max_nodes, max_edges)
+    small, large, twins, rounds = _split_by_size(nodes, edges, max_nodes, max_edges)
     id_type = nodes.schema["id"].dataType.simpleString()
     raw = small.groupBy("component").applyInPandas(_pair_dependency, f"id {id_type}, raw double")
     if not large.isEmpty():
-        raw = raw.unionByName(_pair_dependency_frames(large.select("u", "v"), rounds))
+        raw = raw.unionByName(_pair_dependency_frames(large.select("u", "v", "n", "twin"), rounds))
+    raw = twins.join(raw.withColumnRenamed("id", "twin"), "twin").select(F.col("u").alias("id"), "raw")
     n = nodes.select("id").distinct().count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     return nodes.select("id").distinct().join(raw, "id", "left").select(
@@ -391,8 +430,12 @@ def _cut_nodes_frames(pairs: DataFrame, rounds: Rounds) -> DataFrame:
 def articulation_points(
     nodes: DataFrame, edges: DataFrame, max_nodes: int = SMALL_COMPONENT["nodes"], max_edges: int = SMALL_COMPONENT["edges"]
 ) -> DataFrame:
-    """``(id)`` of every node whose removal splits its component."""
-    small, large, rounds = _split_by_size(nodes, edges, max_nodes, max_edges)
+    """``(id)`` of every node whose removal splits its component.
+
+    Of nodes with the same neighbours two are looked at: none of them is a cut node, and two hold together or
+    apart what all of them do.
+    """
+    small, large, _, rounds = _split_by_size(nodes, edges, max_nodes, max_edges)
     id_type = nodes.schema["id"].dataType.simpleString()
     cut = small.groupBy("component").applyInPandas(_cut_nodes, f"id {id_type}")
     if not large.isEmpty():

@@ -3,10 +3,12 @@
 import json
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from factloom.operators import facts
+from factloom.operators import facts, graph
+from factloom.session import Rounds
 from tools.check import compare
 
 
@@ -44,3 +46,45 @@ def test_titles_with_every_entity(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", html), (2, "u", "<h1></h1>"), (3, "u", None)], "page_id long, url string, html string")
     status, n, *_, note = against_sql(spark, "page_title_facts", tmp_path, pages=pages)
     assert (status, n) == ("ok", 2), note
+
+
+def pair_sums(ids, pairs):
+    """Betweenness by counting: for every s, t the share of shortest paths that pass a node."""
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in ids}
+    dist, count = {}, {}
+    for s in ids:
+        d, c, level = {s: 0}, {s: 1}, [s]
+        while level:
+            later = []
+            for x in level:
+                for y in near[x]:
+                    if y not in d:
+                        d[y], c[y] = d[x] + 1, 0
+                        later.append(y)
+                    if d[y] == d[x] + 1:
+                        c[y] += c[x]
+            level = later
+        dist[s], count[s] = d, c
+    raw = {i: sum(count[s][i] * count[i][t] / count[s][t] for s in ids for t in ids
+                  if len({s, t, i}) == 3 and t in dist[s] and i in dist[s] and dist[s][i] + dist[i][t] == dist[s][t]) for i in ids}
+    return {i: raw[i] / ((len(ids) - 1) * (len(ids) - 2)) for i in ids}
+
+
+def test_twins_count_as_all_of_them(spark):
+    pairs = [(f"a{i}", f"b{j}") for i in range(4) for j in range(3)] + [("b0", "c"), ("c", "d")] + [("d", f"leaf{i}") for i in range(4)] + [("d", "e"), ("e", "f"), ("f", "c")]
+    pairs += [("x0", f"y{i}") for i in range(3)] + [(f"p{i}", f"q{j}") for i in range(2) for j in range(2)]
+    ids = sorted({x for p in pairs for x in p} | {"alone"})
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    edges = spark.createDataFrame([(*p, "t") for p in pairs], "src string, dst string, type string")
+    want = pair_sums(ids, pairs)
+    for most in (1000, 0):
+        got = {r.id: r.betweenness for r in graph.betweenness(nodes, edges, max_nodes=most).collect()}
+        assert got == pytest.approx(want), most
+        assert {r.id for r in graph.articulation_points(nodes, edges, max_nodes=most).collect()} == {"b0", "c", "d", "x0"}, most
+
+
+def test_pairs_of_twins_do_not_grow_with_them(spark):
+    made = spark.range(40).select(F.concat(F.lit("a"), "id").alias("u")).crossJoin(spark.range(200).select(F.concat(F.lit("b"), "id").alias("v")))
+    fewer, twins = graph._without_twins(graph.undirected(made.toDF("src", "dst")), Rounds(spark, depth=1 << 30))
+    assert fewer.count() == 8 and twins.count() == 240 and twins.select("twin").distinct().count() == 2
+    assert sorted(r.n for r in fewer.select("u", "n").distinct().collect()) == [1, 1, 39, 199]
