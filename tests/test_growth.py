@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from factloom.operators import facts, graph
+from factloom.operators import facts, graph, marts
 from factloom.session import Rounds
 from tools.check import compare
 
@@ -88,3 +88,18 @@ def test_pairs_of_twins_do_not_grow_with_them(spark):
     fewer, twins = graph._without_twins(graph.undirected(made.toDF("src", "dst")), Rounds(spark, depth=1 << 30))
     assert fewer.count() == 8 and twins.count() == 240 and twins.select("twin").distinct().count() == 2
     assert sorted(r.n for r in fewer.select("u", "n").distinct().collect()) == [1, 1, 39, 199]
+
+
+def test_peers_of_one_group_are_many_tasks(spark):
+    p = spark.range(2000).select(F.concat(F.lit("p"), "id").alias("process"), F.lit("c").alias("component"), F.when(F.col("id") < 50, "f").alias("family"), F.lit(None).cast("string").alias("module"))
+    asked = p.filter("process IN ('p1', 'p77')").select("process")
+    calls = spark.createDataFrame([("p1", "p2"), ("p1", "p2"), ("p1", "p1"), ("p9", "p77")], "src string, dst string")
+    uses = spark.createDataFrame([("p1", "datastore", "v"), ("p3", "datastore", "v"), ("p1", "datastore", "w"), ("p3", "datastore", "w")], "process string, kind string, value string")
+    out = marts.dependency_slice(p, calls, uses, asked)
+    n = {(r.process, r.relation): r["count"] for r in out.groupBy("process", "relation").count().collect()}
+    assert n == {
+        ("p1", "calls"): 2, ("p77", "called_by"): 1, ("p1", "shared_datastore_with"): 1, ("p1", "component_peers"): 1999,
+        ("p77", "component_peers"): 1999, ("p1", "family_peers"): 49,
+    }
+    held = out.filter("relation = 'component_peers'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) >= 8 and max(r["count"] for r in held) < 1000
