@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from factloom.operators import facts, graph, marts
+from factloom.operators import facts, graph, marts, signal_pass
+from factloom.plans.mart_queries import _facts
+from factloom.plans.registry import Tables
 from factloom.session import Rounds
 from tools.check import compare
 
@@ -103,3 +105,10 @@ def test_peers_of_one_group_are_many_tasks(spark):
     }
     held = out.filter("relation = 'component_peers'").groupBy(F.spark_partition_id()).count().collect()
     assert len(held) >= 8 and max(r["count"] for r in held) < 1000
+
+
+def test_what_reads_the_facts_exchanges_a_row_per_signal(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(signal_pass.dependencies(_facts(t)))
+    assert plan(signal_pass.presence(_facts(t))).count("Exchange hashpartitioning") == 1
