@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import duckdb
 import numpy as np
@@ -49,14 +51,13 @@ WITH RECURSIVE tok AS (
       CASE WHEN t.pos = b.at THEN b.next_id WHEN t.next_pos = b.at THEN b.id ELSE t.next_id END,
       t.step + 1
     FROM tok t
-    JOIN (SELECT c.word, c.best & 4294967295 AS at, c.best >> 32 AS id, c.gone, n.next_pos, n.next_id
-          FROM (SELECT l.word, min(m.id << 32 | l.pos) AS best, arg_min(l.next_pos, m.id << 32 | l.pos) AS gone
-                FROM tok l JOIN merges m ON m.pair = (l.id << 32 | l.next_id) GROUP BY l.word) c
+    JOIN (SELECT c.word, CAST(c.best & 4294967295 AS INTEGER) AS at, CAST(c.best >> 32 AS INTEGER) AS id, c.gone, n.next_pos, n.next_id
+          FROM (SELECT l.word, min(m.best | l.pos) AS best, arg_min(l.next_pos, m.best | l.pos) AS gone
+                FROM tok l JOIN merges m ON m.pair = (CAST(l.id AS BIGINT) << 32 | l.next_id) GROUP BY l.word) c
           JOIN tok n ON n.word = c.word AND n.pos = c.gone) b ON b.word = t.word
     WHERE t.pos <> b.gone
 )
-SELECT word, id FROM (SELECT word, pos, id, step, max(step) OVER (PARTITION BY word) AS last FROM tok)
-WHERE step = last ORDER BY word, pos
+SELECT word, id FROM tok JOIN (SELECT word, max(step) AS step FROM tok GROUP BY word) USING (word, step) ORDER BY word, pos
 """
 
 DECODE = """
@@ -70,19 +71,31 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+#: Patterns that take letters behind at most one blank as one piece.
+LETTERS = re.compile(r"('\w+\|)* \?\\p\{L\}\+(\||$)")
+
+
+def plain(chunk: str) -> bool:
+    """Whether a chunk is ASCII letters behind at most one blank."""
+    word = chunk[1:] if chunk[0] == " " else chunk
+    return word.isascii() and word.isalpha()
+
+
 class DuckBpe:
     def __init__(self, path: str, pattern: str):
         self.ranks = ranks_of(path)
         # the pattern's white space spelled out: engines differ in what \s holds
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
-        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.letters = LETTERS.match(pattern)
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
-        cut = [(self.ranks[w[:i]] << 32 | self.ranks[w[i:]], r) for w, r in self.ranks.items() for i in range(1, len(w)) if w[:i] in self.ranks and w[i:] in self.ranks]
-        pairs, ids = (pa.array(c, pa.int64()) for c in zip(*cut))
-        self._table("merges", pa.table({"pair": pairs, "id": ids}))
+        cut = [(self.ranks[w[:i]] << 32 | self.ranks[w[i:]], r << 32) for w, r in self.ranks.items() for i in range(1, len(w)) if w[:i] in self.ranks and w[i:] in self.ranks]
+        pairs, best = (pa.array(c, pa.int64()) for c in zip(*cut))
+        self._table("merges", pa.table({"pair": pairs, "best": best}))
         # a byte per character, so that ordered text aggregation joins bytes
         self._table("vocab", pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "piece": [w.decode("latin-1") for w in self.ranks]}))
         self.largest = max(self.ranks.values())
+        self.entries = {w: r.to_bytes(4, "little") for w, r in self.ranks.items()}
         self.pieces = Remembered(self._encode_pieces, PIECES)
         self.chunks = Remembered(self._encode_chunks, CHUNKS)
 
@@ -93,13 +106,19 @@ class DuckBpe:
 
     def _merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word by the recursive query."""
-        sizes = np.array([len(w) for w in words])
+        return [np.frombuffer(ids, "<i4") for ids in self._merged(words)]
+
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        """The same as little-endian bytes, cut from one buffer."""
+        sizes = np.array([len(w) for w in words], np.int32)
         flat = self.byte[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), sizes)
-        pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        pos = np.arange(len(flat), dtype=np.int32) - np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes, sizes)
         self._table("start", pa.table({"word": word, "pos": pos, "id": flat}))
         got = self.db.execute(ENCODE).fetchnumpy()
-        return np.split(got["id"], np.flatnonzero(np.diff(got["word"])) + 1)
+        raw = got["id"].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(got["word"], minlength=len(words)))).tolist()
+        return [raw[at:end] for at, end in zip([0, *ends], ends)]
 
     def _merge_long(self, word: bytes) -> np.ndarray:
         """The same contraction for one long word: a heap of (rank, position), leftmost first among equals."""
@@ -129,19 +148,24 @@ class DuckBpe:
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         raw = [p.encode() for p in pieces]
-        found: dict[int, np.ndarray] = {i: np.array([self.ranks[w]]) for i, w in enumerate(raw) if w in self.ranks}
-        found |= {i: self._merge_long(w) for i, w in enumerate(raw) if len(w) > LONG and i not in found}
-        todo = sorted((i for i in range(len(raw)) if i not in found), key=lambda i: len(raw[i]))  # alike in number of steps
+        found = list(map(self.entries.get, raw))
+        todo = [i for i, ids in enumerate(found) if ids is None]
+        for i in [i for i in todo if len(raw[i]) > LONG]:
+            found[i] = self._merge_long(raw[i]).astype("<i4").tobytes()
+        todo = sorted((i for i in todo if found[i] is None), key=lambda i: len(raw[i]))  # alike in number of steps
         squares, at = np.cumsum([len(raw[i]) ** 2 for i in todo]), 0
         while at < len(todo):
             most = SQUARES + (squares[at - 1] if at else 0)
             end = min(at + WORDS, max(at + 1, int(np.searchsorted(squares, most, "right"))))
             few, at = todo[at:end], end
-            found |= dict(zip(few, self._merge([raw[i] for i in few]), strict=True))
-        return [found[i].astype("<i4").tobytes() for i in range(len(raw))]
+            for i, ids in zip(few, self._merged([raw[i] for i in few]), strict=True):
+                found[i] = ids
+        return found
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        return [b"".join(ids) for ids in self.pieces.of([self.pattern.findall(c) for c in chunks])]
+        parts = [[c] if self.letters and plain(c) else self.pattern.findall(c) for c in chunks]
+        ids = iter(self.pieces.of([list(chain.from_iterable(parts))])[0])
+        return [next(ids) if len(p) == 1 else b"".join(islice(ids, len(p))) for p in parts]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for parts in self.chunks.texts(texts):

@@ -12,9 +12,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
-from functools import partial
-from itertools import compress
-from operator import is_
 
 import numpy as np
 
@@ -23,7 +20,6 @@ from factloom.llm.common import slices
 REMEMBER, LONG = 280 << 20, 100
 #: Bytes of an entry besides its key and value, and bits (a byte each) for keys met once.
 ENTRY, MET = 190, 4 << 20
-ABSENT = partial(is_, None)
 
 #: The white space of the vocabularies' split pattern.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -32,6 +28,13 @@ CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 PLAIN = re.compile(f" ?[^{WHITE}]+")
 
 
+class Kept(dict):
+    """A dictionary that asks ``rest`` for what it lacks."""
+
+    def __missing__(self, key: str) -> bytes:
+        return self.rest[key]
+
+
 class Remembered:
     """Values of keys, computed once while remembered; ``most`` bounds the bytes of all that is kept.
 
@@ -42,7 +45,7 @@ class Remembered:
     """
 
     def __init__(self, make: Callable[[list[str]], list], most: int):
-        self.make, self.most, self.young, self.old = make, most, {}, {}
+        self.make, self.most, self.young, self.old = make, most, Kept(), {}
         self.bytes, self.met = 0, bytearray(MET)
 
     def _keep(self, key: str, value: bytes) -> None:
@@ -52,15 +55,12 @@ class Remembered:
     def of(self, groups: list[list[str]]) -> list[list]:
         """Per group the values of its keys."""
         if self.bytes > self.most // 2:
-            self.young, self.old, self.bytes, self.met = {}, self.young, 0, bytearray(MET)
-        young = self.young.get
-        values = [list(map(young, g)) for g in groups]
-        short = [i for i, v in enumerate(values) if None in v]
-        missing = set().union(*(compress(groups[i], map(ABSENT, values[i])) for i in short))
+            self.young, self.old, self.bytes, self.met = Kept(), self.young, 0, bytearray(MET)
+        missing = set().union(*groups).difference(self.young)
         found = {k: self.old[k] for k in missing if k in self.old}
+        new = [k for k in missing if k not in found]
         for key, value in found.items():
             self._keep(key, value)
-        new = [k for k in missing if k not in found]
         for key, value in zip(new, self.make(new), strict=True):
             found[key] = value
             if len(key) <= LONG:
@@ -68,8 +68,9 @@ class Remembered:
                 if self.met[at]:
                     self._keep(key, value)
                 self.met[at] = 1
-        for i in short:
-            values[i] = [found[k] if v is None else v for k, v in zip(groups[i], values[i])]
+        self.young.rest = found
+        values = [list(map(self.young.__getitem__, g)) for g in groups]
+        self.young.rest = {}
         return values
 
     def texts(self, texts: Iterable[str]) -> Iterator[list]:

@@ -98,6 +98,20 @@ def test_long_words_follow_the_same_rule(duck, ranks):
         assert duck._merge_long(word).tolist() == duck._merge([word])[0].tolist() == ranks._encode_single_piece(word)
 
 
+def test_pieces_of_a_run_are_looked_up_at_once(duck, ranks, monkeypatch):
+    asked, of = [], duck.pieces.of
+    monkeypatch.setattr(duck.pieces, "of", lambda groups: asked.append(len(groups)) or of(groups))
+    text = "quorvex, blint's zzyzx7 ﬁnd élan! plainword"
+    assert duck._encode_chunks(tokens.CHUNK.findall(text)) == [np.array(ranks.encode_ordinary(c), "<i4").tobytes() for c in tokens.CHUNK.findall(text)]
+    assert asked == [1] and duck.letters and not bpe.DuckBpe(RANKS, r" ?\p{L}|[\s\S]").letters
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abZ \n'1.é", min_size=1, max_size=6))
+def test_plain_chunks_are_one_piece(duck, text):
+    assert not bpe.plain(text) or duck.pattern.findall(text) == [text]
+
+
 def test_encode_and_decode_tables(docs_of, ranks):
     docs = docs_of(PAIRS, ["ids", "bytes", "word"])
     both = bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect()
