@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.operators import graph, marts, rollups
 from factloom.plans import views  # noqa: F401  (registers the shared views)
 from factloom.plans.registry import query, view
+from factloom.session import Rounds
 
 view("geo_pairs", "SELECT DISTINCT u, v FROM (SELECT src AS u, dst AS v FROM $geo_edges UNION ALL SELECT dst, src FROM $geo_edges) WHERE u <> v")
 view("geo_weighted", "SELECT src, dst, min(CASE type WHEN 'depends_on' THEN 0.5 WHEN 'publishes_to' THEN 1.5 ELSE 1.0 END) AS w FROM $geo_edges GROUP BY 1, 2")
@@ -20,6 +21,19 @@ def _geo(t):
     return t.view("geo_nodes"), t.view("geo_edges")
 
 
+def _geo_kept(t):
+    """The graph written once, for queries that look at it several times: its edges come from all line items."""
+    keep = lambda name: t.kept(name, lambda: Rounds(t.spark).keep(t.view(name)))
+    return keep("geo_nodes"), keep("geo_edges")
+
+
+def _scored(t):
+    """Nodes, edges, distance features and cut nodes of the written graph."""
+    nodes, edges = _geo_kept(t)
+    markers = nodes.filter("type = 'Component'").select("id")
+    return nodes, edges, graph.distance_features(nodes, graph.marker_distances(edges, markers)), graph.articulation_points(nodes, edges)
+
+
 @query("graph_degrees", """
     SELECT type, id, degree FROM (SELECT n.type, n.id, count(e.i) AS degree, row_number() OVER (PARTITION BY n.type ORDER BY count(e.i) DESC, n.id) AS rn
       FROM $geo_nodes n LEFT JOIN (SELECT src AS i FROM (SELECT DISTINCT src, dst FROM $geo_edges) UNION ALL SELECT dst FROM (SELECT DISTINCT src, dst FROM $geo_edges)) e ON e.i = n.id GROUP BY 1, 2) WHERE rn <= 3""")
@@ -129,7 +143,7 @@ def cut_nodes_joined(t):
       UNION ALL SELECT * FROM (SELECT id, 2 FROM deg WHERE type IN ('Workflow', 'API', 'Operation') ORDER BY degree DESC, id LIMIT 3))
     SELECT id, CAST(min(stage) AS INT) AS stage FROM u GROUP BY 1""")
 def marker_selection(t):
-    nodes, edges = _geo(t)
+    nodes, edges = _geo_kept(t)
     central = graph.betweenness(nodes, edges).withColumn("betweenness", F.round("betweenness", 12))
     return graph.select_markers(nodes, edges, central, k=3, include=("Component:ASIA",)).select("id", "stage")
 
@@ -144,9 +158,7 @@ def marker_selection(t):
     SELECT ops, apis, events, dbs, infra, docs, n, e, round(CAST(base AS DOUBLE), 3) AS base_score, round(CAST(0.7 * base + 0.1 / (1 + an) + 0.1 * nr / n + 0.1 * re / n - least(0.15, art / n * 0.5) AS DOUBLE), 3) AS score,
       round(an, 3) AS avg_nearest, round(re / n, 3) AS reachable_ratio, nr AS anchors_within_r, art AS articulation, round(e / (n * (n - 1)), 6) AS density FROM x""")
 def facet_scores(t):
-    nodes, edges = _geo(t)
-    feats = graph.distance_features(nodes, graph.marker_distances(edges, _markers(t)))
-    return marts.blended_score(nodes, edges, feats, graph.articulation_points(nodes, edges))
+    return marts.blended_score(*_scored(t))
 
 
 @query("alternate_facet_score", """
@@ -161,7 +173,7 @@ def alternate_facet_score(t):
 
 @query("graph_health", f"WITH {_COMPONENTS} SELECT (SELECT count(*) FROM $geo_nodes) AS nodes, (SELECT count(*) FROM $geo_edges) AS edges, (SELECT count(DISTINCT c) FROM (SELECT id, min(r) AS c FROM cc GROUP BY 1)) AS components")
 def graph_health(t):
-    nodes, edges = _geo(t)
+    nodes, edges = _geo_kept(t)
     return marts.graph_health(nodes, edges, graph.connected_components(nodes, edges))
 
 
@@ -186,7 +198,7 @@ _CLUSTERS = """
       round(CAST(least(1.0, CASE WHEN entry_points > 0 THEN 0.4 ELSE 0.1 END + CASE WHEN components > 1 THEN 0.3 ELSE 0.15 END + least(0.3, node_count / 20.0)) AS DOUBLE), 3) AS score
     FROM s LEFT JOIN e ON e.cluster = s.cluster""")
 def cluster_summary(t):
-    nodes, edges = _geo(t)
+    nodes, edges = _geo_kept(t)
     return marts.cluster_summary(marts.cluster_members(nodes, edges), edges)
 
 
@@ -194,7 +206,7 @@ def cluster_summary(t):
     WITH {_CLUSTERS}, e AS (SELECT src AS id, type || ' ' || dst AS item, dst AS place, row_number() OVER (PARTITION BY src ORDER BY dst, type || ' ' || dst) AS no FROM $geo_edges)
     SELECT cluster, rn, id, item FROM (SELECT cluster, e.id, item, row_number() OVER (PARTITION BY cluster ORDER BY e.id, place, item) AS rn FROM e JOIN mem ON mem.id = e.id WHERE no <= 2) WHERE rn <= 6""")
 def cluster_evidence(t):
-    nodes, edges = _geo(t)
+    nodes, edges = _geo_kept(t)
     evidence = edges.select(F.col("src").alias("id"), F.col("dst").alias("at"), F.concat_ws(" ", "type", "dst").alias("item"))
     return rollups.cluster_evidence(marts.cluster_members(nodes, edges), evidence)
 
@@ -213,9 +225,8 @@ def cluster_types(t):
       n.id IN (SELECT id FROM cut) AS is_cut FROM $geo_nodes n LEFT JOIN best b ON b.node = n.id GROUP BY n.id, n.component)
     SELECT component, count(*) AS total, count(*) FILTER (near >= 1) AS covered, round(avg(nearest), 3) AS avg_nearest, round(avg(p50), 3) AS p50, round(avg(p90), 3) AS p90, count(*) FILTER (is_cut) AS articulation FROM f GROUP BY 1""")
 def feature_rollup(t):
-    nodes, edges = _geo(t)
-    feats = graph.distance_features(nodes, graph.marker_distances(edges, _markers(t)))
-    cut = graph.articulation_points(nodes, edges).withColumn("is_cut", F.lit(True))
+    nodes, _, feats, cut = _scored(t)
+    cut = cut.withColumn("is_cut", F.lit(True))
     rows = nodes.select("id", F.coalesce("component", F.lit("ungrouped")).alias("component")).join(feats, "id", "left").join(cut, "id", "left")
     return rows.groupBy("component").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("anchors_within_r") >= 1).alias("covered"), F.round(F.avg("nearest_distance"), 3).alias("avg_nearest"),

@@ -112,3 +112,11 @@ def test_what_reads_the_facts_exchanges_a_row_per_signal(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan(signal_pass.dependencies(_facts(t)))
     assert plan(signal_pass.presence(_facts(t))).count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["facet_scores", "feature_rollup", "cluster_summary"])
+def test_edges_are_made_once(spark, name, monkeypatch):
+    made, keep = [], Rounds.keep
+    monkeypatch.setattr(Rounds, "keep", lambda self, df, *a, **b: made.append(any("lineitem" in f for f in df.inputFiles())) or keep(self, df, *a, **b))
+    out = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert sum(made) == 1 and not any("lineitem" in f for f in out.inputFiles())
