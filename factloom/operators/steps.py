@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom.functions import text as tx
 from factloom.functions import vocab
 from factloom.operators import ordered
+from factloom.operators.hot import by_group
 
 ORDER = ["pos", "k1", "k2"]
 INTERFACE_CAP, INVOCATION_CAP, ERROR_CAP, IDENTIFIER_CAP = 12, 20, 10, 12
@@ -160,17 +162,21 @@ def interfaces(steps: DataFrame, triggers: DataFrame) -> DataFrame:
     return ordered.first_then_cap(rows, ["signal_id"], ["kind", "endpoint", "method"], ["src"] + ORDER, INTERFACE_CAP)
 
 
-def invocations(steps: DataFrame, data: DataFrame | None = None) -> DataFrame:
-    """Process, database and messaging calls of steps; first per (kind, target, operation), at most 20."""
+def _calls() -> Column:
+    """Process, database and messaging calls of a step."""
     row = lambda kind, target, op: F.struct(F.lit(kind).alias("kind"), target.alias("target"), op.alias("operation"))
-    calls = F.array_compact(
+    return F.array_compact(
         F.array(
             F.when(_role("invoke.process"), row("Process", F.coalesce("called_process", "name"), F.lit(None).cast("string"))),
             F.when(_role("data.jdbc"), row("JDBC", F.col("datasource"), F.col("sql_text"))),
             F.when(_role("messaging.jms"), row("JMS", F.col("destination"), F.lit(None).cast("string"))),
         )
     )
-    rows = steps.select("signal_id", *ORDER, "connector", F.col("name").alias("evidence"), F.posexplode(calls).alias("sub", "c"))
+
+
+def invocations(steps: DataFrame, data: DataFrame | None = None) -> DataFrame:
+    """Process, database and messaging calls of steps; first per (kind, target, operation), at most 20."""
+    rows = steps.select("signal_id", *ORDER, "connector", F.col("name").alias("evidence"), F.posexplode(_calls()).alias("sub", "c"))
     rows = rows.select("signal_id", *ORDER, "sub", "connector", "evidence", "c.*")
     return ordered.first_then_cap(rows, ["signal_id"], ["kind", "target", "operation"], ORDER + ["sub"], INVOCATION_CAP)
 
@@ -251,12 +257,25 @@ def traceability(iface: DataFrame, steps: DataFrame, deps: DataFrame) -> DataFra
 # ---------------------------------------------------------------- activities and transitions
 def activities(steps: DataFrame) -> DataFrame:
     """Steps with a per-signal index and unique names (a repeated name gets ``-index``)."""
+    return by_group([steps], "signal_id", lambda t, tasks: _activities_near(t[0].repartition(tasks, "signal_id")), lambda t: _activities_far(t[0]))
+
+
+def _activities_near(steps: DataFrame) -> DataFrame:
+    numbered = steps.withColumn("idx", F.row_number().over(Window.partitionBy("signal_id").orderBy(*ORDER)).cast("bigint"))
+    first = F.min("idx").over(Window.partitionBy("signal_id", "name"))
+    return _named(numbered.withColumn("__f", first))
+
+
+def _activities_far(steps: DataFrame) -> DataFrame:
     numbered = ordered.row_index(steps, ["signal_id"], ORDER, "idx")
-    firsts = numbered.groupBy("signal_id", "name").agg(F.min("idx").alias("__f"))
-    hit = numbered.alias("a").join(firsts.alias("b"), ["signal_id", "name"])
-    return hit.withColumn(
-        "unique_name", F.when(F.col("idx") == F.col("__f"), F.col("name")).otherwise(F.concat("name", F.lit("-"), F.col("idx").cast("string")))
-    ).drop("__f")
+    firsts = numbered.groupBy(F.col("signal_id").alias("__s"), F.col("name").alias("__n")).agg(F.min("idx").alias("__f"))
+    hit = numbered.join(firsts, F.col("signal_id").eqNullSafe(F.col("__s")) & F.col("name").eqNullSafe(F.col("__n")))
+    return _named(hit.drop("__s", "__n"))
+
+
+def _named(hit: DataFrame) -> DataFrame:
+    again = F.concat("name", F.lit("-"), F.col("idx").cast("string"))
+    return hit.withColumn("unique_name", F.when(F.col("idx") == F.col("__f"), F.col("name")).otherwise(again)).drop("__f")
 
 
 def transitions(steps: DataFrame, start: DataFrame) -> DataFrame:
@@ -292,6 +311,169 @@ def flow_graph(steps: DataFrame, triggers: DataFrame, trans: DataFrame, relation
     return n, e1.select(cols).unionByName(e2.select(cols)).unionByName(e3.select(cols)).distinct()
 
 
+def _no_place(steps: DataFrame) -> list[Column]:
+    """Empty ``ORDER`` columns for rows that are no steps."""
+    return [F.lit(None).cast(steps.schema[c].dataType).alias(c) for c in ORDER]
+
+
+_LINK = "array<struct<src: string, dst: string, label: string, kind: string>>"
+
+
+def _met(steps: DataFrame, triggers: DataFrame, control: DataFrame, relations: DataFrame | None) -> DataFrame:
+    """Rows of all inputs by signal: steps 0, triggers 1, sources 2 and targets 3 of control edges, relations 4."""
+    none = F.lit(None).cast("string")
+    place = _no_place(steps)
+    rows = steps.select("signal_id", F.lit(0).alias("tag"), *ORDER, F.col("name").alias("node"), F.col("run_after").alias("other"), F.col("branch").alias("label"))
+    rows = rows.unionByName(triggers.select(
+        "signal_id", F.lit(1).alias("tag"), *place, F.coalesce("name", "path", "type").alias("node"), F.col("name").alias("other"), none.alias("label")
+    ))
+    ends = F.explode(F.array(F.struct(F.lit(2).alias("tag"), F.col("src").alias("node")), F.struct(F.lit(3).alias("tag"), F.col("dst").alias("node"))))
+    rows = rows.unionByName(control.select("signal_id", ends.alias("e")).select("signal_id", "e.tag", *place, "e.node", none.alias("other"), none.alias("label")))
+    if relations is not None:
+        target = relations.filter("target_ref IS NOT NULL")
+        rows = rows.unionByName(target.select(
+            "signal_id", F.lit(4).alias("tag"), *place, F.col("source_name").alias("node"), F.concat(F.lit("External:"), "target_ref").alias("other"), none.alias("label")
+        ))
+    return rows
+
+
+def _links(rows: DataFrame, whole: bool) -> DataFrame:
+    """``(signal_id, src, dst, label, kind)`` from ``_met`` rows dealt by signal, each once and in that partition.
+
+    Kind is ``transition``; with ``whole`` also ``trigger`` and ``external`` edges and ``node:`` rows whose node is ``src``.
+    """
+    tag, none = F.col("tag"), F.lit(None).cast("string")
+    at_node, of_signal = Window.partitionBy("signal_id", "node"), Window.partitionBy("signal_id")
+    child = F.col("node").isNotNull() & F.max(tag == 3).over(at_node)
+    rows = rows.withColumn("rule", F.when((tag == 2) & ~child, 0).when((tag == 1) & F.col("node").isNotNull(), 1).when(tag == 0, 2))
+    first = F.min(F.when(tag == 0, F.struct(*ORDER, "node"))).over(of_signal)
+    rows = rows.withColumns({"best": F.min("rule").over(of_signal), "first": first})
+    rows = rows.withColumn("root", F.min(F.when((F.col("rule") == F.col("best")) & (F.col("rule") < 2), F.col("node"))).over(of_signal))
+    start = F.when(F.col("best") == 2, F.col("first.node")).otherwise(F.col("root"))
+    prev = F.lag("node").over(Window.partitionBy("signal_id", "tag").orderBy(*ORDER))
+    rows = rows.withColumns({"start": start, "prev": prev})
+    link = lambda src, dst, label, kind: F.struct(src.alias("src"), dst.alias("dst"), label.alias("label"), F.lit(kind).alias("kind"))
+    node, other, label = F.col("node"), F.col("other"), F.col("label")
+    before = F.coalesce(F.split(other, "[|]"), F.array(F.coalesce("prev", "start")))
+    of_step = F.concat(F.transform(before, lambda x: link(x, node, label, "transition")), F.array(link(node, none, none, "node:step")))
+    links = F.when(tag == 0, of_step)
+    if whole:
+        begun = F.when(F.col("signal_id").isNotNull() & F.col("first").isNotNull(), link(other, F.col("first.node"), none, "trigger"))
+        links = links.when(tag == 1, F.array_compact(F.array(begun, link(other, none, none, "node:trigger"))))
+        links = links.when(tag == 4, F.array(link(node, other, none, "external"), link(other, none, none, "node:external")))
+    rows = rows.select("signal_id", "start", F.explode(links.cast(_LINK)).alias("l")).select("signal_id", "start", "l.*")
+    known = F.max(F.col("kind") == "node:step").over(Window.partitionBy("signal_id", "src")) | F.coalesce(F.col("src") == F.col("start"), F.lit(False))
+    holds = F.col("signal_id").isNotNull() & F.col("src").isNotNull() & F.col("known")
+    rows = rows.withColumn("known", known).filter((F.col("kind") != "transition") | holds)
+    if not whole:
+        rows = rows.filter("kind = 'transition'")
+    else:  # transitions count once per pair and whether they have a label
+        branch = F.when(F.col("label").isNotNull(), "branch").otherwise("sequence")
+        rows = rows.withColumns({"kind": F.when(F.col("kind") == "transition", branch).otherwise(F.col("kind")), "label": none})
+    return rows.select("signal_id", "src", "dst", "label", "kind").distinct()
+
+
+def step_transitions(steps: DataFrame, triggers: DataFrame, control: DataFrame) -> DataFrame:
+    """``transitions`` with the start nodes of ``start_nodes``, in one exchange for all but hot signals."""
+    near = lambda t, tasks: _links(_met(*t, None).repartition(tasks, "signal_id"), False).drop("kind")
+    return by_group([steps, triggers, control], "signal_id", near, lambda t: transitions(t[0], _least_start(*t)), [0])
+
+
+def _least_start(steps: DataFrame, triggers: DataFrame, control: DataFrame) -> DataFrame:
+    return start_nodes(steps, triggers, control).groupBy("signal_id").agg(F.min("node").alias("node"))
+
+
+def flow_links(steps: DataFrame, triggers: DataFrame, control: DataFrame, relations: DataFrame) -> DataFrame:
+    """``(signal_id, src, dst, kind)``: the edges of ``flow_graph`` and its nodes (``node:`` and type, in ``src``), in one
+    exchange for all but hot signals."""
+    def far(t: list[DataFrame]) -> DataFrame:
+        steps, triggers, control, relations = t
+        nodes, edges = flow_graph(steps, triggers, transitions(steps, _least_start(steps, triggers, control)), relations)
+        nodes = nodes.select("signal_id", F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.concat(F.lit("node:"), "type").alias("kind"))
+        return edges.unionByName(nodes)
+
+    near = lambda t, tasks: _links(_met(*t).repartition(tasks, "signal_id"), True).drop("label")
+    return by_group([steps, triggers, control, relations], "signal_id", near, far, [0, 3])
+
+
+# ---------------------------------------------------------------- traces in one exchange
+#: Parts of a trace, with the label and the most entries of each.
+TRACE = {0: ("interface:", 1), 1: ("step:", 5), 2: ("invoke:", 3), 3: ("datastore:", 3), 4: ("service:", 3)}
+_BUCKET_PART = {"processes": 2, "datastores": 3, "services": 4}
+_KIND_PART = {"Process": 2, "JDBC": 3, "JMS": 4}
+
+
+def traces(steps: DataFrame, triggers: DataFrame, relations: DataFrame) -> DataFrame:
+    """``traceability`` of the interfaces, steps and dependencies, in one exchange for all but hot signals."""
+    def far(t: list[DataFrame]) -> DataFrame:
+        deps = dependencies(invocations(t[0]), data_access(t[0], t[2]), backfill_dependencies(t[2]))
+        return traceability(interfaces(t[0], t[1]), t[0], deps)
+
+    near = lambda t, tasks: _traced(_trace_rows(*t).repartition(tasks, "signal_id"))
+    return by_group([steps, triggers, relations], "signal_id", near, far, [0, 2])
+
+
+def _trace_rows(steps: DataFrame, triggers: DataFrame, relations: DataFrame) -> DataFrame:
+    """A row per input row with its interface, its name if it is a step, its calls and other dependencies."""
+    none = F.lit(None).cast("string")
+    face = lambda kind, endpoint, method: F.struct(kind.alias("kind"), endpoint.alias("endpoint"), method.alias("method"))
+    dep = lambda part, value: F.struct(F.lit(part).alias("part"), value.alias("value"))
+    kinds = {"iface": "struct<kind: string, endpoint: string, method: string>", "calls": "array<struct<kind: string, target: string, operation: string>>", "deps": "array<struct<part: int, value: string>>"}
+
+    def row(df: DataFrame, src: int, place: list, name: Column, iface: Column, calls: Column, deps: Column) -> DataFrame:
+        made = {"iface": iface, "calls": calls, "deps": deps}
+        return df.select("signal_id", F.lit(src).alias("src"), *place, name.alias("name"), *[c.cast(kinds[n]).alias(n) for n, c in made.items()])
+
+    low = F.lower(F.coalesce("connector", F.lit("")))
+    data = _contains_any(low, ("jdbc", "sql")) & F.col("sql_text").isNotNull()
+    stores = F.when(data, F.array(dep(3, F.col("datasource")), dep(3, tx.sql_table_by_order(F.col("sql_text")))))
+    seen = F.when(_role("interface.receive") | _role("interface.reply"), face(F.col("connector"), F.col("url"), F.col("method")))
+    rows = row(steps, 1, ORDER, F.col("name"), seen, _calls(), stores)
+    given = face(F.coalesce("type", F.lit("trigger")), F.col("path"), F.col("method"))
+    rows = rows.unionByName(row(triggers, 0, _no_place(steps), none, given, F.lit(None), F.lit(None)))
+    kind, hint, target = F.lower(F.coalesce("target_kind", "rel_type", F.lit(""))), F.lower(F.coalesce("target_kind", F.lit(""))), F.col("target_ref")
+    of_relation = F.array_compact(F.array(
+        F.when(_contains_any(kind, ("sql", "jdbc", "db", "database")) | _contains_any(hint, vocab.DATASTORE_KIND_HINTS), dep(3, target)),
+        F.when(_contains_any(hint, vocab.SERVICE_KIND_HINTS), dep(4, target)),
+        F.when(F.col("rel_type").isin("calls", "invokes"), dep(2, target)),
+    ))
+    return rows.unionByName(row(relations, 2, _no_place(steps), none, F.lit(None), F.lit(None), of_relation))
+
+
+def _traced(rows: DataFrame) -> DataFrame:
+    """The traces of ``_trace_rows`` dealt by signal; all that follows stays in that partition."""
+    nth = F.row_number().over(Window.partitionBy("signal_id", "src").orderBy(*ORDER))
+    rows = rows.withColumn("nth", nth)
+    none = F.lit(None).cast("string")
+    # what: 0 interface, 1 step, 2 call, 3 dependency; equal ones count once, at their first place
+    fact = lambda what, a, b, c, sub, part: F.struct(
+        F.lit(what).alias("what"), a.alias("a"), b.alias("b"), c.alias("c"), sub.cast("int").alias("sub"), part.cast("int").alias("part")
+    )
+    facts = F.concat(
+        F.array_compact(F.array(
+            F.when(F.col("iface").isNotNull(), fact(0, F.col("iface.kind"), F.col("iface.endpoint"), F.col("iface.method"), F.lit(0), F.lit(0))),
+            F.when((F.col("src") == 1) & (F.col("nth") <= TRACE[1][1]), fact(1, F.col("name"), F.col("nth").cast("string"), none, F.lit(0), F.lit(1))),
+        )),
+        F.transform(F.coalesce("calls", F.array()), lambda c, i: fact(2, c["target"], c["kind"], c["operation"], i, tx.lookup(c["kind"], _KIND_PART))),
+        F.transform(F.coalesce("deps", F.array()), lambda d: fact(3, d["value"], none, none, F.lit(0), d["part"])),
+    )
+    rows = rows.select("signal_id", "src", *ORDER, F.explode(facts).alias("f")).select("signal_id", "src", *ORDER, "f.*")
+    rows = rows.groupBy("signal_id", "what", "part", "a", "b", "c").agg(F.min(F.struct("src", *ORDER, "sub")).alias("at"))
+    rank = F.row_number().over(Window.partitionBy("signal_id", "what").orderBy("at", "a", "b", "c"))
+    rows = rows.withColumn("rank", rank).filter((F.col("what") == 1) | (F.col("what") == 3) | (F.col("rank") <= F.when(F.col("what") == 0, 1).otherwise(INVOCATION_CAP)))
+    is_dep, empty = F.col("what") >= 2, F.col("a").isNull() | (F.col("a") == "")
+    endpoint = F.concat(F.coalesce("c", F.lit("ANY")), F.lit(" "), F.coalesce("b", "a"))
+    value = F.when(F.col("what") == 0, endpoint).otherwise(F.col("a"))
+    place = F.when(F.col("what") == 1, F.col("b").cast("int")).otherwise(F.lit(0))
+    rows = rows.filter(~is_dep | ~empty).select("signal_id", "part", value.alias("value"), place.alias("place")).distinct()
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("signal_id", "part").orderBy("place", "value")))
+    most = tx.lookup(F.col("part"), {p: n for p, (_, n) in TRACE.items()})
+    text = F.concat(tx.lookup(F.col("part"), {p: label for p, (label, _) in TRACE.items()}), F.col("value"))
+    rows = rows.filter(F.col("rn") <= most)
+    entries = F.array_sort(F.collect_list(F.struct("part", "rn", text.alias("t"))))
+    return rows.groupBy("signal_id").agg(F.array_join(F.transform(entries, lambda x: x["t"]), " > ").alias("trace"))
+
+
 # ---------------------------------------------------------------- derived rows and artifacts
 def derived_rows(signals: DataFrame, triggers: DataFrame, data: DataFrame) -> DataFrame:
     """One ``db`` row per SQL found, one ``route`` row per HTTP trigger, and a ``workflow`` row for

@@ -297,7 +297,7 @@ def start_nodes(t):
     SELECT signal_id, string_agg(t, ' > ' ORDER BY part, rn) AS trace FROM p GROUP BY 1""",
 )
 def traceability(t):
-    return st.traceability(st.interfaces(t.view("steps", spread=True), t.view("triggers")), t.view("steps", spread=True), _deps(t))
+    return st.traces(t.view("steps"), t.view("triggers"), t.view("relations"))
 
 
 # ---------------------------------------------------------------- transitions and graphs
@@ -308,7 +308,8 @@ def traceability(t):
     FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY pos, k1, k2) AS idx FROM $steps)""",
 )
 def unique_activities(t):
-    return st.activities(t.view("steps", spread=True)).select("signal_id", "idx", "unique_name")
+    steps = t.view("steps").select("signal_id", *views.STEP_ORDER, "name")
+    return st.activities(steps).select("signal_id", "idx", "unique_name")
 
 
 view(
@@ -322,14 +323,9 @@ view(
 )
 
 
-def _transitions(t):
-    start = st.start_nodes(t.view("steps", spread=True), t.view("triggers"), _control(t)).groupBy("signal_id").agg(F.min("node").alias("node"))
-    return st.transitions(t.view("steps", spread=True), start)
-
-
 @query("activity_transitions", "SELECT * FROM $transition_rows")
 def activity_transitions(t):
-    return _transitions(t)
+    return st.step_transitions(t.view("steps"), t.view("triggers"), _control(t))
 
 
 @query(
@@ -345,10 +341,8 @@ def activity_transitions(t):
       UNION SELECT signal_id, 'External:' || target_ref, 'external' FROM $relations) GROUP BY 1""",
 )
 def flow_graph(t):
-    nodes, edges = st.flow_graph(t.view("steps", spread=True), t.view("triggers"), _transitions(t), t.view("relations", spread=True))
-    e = edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("signal_id").alias("signals"))
-    n = nodes.groupBy(F.concat(F.lit("node:"), "type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("signal_id").alias("signals"))
-    return e.unionByName(n)
+    found = st.flow_links(t.view("steps"), t.view("triggers"), _control(t), t.view("relations"))
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("signal_id").alias("signals"))
 
 
 # ---------------------------------------------------------------- artifacts
