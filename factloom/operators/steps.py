@@ -443,7 +443,7 @@ def _trace_rows(steps: DataFrame, triggers: DataFrame, relations: DataFrame) ->
 def _traced(rows: DataFrame) -> DataFrame:
     """The traces of ``_trace_rows`` dealt by signal; all that follows stays in that partition."""
     nth = F.row_number().over(Window.partitionBy("signal_id", "src").orderBy(*ORDER))
-    rows = rows.withColumn("nth", nth)
+    rows = rows.withColumn("nth", F.when(F.col("src") == 1, nth).otherwise(0).cast("bigint"))
     none = F.lit(None).cast("string")
     # what: 0 interface, 1 step, 2 call, 3 dependency; equal ones count once, at their first place
     fact = lambda what, a, b, c, sub, part: F.struct(
@@ -457,8 +457,10 @@ def _traced(rows: DataFrame) -> DataFrame:
         F.transform(F.coalesce("calls", F.array()), lambda c, i: fact(2, c["target"], c["kind"], c["operation"], i, tx.lookup(c["kind"], _KIND_PART))),
         F.transform(F.coalesce("deps", F.array()), lambda d: fact(3, d["value"], none, none, F.lit(0), d["part"])),
     )
-    rows = rows.select("signal_id", "src", *ORDER, F.explode(facts).alias("f")).select("signal_id", "src", *ORDER, "f.*")
-    rows = rows.groupBy("signal_id", "what", "part", "a", "b", "c").agg(F.min(F.struct("src", *ORDER, "sub")).alias("at"))
+    rows = rows.select("signal_id", "src", "nth", F.explode(facts).alias("f")).select("signal_id", "src", "nth", "f.*")
+    # the place in one number, so that its minimum is taken by hashing
+    at = F.shiftleft(F.col("src").cast("bigint"), 50).bitwiseOR(F.shiftleft("nth", 4)).bitwiseOR(F.col("sub").cast("bigint"))
+    rows = rows.groupBy("signal_id", "what", "part", "a", "b", "c").agg(F.min(at).alias("at"))
     rank = F.row_number().over(Window.partitionBy("signal_id", "what").orderBy("at", "a", "b", "c"))
     rows = rows.withColumn("rank", rank).filter((F.col("what") == 1) | (F.col("what") == 3) | (F.col("rank") <= F.when(F.col("what") == 0, 1).otherwise(INVOCATION_CAP)))
     is_dep, empty = F.col("what") >= 2, F.col("a").isNull() | (F.col("a") == "")
