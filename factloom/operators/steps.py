@@ -409,7 +409,8 @@ def traces(steps: DataFrame, triggers: DataFrame, relations: DataFrame) -> DataF
         deps = dependencies(invocations(t[0]), data_access(t[0], t[2]), backfill_dependencies(t[2]))
         return traceability(interfaces(t[0], t[1]), t[0], deps)
 
-    near = lambda t, tasks: _traced(_trace_rows(*t).repartition(tasks, "signal_id"))
+    # a row becomes several facts, so a task takes fewer rows
+    near = lambda t, tasks: _traced(_trace_rows(*t).repartition(4 * tasks, "signal_id"))
     return by_group([steps, triggers, relations], "signal_id", near, far, [0, 2])
 
 
