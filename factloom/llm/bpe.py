@@ -10,6 +10,9 @@ where a step per token would cost the square of the length, are contracted by th
 Decoding: id rows join the vocabulary and an ordered aggregation puts each document's bytes together, in runs
 of at most ``RUN`` ids, so that a very long text takes more queries and not a larger one.
 
+A task cuts its texts in white-space chunks (see ``tokens``) as Arrow columns and asks the queries for the distinct
+ones; a document's ids, and the bytes these decode to, are those of its chunks one behind the other.
+
 Defined cases: null text counts as empty, which has no ids; documents are rows, so repeated and null
 ids are carried through; an unknown id in ``decode`` raises; an empty table gives an empty result; other
 columns are not looked at.
@@ -36,6 +39,8 @@ from factloom.llm.tokens import WHITE, Remembered
 LONG, WORDS = 128, 20_000
 #: Bytes a worker remembers of pieces and of chunks.
 PIECES, CHUNKS = 96 << 20, 96 << 20
+#: Bytes of texts worked on at once (one text at least).
+SLICE = 4 << 20
 #: Most ids in one decoding query; longer documents are decoded in runs.
 RUN = 300_000
 #: Most squared bytes of the words of a recursive query, which holds the rows of every step: at most half as many.
@@ -43,7 +48,7 @@ SQUARES = 4_000_000
 
 ENCODE = """
 WITH RECURSIVE tok AS (
-    SELECT word, pos, id, lead(pos) OVER w AS next_pos, lead(id) OVER w AS next_id, 0 AS step FROM start WINDOW w AS (PARTITION BY word ORDER BY pos)
+    SELECT word, pos, id, next_pos, next_id, 0 AS step FROM start
     UNION ALL
     SELECT t.word, t.pos,
       CASE WHEN t.pos = b.at THEN b.id ELSE t.id END,
@@ -60,10 +65,7 @@ WITH RECURSIVE tok AS (
 SELECT word, id FROM tok JOIN (SELECT word, max(step) AS step FROM tok GROUP BY word) USING (word, step) ORDER BY word, pos
 """
 
-DECODE = """
-SELECT doc, string_agg(v.piece, '' ORDER BY i.pos) AS bytes
-FROM ids i JOIN vocab v USING (id) GROUP BY doc ORDER BY doc
-"""
+DECODE = "SELECT coalesce(string_agg(v.piece, '' ORDER BY i.pos), '') FROM ids i JOIN vocab v USING (id)"
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -75,10 +77,47 @@ def ranks_of(path: str) -> dict[bytes, int]:
 LETTERS = re.compile(r"('\w+\|)* \?\\p\{L\}\+(\||$)")
 
 
-def plain(chunk: str) -> bool:
-    """Whether a chunk is ASCII letters behind at most one blank."""
-    word = chunk[1:] if chunk[0] == " " else chunk
-    return word.isascii() and word.isalpha()
+#: Whether a chunk is Latin letters behind at most one blank.
+plain = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+
+
+#: White space in UTF-8: single bytes, and longer ones by their first byte.
+BLANKS = [c.encode() for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c)]
+BLANK = np.isin(np.arange(256), [b[0] for b in BLANKS if len(b) == 1])
+WIDE = {lead: [b for b in BLANKS if len(b) > 1 and b[0] == lead] for lead in {b[0] for b in BLANKS if len(b) > 1}}
+
+
+def offsets_of(column: pa.Array) -> np.ndarray:
+    """Where the values of a large text or binary column start in its buffer, and where the last ends."""
+    return np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+
+
+def chunked(texts: pa.LargeStringArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All chunks (as ``tokens.CHUNK`` finds them) of texts without nulls, and the number of each text's first; last, their number."""
+    bounds = offsets_of(texts)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    white = BLANK[raw]
+    for lead, wide in WIDE.items():
+        at = np.flatnonzero(raw == lead)
+        for blank in wide if len(at) else ():
+            here = at
+            for i, byte in enumerate(blank[1:], 1):
+                here = here[raw[here + i] == byte]
+            for i in range(len(blank)):
+                white[here + i] = True
+    starts = white.copy()
+    starts[1:] &= ~white[:-1]
+    bounds = bounds - bounds[0]
+    starts[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    ends = np.append(np.flatnonzero(starts), len(raw))
+    chunks = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw))
+    return chunks.dictionary_encode(), np.searchsorted(ends, bounds)
+
+
+def joined(values: pa.Array, chunks: pa.DictionaryArray, firsts: np.ndarray) -> tuple[np.ndarray, pa.Buffer]:
+    """The values of all chunks in one buffer, and where each text's start in it."""
+    every = values.take(chunks.indices)
+    return offsets_of(every)[firsts], every.buffers()[2] or pa.py_buffer(b"")
 
 
 class DuckBpe:
@@ -95,6 +134,8 @@ class DuckBpe:
         # a byte per character, so that ordered text aggregation joins bytes
         self._table("vocab", pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "piece": [w.decode("latin-1") for w in self.ranks]}))
         self.largest = max(self.ranks.values())
+        self.size = np.zeros(self.largest + 1, np.int64)
+        self.size[list(self.ranks.values())] = list(map(len, self.ranks))
         self.entries = {w: r.to_bytes(4, "little") for w, r in self.ranks.items()}
         self.pieces = Remembered(self._encode_pieces, PIECES)
         self.chunks = Remembered(self._encode_chunks, CHUNKS)
@@ -111,11 +152,15 @@ class DuckBpe:
     def _merged(self, words: list[bytes]) -> list[bytes]:
         """The same as little-endian bytes, cut from one buffer."""
         sizes = np.array([len(w) for w in words], np.int32)
-        flat = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        flat, lasts = self.byte[np.frombuffer(b"".join(words), np.uint8)], np.cumsum(sizes) - 1
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         pos = np.arange(len(flat), dtype=np.int32) - np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes, sizes)
-        self._table("start", pa.table({"word": word, "pos": pos, "id": flat}))
+        last = np.zeros(len(flat), bool)
+        last[lasts] = True
+        after = {"next_pos": pa.array(pos + 1, mask=last), "next_id": pa.array(np.append(flat[1:], np.int32(0)), mask=last)}
+        self.db.register("start", pa.table({"word": word, "pos": pos, "id": flat, **after}))
         got = self.db.execute(ENCODE).fetchnumpy()
+        self.db.unregister("start")
         raw = got["id"].astype("<i4").tobytes()
         ends = (4 * np.cumsum(np.bincount(got["word"], minlength=len(words)))).tolist()
         return [raw[at:end] for at, end in zip([0, *ends], ends)]
@@ -163,45 +208,45 @@ class DuckBpe:
         return found
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        parts = [[c] if self.letters and plain(c) else self.pattern.findall(c) for c in chunks]
+        findall = self.pattern.findall
+        parts = [[c] if self.letters and plain(c) else findall(c) for c in chunks]
         ids = iter(self.pieces.of([list(chain.from_iterable(parts))])[0])
         return [next(ids) if len(p) == 1 else b"".join(islice(ids, len(p))) for p in parts]
 
+    def encode_lists(self, texts: pa.Array) -> tuple[pa.ListArray, Callable[[], pa.BinaryArray]]:
+        """The ids of each text, and a function that decodes them again."""
+        chunks, firsts = chunked(texts.cast(pa.large_string()))
+        found = pa.array(self.chunks.distinct(chunks.dictionary.to_pylist()), pa.large_binary())
+        at, raw = joined(found, chunks, firsts)
+
+        def back() -> pa.BinaryArray:
+            at, raw = joined(self._decoded(np.frombuffer(found.buffers()[2] or b"", "<i4"), offsets_of(found) // 4), chunks, firsts)
+            return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at), raw]).cast(pa.binary())
+
+        return pa.ListArray.from_arrays((at // 4).astype(np.int32), np.frombuffer(raw, "<i4")), back
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for parts in self.chunks.texts(texts):
-            yield np.frombuffer(b"".join(parts), "<i4")
+        for few in slices(texts):
+            for ids in self.encode_lists(pa.array(few, pa.large_string()))[0]:
+                yield ids.values.to_numpy()
 
-    def _decode_runs(self, runs: list[np.ndarray]) -> list[bytes]:
-        sizes = np.array([len(r) for r in runs], np.int64)
-        flat = np.concatenate([*runs, np.empty(0, np.int32)]).astype(np.int64)
-        if len(flat) and (flat.min() < 0 or flat.max() > self.largest):
-            raise ValueError("an id outside the vocabulary")
-        self.db.register("ids", pa.table({"doc": np.repeat(np.arange(len(runs)), sizes), "pos": np.arange(len(flat)), "id": flat}))
-        out = [b""] * len(runs)
-        for run, text in self.db.execute(DECODE).fetchall():
-            out[run] = text.encode("latin-1")
+    def _decode_run(self, flat: np.ndarray) -> bytes:
+        self.db.register("ids", pa.table({"pos": np.arange(len(flat)), "id": flat}))
+        ((text,),) = self.db.execute(DECODE).fetchall()
         self.db.unregister("ids")
-        return out
+        return text.encode("latin-1")
+
+    def _decoded(self, flat: np.ndarray, bounds: np.ndarray) -> pa.LargeBinaryArray:
+        """The bytes of runs of ids that lie one behind the other between ``bounds``."""
+        if len(flat) and (flat.min() < 0 or flat.max() > self.largest or not self.size[flat].all()):
+            raise ValueError("an id outside the vocabulary")
+        raw = b"".join(self._decode_run(flat[at : at + RUN]) for at in range(0, len(flat), RUN))
+        ends = np.r_[0, np.cumsum(self.size[flat])][bounds]
+        return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
 
     def decode(self, docs: list[np.ndarray]) -> list[bytes]:
-        parts: list[list[bytes]] = [[] for _ in docs]
-        owners, runs, size = [], [], 0
-
-        def done():
-            for i, raw in zip(owners, self._decode_runs(runs)):
-                parts[i].append(raw)
-
-        for i, ids in enumerate(docs):
-            for at in range(0, len(ids), RUN):
-                run = ids[at : at + RUN]
-                if size + len(run) > RUN:
-                    done()
-                    owners, runs, size = [], [], 0
-                owners.append(i)
-                runs.append(run)
-                size += len(run)
-        done()
-        return [b"".join(p) for p in parts]
+        bounds = np.cumsum([0, *map(len, docs)], dtype=np.int64)
+        return self._decoded(np.concatenate([*docs, np.empty(0, np.int32)]).astype(np.int64), bounds).to_pylist()
 
 
 _LOADED: dict[tuple[str, str], DuckBpe] = {}
@@ -214,21 +259,23 @@ def duck_bpe(path: str, pattern: str) -> DuckBpe:
     return _LOADED[path, pattern]
 
 
-def _lists(ids: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
-    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32)))
+def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of ``(doc_id, text)`` with about ``SLICE`` bytes of texts each."""
+    for b in batches:
+        ends, at = offsets_of(b.column(1).cast(pa.large_string()))[1:], 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+            yield b.slice(at, end - at)
+            at = end
 
 
-def _mapped(rows: DataFrame, path: str, pattern: str, columns: dict[str, str], make: Callable) -> DataFrame:
-    """``make(coder, values)`` gives Arrow columns for runs of the second column of ``rows``; the first is kept."""
+def _mapped(rows: DataFrame, path: str, pattern: str, columns: dict[str, str], cut: Callable, make: Callable) -> DataFrame:
+    """``make(coder, values)`` gives Arrow columns for the second column of what ``cut`` makes of the batches of ``rows``; the first is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = duck_bpe(path, pattern)
-        for b in small(batches):
-            at, given = 0, b.column(1)
-            for few in slices(given.to_pylist() if pa.types.is_string(given.type) else given):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(few)), *make(coder, few)], ["doc_id", *columns])
-                at += len(few)
+        for b in cut(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), *make(coder, b.column(1))], ["doc_id", *columns])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{n} {t}" for n, t in columns.items())]))
@@ -237,25 +284,32 @@ def _mapped(rows: DataFrame, path: str, pattern: str, columns: dict[str, str], m
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, ids)`` of ``docs(doc_id, text)``, map-only."""
     rows = docs.select("doc_id", whole(F.col("text")).alias("text"))
-    return _mapped(rows, path, pattern, {"ids": "array<int>"}, lambda coder, few: [_lists(list(coder.encode(few)))])
+    return _mapped(rows, path, pattern, {"ids": "array<int>"}, texts_of, lambda coder, texts: [coder.encode_lists(texts)[0]])
 
 
 def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, bytes)`` of ``rows(doc_id, ids)``, map-only; null ids count as none."""
     rows = rows.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
-    def make(coder: DuckBpe, few: list[pa.ListScalar]) -> list[pa.Array]:
-        return [pa.array(coder.decode([x.values.to_numpy(zero_copy_only=False) for x in few]), pa.binary())]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            at = 0
+            for few in slices(b.column(1)):
+                yield b.slice(at, len(few))
+                at += len(few)
+
+    def make(coder: DuckBpe, lists: pa.ListArray) -> list[pa.Array]:
+        return [pa.array(coder.decode([x.values.to_numpy(zero_copy_only=False) for x in lists]), pa.binary())]
 
-    return _mapped(rows, path, pattern, {"bytes": "binary"}, make)
+    return _mapped(rows, path, pattern, {"bytes": "binary"}, cut, make)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, ids, bytes)``: texts encoded and their ids decoded again, in one pass."""
     rows = docs.select("doc_id", whole(F.col("text")).alias("text"))
 
-    def make(coder: DuckBpe, few: list[str]) -> list[pa.Array]:
-        ids = list(coder.encode(few))
-        return [_lists(ids), pa.array(coder.decode(ids), pa.binary())]
+    def make(coder: DuckBpe, texts: pa.Array) -> list[pa.Array]:
+        ids, back = coder.encode_lists(texts)
+        return [ids, back()]
 
-    return _mapped(rows, path, pattern, {"ids": "array<int>", "bytes": "binary"}, make)
+    return _mapped(rows, path, pattern, {"ids": "array<int>", "bytes": "binary"}, texts_of, make)

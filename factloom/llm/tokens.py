@@ -73,6 +73,27 @@ class Remembered:
         self.young.rest = {}
         return values
 
+    def distinct(self, keys: list) -> list:
+        """The values of keys that all differ; fewer steps a key than ``of``."""
+        if self.bytes > self.most // 2:
+            self.young, self.old, self.bytes, self.met = Kept(), self.young, 0, bytearray(MET)
+        values = list(map(self.young.get, keys))
+        missing = [i for i, v in enumerate(values) if v is None]
+        if self.old:
+            for i in missing:
+                if (value := self.old.get(keys[i])) is not None:
+                    values[i] = value
+                    self._keep(keys[i], value)
+            missing = [i for i in missing if values[i] is None]
+        new = [keys[i] for i in missing]
+        at, met = np.fromiter(map(hash, new), np.int64, len(new)) % MET, np.frombuffer(self.met, np.uint8)
+        for i, value, again in zip(missing, self.make(new), met[at].tolist(), strict=True):
+            values[i] = value
+            if again and len(keys[i]) <= LONG:
+                self._keep(keys[i], value)
+        met[at] = 1
+        return values
+
     def texts(self, texts: Iterable[str]) -> Iterator[list]:
         """Per text the values of its chunks."""
         for run in slices(list(texts)):

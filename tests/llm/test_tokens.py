@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -124,6 +125,46 @@ def test_encode_and_decode_tables(docs_of, ranks):
     assert bpe.round_trip(docs_of([]), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]) | st.sampled_from(" \n\t\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b\x1cé.a"), max_size=20), max_size=6), st.integers(0, 2))
+def test_chunks_in_columns_are_those_of_the_texts(texts, skip):
+    chunks, firsts = bpe.chunked(pa.array(texts, pa.large_string())[skip:])
+    got = chunks.to_pylist()
+    assert [got[a:b] for a, b in zip(firsts[:-1], firsts[1:])] == [tokens.CHUNK.findall(t) for t in texts[skip:]]
+    assert len(set(got)) == len(chunks.dictionary)
+
+
+def test_a_chunk_is_encoded_and_decoded_once_a_slice(ranks, monkeypatch):
+    duck, asked, ids = bpe.DuckBpe(RANKS, public_tokenizers.PATTERN), [], []
+    make, run = duck.chunks.make, bpe.DuckBpe._decode_run
+    monkeypatch.setattr(duck.chunks, "make", lambda chunks: asked.extend(chunks) or make(chunks))
+    monkeypatch.setattr(bpe.DuckBpe, "_decode_run", lambda self, flat: ids.extend(flat) or run(self, flat))
+    texts = ["quorvex, zzyzx7 " * 3000, "", " zzyzx7 quorvex," * 3000]
+    got, back = duck.encode_lists(pa.array(texts))
+    assert got.to_pylist() == [ranks.encode_ordinary(t) for t in texts] and back().to_pylist() == [t.encode() for t in texts]
+    assert sorted(asked) == [" ", " quorvex,", " zzyzx7", "quorvex,"] and len(ids) < 30
+
+
+def test_slices_of_texts_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE", 10)
+    rows = pa.record_batch({"doc_id": range(7), "text": ["a" * 4, "b" * 6, "", "c" * 25, "d", "é" * 5, ""]})
+    got = [b.column(0).to_pylist() for b in bpe.texts_of([rows.slice(0, 0), rows, rows.slice(2)])]
+    assert got == [[0, 1, 2], [3], [4], [5, 6], [2], [3], [4], [5, 6]]
+
+
+@pytest.mark.parametrize("most", [40_000, 1 << 20])
+def test_distinct_keys_have_the_values_of_any_keys(most):
+    rng, made = random.Random(4), []
+    kept = tokens.Remembered(lambda keys: made.extend(keys) or [k.encode() for k in keys], most)
+    for _ in range(200):
+        keys = rng.sample([str(i) for i in range(300)], 60) + ["x" * 200]
+        assert kept.distinct(keys) == [k.encode() for k in keys]
+        assert kept.of([keys[:5] * 2]) == [[k.encode() for k in keys[:5]] * 2]
+    assert made.count("x" * 200) == 200 and (made.count("7") > 2 or kept.old == {})
+    if most == 1 << 20:  # holds all short keys, each met twice before it is kept
+        assert max(made.count(str(i)) for i in range(300)) == 2
+
+
 def test_unknown_id_is_refused(duck):
     with pytest.raises(ValueError):
         duck.decode([np.array([60_000])])
