@@ -39,8 +39,8 @@ from factloom.llm.tokens import WHITE, Remembered
 LONG, WORDS = 128, 20_000
 #: Bytes a worker remembers of pieces and of chunks.
 PIECES, CHUNKS = 96 << 20, 96 << 20
-#: Bytes of texts worked on at once (one text at least).
-SLICE = 4 << 20
+#: Bytes of texts worked on at once (one text at least), and most chunks encoded at once.
+SLICE, SOME = 2 << 20, 100_000
 #: Most ids in one decoding query; longer documents are decoded in runs.
 RUN = 300_000
 #: Most squared bytes of the words of a recursive query, which holds the rows of every step: at most half as many.
@@ -208,6 +208,9 @@ class DuckBpe:
         return found
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        return list(chain.from_iterable(self._encode_some(chunks[at : at + SOME]) for at in range(0, len(chunks), SOME)))
+
+    def _encode_some(self, chunks: list[str]) -> list[bytes]:
         findall = self.pattern.findall
         parts = [[c] if self.letters and plain(c) else findall(c) for c in chunks]
         ids = iter(self.pieces.of([list(chain.from_iterable(parts))])[0])

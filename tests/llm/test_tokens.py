@@ -145,6 +145,15 @@ def test_a_chunk_is_encoded_and_decoded_once_a_slice(ranks, monkeypatch):
     assert sorted(asked) == [" ", " quorvex,", " zzyzx7", "quorvex,"] and len(ids) < 30
 
 
+def test_many_new_chunks_are_encoded_in_portions(ranks, monkeypatch):
+    monkeypatch.setattr(bpe, "SOME", 3)
+    duck, sizes = bpe.DuckBpe(RANKS, public_tokenizers.PATTERN), []
+    some = duck._encode_some
+    monkeypatch.setattr(duck, "_encode_some", lambda chunks: sizes.append(len(chunks)) or some(chunks))
+    text = "quorvex, blint's zzyzx7 élan! quorvex plainword 12 x,y"
+    assert [x.tolist() for x in duck.encode([text])] == [ranks.encode_ordinary(text)] and sizes == [3, 3, 2]
+
+
 def test_slices_of_texts_hold_every_row_once(monkeypatch):
     monkeypatch.setattr(bpe, "SLICE", 10)
     rows = pa.record_batch({"doc_id": range(7), "text": ["a" * 4, "b" * 6, "", "c" * 25, "d", "é" * 5, ""]})
