@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import slices, small, whole
-from factloom.llm.tokens import WHITE, Remembered
+from factloom.llm.tokens import WHITE, WORD, Remembered, chunked, joined, offsets_of, text_slices
 
 LONG, WORDS = 128, 20_000
 #: Bytes a worker remembers of pieces and of chunks.
@@ -78,46 +78,7 @@ LETTERS = re.compile(r"('\w+\|)* \?\\p\{L\}\+(\||$)")
 
 
 #: Whether a chunk is Latin letters behind at most one blank.
-plain = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
-
-
-#: White space in UTF-8: single bytes, and longer ones by their first byte.
-BLANKS = [c.encode() for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c)]
-BLANK = np.isin(np.arange(256), [b[0] for b in BLANKS if len(b) == 1])
-WIDE = {lead: [b for b in BLANKS if len(b) > 1 and b[0] == lead] for lead in {b[0] for b in BLANKS if len(b) > 1}}
-
-
-def offsets_of(column: pa.Array) -> np.ndarray:
-    """Where the values of a large text or binary column start in its buffer, and where the last ends."""
-    return np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-
-
-def chunked(texts: pa.LargeStringArray) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """All chunks (as ``tokens.CHUNK`` finds them) of texts without nulls, and the number of each text's first; last, their number."""
-    bounds = offsets_of(texts)
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
-    white = BLANK[raw]
-    for lead, wide in WIDE.items():
-        at = np.flatnonzero(raw == lead)
-        for blank in wide if len(at) else ():
-            here = at
-            for i, byte in enumerate(blank[1:], 1):
-                here = here[raw[here + i] == byte]
-            for i in range(len(blank)):
-                white[here + i] = True
-    starts = white.copy()
-    starts[1:] &= ~white[:-1]
-    bounds = bounds - bounds[0]
-    starts[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
-    ends = np.append(np.flatnonzero(starts), len(raw))
-    chunks = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw))
-    return chunks.dictionary_encode(), np.searchsorted(ends, bounds)
-
-
-def joined(values: pa.Array, chunks: pa.DictionaryArray, firsts: np.ndarray) -> tuple[np.ndarray, pa.Buffer]:
-    """The values of all chunks in one buffer, and where each text's start in it."""
-    every = values.take(chunks.indices)
-    return offsets_of(every)[firsts], every.buffers()[2] or pa.py_buffer(b"")
+plain = WORD
 
 
 class DuckBpe:
@@ -264,12 +225,7 @@ def duck_bpe(path: str, pattern: str) -> DuckBpe:
 
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of ``(doc_id, text)`` with about ``SLICE`` bytes of texts each."""
-    for b in batches:
-        ends, at = offsets_of(b.column(1).cast(pa.large_string()))[1:], 0
-        while at < b.num_rows:
-            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
-            yield b.slice(at, end - at)
-            at = end
+    return text_slices(batches, SLICE)
 
 
 def _mapped(rows: DataFrame, path: str, pattern: str, columns: dict[str, str], cut: Callable, make: Callable) -> DataFrame:

@@ -36,8 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import kept, shared_path, small, whole
-from factloom.llm.tokens import library_ids
+from factloom.llm.common import kept, shared_path, whole
+from factloom.llm.tokens import SLICE, library_ids, text_slices
 
 END, EVERY, BLOCK, MAGIC = 0, 256, 1 << 20, b"EFID"
 
@@ -119,7 +119,7 @@ class Shard:
         return [None] * self.about["without_id"] + [int(v) + self.about["smallest"] for v in found]
 
 
-def _write_shard(folder: str, rows: Iterator[tuple[int | None, bytes]], width: int, end: int) -> tuple[str, int, int] | None:
+def _write_shard(folder: str, rows: Iterator[tuple[int | None, memoryview]], width: int, end: int) -> tuple[str, int, int] | None:
     """Stream (doc_id, raw ids) into a new file; nothing but the boundaries stays in memory."""
     first = next(rows, None)
     if first is None:
@@ -162,8 +162,14 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = library_ids(tokenizer)
-        each = (row for b in small(batches) for row in zip(b.column(0).to_pylist(), made.of(b.column(1).to_pylist())))
-        wrote = _write_shard(folder, each, made.width, end)
+
+        def each() -> Iterator[tuple[int | None, memoryview]]:
+            for few in text_slices(batches, SLICE):
+                at, raw = made.of_column(few.column(1))
+                ids = memoryview(raw)
+                yield from zip(few.column(0).to_pylist(), (ids[a:z] for a, z in zip(at[:-1].tolist(), at[1:].tolist())))
+
+        wrote = _write_shard(folder, each(), made.width, end)
         if wrote:
             values = [TaskContext.get().partitionId(), *wrote]
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["shard", "file", "n_docs", "n_ids"])
