@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import slices, small, whole
-from factloom.llm.tokens import library_ids
+from factloom.llm.common import whole
+from factloom.llm.tokens import SLICE, library_ids, text_slices
 
 CAPACITY, END = 1024, 0
 
@@ -44,27 +45,30 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, task, numbers = library_ids(tokenizer), TaskContext.get().partitionId(), [0] * 64
-        for b in small(batches):
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            at = 0
-            for few in slices(texts):
-                out = [[] for _ in range(7 + with_ids)]
-                for raw in made.of(few):
-                    doc = np.append(np.frombuffer(raw, f"<u{made.width}").astype("<u4"), np.uint32(end))
-                    start = 0
-                    for length in cuts(len(doc), capacity):
-                        piece, bucket = doc[start : start + length], length.bit_length() - 1
-                        row = [ids[at], start, length, zlib.crc32(piece.tobytes()), len(doc), bucket << 59 | task << 32 | numbers[bucket], 0]
-                        numbers[bucket] += 1
-                        for column, value in zip(out, row + [piece] if with_ids else row):
-                            column.append(value)
-                        start += length
-                    at += 1
-                arrays = [pa.array(c, pa.int64()) for c in out[:7]]
-                if with_ids:
-                    flat = np.concatenate(out[7]).astype(np.int32)
-                    arrays.append(pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(p) for p in out[7]])].astype(np.int32), pa.array(flat)))
-                yield pa.RecordBatch.from_arrays(arrays, _NAMES[: len(arrays)])
+        for few in text_slices(batches, SLICE):
+            at, raw = made.of_column(few.column(1))
+            ends = at // made.width + np.arange(len(at))  # an end id behind each document
+            flat, last = np.empty(ends[-1], "<u4"), np.zeros(ends[-1], bool)
+            last[ends[1:] - 1] = True
+            flat[last], flat[~last] = end, np.frombuffer(raw, f"<u{made.width}", int(at[-1] - at[0]) // made.width, int(at[0]))
+            sizes = np.diff(ends)
+            pieces = [cuts(n, capacity) for n in sizes.tolist()]
+            counts = np.array(list(map(len, pieces)), np.int64)
+            length = np.fromiter(chain.from_iterable(pieces), np.int64, int(counts.sum()))
+            stop, doc, ids = np.cumsum(length), np.repeat(np.arange(len(counts)), counts), memoryview(flat).cast("B")
+            crc = [zlib.crc32(ids[4 * (z - n) : 4 * z]) for z, n in zip(stop.tolist(), length.tolist())]
+            bucket = np.frexp(length)[1].astype(np.int64) - 1
+            number = np.empty(len(length), np.int64)
+            for b in np.unique(bucket).tolist():
+                here = np.flatnonzero(bucket == b)
+                number[here] = numbers[b] + np.arange(len(here))
+                numbers[b] += len(here)
+            start = stop - length - (ends[:-1] - ends[0])[doc]
+            columns = [start, length, np.array(crc, np.int64), sizes[doc], bucket << 59 | task << 32 | number, np.zeros(len(length), np.int64)]
+            arrays = [few.column(0).take(pa.array(doc)), *map(pa.array, columns)]
+            if with_ids:
+                arrays.append(pa.ListArray.from_arrays(np.append(0, stop).astype(np.int32), pa.array(flat.view("<i4"))))
+            yield pa.RecordBatch.from_arrays(arrays, _NAMES[: len(arrays)])
 
     return rows.mapInArrow(run, _COLUMNS + (", ids array<int>" if with_ids else ""))
 

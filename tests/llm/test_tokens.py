@@ -59,6 +59,34 @@ def test_chunked_ids_are_the_librarys_on_any_text(library, text):
     assert np.frombuffer(next(made.of([text])), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*" \n\t'strvmld12é×÷ÿɏɐÀaZ.,!<|>\0\x85\xa0日²½ªµ_\r", "<|endoftext|>", "'s", "'ll", "word", "  "]), max_size=25).map("".join), max_size=6))
+def test_ids_by_piece_are_the_librarys(library, texts):
+    made = tokens.library_ids(JSON)
+    assert [np.frombuffer(raw, "<u2").tolist() for raw in made.of(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_piece_is_encoded_once_a_slice(library, monkeypatch):
+    made, asked = tokens.LibraryIds(JSON), []
+    make = made.chunks.make
+    monkeypatch.setattr(made.chunks, "make", lambda keys: asked.extend(keys) or make(keys))
+    texts = [" zzyzx, zzyzx. zzyzx12\n" * 500, "", "don't zzyzx, it<|endoftext|>"]
+    at, raw = made.of_column(pa.array(texts))
+    assert [np.frombuffer(raw, "<u2")[a:z].tolist() for a, z in zip(at[:-1] // 2, at[1:] // 2)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(asked) == sorted(["\n", "\n zzyzx,", " zzyzx", ",", ".", "12", "don't", " it<|endoftext|>"])
+
+
+def test_other_tokenizers_go_through_the_library(library, tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    path, other = str(tmp_path / "other.json"), Tokenizer.from_file(JSON)
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    other.save(path)
+    made = tokens.LibraryIds(path)
+    assert tokens.by_letters(JSON) and not made.by_letters
+    assert [np.frombuffer(raw, "<u2").tolist() for raw in made.of(["in 1999, 2024x", ""])] == [other.encode(t, add_special_tokens=False).ids for t in ("in 1999, 2024x", "")]
+
+
 def test_memory_is_bounded(library, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBER", 3000)
     made, few = tokens.LibraryIds(JSON), [t for t in TEXTS if len(t) < 300]
@@ -233,6 +261,16 @@ def test_repeated_rows_are_packed_each(docs_of):
     assert packing.pack(docs_of([]), JSON).count() == 0
 
 
+def test_numbers_go_on_from_slice_to_slice(docs_of):
+    pairs = [(i, "some words " * 200_000) for i in range(5)]  # more than two slices in one task
+    rows = packing.pack(docs_of(pairs).coalesce(1), JSON, with_ids=False).collect()
+    whole = sorted(r.sequence_id for r in rows if r.length == 1024)
+    assert whole == list(range(whole[0], whole[0] + len(whole))) and len({r.sequence_id for r in rows}) == len(rows)
+    for i, _ in pairs:
+        mine = sorted((r.start, r.length, r.doc_tokens) for r in rows if r.doc_id == i)
+        assert [m[0] for m in mine] == np.cumsum([0, *(m[1] for m in mine)])[:-1].tolist() and mine[-1][0] + mine[-1][1] == mine[0][2]
+
+
 def test_cuts():
     for n in (1, 2, 3, 1023, 1024, 1025, 5000):
         assert sum(packing.cuts(n)) == n and all(c & c - 1 == 0 for c in packing.cuts(n))
