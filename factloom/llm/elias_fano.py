@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import kept, shared_path, whole
-from factloom.llm.tokens import SLICE, library_ids, text_slices
+from factloom.llm.tokens import library_ids
 
 END, EVERY, BLOCK, MAGIC = 0, 256, 1 << 20, b"EFID"
 
@@ -164,8 +164,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end: i
         made = library_ids(tokenizer)
 
         def each() -> Iterator[tuple[int | None, memoryview]]:
-            for few in text_slices(batches, SLICE):
-                at, raw = made.of_column(few.column(1))
+            for few, at, raw in made.of_batches(batches):
                 ids = memoryview(raw)
                 yield from zip(few.column(0).to_pylist(), (ids[a:z] for a, z in zip(at[:-1].tolist(), at[1:].tolist())))
 

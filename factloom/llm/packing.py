@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import whole
-from factloom.llm.tokens import SLICE, library_ids, text_slices
+from factloom.llm.tokens import library_ids
 
 CAPACITY, END = 1024, 0
 
@@ -45,8 +45,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, task, numbers = library_ids(tokenizer), TaskContext.get().partitionId(), [0] * 64
-        for few in text_slices(batches, SLICE):
-            at, raw = made.of_column(few.column(1))
+        for few, at, raw in made.of_batches(batches):
             ends = at // made.width + np.arange(len(at))  # an end id behind each document
             flat, last = np.empty(ends[-1], "<u4"), np.zeros(ends[-1], bool)
             last[ends[1:] - 1] = True

@@ -3,7 +3,7 @@
 A chunk is a run of white space with the run of other characters behind it.  Byte-level vocabularies
 split a text at the start of every such chunk anyway, so a chunk has the same ids wherever it stands:
 each task cuts its texts in chunks as Arrow columns, encodes the distinct ones of a slice that it has not met
-yet and joins a text's ids from them.  What a worker remembers is bounded by ``REMEMBER`` bytes (see
+yet and joins a text's ids from them.  What a task remembers is bounded by ``REMEMBER`` bytes (see
 ``Remembered``).  Strings of special tokens get their own ids, as the library gives them by default.
 
 Chunks of Latin letters, digits and ASCII marks are cut further, in the pieces of the split pattern of byte-level
@@ -13,7 +13,6 @@ otherwise, go through the whole library.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -25,10 +24,10 @@ import pyarrow.compute as pc
 
 from factloom.llm.common import slices
 
-#: Bytes a worker remembers, and characters of the longest key it remembers.
-REMEMBER, LONG = 96 << 20, 100
+#: Bytes a task remembers, and characters of the longest key it remembers.
+REMEMBER, LONG = 64 << 20, 100
 #: Bytes of texts worked on at once (one text at least), and most chunks or pieces encoded at once.
-SLICE, SOME = 4 << 20, 100_000
+SLICE, SOME = 1 << 20, 100_000
 #: Bytes of an entry besides its key and value, and bits (a byte each) for keys met once.
 ENTRY, MET = 190, 4 << 20
 
@@ -214,13 +213,11 @@ class Remembered:
         return values
 
 
-def by_letters(path: str) -> bool:
+def by_letters(tokenizer) -> bool:
     """Whether the tokenizer is a plain byte-level one, whose model gets the pieces that ``PIECE`` tells."""
-    with open(path, encoding="utf-8") as file:
-        about = json.load(file)
-    cut = about.get("pre_tokenizer") or {}
-    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
-    return bool(plain and not about.get("normalizer") and about["model"].get("type") == "BPE" and not about["model"].get("dropout"))
+    cut, model = tokenizer.pre_tokenizer, tokenizer.model
+    plain = type(cut).__name__ == "ByteLevel" and cut.use_regex and not cut.add_prefix_space
+    return plain and tokenizer.normalizer is None and type(model).__name__ == "BPE" and not model.dropout
 
 
 class LibraryIds:
@@ -231,7 +228,7 @@ class LibraryIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.by_letters = self.tokenizer.model, by_letters(path)
+        self.model, self.by_letters = self.tokenizer.model, by_letters(self.tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.line = self._ids(["\n"])[0]
@@ -289,6 +286,18 @@ class LibraryIds:
         parts, firsts = pieced(texts, self.special) if self.by_letters else chunked(texts)
         return joined(pa.array(self.chunks.distinct(strings(parts.dictionary)), pa.large_binary()), parts, firsts)
 
+    def of_batches(self, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Buffer]]:
+        """Slices of ``(key, text)`` with what ``of_column`` gives; at the end all is forgotten.
+
+        An executor may keep more idle workers than it has cores, each with its memory.
+        """
+        try:
+            for few in text_slices(batches, SLICE):
+                yield few, *self.of_column(few.column(1))
+        finally:
+            self.chunks = Remembered(self._encode, REMEMBER)
+            pa.default_memory_pool().release_unused()
+
     def of(self, texts: Iterable[str]) -> Iterator[bytes]:
         for few in slices(list(texts)):
             at, raw = self.of_column(pa.array(few, pa.large_string()))
@@ -300,7 +309,7 @@ _LOADED: dict[str, LibraryIds] = {}
 
 
 def library_ids(path: str) -> LibraryIds:
-    """One per Python worker, so that what it remembers serves its later tasks too."""
+    """One per Python worker, as it takes long to load."""
     if path not in _LOADED:
         _LOADED[path] = LibraryIds(path)
     return _LOADED[path]

@@ -76,6 +76,15 @@ def test_a_piece_is_encoded_once_a_slice(library, monkeypatch):
     assert sorted(asked) == sorted(["\n", "\n zzyzx,", " zzyzx", ",", ".", "12", "don't", " it<|endoftext|>"])
 
 
+def test_a_worker_forgets_between_tasks(library):
+    made, rows = tokens.LibraryIds(JSON), pa.record_batch({"doc_id": [1, 2], "text": ["zzyzx quorvex", " quorvex zzyzx"]})
+    for _ in range(2):
+        for few, at, raw in made.of_batches([rows, rows]):
+            assert np.frombuffer(raw, "<u2").tolist() == [i for t in few.column(1).to_pylist() for i in library.encode(t, add_special_tokens=False).ids]
+            assert made.chunks.met.count(1)
+        assert not made.chunks.young and not made.chunks.old and not made.chunks.met.count(1)
+
+
 def test_other_tokenizers_go_through_the_library(library, tmp_path):
     from tokenizers import Tokenizer, pre_tokenizers
 
@@ -83,7 +92,7 @@ def test_other_tokenizers_go_through_the_library(library, tmp_path):
     other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), pre_tokenizers.ByteLevel(add_prefix_space=False)])
     other.save(path)
     made = tokens.LibraryIds(path)
-    assert tokens.by_letters(JSON) and not made.by_letters
+    assert tokens.by_letters(library) and not made.by_letters
     assert [np.frombuffer(raw, "<u2").tolist() for raw in made.of(["in 1999, 2024x", ""])] == [other.encode(t, add_special_tokens=False).ids for t in ("in 1999, 2024x", "")]
 
 
