@@ -38,6 +38,16 @@ def pages_of(spark, urls):
     return df.withColumn("rule", F.lit(1)).withColumn("diff", F.lit(2)).withColumn("slot", F.lit(3))
 
 
+def test_no_side_of_a_join_is_broadcast(spark, monkeypatch):
+    seen, keep, cut = [], url_filter.kept, url_filter.threshold
+    monkeypatch.setattr(url_filter, "kept", lambda df, name: seen.append(df) or keep(df, name))
+    monkeypatch.setattr(url_filter, "threshold", lambda df: seen.append(df) or cut(df))
+    urls = [f"http://{host}.{end}/{lang}/{i}" for i in range(20) for host in "ab" for end in ("org", "com", "net") for lang in ("fr", "de")]
+    seen.append(url_filter.judge(pages_of(spark, urls), URL_RULES))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
+    assert len(plans) == 5 and sum(p.count("SortMergeJoin") for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_rules_match_brute_force(spark):
     rows = {r.page_id: r for r in url_filter.judge(pages_of(spark, EDGE), URL_RULES).collect()}
     assert len(rows) == len(EDGE)
