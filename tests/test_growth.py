@@ -1,6 +1,7 @@
 """Plans and results of queries whose cost grew faster than their input, and of checks that read small data only."""
 
 import json
+import re
 
 import duckdb
 import pytest
@@ -107,6 +108,19 @@ def test_peers_of_one_group_are_many_tasks(spark):
     assert len(held) >= 8 and max(r["count"] for r in held) < 1000
 
 
+def test_pairs_are_dealt_before_they_are_made_distinct(spark, tmp_path):
+    p = spark.createDataFrame([(f"p{i}", None, None, None) for i in range(6)], "process string, component string, family string, module string")
+    calls = spark.createDataFrame([], "src string, dst string")
+    rows = [(f"p{i}", kind, v) for i in range(5) for kind in ("datastore", "identifier") for v in ("v", "w")] + [("p5", "datastore", "alone")]
+    spark.createDataFrame(rows + rows[:7], "process string, kind string, value string").write.parquet(f"{tmp_path}/uses")
+    out = marts.dependency_slice(p, calls, spark.read.parquet(f"{tmp_path}/uses"), p.filter("process IN ('p1', 'p5')").select("process"))
+    assert sorted(map(tuple, out.collect())) == sorted(("p1", f"shared_{k}_with", f"p{i}") for i in (0, 2, 3, 4) for k in ("datastore", "identifier"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # neither the uses nor the pairs meet an exchange of their own to become distinct
+    assert not re.search(r"Exchange hashpartitioning\(\w+#\d+, kind#\d+, value#", plan)
+    assert re.search(r"Exchange hashpartitioning\(process#\d+, peer#\d+, \d+\), REPARTITION_BY_NUM", plan)
+
+
 def test_what_reads_the_facts_exchanges_a_row_per_signal(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
