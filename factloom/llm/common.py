@@ -74,13 +74,13 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column, mos
     return texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "label", "place").agg(F.min("text").alias("text"))
 
 
-def filtered(docs: DataFrame, make: Callable[[], Callable[[str], bool]]) -> DataFrame:
-    """The rows of ``docs`` whose text passes ``make()(text)``, with all their columns; map-only."""
+def filtered(docs: DataFrame, make: Callable[[], Callable[[list[str]], Iterable[bool]]]) -> DataFrame:
+    """The rows of ``docs`` whose texts pass ``make()(texts)``, with all their columns; map-only."""
     schema, at = docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = make()
         for b in small(batches):
-            yield b.filter(pa.array([passes(t or "") for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array(passes([t or "" for t in b.column(at).to_pylist()]), pa.bool_()))
 
     return docs.mapInArrow(run, schema)

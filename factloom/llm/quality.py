@@ -13,7 +13,7 @@ ids may be null or repeated; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import filtered, labelled, small, whole
+from factloom.llm.common import filtered, labelled, slices, small, whole
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BITS, ORDER, MOST, EPOCHS, REMEMBER = 18, 2, 8_000, 3, 100_000
@@ -30,59 +30,84 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Features:
-    """Hashed n-grams of texts; remembers a bounded number of words."""
+    """Hashed n-grams of texts, for many texts at a time; remembers a bounded number of words."""
 
     def __init__(self):
-        self.words: dict[str, tuple[int, int]] = {}
-
-    def _codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) > REMEMBER:
-            self.words = {}
-        known = self.words
-        for w in set(words):
-            if w not in known:
-                known[w] = (xxhash.xxh64_intdigest(w.lower().encode(), 1), self._shape(w))
-        codes = np.array([known[w] for w in words], np.uint64)
-        word, shape = codes[:, 0], codes[:, 1].copy()
-        for back in (3, 2, 1):
-            same = np.flatnonzero(word[back:] == word[:-back]) + back
-            shape[same] = back
-        return word, shape
+        self.places: dict[str, int] = {}  # of a word in ``codes``
+        self.codes = np.empty((2, 0), np.uint64)
+
+    def _codes(self, words: list[str]) -> np.ndarray:
+        """Two rows, the hash and the shape of each word; every new word is looked at once."""
+        if len(self.places) > REMEMBER:
+            self.__init__()
+        new, hashed = list(set(words).difference(self.places)), xxhash.xxh64_intdigest
+        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
+        made = (hashed(w.lower().encode(), 1) for w in new), map(self._shape, new)
+        self.codes = np.concatenate([self.codes, [np.fromiter(m, np.uint64, len(new)) for m in made]], axis=1)
+        return self.codes[:, np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))]
 
     @staticmethod
     def _shape(w: str) -> int:
         if not (w[0].isalnum() or w[0] == "_"):
             return xxhash.xxh64_intdigest(w[:3].encode(), 2)
-        return 4 + (w.isdigit() * 4 or w.isupper() * 3 or w.istitle() * 2 or w.islower() * 1) * 4 + min(len(w) // 4, 3)
+        # no two of lower, digit and the others hold for one word; an upper letter alone is upper and title
+        case = 1 if w.islower() else 4 if w.isdigit() else 3 if w.isupper() else 2 if w.istitle() else 0
+        return 4 + case * 4 + min(len(w) // 4, 3)
+
+    def of_all(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Where each text begins, indices and values, for one slice of the texts after the other; index 0 is the bias."""
+        for run in slices(texts):
+            words = [TOKEN.findall(t) for t in run]
+            text = np.repeat(np.arange(len(run), dtype=np.uint64), [len(ws) for ws in words])
+            yield self._grams(text, *self._codes([w for ws in words for w in ws]), len(run))
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Indices and values; index 0 is the bias."""
-        words = TOKEN.findall(text)
-        if not words:
-            return np.zeros(1, np.int64), np.ones(1)
-        grams = []
-        for kind, codes in enumerate(self._codes(words)):
+        return next(self.of_all([text]))[1:]
+
+    @staticmethod
+    def _grams(text: np.ndarray, word: np.ndarray, shape: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``text`` says whose each word is; an n-gram has words of one text only, and the bias comes first."""
+        for back in (3, 2, 1):
+            shape[back:][(word[back:] == word[:-back]) & (text[back:] == text[:-back])] = back
+        bits = np.uint64(BITS + 1)
+        keys = [np.arange(n, dtype=np.uint64) << bits]
+        for kind, codes in enumerate((word, shape)):
             h = codes * _MIX + np.uint64(kind)
             for order in range(1, ORDER + 1 + kind):
-                grams.append(h[: len(codes) - order + 1])
-                h = (h[: len(codes) - order] ^ (h[: len(codes) - order] >> np.uint64(29))) * _MIX + codes[order:] + np.uint64(order)
-        mixed = np.concatenate(grams) * _MIX
-        index, count = np.unique((mixed ^ (mixed >> np.uint64(32))) * _MIX >> np.uint64(64 - BITS), return_counts=True)
-        value = count / np.sqrt((count.astype(float) ** 2).sum())
-        return np.r_[0, index.astype(np.int64)], np.r_[1.0, value]
+                own = text[: len(h)] == text[order - 1 :]
+                mixed = h[own] * _MIX
+                keys.append((text[: len(h)][own] << bits) + ((mixed ^ (mixed >> np.uint64(32))) * _MIX >> np.uint64(64 - BITS)) + np.uint64(1))
+                h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * _MIX + codes[order:] + np.uint64(order)
+        keys, count = np.unique(np.concatenate(keys), return_counts=True)
+        starts, index = np.searchsorted(keys, np.arange(n, dtype=np.uint64) << bits), (keys & np.uint64((2 << BITS) - 1)).astype(np.int64) - 1
+        index[starts], square = 0, count.astype(float) ** 2
+        square[starts] = 0.0
+        length = np.sqrt(np.add.reduceat(square, starts)) if n else square
+        value = count / np.repeat(np.where(length > 0, length, 1.0), np.diff(np.r_[starts, len(keys)]))
+        value[starts] = 1.0
+        return starts, index, value
+
+    def probabilities(self, texts: Iterable[str], w: np.ndarray) -> np.ndarray:
+        """The score of each text under the weights."""
+        found = []
+        for starts, index, value in self.of_all(texts):
+            weights, ends = w[index].astype(float), np.r_[starts[1:], len(index)]
+            found += [weights[a:z] @ value[a:z] for a, z in zip(starts, ends)]
+        return 1 / (1 + np.exp(-np.array(found, float)))
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarray:
     """Weights by FTRL-proximal: per weight an adaptive rate, a lazy L1 and L2 proximal step."""
-    z, n, w = (np.zeros(1 << BITS) for _ in range(3))
+    z, n, root = (np.zeros(1 << BITS) for _ in range(3))  # root: of n
     for _ in range(epochs):
         for index, value, label in rows:
-            zi, ni = z[index], n[index]
-            wi = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
-            w[index] = wi
-            g = (1 / (1 + np.exp(-np.clip(wi @ value, -30, 30))) - label) * value
+            index, value = index.astype(np.intp), value.astype(float)
+            zi, ni, before = z[index], n[index], root[index]
+            wi = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + before) / ALPHA + L2))
+            g = (1 / (1 + np.exp(-min(max(wi @ value, -30), 30))) - label) * value
             after = ni + g * g
-            z[index] = zi + g - (np.sqrt(after) - np.sqrt(ni)) / ALPHA * wi
+            root[index] = now = np.sqrt(after)
+            z[index] = zi + g - (now - before) / ALPHA * wi
             n[index] = after
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2)).astype(np.float32)
 
@@ -93,9 +118,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn, most: int = MOST) -> np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, rows = Features(), []
         for b in small(batches):
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                index, value = features.of(text)
-                rows.append((index.astype(np.int32), value.astype(np.float32), label))
+            labels = iter(b.column(1).to_pylist())
+            for starts, index, value in features.of_all(b.column(0).to_pylist()):
+                parts = zip(np.split(index.astype(np.int32), starts[1:]), np.split(value.astype(np.float32), starts[1:]))
+                rows += [(*part, next(labels)) for part in parts]
         yield pa.RecordBatch.from_arrays([pa.array([train(rows).tobytes()], pa.binary())], ["weights"])
 
     found = sample.select("text", "label").mapInArrow(run, "weights binary").collect()
@@ -110,11 +136,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, w = Features(), model.value
         for b in small(batches):
-            out = np.zeros(b.num_rows)
-            for i, text in enumerate(b.column(1).to_pylist()):
-                index, value = features.of(text)
-                out[i] = 1 / (1 + np.exp(-float(w[index] @ value)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(features.probabilities(b.column(1).to_pylist(), w))], ["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
@@ -126,10 +148,6 @@ def keep_good(docs: DataFrame, weights: np.ndarray, cut: float = 0.7) -> DataFra
     def make():
         features, w = Features(), model.value
 
-        def passes(text: str) -> bool:
-            index, value = features.of(text)
-            return 1 / (1 + np.exp(-float(w[index] @ value))) >= cut
-
-        return passes
+        return lambda texts: features.probabilities(texts, w) >= cut
 
     return filtered(docs, make)

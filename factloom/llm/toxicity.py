@@ -233,4 +233,4 @@ def drop_toxic(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
         n, found = scan(text, model.scores)
         return model.probability(evidence(model, n, [s for *_, s in found])) < cut
 
-    return filtered(docs, lambda: passes)
+    return filtered(docs, lambda: lambda texts: map(passes, texts))

@@ -149,6 +149,23 @@ def test_good_texts_are_told_apart(made):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in scored.items() if s >= 0.7}
 
 
+def test_texts_together_have_the_features_of_each_alone(monkeypatch):
+    texts = ["", "One two, two ONE 1999 -- x", "x x x x y x", " ", "Äß ǅ ² _a !a ... ....", "two ONE"] * 3 + ["w " * 5000 + "end"]
+    alone = [quality.Features().of(t) for t in texts]
+    weights = np.random.default_rng(3).normal(size=1 << quality.BITS).astype(np.float32)
+    monkeypatch.setattr(quality, "slices", lambda texts: common.slices(texts, 40))
+    for remember in (quality.REMEMBER, 3):  # with and without words forgotten on the way
+        monkeypatch.setattr(quality, "REMEMBER", remember)
+        features, got = quality.Features(), []
+        for starts, index, value in features.of_all(texts):
+            got += zip(np.split(index, starts[1:]), np.split(value, starts[1:]))
+        assert len(got) == len(texts) and all((a == b).all() for x, y in zip(alone, got) for a, b in zip(x, y))
+        want = [1 / (1 + np.exp(-float(weights[i] @ v))) for i, v in alone]
+        assert quality.Features().probabilities(texts, weights).tolist() == want
+    index, value = alone[2]  # six words, five pairs; of shapes also four triples; the bias is apart
+    assert index[0] == 0 and value[0] == 1 and (value[1:] ** 2).sum() == pytest.approx(1) and len(index) == len(set(index.tolist()))
+
+
 def test_quality_edge_rows(spark, docs_of):
     docs = docs_of([(1, None), (2, ""), (None, "a b"), (3, "word " * 100000), (3, "x"), (3, "x")], ["score"])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
